@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meritgrid.llm.best_fit_packing import op8_best_fit_packing
 from meritgrid.llm.quality_classifier import op10_quality_classifier
+from meritgrid.llm.sharding import op9_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
