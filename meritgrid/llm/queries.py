@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meritgrid.llm.best_fit_packing import op8_best_fit_packing
 from meritgrid.llm.byte_bpe import op5_byte_bpe
+from meritgrid.llm.embedding_dedup import op7_embedding_dedup
 from meritgrid.llm.fingerprints import op6_fingerprints
 from meritgrid.llm.language_id import op4_language_id
 from meritgrid.llm.quality_classifier import op10_quality_classifier
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_fingerprints": op6_fingerprints,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
