@@ -12,6 +12,7 @@ from meritgrid.llm.embedding_dedup import op7_embedding_dedup
 from meritgrid.llm.fingerprints import op6_fingerprints
 from meritgrid.llm.language_id import op4_language_id
 from meritgrid.llm.line_dedup import op1_line_dedup
+from meritgrid.llm.lm_scoring import op3_lm_scoring
 from meritgrid.llm.ngram_jaccard import op2_ngram_jaccard
 from meritgrid.llm.quality_classifier import op10_quality_classifier
 from meritgrid.llm.sharding import op9_sharding
@@ -19,6 +20,7 @@ from meritgrid.llm.sharding import op9_sharding
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_fingerprints": op6_fingerprints,
