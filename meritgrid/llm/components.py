@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """`df` with its lineage cut: written to the shared folder of the session, or, where none is named, to the
-    warehouse as a temporary table's files."""
+    """`df` with its lineage cut by a checkpoint in the shared folder; `name` says what it is in the job's list."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    context.setJobDescription(name)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        context.setJobDescription(None)
 
 
 def components(edges: DataFrame) -> DataFrame:
