@@ -8,8 +8,9 @@ Equal lines are one distinct line, known by the place of its first copy. Each di
 of its deletion neighbourhood: itself, and itself without each single character. A line and one with a
 character more meet in the variant that is the shorter line; two lines that differ in one character meet in
 the variant without it, at one position, which is part of the key. So all lines under one key are within one
-edit of the one they are compared with, only the earliest of a key matters, and a minimum, combined before the
-shuffle, takes the place of pairs. Each line and its earliest neighbours are then verified by edit distance.
+edit of the one they are compared with, only the earliest of a key matters, and a minimum takes the place of
+pairs. As the lines are distinct, a key has no more of them than there are characters and places to insert one.
+Each line and its earliest neighbours are then verified by edit distance.
 
 Only lines that can have a neighbour emit variants: one edit leaves the first or second half of the shorter
 line as it is, so a line whose halves, together with their length, occur in no other line has none. This
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,12 +141,10 @@ def near_copies(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     found = keyed_docs.join(wanted, PLACE[:3]).dropDuplicates(PLACE[:3])
     texts = cut(found.select(*PLACE[:3], "numbers", "t").mapInArrow(_wanted_lines, f"{_PLACE_TYPES}, x string"), "texts")
     variants = texts.mapInArrow(_variants, f"{_PLACE_TYPES}, key long, role byte")
-    earliest = variants.groupBy("key").agg(
-        *(F.min(F.when(F.col("role") == r, _place())).alias(f"m{r}") for r in range(3)), F.count(F.lit(1)).alias("n")
-    )
-    role = F.col("role")
-    witness = F.when(role == 0, F.col("m0")).when(role == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = variants.join(earliest.where("n > 1"), "key").select(_place().alias("p"), witness.alias("w")).where("w < p").distinct()
+    role, here = F.col("role"), W.partitionBy("key")
+    earliest = [F.min(F.when(role == r, _place())).over(here) for r in range(3)]
+    witness = F.when(role == 0, earliest[0]).when(role == 1, earliest[2]).otherwise(earliest[1])
+    pairs = variants.select(_place().alias("p"), witness.alias("w")).where("w < p").distinct()
     by_place = texts.select(_place().alias("p"), "x")
     both = pairs.join(by_place, "p").join(by_place.select(F.col("p").alias("w"), F.col("x").alias("y")), "w")
     return both.where(F.levenshtein("x", "y", 1) >= 0).select("p.*").distinct()
