@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meritgrid.operators.integrity import jaccard
 
@@ -58,7 +59,7 @@ def normal_orcid(value: Column) -> Column:
     return F.regexp_replace(F.trim(value), r"^https?://(www\.)?orcid\.org/", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(values: pd.Series) -> pd.Series:
     """Unicode composition, which no built-in does."""
     return values.str.normalize("NFC")
@@ -86,7 +87,7 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 LCS / (length of both), as a whole percentage over 100."""
     out = np.zeros(len(a))

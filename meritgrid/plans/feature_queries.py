@@ -96,7 +96,7 @@ def quality_prior(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("uuid")
     rows = standins.candidates(spark, d).select("uuid", ((u % 97) / 97.0).alias("f1_rcr"), ((u % 89) / 89.0).alias("f2_funding"), ((u % 83) / 83.0).alias("f3_leadership"))
     weights = {"f1_rcr": 0.45, "f2_funding": 0.20, "f3_leadership": 0.20, "f4_apex": 0.0, "f5_translational": 0.05, "f6_lineage": 0.10}
-    return ranking.quality_prior(rows, weights).select("uuid", F.round("raw_score", 6).alias("raw_score"))
+    return ranking.quality_prior(rows, weights).select("uuid", "raw_score")
 
 
 def topical_fit(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +135,7 @@ def _score_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rank_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(ranking.ranked(_score_rows(spark, d), 100).select("rank", "uuid", "score"), 6, "score")
+    return ranking.ranked(_score_rows(spark, d), 100).select("rank", "uuid", "score")
 
 
 def score_bands(spark: SparkSession, d: str) -> DataFrame:
@@ -205,14 +205,14 @@ ORACLE_SQL = {
       SELECT uuid, f AS fda_submission_count, t AS phase2plus_trial_count, p AS is_nccn_panel_member, round(x, 6) AS composite, round((row_number() OVER (ORDER BY x, uuid) - 0.5) / count(*) OVER (), 6) AS percentile FROM c""",
     "lineage": """WITH s AS (SELECT c_custkey AS uuid, c_custkey % 13 AS t, c_custkey % 6 AS r, (c_custkey % 10) / 10.0::DOUBLE AS l FROM customer), c AS (SELECT *, (0.4::DOUBLE * least(t / 10.0::DOUBLE, 1.0) + 0.6::DOUBLE * least(r / 5.0::DOUBLE, 1.0)) * l AS x FROM s)
       SELECT uuid, t AS traceable_trainee_count, r AS r01_trainee_count, l AS aft_link_confidence, round(x, 6) AS composite, round((row_number() OVER (ORDER BY x, uuid) - 0.5) / count(*) OVER (), 6) AS percentile FROM c""",
-    "quality_prior": "SELECT c_custkey AS uuid, round(round(exp(0.45 * ln(greatest((c_custkey % 97) / 97.0::DOUBLE, 0.01)) + 0.20 * ln(greatest((c_custkey % 89) / 89.0::DOUBLE, 0.01)) + 0.20 * ln(greatest((c_custkey % 83) / 83.0::DOUBLE, 0.01)) + 0.15 * ln(0.01)), 8), 6) AS raw_score FROM customer",
+    "quality_prior": "SELECT c_custkey AS uuid, round(exp(0.45 * ln(greatest((c_custkey % 97) / 97.0::DOUBLE, 0.01)) + 0.20 * ln(greatest((c_custkey % 89) / 89.0::DOUBLE, 0.01)) + 0.20 * ln(greatest((c_custkey % 83) / 83.0::DOUBLE, 0.01)) + 0.05 * ln(0.01) + 0.10 * ln(0.01)), 8) AS raw_score FROM customer",
     "topical_fit": f"""WITH {PAPERS_SQL}, w AS (SELECT uuid, t, sum(author_weight) AS w FROM (SELECT uuid, author_weight, unnest([term, brand]) AS t FROM papers) GROUP BY uuid, t), n AS (SELECT uuid, sqrt(sum(w * w)) AS n FROM w GROUP BY uuid)
       SELECT uuid, round(least(1.0, sum(w / n * CASE t WHEN 'PROMO' THEN 1 ELSE 2 END / sqrt(5.0::DOUBLE))), 6) AS topical_fit FROM w JOIN n USING (uuid) WHERE t IN ('PROMO', 'Brand#12') GROUP BY uuid""",
     "topical_embedding": """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY label, i)
       SELECT vec_id, label, round(sum(x * m) / sqrt(sum(x * x) * sum(m * m)), 6) AS cosine FROM e JOIN m USING (label, i) GROUP BY vec_id, label""",
     "recency": f"""WITH {PAPERS_SQL} SELECT uuid, round(greatest(0.0, least(1.0, 1 - exp(-sum(CASE WHEN term = 'PROMO' OR brand = 'Brand#3' THEN author_weight * 0.2::DOUBLE * CASE WHEN article_type = 'Letter' THEN 0.6 ELSE 1.0 END::DOUBLE * exp(-(DATE '{REFERENCE_DAY}' - published) / 365.25::DOUBLE / (3.0 / ln(2.0))) ELSE 0 END) / 3.0))), 6) AS recency FROM papers GROUP BY uuid""",
     "linear_recency": "SELECT c_custkey AS uuid, round(coalesce(least(1.0, greatest(0.1, 1.0 - (DATE '2002-01-01' - max(o_orderdate::DATE)) / 1825.0::DOUBLE)), 0.5), 6) AS recency FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
-    "rank_scores": f"WITH {_SCORES}, r AS ({_TOP.format(a=0.7, g=0.4, k=100)}) SELECT rank::INT AS rank, uuid, round(round(s, 8), 6) AS score FROM r",
+    "rank_scores": f"WITH {_SCORES}, r AS ({_TOP.format(a=0.7, g=0.4, k=100)}) SELECT rank::INT AS rank, uuid, round(s, 8) AS score FROM r",
     "rerank_client": f"WITH {_SCORES} SELECT uuid, round(pow(quality, 1.2) * pow(topical, 0.5) * pow(recency, 0.8), 6) AS rescored FROM scores WHERE NOT hard ORDER BY pow(quality, 1.2) * pow(topical, 0.5) * pow(recency, 0.8) DESC, uuid LIMIT 50",
     "result_diff": f"""WITH {_SCORES}, o AS ({_TOP.format(a=0.7, g=0.4, k=40)}), n AS ({_TOP.format(a=1.2, g=0.1, k=40)})
       SELECT uuid, o.rank::INT AS old_rank, n.rank::INT AS new_rank, CASE WHEN o.rank IS NULL THEN 'new' WHEN n.rank IS NULL THEN 'gone' WHEN n.rank < o.rank THEN 'up' WHEN n.rank > o.rank THEN 'down' ELSE 'same' END AS change FROM o FULL JOIN n USING (uuid)""",
@@ -223,5 +223,5 @@ ORACLE_SQL = {
       t AS (SELECT uuid, least(1.0, sum(w / n / sqrt(2.0::DOUBLE))) AS topical FROM w JOIN n USING (uuid) WHERE term IN ('PROMO', 'ECONOMY') GROUP BY uuid),
       r AS (SELECT uuid, greatest(0.0, least(1.0, 1 - exp(-sum(CASE WHEN term IN ('PROMO', 'ECONOMY') THEN author_weight * 0.01::DOUBLE * exp(-(DATE '{REFERENCE_DAY}' - published) / 365.25::DOUBLE / (3.0 / ln(2.0))) ELSE 0 END) / 3.0))) AS recency FROM papers GROUP BY uuid),
       s AS (SELECT uuid, quality, topical, recency, pow(quality, 0.7) * topical * pow(recency, 0.4) AS score FROM qp JOIN t USING (uuid) JOIN r USING (uuid))
-      SELECT (row_number() OVER (ORDER BY score DESC, uuid))::INT AS rank, uuid, round(quality, 6) AS quality, round(topical, 6) AS topical, round(recency, 6) AS recency, round(round(score, 8), 6) AS score FROM s QUALIFY rank <= 50""",
+      SELECT (row_number() OVER (ORDER BY score DESC, uuid))::INT AS rank, uuid, round(quality, 6) AS quality, round(topical, 6) AS topical, round(recency, 6) AS recency, round(score, 8) AS score FROM s QUALIFY rank <= 50""",
 }

@@ -33,4 +33,4 @@ def rank_experts(papers: DataFrame, grants: DataFrame, cohort: DataFrame, terms:
 def rank_topk(spark: SparkSession, d: str) -> DataFrame:
     papers = standins.papers(spark, d)
     top = rank_experts(papers, standins.grants(spark, d), standins.candidates(spark, d), dict.fromkeys(QUERY_TERMS, 1.0), REFERENCE_DAY)
-    return top.select("rank", "uuid", F.round("quality", 6).alias("quality"), F.round("topical", 6).alias("topical"), F.round("recency", 6).alias("recency"), F.round("score", 6).alias("score"))
+    return top.select("rank", "uuid", F.round("quality", 6).alias("quality"), F.round("topical", 6).alias("topical"), F.round("recency", 6).alias("recency"), "score")

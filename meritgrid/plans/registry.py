@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from meritgrid.plans import feature_queries
+from meritgrid.plans import feature_queries, monitoring_queries, rule_queries, store_queries
 
-_PARTS = (feature_queries,)
+_PARTS = (feature_queries, monitoring_queries, rule_queries, store_queries)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
