@@ -11,14 +11,14 @@ shared, so either a rare one is, or two of one class are. Rare shingles are ther
 ones in pairs within their class. g grows with the size of the set, so that a class has few shingles of a
 prefix and a document few pairs.
 
-Documents that share a key are candidates. Before sets are fetched, a pair must pass a bound from the two
-prefixes alone: up to the end of the shorter prefix the common shingles are known, beyond it there can be no
-more than the smaller rest. What passes is verified on the whole sets.
+Documents that share a key are candidates. Before sets are fetched, a pair must pass two bounds that no linked
+pair fails: by bitmaps of the sets (bits that only one of them has are shingles that the other lacks), and by
+the shingles' leading 16 bits (no fewer of them agree than shingles do). What passes is verified on the sets.
 
 Equal sets are one class with one representative. Only components are asked for, so in a first round each
-key links its representatives, by size, to the smallest, not to each other; in the second round only pairs in
-different components are left to compare, and all of them are. No link between components is lost, and a
-group of near copies is compared with its centre, not pair by pair.
+key links its representatives to the smallest, not to each other; in the second round only pairs in different
+components are left to compare, and all of them are. No link between components is lost, and a group of near
+copies is compared with its centre, not pair by pair.
 
 Defined results: null and empty texts and those without words have an empty set and link with nothing; fewer
 words than `words` make one shingle; equal sets link; rows with one id and set are one; a null id links
@@ -32,6 +32,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,24 +83,61 @@ def levels(n: int, threshold: Fraction) -> list[int]:
     return sorted({classes_for(max(low, 1)), classes_for(n), classes_for(high)})
 
 
-def _sets(n_words: int, threshold: Fraction):
-    """Rows (id, n, s1, s2, prefix): the size and two hashes of the set, and its prefix."""
+def bitmap(values: np.ndarray) -> bytes:
+    """At least four bits a shingle, set where the shingles' leading bits say."""
+    size = max(4, (len(values) - 1).bit_length()) + 2
+    bits = np.zeros(1 << size, bool)
+    bits[(values >> np.uint64(64 - size)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def only_in(a: bytes, b: bytes) -> tuple[int, int]:
+    """The numbers of bits that only one of two bitmaps has, at the length of the shorter one."""
+    x, y = (np.unpackbits(np.frombuffer(v, np.uint8)).view(bool) for v in (a, b))
+    while len(x) > len(y):
+        x = x[0::2] | x[1::2]
+    while len(y) > len(x):
+        y = y[0::2] | y[1::2]
+    return int((x & ~y).sum()), int((y & ~x).sum())
+
+
+def sketch(values: np.ndarray) -> bytes:
+    """The leading 16 bits of sorted shingles, as compressed differences."""
+    top = (values >> np.uint64(48)).astype(np.uint16)
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(top, prepend=np.uint16(0)).tobytes())
+
+
+def unsketched(data: bytes) -> np.ndarray:
+    """The same values, made distinct by numbering equal ones."""
+    top = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint16), dtype=np.int64)
+    first = np.maximum.accumulate(np.where(np.diff(top, prepend=-1) != 0, np.arange(len(top)), 0))
+    return top << 24 | (np.arange(len(top)) - first)
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each set."""
+    totals = [np.concatenate([[np.uint64(0)], np.cumsum(mix64(values + np.uint64(k)))]) for k in (1, 2)]
+    return [(t[first[1:]] - t[first[:-1]]).view(np.int64) for t in totals]
+
+
+def _sets(n_words: int, threshold: Fraction, whole: bool):
+    """Rows (id, n, s1, s2): the size of the set and two hashes; with `whole` its prefix and bitmap as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "t"):
-                values, first = shingles(batch, "t", n_words)
-                size = np.diff(first)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix64(values + np.uint64(s)))]) for s in (1, 2)]
-                s1, s2 = (np.concatenate([x[first[1:]] - x[first[:-1]]]).view(np.int64) for x in sums)
-                prefixes = []
+        for batch in (part for b in batches for part in slices(b, "t")):
+            values, first = shingles(batch, "t", n_words)
+            size = np.diff(first)
+            columns = [batch.column(0), pa.array(size, pa.int64()), *(pa.array(s) for s in _sums(values, first))]
+            names = ["id", "n", "s1", "s2"]
+            if whole:
+                prefixes, maps = [], []
                 for i, n in enumerate(size.tolist()):
                     stop = min(n, missing(n, threshold) + 1 + levels(n, threshold)[-1]) if n else 0
                     prefixes.append(values[first[i] : first[i] + stop].view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(size, pa.int64()), pa.array(s1), pa.array(s2), pa.array(prefixes, pa.list_(pa.int64()))],
-                    ["id", "n", "s1", "s2", "prefix"],
-                )
+                    maps.append(bitmap(values[first[i] : first[i + 1]]) if n else b"")
+                columns += [pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
+                names += ["prefix", "bits"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -108,125 +146,148 @@ def _pair_keys(threshold: Fraction):
     """Rows (key, rep, n): pairs of a document's frequent shingles within a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rep, n, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = np.sort(np.array(tokens, np.int64).view(np.uint64))
-                keys = []
-                for g in levels(n, threshold):
-                    of = (mix64(t + np.uint64(77)) % np.uint64(g)).astype(np.int64)
-                    by = np.argsort(of, kind="stable")
-                    for part in np.split(t[by], np.flatnonzero(np.diff(of[by])) + 1):
-                        i, j = np.triu_indices(len(part), 1)
-                        keys.append(mix64(mix64(part[i] + np.uint64(g)) + part[j]))
-                key = np.concatenate(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), rep)), pa.array(np.full(len(key), n))], ["key", "rep", "n"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                made: list[np.ndarray] = []
+                rows: list[int] = []
+                for row, (n, tokens) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    t = np.sort(np.array(tokens, np.int64).view(np.uint64))
+                    mixed = mix64(t + np.uint64(77))
+                    for g in levels(n, threshold):
+                        of = (mixed % np.uint64(g)).astype(np.int64)
+                        i, j = np.triu_indices(len(t), 1) if g == 1 else _within(of)
+                        made.append(mix64(mix64(t[i] + np.uint64(g)) + t[j]))
+                        rows.append(row)
+                keys = np.concatenate([*made, np.zeros(0, np.uint64)])
+                at = pa.array(np.repeat(np.array(rows, np.int64), [len(k) for k in made]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["key", "rep", "n"])
 
     return run
 
 
+def _within(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of the same class."""
+    order = np.argsort(of, kind="stable")
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        if len(part) > 1:
+            i, j = np.triu_indices(len(part), 1)
+            left.append(part[i])
+            right.append(part[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def enough(common: int, n: int, m: int, threshold: Fraction) -> bool:
     """Whether so many common shingles reach the threshold."""
     return common * (threshold.numerator + threshold.denominator) >= threshold.numerator * (n + m)
 
 
-def _promising(threshold: Fraction):
-    """Keeps the pairs (x, y) that the bound from their prefixes does not rule out."""
+def _kept(test):
+    """Rows (x, y) for which `test` of the row's other columns holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, nx, ny, px, py = (batch.column(batch.schema.get_field_index(c)) for c in ("x", "y", "nx", "ny", "px", "py"))
-            keep = []
-            for i in range(batch.num_rows):
-                a, b = (np.asarray(p[i].values).view(np.uint64) for p in (px, py))
-                n, m, end = nx[i].as_py(), ny[i].as_py(), min(a[-1], b[-1])
-                a, b = a[: np.searchsorted(a, end, "right")], b[: np.searchsorted(b, end, "right")]
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                if enough(common + min(n - len(a), m - len(b)), n, m, threshold):
-                    keep.append(i)
-            rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([x.take(rows), y.take(rows)], ["x", "y"])
+            others = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)]
+            rows = pa.array([i for i, v in enumerate(zip(*others, strict=True)) if test(*v)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["x", "y"])
 
     return run
 
 
-def _whole_sets(n_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "t"):
-                values, first = shingles(batch, "t", n_words)
-                made = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(values + np.uint64(1)))])
-                s1 = (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s1), batch.column(2), pa.array(made, pa.binary())], ["rep", "own", "s1", "shingles"])
+def _by_bitmaps(threshold: Fraction):
+    def test(n: int, m: int, a: bytes, b: bytes) -> bool:
+        x, y = only_in(a, b)
+        return enough(min(n - x, m - y), n, m, threshold)
+
+    return test
+
+
+def _by_sketches(threshold: Fraction):
+    def test(a: bytes, b: bytes) -> bool:
+        x, y = unsketched(a), unsketched(b)
+        return enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), threshold)
+
+    return test
 
-    return run
 
+def _by_sets(threshold: Fraction):
+    def test(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        return enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), threshold)
 
-def _verified(threshold: Fraction):
+    return test
+
+
+def _whole_sets(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y, sx, sy = (batch.column(batch.schema.get_field_index(c)) for c in ("x", "y", "sx", "sy"))
-            keep = []
-            for i, (a, b) in enumerate(zip(sx.to_pylist(), sy.to_pylist(), strict=True)):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                if enough(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), threshold):
-                    keep.append(i)
-            rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([x.take(rows), y.take(rows)], ["x", "y"])
+        for batch in (part for b in batches for part in slices(b, "t")):
+            values, first = shingles(batch, "t", n_words)
+            parts = [values[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+            made = [pa.array([f(v) for v in parts], pa.binary()) for f in (sketch, np.ndarray.tobytes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sums(values, first)[0]), batch.column(2), *made], ["rep", "own", "s1", "sketch", "shingles"])
 
     return run
 
 
+def _joined(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (x, y) with both sides' columns, each column's two sides next to each other."""
+    out = pairs
+    for side in "xy":
+        out = out.join(table.select(F.col("rep").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
+    return out.select("x", "y", *(f"{side}_{c}" for c in columns for side in "xy"))
+
+
 def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n_words: int, threshold: Fraction) -> DataFrame:
     """Those of the pairs (x, y) that link."""
-    x = reps.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("prefix").alias("px"))
-    y = reps.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("prefix").alias("py"))
-    likely = cut(pairs.join(x, "x").join(y, "y").mapInArrow(_promising(threshold), "x long, y long"), "likely")
+    likely = cut(_joined(pairs, reps, "n", "bits").mapInArrow(_kept(_by_bitmaps(threshold)), "x long, y long"), "likely")
     ids = likely.select(F.col("x").alias("rep")).unionByName(likely.select(F.col("y").alias("rep"))).distinct()
     wanted = cut(ids.join(reps.select("rep", "s1"), "rep"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.withColumnRenamed("id", "rep").join(wanted, "rep").select("rep", "t", "s1")
-    sets = texts.mapInArrow(_whole_sets(n_words), "rep long, own long, s1 long, shingles binary").where("own = s1")
-    sets = cut(sets.dropDuplicates(["rep"]).select("rep", "shingles"), "sets")
-    both = likely.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y")
-    return cut(both.mapInArrow(_verified(threshold), "x long, y long"), "links")
+    made = texts.mapInArrow(_whole_sets(n_words), "rep long, own long, s1 long, sketch binary, shingles binary").where("own = s1")
+    sets = cut(made.dropDuplicates(["rep"]).select("rep", "sketch", "shingles"), "sets")
+    close = cut(_joined(likely, sets, "sketch").mapInArrow(_kept(_by_sketches(threshold)), "x long, y long"), "close")
+    return cut(_joined(close, sets, "shingles").mapInArrow(_kept(_by_sets(threshold)), "x long, y long"), "links")
 
 
 def jaccard_components(docs: DataFrame, *, words: int, threshold: str | Fraction, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (the smallest id reachable by links)."""
     t = Fraction(threshold)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    rows = cut(plain.mapInArrow(_sets(words, t), "id long, n long, s1 long, s2 long, prefix array<long>"), "rows")
-    same = rows.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    reps = rows.join(same.withColumnRenamed("rep", "id"), ["id", "n", "s1", "s2"]).dropDuplicates(["id", "n", "s1", "s2"]).withColumnRenamed("id", "rep")
-    reps = cut(reps.where(F.size("prefix") > 0), "reps")
+    found = plain.where("id is not null and t <> ''").mapInArrow(_sets(words, t, True), "id long, n long, s1 long, s2 long, prefix array<long>, bits binary")
+    reps = cut(
+        found.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "reps"
+    )
 
-    tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
+    tokens = reps.select("rep", F.explode("prefix").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = cut(tokens.join(often, "token"), "shared")
+    shared = cut(tokens.join(often, "token").join(reps.select("rep", "n"), "rep"), "shared")
     frequent = shared.where(F.col("df") > RARE).groupBy("rep", "n").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") > 1)
-    keys = shared.where(F.col("df") <= RARE).select(F.col("token").alias("key"), "rep", "n").unionByName(
+    made = shared.where(F.col("df") <= RARE).select(F.col("token").alias("key"), "rep", "n").unionByName(
         frequent.select("rep", "n", "tokens").mapInArrow(_pair_keys(t), "key long, rep long, n long")
     )
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(t.denominator / t.numerator))))
-    grouped = keys.withColumn("band", band)
-    centres = grouped.groupBy("key", "band").agg(F.min("rep").alias("x"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    star = grouped.join(centres, ["key", "band"]).where("rep <> x").select("x", F.col("rep").alias("y")).distinct()
+    made = cut(made, "keys")
+    centres = made.groupBy("key").agg(F.min(F.struct(F.col("rep").alias("x"), F.col("n").alias("nx"))).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    keys = cut(made.join(centres.select("key", "c.*"), "key"), "shared keys")
+    near_size = lambda a, b: F.least(a, b) * t.denominator >= F.greatest(a, b) * t.numerator
+    star = keys.where((F.col("rep") != F.col("x")) & near_size(F.col("n"), F.col("nx"))).select("x", F.col("rep").alias("y")).distinct()
     links = _linked(cut(star, "star"), reps, plain, words, t)
-    found = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
-    placed = keys.join(found.toDF("rep", "c"), "rep", "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
+    placed = keys.select("key", "rep", "n").join(joined.toDF("rep", "c"), "rep", "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
     apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     open_ = placed.join(apart, "key", "left_semi")
     a, b = open_.toDF("key", "x", "nx", "cx"), open_.toDF("key", "y", "ny", "cy")
-    near_size = (F.least("nx", "ny") * t.denominator >= F.greatest("nx", "ny") * t.numerator)
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near_size).select("x", "y").distinct()
+    on = (a["key"] == b["key"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near_size(F.col("nx"), F.col("ny"))
+    rest = a.join(b, on).select("x", "y").distinct().join(star, ["x", "y"], "left_anti")
     more = _linked(cut(rest, "rest"), reps, plain, words, t)
     all_links = links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
     final = components(all_links).toDF("rep", "c")
-    named = same.join(final, "rep", "left").select("n", "s1", "s2", F.coalesce("c", "rep").alias("component"))
-    return rows.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left").select(
+    named = reps.select("n", "s1", "s2", "rep").join(final, "rep", "left").select("n", "s1", "s2", F.coalesce("c", "rep").alias("component"))
+    rows = plain.mapInArrow(_sets(words, t, False), "id long, n long, s1 long, s2 long")
+    return rows.join(named, ["n", "s1", "s2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
     )
 
