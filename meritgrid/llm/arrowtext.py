@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text handled at once inside a task; a single longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Bytes that end a word: space, and tab to carriage return.
 SPACE = np.zeros(256, dtype=bool)

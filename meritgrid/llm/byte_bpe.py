@@ -30,6 +30,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from meritgrid.llm.frames import modest_batches
 
 MOST_MEMOS = 400_000
 #: A longer piece is not memoised.
@@ -207,6 +208,7 @@ def _sent(spark: SparkSession, path: str) -> str:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meritgrid.llm.arrowtext import mix64
+from meritgrid.llm.frames import modest_batches
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_299_709_013)
@@ -217,5 +218,6 @@ def _compared(doc, codes: np.ndarray, own: PrefixHash, print_: str, following: n
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two columns more than asked: how many code points text and edited text share at either end."""
+    modest_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return next_documents(docs, _fingerprints, _SCHEMA)

@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows in an Arrow batch of whole documents.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Whole documents are long rows: the usual ten thousand of them in a batch are tens of megabytes in every
+    task, on either side of the pipe. A setting that is lower already stays."""
+    if not 0 < int(spark.conf.get(_BATCH, "10000")) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -35,8 +35,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meritgrid.llm.arrowtext import mix64
-from meritgrid.llm.frames import free_name
+from meritgrid.llm.arrowtext import mix64, slices
+from meritgrid.llm.frames import free_name, modest_batches
 from meritgrid.llm.quality_classifier import learnable, logistic, sigmoid
 
 ORDER = 4
@@ -48,7 +48,7 @@ SLACK = 1.0
 MOST_LOG_ODDS = -2.0
 #: Characters whose language is judged together when a text's fit is measured.
 RUN = 64
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
 
@@ -306,7 +306,7 @@ def identify(
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, text_col)):
             langs, scores = shared.value.predict([t or "" for t in batch.column(at).to_pylist()])
             made = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, lang_col, score_col])
@@ -317,6 +317,7 @@ def identify(
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(learnable(docs))
     return identify(docs.select("doc_id", "text"), model).select(
@@ -326,6 +327,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is recognised; columns as they came."""
+    modest_batches(spark)
     model = fit(learnable(docs))
     lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
     seen = identify(docs, model, lang_col=lang, score_col=score)

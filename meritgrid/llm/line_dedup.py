@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from meritgrid.llm.arrowtext import mix64
 from meritgrid.llm.components import cut
+from meritgrid.llm.frames import free_name, modest_batches
 from meritgrid.llm.fingerprints import INVERSES, PRIMES, PrefixHash, code_points
 
 MIN_WORDS = 5
@@ -152,7 +153,7 @@ def near_copies(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def _rebuilt(at: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             made, all_lines, removed = [], [], []
             for text, kept in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
@@ -169,7 +170,7 @@ def _rebuilt(at: int, width: int):
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the lines that stay, under unambiguous extra names n_lines and n_removed."""
+    """`docs` with the lines that stay, and how many there were and went: n_lines and n_removed, under free names."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("th"))
     lines = plain.mapInArrow(_lines, f"{_PLACE_TYPES}, h1 long, h2 long, halves array<long>")
     places = lines.select("h1", "h2", "halves", _place().alias("p"))
@@ -183,17 +184,17 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     keyed = own.select("*", id_at.isNull().alias("void"), F.coalesce(id_at, F.lit(_LAST)).alias("doc"), F.xxhash64(names[at]).alias("th"))
     joined = keyed.join(kept, ["void", "doc", "th"], "left").select(*names, "kept")
     schema = T.StructType([*own.schema, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(_rebuilt(at, len(names)), schema).toDF(*docs.columns, "n_lines", "n_removed")
+    return joined.mapInArrow(_rebuilt(at, len(names)), schema).toDF(*docs.columns, free_name(docs, "n_lines"), free_name(docs, "n_removed"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), "text")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document, or line, has; n_chars follows the text."""
-    names = docs.columns
-    out = dedup_lines(docs).toDF(*names, "made_lines", "made_removed") if "n_lines" not in names else dedup_lines(docs)
+    modest_batches(spark)
     count = F.length(F.col("text")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*(count.alias(c) if c == "n_chars" else F.col(c) for c in names))
+    return dedup_lines(docs).select(*(count.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meritgrid.llm.arrowtext import SPACE, mix64, slices, text_bytes, words
+from meritgrid.llm.frames import modest_batches
 
 ORDER = 3
 MIN_COUNT = 2
@@ -207,5 +208,6 @@ def backoff_scores(docs: DataFrame, *, order: int = ORDER, id_col: str = "doc_id
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return backoff_scores(docs).select(F.col("id").alias("doc_id"), "n_words", F.round("score", 4).alias("score"), F.round("mean", 6).alias("mean"))

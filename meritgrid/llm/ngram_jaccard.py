@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from meritgrid.llm.arrowtext import mix64, slices, text_bytes, words
 from meritgrid.llm.components import components, cut
+from meritgrid.llm.frames import modest_batches
 
 RARE = 16
 #: At most so many ids are broadcast; more are shuffled.
@@ -187,7 +188,7 @@ def _kept(test):
     """Rows (x, y) for which `test` of the row's other columns holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             others = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)]
             rows = pa.array([i for i, v in enumerate(zip(*others, strict=True)) if test(*v)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["x", "y"])
@@ -293,12 +294,14 @@ def jaccard_components(docs: DataFrame, *, words: int, threshold: str | Fraction
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_components(docs, words=3, threshold="0.9")
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id; columns as they came."""
+    modest_batches(spark)
     groups = jaccard_components(docs, words=5, threshold="0.8")
     goes = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meritgrid.llm.frames import free_name
+from meritgrid.llm.arrowtext import slices
+from meritgrid.llm.frames import free_name, modest_batches
 
 BLOCK = 512
 DICTIONARY_BYTES = 112_640
@@ -102,13 +103,21 @@ def features(good: bytes, bad: bytes, texts: list[bytes]) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weighted logistic regression with a small ridge, by Newton steps."""
+    """Weighted logistic regression with a small ridge, by Newton steps, halved while they do not help."""
     x = np.column_stack([np.ones(len(x)), x])
     beta = np.zeros(x.shape[1])
     ridge = 1e-3 * len(x) * np.eye(x.shape[1])
+
+    def loss(at: np.ndarray) -> float:
+        z = x @ at
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + at @ ridge @ at / 2)
+
     for _ in range(60):
         p = sigmoid(x @ beta)
         step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge, x.T @ (weight * (p - y)) + ridge @ beta)
+        before = loss(beta)
+        while loss(beta - step) > before and np.abs(step).max() > 1e-9:
+            step /= 2
         beta -= step
         if np.abs(step).max() < 1e-9:
             break
@@ -165,7 +174,7 @@ def score(docs: DataFrame, model: QualityModel, *, text_col: str = "text", score
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, text_col)):
             texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
             made = pa.array(shared.value.scores(texts), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, score_col])
@@ -179,6 +188,7 @@ def learnable(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, learnable(labels))
@@ -192,6 +202,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that score at least the threshold; columns as they came."""
+    modest_batches(spark)
     model = fit(docs, learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     name = free_name(docs, "score")
     return score(docs, model, score_col=name).where(F.col(name) >= THRESHOLD).drop(name)
