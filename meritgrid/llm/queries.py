@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meritgrid.llm import oracles
 from meritgrid.llm.best_fit_packing import op8_best_fit_packing
 from meritgrid.llm.byte_bpe import op5_byte_bpe
 from meritgrid.llm.embedding_dedup import op7_embedding_dedup
@@ -30,4 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": oracles.LINE_DEDUP,
+    "op2_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op3_lm_scoring": oracles.LM_SCORING,
+    "op7_embedding_dedup": oracles.EMBEDDING_DEDUP,
+}
