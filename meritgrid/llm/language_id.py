@@ -281,11 +281,17 @@ def fit(
     docs_per_lang: int = 400,
     max_bytes: int = 65_536,
 ) -> LanguageModel:
-    """Fit on a bounded sample; only ids travel until it is chosen."""
+    """Fit on a bounded sample; only ids travel until it is chosen, and of each language only those with hashes so
+    small that four times the sample is expected to have them."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("l").isNotNull() & F.octet_length("t").between(1, max_bytes))
-    by_hash = W.partitionBy("l").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "l").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= docs_per_lang)
+    rows = rows.where(F.col("id").isNotNull() & F.col("l").isNotNull())
+    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return LanguageModel([])
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["l"], min(1.0, 4 * docs_per_lang / r["n"]))))
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    rows = rows.where((h < share[F.col("l")] * (1 << 40)) & F.octet_length("t").between(1, max_bytes))
+    chosen = rows.select("id", "l").withColumn("k", F.row_number().over(W.partitionBy("l").orderBy(h, "id"))).where(F.col("k") <= docs_per_lang)
     ids = [(r["id"], r["l"]) for r in chosen.collect()]
     if not ids:
         return LanguageModel([])
