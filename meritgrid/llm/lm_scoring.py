@@ -36,7 +36,7 @@ from meritgrid.llm.frames import modest_batches
 ORDER = 3
 MIN_COUNT = 2
 BACKOFF = float(np.log(0.4))
-GROUP_DOCS = 2048
+GROUP_DOCS = 4096
 
 
 def _shrink(data: bytes) -> bytes:
@@ -78,6 +78,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array(blobs, pa.binary())], ["grp", "docs"])
 
 
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts and each text's first, a megabyte of text at a time."""
+    found, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for part in slices(pa.record_batch({"t": pa.array(texts, pa.large_string())}), "t"):
+        hashes, first = words(*text_bytes(part.column(0)))
+        found.append(hashes)
+        sizes.append(np.diff(first))
+    return np.concatenate(found), np.cumsum(np.concatenate(sizes))
+
+
 class Group:
     """The n-grams of a group of documents: `keys[k]` are the distinct ones of k + 1 words, `at[k]` says which of
     them ends at each word, or -1 where the document has fewer words so far, `counts[k]` how often each occurs."""
@@ -85,7 +95,7 @@ class Group:
     def __init__(self, blobs: list[bytes], order: int):
         docs = [d for b in blobs for d in pickle.loads(_grow(b))]
         self.ids = [i for i, _ in docs]
-        hashes, first = words(*text_bytes(pa.array([t or "" for _, t in docs], pa.large_string())))
+        hashes, first = _words([t or "" for _, t in docs])
         self.first = first
         place = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
         self.keys, self.at, self.counts = [], [], []
