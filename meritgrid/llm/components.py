@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).distinct()
+        large = large.where(F.col("a") != F.col("b"))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))

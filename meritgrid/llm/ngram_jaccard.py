@@ -18,7 +18,9 @@ the shingles' leading 16 bits (no fewer of them agree than shingles do). What pa
 Equal sets are one class with one representative. Only components are asked for, so in a first round each
 key links its representatives to the smallest, not to each other; in the second round only pairs in different
 components are left to compare, and all of them are. No link between components is lost, and a group of near
-copies is compared with its centre, not pair by pair.
+copies is compared with its centre, not pair by pair. Keys of many documents that the first round left in different
+components are not joined: tiles of their documents are compared by bitmaps inside tasks, and only pairs that pass
+come out.
 
 Defined results: null and empty texts and those without words have an empty set and link with nothing; fewer
 words than `words` make one shingle; equal sets link; rows with one id and set are one; a null id links
@@ -41,6 +43,11 @@ from meritgrid.llm.components import components, cut
 from meritgrid.llm.frames import modest_batches
 
 RARE = 16
+#: Keys of up to so many documents are joined; larger ones are compared in tiles of so many.
+CROWD = 64
+TILE = 1024
+#: Bits unpacked at once on either side of a comparison.
+BITS_AT_ONCE = 4 << 20
 #: At most so many ids are broadcast; more are shuffled.
 BROADCAST_ROWS = 500_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -220,6 +227,68 @@ def _by_sets(threshold: Fraction):
     return test
 
 
+def _unpacked(maps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of one length as rows of floats, folded to `size` bits."""
+    bits = np.unpackbits(np.frombuffer(b"".join(maps), np.uint8)).reshape(len(maps), -1)
+    while bits.shape[1] > size:
+        bits = bits[:, 0::2] | bits[:, 1::2]
+    return bits.astype(np.float32)
+
+
+def _compared(a: list[tuple], b: list[tuple], inside: bool, threshold: Fraction) -> list[tuple[int, int]]:
+    """The pairs of documents (rep, n, label, bitmap), one of either side, of different labels that the sizes and the
+    bitmaps do not rule out. Sets that can link have bitmaps of one length, or one is twice the other's."""
+    found: list[tuple[int, int]] = []
+    by: list[dict[int, list[tuple]]] = [{}, {}]
+    for side, rows in zip(by, (a, b), strict=True):
+        for r in rows:
+            side.setdefault(8 * len(r[3]), []).append(r)
+    t, s = threshold.numerator, threshold.numerator + threshold.denominator
+    for la, left in by[0].items():
+        for lb in (la // 2, la, 2 * la):
+            right, size = by[1].get(lb, []), min(la, lb)
+            step = max(1, BITS_AT_ONCE // max(la, lb, 8))
+            for i in range(0, len(left) if right else 0, step):
+                x = left[i : i + step]
+                bx, (rx, nx, cx) = _unpacked([r[3] for r in x], size), (np.array([r[k] for r in x], np.int64)[:, None] for k in range(3))
+                for j in range(0, len(right), step):
+                    y = right[j : j + step]
+                    by_, (ry, ny, cy) = _unpacked([r[3] for r in y], size), (np.array([r[k] for r in y], np.int64)[None, :] for k in range(3))
+                    both = (bx @ by_.T).astype(np.int64)
+                    x_only, y_only = bx.sum(axis=1).astype(np.int64)[:, None] - both, by_.sum(axis=1).astype(np.int64)[None, :] - both
+                    ok = np.minimum(nx - x_only, ny - y_only) * s >= t * (nx + ny)
+                    ok &= (cx != cy) & ((rx < ry) if inside else (rx != ry))
+                    for p, q in zip(*np.nonzero(ok), strict=True):
+                        u, v = int(rx[p, 0]), int(ry[0, q])
+                        found.append((min(u, v), max(u, v)))
+    return found
+
+
+def _crowds(threshold: Fraction):
+    """Rows (x, y) out of rows (key, i, j, side, rep, n, c, bits), sorted by all but the last four."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        sides: tuple[list, list] = ([], [])
+
+        def done() -> pa.RecordBatch:
+            pairs: list[tuple[int, int]] = []
+            if now is not None:
+                inside = now[1] == now[2]
+                pairs = _compared(sides[0], sides[0] if inside else sides[1], inside, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["x", "y"])
+
+        for batch in batches:
+            for key, i, j, side, rep, n, c, bits in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if (key, i, j) != now:
+                    yield done()
+                    now, sides = (key, i, j), ([], [])
+                sides[side].append((rep, n, c, bits))
+        yield done()
+
+    return run
+
+
 def _whole_sets(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "t")):
@@ -275,14 +344,24 @@ def jaccard_components(docs: DataFrame, *, words: int, threshold: str | Fraction
     near_size = lambda a, b: F.least(a, b) * t.denominator >= F.greatest(a, b) * t.numerator
     star = keys.where((F.col("rep") != F.col("x")) & near_size(F.col("n"), F.col("nx"))).select("x", F.col("rep").alias("y")).distinct()
     links = _linked(cut(star, "star"), reps, plain, words, t)
-    joined = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-
+    # A label for the second round only: the smallest centre a document links to, or that centre's own. Documents of
+    # one component may have several labels, then some pairs too many are compared.
+    centre = links.groupBy(F.col("y").alias("rep")).agg(F.min("x").alias("c"))
+    joined = cut(centre.join(centre.toDF("c", "cc"), "c", "left").select("rep", F.coalesce("cc", "c").alias("c")), "labels")
     placed = keys.select("key", "rep", "n").join(joined.toDF("rep", "c"), "rep", "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
-    apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    open_ = placed.join(apart, "key", "left_semi")
-    a, b = open_.toDF("key", "x", "nx", "cx"), open_.toDF("key", "y", "ny", "cy")
+    apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
+    open_ = cut(placed.join(apart.select("key", "m"), "key"), "open keys")
+    few = open_.where(F.col("m") <= CROWD)
+    a, b = few.select("key", "rep", "n", "c").toDF("key", "x", "nx", "cx"), few.select("key", "rep", "n", "c").toDF("key", "y", "ny", "cy")
     on = (a["key"] == b["key"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near_size(F.col("nx"), F.col("ny"))
-    rest = a.join(b, on).select("x", "y").distinct().join(star, ["x", "y"], "left_anti")
+    rest = a.join(b, on).select("x", "y")
+    tiles = F.ceil(F.col("m") / F.lit(TILE)).cast("int")
+    many = open_.where(F.col("m") > CROWD).withColumn("own", F.pmod(F.xxhash64("rep"), tiles).cast("int"))
+    many = many.select("key", "rep", "n", "c", "own", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    work = many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "n", "c")
+    dealt = work.join(reps.select("rep", "bits"), "rep").select("key", "i", "j", "side", "rep", "n", "c", "bits").repartition("key", "i", "j")
+    crowded = dealt.sortWithinPartitions("key", "i", "j", "side", "rep").mapInArrow(_crowds(t), "x long, y long")
+    rest = rest.unionByName(crowded).distinct().join(star, ["x", "y"], "left_anti")
     more = _linked(cut(rest, "rest"), reps, plain, words, t)
     all_links = links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
     final = components(all_links).toDF("rep", "c")

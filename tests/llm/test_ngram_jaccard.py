@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from meritgrid.llm import ngram_jaccard
 from meritgrid.llm.ngram_jaccard import jaccard_components, jaccard_stage
 from tests.llm.cases import awkward, empty, prose, table
 
@@ -34,8 +35,11 @@ def brute_force(docs: list[tuple[int, str]], k: int, percent: int) -> dict[int,
     return {i: (len(s[i]), root(i)) for i in s}
 
 
+@pytest.mark.parametrize("crowd", [64, 2])
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 80)])
-def test_against_brute_force(spark, k, percent):
+def test_against_brute_force(spark, k, percent, crowd, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "CROWD", crowd)
+    monkeypatch.setattr(ngram_jaccard, "TILE", 8)
     rng = random.Random(k)
     docs = []
     for i in range(150):
