@@ -1,7 +1,10 @@
 """Jaccard join of documents on word n-grams, by prefixes with token combinations.
 
 A document's set holds its distinct shingles of `words` words; two documents link when their sets' Jaccard
-similarity is at least `threshold`. Every set is ordered by the shingles' hashes, which is one order for all.
+similarity is at least `threshold`. Every set is ordered by how common its shingles are, then by their hashes,
+which is one order for all. How common is read from counters that shingles share by their hashes, so its size is
+fixed: a passage of many documents stands out from the mean load at any size of the table, and as it comes last, it
+brings its documents together only where it is nearly all of them.
 If x links to any set, it lacks at most t = |x| - ceil(threshold |x|) of x's shingles. So among the first
 t + 1 of x at least one is shared, and it lies in the other's prefix too.
 
@@ -43,6 +46,10 @@ from meritgrid.llm.components import components, cut
 from meritgrid.llm.frames import modest_batches
 
 RARE = 16
+#: Shingles share so many counters (a power of two) of how common they are.
+COUNTERS = 1 << 18
+#: Shingles gathered before they are counted.
+COUNTED_AT_ONCE = 1 << 20
 #: Keys of up to so many documents are joined; larger ones are compared in tiles of so many.
 CROWD = 64
 TILE = 1024
@@ -128,8 +135,51 @@ def _sums(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return [(t[first[1:]] - t[first[:-1]]).view(np.int64) for t in totals]
 
 
-def _sets(n_words: int, threshold: Fraction, whole: bool):
-    """Rows (id, n, s1, s2): the size of the set and two hashes; with `whole` its prefix and bitmap as well."""
+def _counters(values: np.ndarray) -> np.ndarray:
+    return (values & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _loads(n_words: int):
+    """Rows (counter, load): how many shingles of a task's documents fell to each counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = np.zeros(COUNTERS, np.int64)
+        waiting: list[np.ndarray] = []
+        held = 0
+        for batch in (part for b in batches for part in slices(b, "t")):
+            waiting.append(_counters(shingles(batch, "t", n_words)[0]))
+            held += len(waiting[-1])
+            if held >= COUNTED_AT_ONCE:
+                loads += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+                waiting, held = [], 0
+        loads += np.bincount(np.concatenate([*waiting, np.zeros(0, np.int64)]), minlength=COUNTERS)
+        used = np.flatnonzero(loads)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(loads[used])], ["counter", "load"])
+
+    return run
+
+
+def commonness(texts: DataFrame, n_words: int) -> np.ndarray:
+    """A level for each counter: 0 up to four times the mean load, and one more for each doubling beyond.
+
+    Only counters above that come to the driver, at most a quarter of them."""
+    loads = texts.mapInArrow(_loads(n_words), "counter int, load long").groupBy("counter").agg(F.sum("load").alias("load"))
+    loads = cut(loads, "loads")
+    mean = max((loads.agg(F.sum("load")).first()[0] or 0) / COUNTERS, 1.0)
+    level = np.zeros(COUNTERS, np.uint8)
+    heavy = loads.where(F.col("load") >= 4 * mean).toPandas()
+    level[heavy["counter"].to_numpy(np.int64)] = np.log2(heavy["load"].to_numpy(np.float64) / mean).astype(np.uint8) - 1
+    return level
+
+
+def leading(values: np.ndarray, stop: int, level: np.ndarray) -> np.ndarray:
+    """The first `stop` of a document's sorted shingles in the order of levels, then hashes."""
+    of = level[_counters(values)]
+    return values[np.argsort(of, kind="stable")[:stop]] if of.any() else values[:stop]
+
+
+def _sets(n_words: int, threshold: Fraction, level: np.ndarray | None = None):
+    """Rows (id, n, s1, s2): the size of the set and two hashes; with levels its prefix and bitmap as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "t")):
@@ -137,11 +187,11 @@ def _sets(n_words: int, threshold: Fraction, whole: bool):
             size = np.diff(first)
             columns = [batch.column(0), pa.array(size, pa.int64()), *(pa.array(s) for s in _sums(values, first))]
             names = ["id", "n", "s1", "s2"]
-            if whole:
+            if level is not None:
                 prefixes, maps = [], []
                 for i, n in enumerate(size.tolist()):
                     stop = min(n, missing(n, threshold) + 1 + levels(n, threshold)[-1]) if n else 0
-                    prefixes.append(values[first[i] : first[i] + stop].view(np.int64))
+                    prefixes.append(leading(values[first[i] : first[i + 1]], stop, level).view(np.int64))
                     maps.append(bitmap(values[first[i] : first[i + 1]]) if n else b"")
                 columns += [pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
                 names += ["prefix", "bits"]
@@ -326,7 +376,8 @@ def jaccard_components(docs: DataFrame, *, words: int, threshold: str | Fraction
     """One row per row of `docs`: id, n_shingles, component_id (the smallest id reachable by links)."""
     t = Fraction(threshold)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    found = plain.where("id is not null and t <> ''").mapInArrow(_sets(words, t, True), "id long, n long, s1 long, s2 long, prefix array<long>, bits binary")
+    texts = plain.where("id is not null and t <> ''")
+    found = texts.mapInArrow(_sets(words, t, commonness(texts, words)), "id long, n long, s1 long, s2 long, prefix array<long>, bits binary")
     reps = cut(
         found.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "reps"
     )
@@ -366,7 +417,7 @@ def jaccard_components(docs: DataFrame, *, words: int, threshold: str | Fraction
     all_links = links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
     final = components(all_links).toDF("rep", "c")
     named = reps.select("n", "s1", "s2", "rep").join(final, "rep", "left").select("n", "s1", "s2", F.coalesce("c", "rep").alias("component"))
-    rows = plain.mapInArrow(_sets(words, t, False), "id long, n long, s1 long, s2 long")
+    rows = plain.mapInArrow(_sets(words, t), "id long, n long, s1 long, s2 long")
     return rows.join(named, ["n", "s1", "s2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
     )
