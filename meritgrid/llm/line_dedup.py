@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line of at least `MIN_WORDS` words goes if an earlier line of the whole table, by document id and then line
-number, is within one edit of it (an inserted, deleted or replaced character) or equal; shorter lines stay.
-Lines are compared without white space at their ends.
+A line goes if an earlier line of the whole table, by document id and then line number, equals it, or is within
+one edit of it (an inserted, deleted or replaced character) and both have at least `NEAR_CHARS` characters: in
+fewer, an edit tells nothing, as all lines of one character are an edit apart. Blank lines stay. Lines are
+compared without white space at their ends.
 
 Equal lines are one distinct line, known by the place of its first copy. Each distinct line emits the hashes
 of its deletion neighbourhood: itself, and itself without each single character. A line and one with a
@@ -12,7 +13,7 @@ edit of the one they are compared with, only the earliest of a key matters, and
 pairs. As the lines are distinct, a key has no more of them than there are characters and places to insert one.
 Each line and its earliest neighbours are then verified by edit distance.
 
-Only lines that can have a neighbour emit variants: one edit leaves the first or second half of the shorter
+Only lines that can have a neighbour emit variants, so shorter ones than `NEAR_CHARS` never do: one edit leaves the first or second half of the shorter
 line as it is, so a line whose halves, together with their length, occur in no other line has none. This
 filter is exact and keeps the variants, as many as a line has characters, from all but a few lines.
 
@@ -40,6 +41,8 @@ from meritgrid.llm.frames import free_name, modest_batches
 from meritgrid.llm.fingerprints import INVERSES, PRIMES, PrefixHash, code_points
 
 MIN_WORDS = 5
+#: One edit counts between lines of so many characters, as many as the shortest line of `MIN_WORDS` words has.
+NEAR_CHARS = 2 * MIN_WORDS - 1
 #: At most so many rows of four numbers are broadcast; more are shuffled.
 BROADCAST_ROWS = 100_000
 _WHITE = " \t\x0b\x0c\r"
@@ -48,9 +51,9 @@ PLACE = ["void", "doc", "th", "line"]
 
 
 def considered(line: str) -> str | None:
-    """The line without white space at its ends, or None if it is too short to be judged."""
+    """The line without white space at its ends, or None if it is blank."""
     line = line.strip(_WHITE)
-    return line if len(line.split(maxsplit=MIN_WORDS - 1)) >= MIN_WORDS else None
+    return line if line and not line.isspace() else None
 
 
 def _signed(x: int) -> int:
@@ -58,9 +61,12 @@ def _signed(x: int) -> int:
 
 
 def halves(line: str) -> list[int]:
-    """Hashes of the halves that this line and one with a character less, or as many, can have in common."""
+    """Hashes of the halves that this line and one with a character less, or as many, can have in common; none where
+    the shorter line is too short for an edit to count."""
     out = []
     for n in (len(line), len(line) - 1):
+        if n < NEAR_CHARS:
+            continue
         head, tail = line[: n // 2], line[len(line) - (n - n // 2) :]
         out += [_signed(xxhash.xxh3_64_intdigest(head.encode(), seed=2 * n)), _signed(xxhash.xxh3_64_intdigest(tail.encode(), seed=2 * n + 1))]
     return out

@@ -65,3 +65,10 @@ def test_awkward_rows(spark):
 def test_names_that_clash(spark):
     df = spark.createDataFrame([(1, "a b c d e", 7, 8)], "doc_id long, text string, n_lines int, n_removed int")
     assert dedup_lines(df).columns == ["doc_id", "text", "n_lines", "n_removed", "n_lines_1", "n_removed_1"]
+
+
+def test_short_lines_and_lines_without_spaces(spark):
+    long = "日本語の行には空白がないので一語に数えられる"
+    rows = [(1, f"All rights reserved.\n\nx\n{long}\nCode: 12"), (2, f"All rights reserved. \n\nx\ny\n{long}一\nCode: 13\nCode: 12")]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\ny\nCode: 13", 4)}
