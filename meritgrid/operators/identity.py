@@ -292,10 +292,34 @@ def contradictions(pairs: DataFrame) -> DataFrame:
     return differ.withColumn("severity", F.when(major, "major").otherwise("minor")).withColumn("flagged", major)
 
 
+def similar_sets(members: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard), a < b, of the sets of (uuid, work) whose Jaccard similarity is about `least` or more.
+
+    Pairs meet by their prefixes only: in the order of how common works are, sets of such a similarity share one of
+    the first n - ceil(least * n) + 1, so a common work brings few pairs together. What two prefixes share, and as
+    much as the longer rest could add, must reach the overlap that the sizes ask for; the rest is counted whole."""
+    t = least - 1e-6
+    sets = members.select("uuid", "work").distinct()
+    common = sets.groupBy("work").agg(F.count(F.lit(1)).alias("_f"))
+    own = W.partitionBy("uuid")
+    placed = sets.join(common, "work").select("uuid", "work", F.row_number().over(own.orderBy("_f", "work")).alias("_p"), F.count(F.lit(1)).over(own).alias("n"))
+    prefixes = placed.withColumn("rest", F.ceil(F.col("n") * t) - 1).where(F.col("_p") <= F.col("n") - F.col("rest"))
+    x, y = (prefixes.select(F.col("uuid").alias(k), "work", F.col("n").alias(f"n{k}"), F.col("rest").alias(f"r{k}")) for k in "ab")
+    met = x.join(y, "work").where("a < b").where((F.col("na") >= F.col("nb") * t) & (F.col("nb") >= F.col("na") * t))
+    need = (F.col("na") + F.col("nb")) * (t / (1 + t))
+    able = met.groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") + F.greatest("ra", "rb") >= need)
+    works = sets.groupBy("uuid").agg(F.collect_list("work").alias("works"))
+    both = able.select("a", "b", "na", "nb").join(works.toDF("a", "wa"), "a").join(works.toDF("b", "wb"), "b")
+    shared = both.withColumn("k", F.size(F.array_intersect("wa", "wb")))
+    return shared.where(F.col("k") >= need).select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard"))
+
+
 def coauthors(authorship: DataFrame, fanout: int) -> DataFrame:
-    """(a, b): for each author the first `fanout` others, by id, that share a work of (uuid, work)."""
+    """(a, b): for each author the first `fanout` others, by id, that share a work of (uuid, work). They are among
+    the first `fanout` + 1 authors of a work, so only those are offered, not all pairs of it."""
     links = authorship.select("uuid", "work").distinct()
-    pairs = links.toDF("a", "work").join(links.toDF("b", "work"), "work").where("a <> b").select("a", "b").distinct()
+    first = links.withColumn("_k", F.row_number().over(W.partitionBy("work").orderBy("uuid"))).where(F.col("_k") <= fanout + 1).drop("_k")
+    pairs = links.toDF("a", "work").join(first.select(F.col("uuid").alias("b"), "work"), "work").where("a <> b").select("a", "b").distinct()
     return pairs.withColumn("_k", F.row_number().over(W.partitionBy("a").orderBy("b"))).where(F.col("_k") <= fanout).drop("_k")
 
 

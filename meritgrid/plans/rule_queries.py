@@ -160,9 +160,9 @@ def shared_key_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coauthor_two_hop(spark: SparkSession, d: str) -> DataFrame:
-    works = papers(spark, d).select("uuid", (F.col("work") * 1000 + F.month("published")).alias("work")).where("work % 7 = 0")
+    works = papers(spark, d).select("uuid", (F.col("work") * 1000 + F.month("published")).alias("work"))
     seeds = candidates(spark, d).where("uuid % 100 = 0").select("uuid")
-    return identity.cohort(seeds, works, 2, 5)
+    return identity.cohort(seeds, works, 2)
 
 
 def contradictions(spark: SparkSession, d: str) -> DataFrame:
@@ -175,12 +175,9 @@ def contradictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Overlap of the brands that two customers of one nation bought from, for pairs that share one."""
-    sets = papers(spark, d).where("work % 20 = 0").select("uuid", "work").distinct()
-    size = sets.groupBy("uuid").agg(F.count(F.lit(1)).alias("n"))
-    pairs = sets.toDF("a", "work").join(sets.toDF("b", "work"), "work").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    both = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    return both.select("a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("jaccard")).where("jaccard >= 0.2")
+    """Overlap of the parts that two customers bought, for pairs of at least 0.2."""
+    sets = papers(spark, d).select("uuid", "work")
+    return identity.similar_sets(sets, 0.2).select("a", "b", F.round("jaccard", 6).alias("jaccard")).where("jaccard >= 0.2")
 
 
 def fuzzy_link(spark: SparkSession, d: str) -> DataFrame:
