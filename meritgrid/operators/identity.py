@@ -1,7 +1,7 @@
 """Who is who: keys, names, organisations, fuzzy links, merges, contradictions and co-author cohorts.
 
-Nothing here compares all rows with all rows: candidates for a comparison share a key, a name word or an
-organisation, and comparisons run where such rows meet.
+Candidates for a comparison share a key and comparisons run where such rows meet; only fuzzy links compare all
+with all, in blocks, as any two names can be near.
 """
 
 from __future__ import annotations
@@ -147,25 +147,131 @@ def name_words(names: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(names, lambda n: F.filter(F.split(F.lower(n), r"[\s,.]+"), lambda w: F.length(w) > 1))))
 
 
+#: Rows of artifacts and candidates that one task compares, and names longer than fit a row of bits or a matrix.
+LINK_BLOCK, CANDIDATE_BLOCK = 512, 4096
+LONGEST_BITS, LONGEST_COLUMNS = 63, 200
+
+
+class _Names:
+    """Names of candidates as a matrix of character numbers, so that one name is compared with all at once."""
+
+    def __init__(self, names: list[list[str]]):
+        flat = [(i, n) for i, own in enumerate(names) for n in own if n is not None]
+        self.rows = len(names)
+        self.wide = [(i, n) for i, n in flat if len(n) > LONGEST_COLUMNS]
+        narrow = [(i, n) for i, n in flat if len(n) <= LONGEST_COLUMNS]
+        self.texts = [n for _, n in narrow]
+        self.owner = np.array([i for i, _ in narrow], np.int64)
+        self.sizes = np.array([len(n) for n in self.texts], np.int64)
+        self.number = {c: k for k, c in enumerate(sorted(set("".join(self.texts))))}
+        blank = len(self.number)
+        self.codes = np.full((int(self.sizes.max(initial=0)), len(narrow)), blank, np.int32)
+        for k, n in enumerate(self.texts):
+            self.codes[: len(n), k] = [self.number[c] for c in n]
+
+    def ratios(self, name: str) -> np.ndarray:
+        """The best `name_ratio` of `name` with the names of each candidate."""
+        out = np.zeros(self.rows)
+        if len(name) > LONGEST_BITS:
+            common = np.array([_lcs(name, n) for n in self.texts], np.int64)
+        else:
+            places = np.zeros(len(self.number) + 1, np.uint64)
+            for i, c in enumerate(name):
+                if c in self.number:
+                    places[self.number[c]] |= np.uint64(1 << i)
+            full = np.uint64((1 << len(name)) - 1)
+            row = np.full(len(self.texts), full)
+            for column in self.codes:
+                hit = row & places[column]
+                row = ((row + hit) | (row - hit)) & full
+            common = len(name) - np.bitwise_count(row).astype(np.int64)
+        total = self.sizes + len(name)
+        np.maximum.at(out, self.owner, np.where(total > 0, np.rint(200.0 * common / np.maximum(total, 1)) / 100.0, 1.0))
+        for i, n in self.wide:
+            out[i] = max(out[i], round(200.0 * _lcs(name, n) / (len(name) + len(n))) / 100.0)
+        return out
+
+
+def _index(sets: list[list[str]]) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for i, own in enumerate(sets):
+        for x in own:
+            out.setdefault(x, []).append(i)
+    return out
+
+
+def _overlap(own: list[str], index: dict[str, list[int]], sizes: np.ndarray) -> np.ndarray:
+    shared = np.zeros(len(sizes))
+    for x in own:
+        shared[index.get(x, [])] += 1
+    return shared / np.maximum(len(own) + sizes - shared, 1)
+
+
+def _best_of_block(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    """The best candidates of a block for each artifact of a block, one of each combination of features."""
+    rows: list[tuple] = []
+    if len(a) and len(c):
+        c = c.sort_values("uuid", ignore_index=True)
+        names, by_ror = _Names(list(map(list, c["names"]))), _index(list(map(list, c["rors"])))
+        c_names, c_terms = ([[x for x in own if x is not None] for own in c[k]] for k in ("name_set", "term_set"))
+        by_name, by_term, by_word = _index(c_names), _index(c_terms), _index(list(map(list, c["words"])))
+        n_names, n_terms = np.array(list(map(len, c_names))), np.array(list(map(len, c_terms)))
+        first, last = c["first_year"].to_numpy(float), c["last_year"].to_numpy(float)
+        w = LINK_WEIGHTS
+        for r in a.itertuples(index=False):
+            ratio = np.zeros(len(c))
+            for name in r.names:
+                if name is not None:
+                    ratio = np.maximum(ratio, names.ratios(name))
+            place = np.zeros(len(c))
+            if r.ror_id is not None:
+                place[by_ror.get(r.parent_ror_id, [])] = 0.5
+                place[by_ror.get(r.ror_id, [])] = 1.0
+            away = np.minimum(np.abs(r.year - first), np.abs(r.year - last))
+            time = np.where((r.year >= first) & (r.year <= last), 1.0, np.maximum(0.0, 1.0 - away / 20.0))
+            time = np.where(np.isnan(first + last + r.year), 0.5, time)
+            people, terms = _overlap(r.people, by_name, n_names), _overlap(r.term_set, by_term, n_terms)
+            has_people, has_terms = float(r.has_people), (bool(r.has_terms) & c["has_terms"].to_numpy(bool)).astype(float)
+            total = w["name"] + w["affiliation"] + w["time"] + w["coauthor"] * has_people + w["mesh"] * has_terms
+            score = (w["name"] * ratio + w["affiliation"] * place + w["coauthor"] * has_people * people + w["mesh"] * has_terms * terms + w["time"] * time) / total
+            if score.max() < REVIEW - 1e-9:
+                kin = [k for x in r.words for k in by_word.get(x, [])] + by_ror.get(r.ror_id, []) + by_ror.get(r.parent_ror_id, [])
+                score[np.setdiff1d(np.arange(len(c)), kin)] = -1.0
+            seen = set()
+            for k in np.flatnonzero((score >= score.max() - 1e-9) & (score >= 0)):
+                what = (ratio[k], place[k], people[k], terms[k], time[k], has_terms[k])
+                if what not in seen:
+                    seen.add(what)
+                    rows.append((r.artifact_id, c["uuid"][k], ratio[k]))
+    return pd.DataFrame(rows, columns=["artifact_id", "uuid", "f_name"])
+
+
 def link(artifacts: DataFrame, candidates: DataFrame) -> DataFrame:
     """The best candidate of each artifact: artifact_id, uuid (null if rejected), confidence, action, features.
 
     `artifacts`: artifact_id, names, ror_id, parent_ror_id, coauthors, terms, year; `candidates`: uuid, names,
-    rors, terms, first_year, last_year. Pairs meet by a word of a name or by an organisation; a pair without
-    either could reach the review threshold only with all other features near 1.
+    rors, terms, first_year, last_year. Every artifact is compared with every candidate, block by block, as names
+    without a common word can match and frequent words make no block selective; a task takes two blocks of bounded
+    size and only the best of each artifact leaves it, so pairs are never rows. Below the review threshold a
+    confidence is that of the best candidate with a common name word or organisation, 0 if there is none.
     """
-    def keys(df: DataFrame, key: str, rors: Column) -> DataFrame:
-        words = F.transform(name_words(F.col("names")), lambda w: F.concat(F.lit("n:"), w))
-        places = F.transform(F.array_compact(rors), lambda r: F.concat(F.lit("r:"), r))
-        return df.select(key, F.explode(F.array_union(words, F.coalesce(places, F.array().cast("array<string>")))).alias("k"))
-
-    pairs = keys(artifacts, "artifact_id", F.array("ror_id", "parent_ror_id")).join(keys(candidates, "uuid", F.col("rors")), "k").select("artifact_id", "uuid").distinct()
+    texts = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    lower = lambda c: F.array_distinct(F.transform(texts(c), F.lower))
+    parts = lambda df, most: max(1, -(-df.count() // most))
+    across, down = parts(artifacts, LINK_BLOCK), parts(candidates, CANDIDATE_BLOCK)
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+
+    def dealt(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        rows = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))).groupBy("_i", "_j")
+
+    left = artifacts.select("artifact_id", F.transform(texts(F.col("names")), F.lower).alias("names"), texts(name_words(F.col("names"))).alias("words"), "ror_id", "parent_ror_id", lower(F.col("coauthors")).alias("people"), lower(F.col("terms")).alias("term_set"), some("coauthors").alias("has_people"), some("terms").alias("has_terms"), F.coalesce(F.col("year").cast("double"), F.lit(float("nan"))).alias("year"))
+    right = candidates.select("uuid", F.transform(texts(F.col("names")), F.lower).alias("names"), texts(name_words(F.col("names"))).alias("words"), F.array_distinct(F.array_compact(texts(F.col("rors")))).alias("rors"), lower(F.col("names")).alias("name_set"), lower(F.col("terms")).alias("term_set"), some("terms").alias("has_terms"), F.col("first_year").cast("double").alias("first_year"), F.col("last_year").cast("double").alias("last_year"))
+    schema = T.StructType([T.StructField("artifact_id", artifacts.schema["artifact_id"].dataType), T.StructField("uuid", candidates.schema["uuid"].dataType), T.StructField("f_name", T.DoubleType())])
+    pairs = dealt(left, "artifact_id", "_i", across, "_j", down).cogroup(dealt(right, "uuid", "_j", down, "_i", across)).applyInPandas(_best_of_block, schema)
     c = candidates.select("uuid", F.col("names").alias("c_names"), "rors", F.col("terms").alias("c_terms"), "first_year", "last_year")
     both = pairs.join(artifacts, "artifact_id").join(c, "uuid")
-    names = both.select("artifact_id", "uuid", F.explode("names").alias("a"), "c_names").select("artifact_id", "uuid", "a", F.explode("c_names").alias("b"))
-    ratio = names.select("artifact_id", "uuid", name_ratio(F.lower("a"), F.lower("b")).alias("r")).groupBy("artifact_id", "uuid").agg(F.max("r").alias("f_name"))
-    lower = lambda c: F.array_distinct(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower))
-    features = both.join(ratio, ["artifact_id", "uuid"]).select(
+    features = both.select(
         "artifact_id",
         "uuid",
         "f_name",
