@@ -186,7 +186,7 @@ def fuzzy_link(spark: SparkSession, d: str) -> DataFrame:
     artifacts = s.select(
         F.col("s_suppkey").alias("artifact_id"), F.array(F.concat_ws(" ", F.lit("Customer"), F.format_string("%d", "s_suppkey"), F.lit("Smith"))).alias("names"), F.col("s_nationkey").cast("string").alias("ror_id"), F.lit(None).cast("string").alias("parent_ror_id"), F.array().cast("array<string>").alias("coauthors"), F.array().cast("array<string>").alias("terms"), F.lit(2000).alias("year")
     )
-    people = c.where("uuid < 500").select(F.col("uuid").cast("string").alias("uuid"), F.array(F.concat_ws(" ", F.lit("Customer"), F.format_string("%d", "uuid"), F.lit("Smythe"))).alias("names"), F.array((F.col("uuid") % 25).cast("string")).alias("rors"), F.array().cast("array<string>").alias("terms"), F.lit(1990).alias("first_year"), F.lit(2010).alias("last_year"))
+    people = c.select(F.col("uuid").cast("string").alias("uuid"), F.array(F.concat_ws(" ", F.lit("Customer"), F.format_string("%d", "uuid"), F.lit("Smythe"))).alias("names"), F.array((F.col("uuid") % 25).cast("string")).alias("rors"), F.array().cast("array<string>").alias("terms"), F.lit(1990).alias("first_year"), F.lit(2010).alias("last_year"))
     return identity.link(artifacts, people).select("artifact_id", "uuid", F.round("confidence", 6).alias("confidence"), "action")
 
 

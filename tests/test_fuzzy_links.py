@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 from meritgrid.operators import identity
+from meritgrid.plans.rule_queries import fuzzy_link
 
 ART = "artifact_id string, names array<string>, ror_id string, parent_ror_id string, coauthors array<string>, terms array<string>, year int"
 CAND = "uuid string, names array<string>, rors array<string>, terms array<string>, first_year int, last_year int"
@@ -50,3 +51,11 @@ def test_against_brute_force(spark, monkeypatch):
             assert row["uuid"] == min(c[0] for c in cands if score(a, c) > best - 1e-9)
         else:
             assert row["uuid"] is None and row["confidence"] <= best + 1e-9
+
+
+def test_all_customers_are_candidates(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(600, 0)], "s_suppkey long, s_nationkey int").write.parquet(f"{d}/supplier.parquet")
+    spark.createDataFrame([(0, "x")], "n_nationkey int, n_name string").write.parquet(f"{d}/nation.parquet")
+    spark.createDataFrame([(u, "c", 0, "s", 0.0) for u in (1, 600, 999)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{d}/customer.parquet")
+    assert [tuple(r)[:2] for r in fuzzy_link(spark, d).collect()] == [(600, "600")]
