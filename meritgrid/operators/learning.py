@@ -16,6 +16,8 @@ START = (0.7, 1.0, 0.4)
 LEAST_PAIRS, WIDEST_HALF_CI = 20, 0.2
 LARGE_CHANGE = 0.05
 DOWNSTREAM_PAIRS, DOWNSTREAM_FACTOR = 50, 2
+#: So many pairs are listed rather than drawn; and how many draws are tried first.
+ALL_PAIRS, FIRST_DRAWS = 200_000, 200_000
 
 
 def judged_pairs(judgments: DataFrame) -> DataFrame:
@@ -25,19 +27,36 @@ def judged_pairs(judgments: DataFrame) -> DataFrame:
     return good.join(bad, "query")
 
 
-def unjudged_pairs(candidates: DataFrame, judged: DataFrame, neighbours: int, seed: int = 42) -> DataFrame:
-    """(a, b, weight) of pairs not judged so far, for judging next. A pair's weight, 1 / (1 + difference of
-    score), falls fast with distance in the order of scores, so each candidate meets the next `neighbours` in
-    that order; `pick` is the key by which a weighted sample without replacement takes the largest first."""
+def sampled_pairs(candidates: DataFrame, judged: DataFrame, n_pairs: int, seed: int = 42) -> DataFrame:
+    """(a, b, weight) of `n_pairs` pairs not judged so far, or of all if there are fewer, for judging next: a sample
+    without replacement of all pairs of (uuid, score), where a pair weighs 1 / (1 + difference of score).
+
+    Many pairs are not listed: both members are drawn from all positions alike, a draw is accepted with its weight,
+    judged and repeated pairs are dropped, and the first so many draws are the sample, which is the same law. Only
+    pairs that are few, or fewer than the draws that would be needed, are listed and taken by weighted keys."""
     from meritgrid.functions.positions import numbered
 
-    placed = numbered(candidates.select("uuid", "score"), ["score", "uuid"], "p", "_n").drop("_n")
-    wide = placed.select("uuid", "score", "p", F.explode(F.sequence(F.lit(1), F.lit(neighbours))).alias("d")).select(F.col("uuid").alias("x"), F.col("score").alias("sx"), (F.col("p") + F.col("d")).alias("p"))
-    pairs = wide.join(placed, "p").select(F.least("x", "uuid").alias("a"), F.greatest("x", "uuid").alias("b"), F.abs(F.col("sx") - F.col("score")).alias("gap"))
-    open_ = pairs.join(judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    weight = 1.0 / (1.0 + F.col("gap"))
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "a", "b"), F.lit(1_000_003)) + 1) / 1_000_004.0
-    return open_.select("a", "b", F.round(weight, 6).alias("weight"), F.pow(uniform, 1.0 / weight).alias("pick"))
+    done = judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    gap = F.abs(F.col("sx") - F.col("sy"))
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (1.0 / (1.0 + gap)).alias("w")]
+    uniform = lambda *key: (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(2**53)) + 0.5) / float(2**53)
+    scored = candidates.select("uuid", "score")
+    n = scored.count()
+    draws = max(FIRST_DRAWS, 4 * n_pairs)
+    x, y = scored.toDF("x", "sx"), scored.toDF("y", "sy")
+    if n * (n - 1) // 2 > ALL_PAIRS:
+        placed = numbered(scored, ["score", "uuid"], "p", "_n").drop("_n")
+        x, y = placed.select(F.col("uuid").alias("x"), F.col("score").alias("sx"), F.col("p").alias("px")), placed.select(F.col("uuid").alias("y"), F.col("score").alias("sy"), F.col("p").alias("py"))
+        while draws < n * (n - 1) // 2:
+            drawn = candidates.sparkSession.range(draws).select("id", *((F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(k)), F.lit(n)) + 1).alias(k) for k in ("px", "py")))
+            accepted = drawn.where("px <> py").join(x, "px").join(y, "py").select("id", *pair).where(uniform("id", F.lit("accept")) < F.col("w"))
+            open_ = accepted.groupBy("a", "b").agg(F.min("id").alias("id"), F.first("w").alias("w")).join(done, ["a", "b"], "left_anti")
+            found = open_.count()
+            if found >= n_pairs:
+                return open_.orderBy("id").limit(n_pairs).select("a", "b", F.round("w", 6).alias("weight"))
+            draws = max(4 * draws, int(1.5 * draws * n_pairs / max(found, 1)))
+    open_ = x.crossJoin(y).where("x < y").select(*pair).join(done, ["a", "b"], "left_anti")
+    return open_.orderBy(-F.log(uniform("a", "b")) / F.col("w"), "a", "b").limit(n_pairs).select("a", "b", F.round("w", 6).alias("weight"))
 
 
 def triangular_pairs(rows: DataFrame, group: str, key: str) -> DataFrame:

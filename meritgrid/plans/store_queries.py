@@ -153,7 +153,7 @@ def triangular_unjudged(spark: SparkSession, d: str) -> DataFrame:
 def pair_sampling(spark: SparkSession, d: str) -> DataFrame:
     c = candidates(spark, d).select("uuid", F.col("balance").alias("score"))
     judged = c.where("uuid % 5 = 0").select(F.col("uuid").alias("a"), (F.col("uuid") + 1).alias("b"))
-    return learning.unjudged_pairs(c, judged, 4).orderBy(F.desc("pick"), "a", "b").limit(200).select("a", "b", "weight")
+    return learning.sampled_pairs(c, judged, 200)
 
 
 def exponent_fit(spark: SparkSession, d: str) -> DataFrame:
