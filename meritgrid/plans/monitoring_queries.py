@@ -232,7 +232,7 @@ ORACLE_SQL = {
     "cost_grouping_sets": f"SELECT user_id AS customer, event_type AS model, round(round(sum(value), 6), 4) AS cost, count(*) AS calls FROM events WHERE ts::DATE = DATE '{DAY}' GROUP BY GROUPING SETS ((user_id), (event_type), ())",
     "over_budget": f"""WITH t AS (SELECT user_id AS customer, round(sum(value), 6) AS spent FROM events WHERE ts::DATE = DATE '{DAY}' GROUP BY 1)
       SELECT customer, round(spent, 4) AS spent, coalesce((c_custkey % 40)::DOUBLE, 1000.0) AS budget, spent >= coalesce(c_custkey % 40, 1000.0) AS is_over FROM t LEFT JOIN customer ON c_custkey = customer AND c_custkey % 2 = 0""",
-    "recall_set": """WITH e AS (SELECT DISTINCT l_orderkey AS q, l_partkey::VARCHAR AS u FROM lineitem WHERE l_orderkey < 2000 AND l_quantity > 20), r AS (SELECT DISTINCT l_orderkey AS q, l_partkey::VARCHAR AS u FROM lineitem WHERE l_orderkey < 2000 AND l_discount > 0.03),
+    "recall_set": """WITH e AS (SELECT DISTINCT l_orderkey AS q, l_partkey::VARCHAR AS u FROM lineitem WHERE l_quantity > 20), r AS (SELECT DISTINCT l_orderkey AS q, l_partkey::VARCHAR AS u FROM lineitem WHERE l_discount > 0.03),
       j AS (SELECT coalesce(e.q, r.q) AS q, e.u AS eu, r.u AS ru FROM e FULL JOIN r ON e.q = r.q AND e.u = r.u)
       SELECT q AS query, round(CASE WHEN count(eu) = 0 THEN 1.0 ELSE count(*) FILTER (eu = ru) / count(eu)::DOUBLE END, 6) AS recall, coalesce(string_agg(eu, ',' ORDER BY eu) FILTER (eu = ru), '') AS found, coalesce(string_agg(eu, ',' ORDER BY eu) FILTER (ru IS NULL), '') AS missed FROM j GROUP BY q""",
     "argmax_specialty": f"""WITH {PAPERS_SQL}, s AS (SELECT uuid, term, count(*) AS n FROM papers GROUP BY ALL), p AS (SELECT uuid, term, n / sum(n) OVER (PARTITION BY uuid)::DOUBLE AS p FROM s),

@@ -239,11 +239,11 @@ ORACLE_SQL = {
       SELECT u AS uuid, k AS confidence, CASE WHEN k >= 0.95 THEN 'auto-link' WHEN k >= 0.5 THEN 'review' ELSE 'reject' END AS action, array_to_string(list_filter([CASE WHEN NOT last THEN 'name_mismatch' END, CASE WHEN NOT sp THEN 'specialty_mismatch' END, CASE WHEN NOT ad THEN 'address_mismatch' END], lambda x: x IS NOT NULL), ',') AS signals FROM c""",
     "shared_key_pairs": """WITH p AS (SELECT x.c_custkey AS a, y.c_custkey AS b, (x.c_custkey // 3 = y.c_custkey // 3)::INT + (x.c_custkey % 2 = 0 AND y.c_custkey % 2 = 0 AND x.c_custkey // 6 = y.c_custkey // 6)::INT AS k, (x.c_custkey // 5 = y.c_custkey // 5)::INT + (x.c_custkey // 4 = y.c_custkey // 4)::INT AS m FROM customer x JOIN customer y ON y.c_custkey > x.c_custkey AND y.c_custkey < x.c_custkey + 6)
       SELECT a, b, k::BIGINT AS n_keys, m::BIGINT AS n_names, round(CASE WHEN k > 0 THEN least(0.95 + 0.02 * k, 1.0) ELSE least(0.5 + 0.15 * m, 0.9) END, 6)::DOUBLE AS confidence, CASE WHEN k > 0 THEN 'strong_key' ELSE 'review_needed' END AS kind FROM p WHERE k + m > 0""",
-    "coauthor_two_hop": f"""WITH {PAPERS_SQL}, w AS (SELECT DISTINCT uuid, work * 1000 + month(published) AS work FROM papers WHERE (work * 1000 + month(published)) % 7 = 0), e AS (SELECT a, b FROM (SELECT DISTINCT x.uuid AS a, y.uuid AS b FROM w x JOIN w y USING (work) WHERE x.uuid <> y.uuid) QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) <= 5),
+    "coauthor_two_hop": f"""WITH {PAPERS_SQL}, w AS (SELECT DISTINCT uuid, work * 1000 + month(published) AS work FROM papers), e AS (SELECT a, b FROM (SELECT DISTINCT x.uuid AS a, y.uuid AS b FROM w x JOIN w y USING (work) WHERE x.uuid <> y.uuid) QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) <= 50),
       h0 AS (SELECT c_custkey AS uuid, 0 AS hop, c_custkey AS seed FROM customer WHERE c_custkey % 100 = 0), h1 AS (SELECT b AS uuid, 1 AS hop, min(seed) AS seed FROM h0 JOIN e ON a = uuid WHERE b NOT IN (SELECT uuid FROM h0) GROUP BY b),
       h2 AS (SELECT b AS uuid, 2 AS hop, min(seed) AS seed FROM h1 JOIN e ON a = uuid WHERE b NOT IN (SELECT uuid FROM h0) AND b NOT IN (SELECT uuid FROM h1) GROUP BY b) SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2""",
     "contradictions": """WITH p AS (SELECT s_suppkey AS u, CASE s_suppkey % 3 WHEN 0 THEN 'academic' WHEN 1 THEN 'industry' ELSE 'unknown' END AS a, CASE WHEN s_suppkey % 5 = 0 THEN 'industry' ELSE 'academic' END AS b, s_suppkey % 7 = 0 AS f FROM supplier WHERE s_suppkey % 4 <> s_suppkey % 6)
       SELECT u AS uuid, CASE WHEN f OR (a <> b AND a <> 'unknown') THEN 'major' ELSE 'minor' END AS severity, f OR (a <> b AND a <> 'unknown') AS flagged FROM p""",
-    "jaccard_pairs": f"""WITH {PAPERS_SQL}, s AS (SELECT DISTINCT uuid, work FROM papers WHERE work % 20 = 0), n AS (SELECT uuid, count(*) AS n FROM s GROUP BY uuid), p AS (SELECT x.uuid AS a, y.uuid AS b, count(*) AS k FROM s x JOIN s y USING (work) WHERE x.uuid < y.uuid GROUP BY ALL)
+    "jaccard_pairs": f"""WITH {PAPERS_SQL}, s AS (SELECT DISTINCT uuid, work FROM papers), n AS (SELECT uuid, count(*) AS n FROM s GROUP BY uuid), p AS (SELECT x.uuid AS a, y.uuid AS b, count(*) AS k FROM s x JOIN s y USING (work) WHERE x.uuid < y.uuid GROUP BY ALL)
       SELECT a, b, round(k / (x.n + y.n - k)::DOUBLE, 6) AS jaccard FROM p JOIN n x ON x.uuid = a JOIN n y ON y.uuid = b WHERE round(k / (x.n + y.n - k)::DOUBLE, 6) >= 0.2""",
 }

@@ -224,7 +224,7 @@ ORACLE_SQL = {
     "latest_per_key": "SELECT user_id, event_type, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "upsert_merge": """SELECT c_custkey AS uuid, c_name || CASE WHEN c_custkey % 3 = 0 THEN '!' ELSE '' END AS name, round(c_acctbal + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END, 2) AS balance, 'old' AS created FROM customer
       UNION ALL SELECT c_custkey + 10000000, c_name, round(c_acctbal, 2), 'new' FROM customer WHERE c_custkey % 100 = 0""",
-    "insert_missing": "SELECT s_suppkey AS k, s_name AS v FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey < 400 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
+    "insert_missing": "SELECT s_suppkey AS k, s_name AS v FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
     "canonical_dedupe": f"WITH {_ART} SELECT * FROM f",
     "cross_reference_edges": f"WITH {_ART} SELECT DISTINCT a.type, a.id, a.source, f.source AS canonical_source FROM a JOIN f USING (type, id) WHERE a.source <> f.source",
     "queue_priority_next": """SELECT o_orderkey AS item, CASE left(o_orderpriority, 1) WHEN '1' THEN 'integrity' WHEN '2' THEN 'identity' WHEN '3' THEN 'affiliation' ELSE 'other' END AS category, o_orderdate AS submitted_at FROM orders WHERE o_orderstatus = 'P'
@@ -245,9 +245,9 @@ ORACLE_SQL = {
     "except_keys": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
     "evidence_union": "SELECT uuid, category, count(*) AS n FROM (SELECT o_custkey AS uuid, 'publication' AS category FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT o_custkey, 'grant' FROM orders UNION ALL SELECT c_custkey, 'profile' FROM customer) GROUP BY ALL",
     "json_props_agg": "SELECT event_type, sum((props->>'k')::INT)::BIGINT AS total, max((props->>'k')::INT) AS top, count(props->>'k') AS n FROM events GROUP BY 1",
-    "judged_cross_pairs": "SELECT x.l_orderkey AS query, x.l_linenumber AS winner, y.l_linenumber AS loser FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey WHERE x.l_orderkey < 3000 AND x.l_quantity > 25 AND NOT y.l_quantity > 25",
+    "judged_cross_pairs": "SELECT x.l_orderkey AS query, x.l_linenumber AS winner, y.l_linenumber AS loser FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey WHERE x.l_quantity > 25 AND NOT y.l_quantity > 25",
     "adjacent_pairs": "SELECT l_orderkey, l_linenumber AS winner, n AS loser FROM (SELECT *, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS n FROM lineitem) WHERE n IS NOT NULL",
-    "triangular_unjudged": "SELECT x.l_orderkey, x.l_linenumber AS a, y.l_linenumber AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber WHERE x.l_orderkey < 3000 AND (x.l_linenumber + y.l_linenumber) % 3 <> 0",
+    "triangular_unjudged": "SELECT x.l_orderkey, x.l_linenumber AS a, y.l_linenumber AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber WHERE (x.l_linenumber + y.l_linenumber) % 3 <> 0",
     "sliding_60s_count": "SELECT event_id AS id, event_type AS source, count(*) OVER w AS in_window, count(*) OVER w > 100 AS burst FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)",
     "same_query_count": "SELECT event_id AS id, row_number() OVER w AS same, row_number() OVER w > 10 AS suspicious FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)",
     "tumbling_window": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
