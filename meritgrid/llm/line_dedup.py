@@ -1,26 +1,28 @@
 """Line dedup by a deletion-neighbourhood join.
 
 A line goes if an earlier line of the whole table, by document id and then line number, equals it, or is within
-one edit of it (an inserted, deleted or replaced character) and both have at least `NEAR_CHARS` characters: in
-fewer, an edit tells nothing, as all lines of one character are an edit apart. Blank lines stay. Lines are
-compared without white space at their ends.
-
-Equal lines are one distinct line, known by the place of its first copy. Each distinct line emits the hashes
-of its deletion neighbourhood: itself, and itself without each single character. A line and one with a
-character more meet in the variant that is the shorter line; two lines that differ in one character meet in
-the variant without it, at one position, which is part of the key. So all lines under one key are within one
-edit of the one they are compared with, only the earliest of a key matters, and a minimum takes the place of
-pairs. As the lines are distinct, a key has no more of them than there are characters and places to insert one.
-Each line and its earliest neighbours are then verified by edit distance.
-
-Only lines that can have a neighbour emit variants, so shorter ones than `NEAR_CHARS` never do: one edit leaves the first or second half of the shorter
-line as it is, so a line whose halves, together with their length, occur in no other line has none. This
-filter is exact and keeps the variants, as many as a line has characters, from all but a few lines.
+one edit of it (an inserted, deleted or replaced character) and both have at least `near_chars` characters: in
+fewer, an edit tells nothing, as all lines of one character are an edit apart. Lines are compared without space,
+tab, vertical tab, form feed and carriage return at their ends; a line of nothing else is blank and stays.
+
+Equal lines are one distinct line, known by the place of its first copy. A distinct line emits the hashes of its
+deletion neighbourhood: itself, and itself without each single character. A line and one with a character more
+meet in the variant that is the shorter line; two lines that differ in one character meet in the variant without
+it, at one position, which is part of the key. So all lines under one key are within one edit of the one they are
+compared with, only the earliest of a key matters, and a minimum takes the place of pairs. As the lines are
+distinct, a key has no more of them than there are characters and places to insert one. Each line and its
+earliest neighbours are then verified by edit distance.
+
+One edit leaves the first or the second half of the shorter line as it is. So the halves of all distinct lines
+are counted first, with the length of the shorter line; a line emits variants only where a half of it is shared
+with a line that it can be one edit from, and only at the places outside that half. This filter is exact and
+keeps the variants, as many as a line has characters, from all but a few lines.
 
 Defined results: null text stays null and has no lines; empty texts have one empty line, which stays; a null id
 comes after all others; rows with one id are ordered by a hash of their texts, and rows that repeat id and
 text are one document, with one result; the rest of the columns pass through; an empty table gives an empty
-result. A document may lose all its lines; its text is then empty, and it stays.
+result. A document may lose all its lines; its text is then empty, and it stays. Texts and lines of any length
+are read whole, a block of characters at a time where they emit variants.
 """
 
 from __future__ import annotations
@@ -35,118 +37,176 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meritgrid.llm.arrowtext import mix64
+from meritgrid.llm.arrowtext import mix64, slices
 from meritgrid.llm.components import cut
 from meritgrid.llm.frames import free_name, modest_batches
-from meritgrid.llm.fingerprints import INVERSES, PRIMES, PrefixHash, code_points
+from meritgrid.llm.fingerprints import INVERSES, POWERS, PRIMES, code_points
 
-MIN_WORDS = 5
-#: One edit counts between lines of so many characters, as many as the shortest line of `MIN_WORDS` words has.
-NEAR_CHARS = 2 * MIN_WORDS - 1
+#: One edit counts between lines of so many characters.
+NEAR_CHARS = 9
 #: At most so many rows of four numbers are broadcast; more are shuffled.
 BROADCAST_ROWS = 100_000
+#: Characters of one line, and variants of many, that are held at once.
+BLOCK_CHARS = 1 << 19
+_BATCH_LINES = 1 << 14
 _WHITE = " \t\x0b\x0c\r"
 _LAST = -(2**63)
 PLACE = ["void", "doc", "th", "line"]
+HALVES = ["own_head", "own_tail", "less_head", "less_tail"]
+#: What a shared half lets a line emit: variants at places after or before a half, as one of two equally long lines
+#: or as the longer one, and itself as the shorter one.
+SAME_AFTER, SAME_BEFORE, LONGER_AFTER, LONGER_BEFORE, SHORTER = 1, 2, 4, 8, 16
 
 
 def considered(line: str) -> str | None:
     """The line without white space at its ends, or None if it is blank."""
-    line = line.strip(_WHITE)
-    return line if line and not line.isspace() else None
+    return line.strip(_WHITE) or None
 
 
 def _signed(x: int) -> int:
     return x - 2**63
 
 
-def halves(line: str) -> list[int]:
-    """Hashes of the halves that this line and one with a character less, or as many, can have in common; none where
-    the shorter line is too short for an edit to count."""
-    out = []
+def halves(line: str, near_chars: int = NEAR_CHARS) -> list[int | None]:
+    """Hashes of both halves of a line, and of those that it shares with a line of a character less; null where the
+    shorter line is too short for an edit to count."""
+    out: list[int | None] = []
     for n in (len(line), len(line) - 1):
-        if n < NEAR_CHARS:
+        if n < near_chars:
+            out += [None, None]
             continue
         head, tail = line[: n // 2], line[len(line) - (n - n // 2) :]
         out += [_signed(xxhash.xxh3_64_intdigest(head.encode(), seed=2 * n)), _signed(xxhash.xxh3_64_intdigest(tail.encode(), seed=2 * n + 1))]
     return out
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [*PLACE, "h1", "h2", "halves"]
-    for whole in batches:
-        for start in range(0, whole.num_rows, 512):
-            batch = whole.slice(start, 512)
-            rows: list[tuple] = []
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+
+_PLACE_ARROW = [pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
+
+
+def _lines(near_chars: int):
+    names, types = [*PLACE, "h1", "h2", *HALVES], [*_PLACE_ARROW, *[pa.int64()] * 6]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in (part for b in batches for part in slices(b, "t")):
             for doc, text, th in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not text:
-                    continue
-                for number, line in enumerate(text.split("\n")):
+                for number, line in enumerate(text.split("\n") if text else ()):
                     if (line := considered(line)) is not None:
                         h = xxhash.xxh3_128_intdigest(line.encode())
-                        rows.append((doc is None, _LAST if doc is None else doc, th, number, _signed(h >> 64), _signed(h & (2**64 - 1)), halves(line)))
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
-            types = [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                        rows.append((doc is None, _LAST if doc is None else doc, th, number, _signed(h >> 64), _signed(h & (2**64 - 1)), *halves(line, near_chars)))
+                    if len(rows) >= _BATCH_LINES:
+                        yield _batch(rows, names, types)
+                        rows = []
+        yield _batch(rows, names, types)
+
+    return run
 
 
 def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (place, text) of the line numbers that are wanted of each document."""
-    for batch in batches:
+    """Rows (place, text, emits) of the lines that are wanted of each document."""
+    names, types = [*PLACE, "x", "emits"], [*_PLACE_ARROW, pa.string(), pa.int32()]
+    for batch in (part for b in batches for part in slices(b, "t")):
         rows = []
-        for void, doc, th, numbers, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for void, doc, th, wanted, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             lines = text.split("\n")
-            rows += [(void, doc, th, n, lines[n].strip(_WHITE)) for n in numbers]
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        types = [pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*PLACE, "x"])
+            rows += [(void, doc, th, w["line"], lines[w["line"]].strip(_WHITE), w["emits"]) for w in wanted]
+        yield _batch(rows, names, types)
+
 
+def _prefix_sums(codes: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The prefix sums modulo prime k of a line, a block of characters at a time, with each block's start."""
+    prime, carry, scale = PRIMES[k], np.uint64(0), np.uint64(1)
+    powers = POWERS[k].upto(min(len(codes), BLOCK_CHARS) + 1)
+    for start in range(0, len(codes), BLOCK_CHARS):
+        block = codes[start : start + BLOCK_CHARS].astype(np.uint64) + np.uint64(1)
+        local = np.cumsum(np.append(np.uint64(0), block * powers[: len(block)] % np.uint64(prime))) % np.uint64(prime)
+        sums = (carry + local * scale) % np.uint64(prime)
+        yield start, sums
+        carry, scale = sums[-1], scale * powers[len(block)] % np.uint64(prime)
 
-def neighbourhood(line: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a line's variants and their roles: 0 one character replaced, 1 the longer line, 2 the shorter."""
+
+def neighbourhood(line: str, emits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of a line's variants and their roles, a block at a time: 0 one character replaced, 1 the longer line, 2 the
+    shorter."""
     codes = code_points(line)
-    own = PrefixHash(codes)
-    n = len(codes)
-    parts = []
-    for k, prime in enumerate(PRIMES):
-        s, p = own.sums[k], np.uint64(prime)
-        after = (s[n] + p - s[1 : n + 1]) % p * np.uint64(INVERSES[k].upto(2)[1]) % p
-        parts.append(np.append((s[:n] + after) % p, s[n]))
-    values = mix64(parts[0] << np.uint64(31) | parts[1])
-    at = mix64(values[:n] + np.arange(1, n + 1).astype(np.uint64))
-    return np.concatenate([at, values]).view(np.int64), np.repeat(np.array([0, 1, 2], np.int8), [n, n, 1])
+    n, m = len(codes), len(codes) - 1
+    total = [0, 0]
+    for k in range(2):
+        for _, sums in _prefix_sums(codes, k):
+            total[k] = int(sums[-1])
+    if emits & SHORTER:
+        yield mix64(np.array([total[0] << 31 | total[1]], np.uint64)).view(np.int64), np.array([2], np.int8)
+    if not emits & (SAME_AFTER | SAME_BEFORE | LONGER_AFTER | LONGER_BEFORE):
+        return
+    for (start, first), (_, second) in zip(_prefix_sums(codes, 0), _prefix_sums(codes, 1), strict=True):
+        parts = []
+        for k, s in enumerate((first, second)):
+            prime = np.uint64(PRIMES[k])
+            after = (np.uint64(total[k]) + prime - s[1:]) % prime * INVERSES[k].upto(2)[1] % prime
+            parts.append((s[:-1] + after) % prime)
+        values = mix64(parts[0] << np.uint64(31) | parts[1])
+        at = np.arange(start, start + len(values))
+        same = (at >= n // 2) if emits & SAME_AFTER else np.zeros(len(at), bool)
+        same |= (at < n // 2) & bool(emits & SAME_BEFORE)
+        longer = (at >= m // 2) if emits & LONGER_AFTER else np.zeros(len(at), bool)
+        longer |= (at <= m // 2) & bool(emits & LONGER_BEFORE)
+        holes = mix64(values[same] + (at[same] + 1).astype(np.uint64))
+        keys = np.concatenate([holes, values[longer]]).view(np.int64)
+        yield keys, np.repeat(np.array([0, 1], np.int8), [int(same.sum()), int(longer.sum())])
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start in range(0, whole.num_rows, 64):
-            batch = whole.slice(start, 64)
-            found = [neighbourhood(x) for x in batch.column(4).to_pylist()]
-            row = np.repeat(np.arange(batch.num_rows), [len(k) for k, _ in found])
-            keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.int64)
-            roles = np.concatenate([r for _, r in found]) if found else np.zeros(0, np.int8)
-            places = [c.take(pa.array(row)) for c in batch.columns[:4]]
-            yield pa.RecordBatch.from_arrays([*places, pa.array(keys), pa.array(roles)], [*PLACE, "key", "role"])
+    for batch in (part for b in batches for part in slices(b, "x")):
+        row: list[int] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def made() -> pa.RecordBatch:
+            at = pa.array(np.repeat(np.array(row, np.int64), [len(k) for k, _ in found]))  # noqa: B023
+            keys = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in found)])  # noqa: B023
+            roles = np.concatenate([np.zeros(0, np.int8), *(r for _, r in found)])  # noqa: B023
+            return pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:4]), pa.array(keys), pa.array(roles)], [*PLACE, "key", "role"])  # noqa: B023
+
+        held = 0
+        for i, (x, emits) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+            for part in neighbourhood(x, emits):
+                row.append(i)
+                found.append(part)
+                held += len(part[0])
+                if held >= BLOCK_CHARS:
+                    yield made()
+                    row, found, held = [], [], 0
+        yield made()
 
 
 _PLACE_TYPES = "void boolean, doc long, th long, line int"
 
 
-def _place(*, of: str | None = None) -> Column:
-    return F.struct(*(F.col(f"{of}.{c}" if of else c) for c in PLACE))
+def _place() -> Column:
+    return F.struct(*map(F.col, PLACE))
 
 
 def near_copies(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Places of the distinct lines that an earlier one is within one edit of."""
-    keyed = distinct.select("h1", "h2", *PLACE, F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half")
-    able = cut(keyed.join(shared, "half", "left_semi").select(*PLACE).distinct(), "able")
-    wanted = able.groupBy("void", "doc", "th").agg(F.collect_set("line").alias("numbers"))
+    at, shorts, longs = F.col("at"), F.col("shorts"), F.col("longs")
+    keyed = distinct.select(*PLACE, F.posexplode(F.array(*HALVES)).alias("at", "half")).where("half is not null")
+    counts = keyed.groupBy("half").agg(F.count_if(at < 2).alias("shorts"), F.count_if(at >= 2).alias("longs"))
+    shared = counts.where((shorts > 1) | ((shorts > 0) & (longs > 0)))
+    same = F.when(shorts > 1, F.when(at == 0, SAME_AFTER).otherwise(SAME_BEFORE)).otherwise(0)
+    own = same.bitwiseOR(F.when(longs > 0, SHORTER).otherwise(0))
+    longer = F.when(shorts > 0, F.when(at == 2, LONGER_AFTER).otherwise(LONGER_BEFORE)).otherwise(0)
+    emits = keyed.join(shared, "half").select(*PLACE, F.when(at < 2, own).otherwise(longer).alias("emits")).where("emits > 0")
+    able = cut(emits.groupBy(*PLACE).agg(F.bit_or("emits").alias("emits")), "able")
+    wanted = able.groupBy(*PLACE[:3]).agg(F.collect_list(F.struct("line", "emits")).alias("wanted"))
     if able.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     keyed_docs = docs.where("t <> ''").select(F.col("doc").isNull().alias("void"), F.coalesce("doc", F.lit(_LAST)).alias("doc"), "th", "t")
     found = keyed_docs.join(wanted, PLACE[:3]).dropDuplicates(PLACE[:3])
-    texts = cut(found.select(*PLACE[:3], "numbers", "t").mapInArrow(_wanted_lines, f"{_PLACE_TYPES}, x string"), "texts")
+    texts = cut(found.select(*PLACE[:3], "wanted", "t").mapInArrow(_wanted_lines, f"{_PLACE_TYPES}, x string, emits int"), "texts")
     variants = texts.mapInArrow(_variants, f"{_PLACE_TYPES}, key long, role byte")
     role, here = F.col("role"), W.partitionBy("key")
     earliest = [F.min(F.when(role == r, _place())).over(here) for r in range(3)]
@@ -158,8 +218,10 @@ def near_copies(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def _rebuilt(at: int, width: int):
+    text_col = f"c{at}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+        for batch in (part for b in batches for part in slices(b, text_col)):
             made, all_lines, removed = [], [], []
             for text, kept in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
@@ -175,14 +237,19 @@ def _rebuilt(at: int, width: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the lines that stay, and how many there were and went: n_lines and n_removed, under free names."""
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near_chars: int | None = NEAR_CHARS) -> DataFrame:
+    """`docs` with the lines that stay, and how many there were and went: n_lines and n_removed, under free names.
+
+    `near_chars`: the least length at which one edit counts; None for equal lines only."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("th"))
-    lines = plain.mapInArrow(_lines, f"{_PLACE_TYPES}, h1 long, h2 long, halves array<long>")
-    places = lines.select("h1", "h2", "halves", _place().alias("p"))
-    distinct = cut(places.groupBy("h1", "h2", "halves").agg(F.min("p").alias("p")).select("h1", "h2", "halves", "p.*"), "distinct")
-    near = near_copies(plain, distinct)
-    kept = distinct.select(*PLACE).join(near, PLACE, "left_anti").groupBy("void", "doc", "th").agg(F.collect_list("line").alias("kept"))
+    longest = 2**31 if near_chars is None else max(near_chars, 2)
+    lines = plain.mapInArrow(_lines(longest), f"{_PLACE_TYPES}, h1 long, h2 long, {', '.join(f'{h} long' for h in HALVES)}")
+    first = F.min(F.struct(*PLACE, *HALVES)).alias("first")
+    distinct = cut(lines.groupBy("h1", "h2").agg(first).select("first.*"), "distinct")
+    kept = distinct.select(*PLACE)
+    if near_chars is not None:
+        kept = kept.join(near_copies(plain, distinct), PLACE, "left_anti")
+    kept = kept.groupBy(*PLACE[:3]).agg(F.collect_list("line").alias("kept"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text_col)
     own = docs.toDF(*names)

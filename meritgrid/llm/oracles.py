@@ -6,11 +6,11 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
 
 LINE_DEDUP = """WITH lines AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-  c AS (SELECT *, regexp_replace(raw, '^[ \\t\\x0b\\x0c\\r]+|[ \\t\\x0b\\x0c\\r]+$', '', 'g') AS x, len(regexp_extract_all(raw, '\\S+')) >= 5 AS judged FROM lines),
+  c AS (SELECT *, regexp_replace(raw, '^[ \\t\\x0b\\x0c\\r]+|[ \\t\\x0b\\x0c\\r]+$', '', 'g') AS x, NOT regexp_full_match(raw, '[ \\t\\x0b\\x0c\\r]*') AS judged FROM lines),
   d AS (SELECT x, min((doc_id, i)) AS f FROM c WHERE judged GROUP BY x),
-  v AS (SELECT x, f, p, hash(left(x, p - 1) || chr(0) || substr(x, p + 1)) AS hole, hash(left(x, p - 1) || substr(x, p + 1)) AS less FROM (SELECT x, f, unnest(generate_series(1, length(x))) AS p FROM d)),
+  v AS (SELECT x, f, p, hash(left(x, p - 1) || chr(0) || substr(x, p + 1)) AS hole, hash(left(x, p - 1) || substr(x, p + 1)) AS less FROM (SELECT x, f, unnest(generate_series(1, length(x))) AS p FROM d WHERE length(x) >= 9)),
   near AS (SELECT x FROM (SELECT x, f, min(f) OVER (PARTITION BY hole) AS m FROM v) WHERE m < f
-    UNION SELECT CASE WHEN v.f > d.f THEN v.x ELSE d.x END FROM v JOIN d ON v.less = hash(d.x)),
+    UNION SELECT CASE WHEN v.f > d.f THEN v.x ELSE d.x END FROM v JOIN d ON v.less = hash(d.x) AND length(d.x) >= 9),
   k AS (SELECT c.*, NOT judged OR ((doc_id, i) = d.f AND n.x IS NULL) AS stays FROM c LEFT JOIN d ON d.x = c.x LEFT JOIN near n ON n.x = c.x),
   t AS (SELECT doc_id, count(*) AS n, count(*) FILTER (NOT stays) AS gone, coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (stays), '') AS text FROM k GROUP BY doc_id)
 SELECT o.doc_id, coalesce(n, 0) AS n_lines, coalesce(gone, 0) AS n_removed, sha256(t.text) AS text_sha256, t.text AS text FROM documents o LEFT JOIN t ON t.doc_id = o.doc_id"""

@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import random
 
-from meritgrid.llm.line_dedup import MIN_WORDS, considered, dedup_lines, line_stage
+from meritgrid.llm import line_dedup
+from meritgrid.llm.line_dedup import NEAR_CHARS, considered, dedup_lines, line_stage
 from tests.llm.cases import awkward, empty, table
 
 
@@ -25,7 +26,7 @@ def brute_force(docs: list[tuple[int, str]]) -> dict[int, str]:
             if x is None:
                 kept.append(line)
                 continue
-            if not any(near(x, y) for y in seen):
+            if not any(x == y or (min(len(x), len(y)) >= NEAR_CHARS and near(x, y)) for y in seen):
                 kept.append(line)
             seen.append(x)
         out[doc] = "\n".join(kept)
@@ -59,7 +60,7 @@ def test_awkward_rows(spark):
     assert by[2] == [None] and by[3] == [""] and by[7] == [""] and by[5] == ["one"]
     assert by[1][0] == by[1][1] == by[1][2] != ""
     assert by[8].count("line one has five words here\nline two has five words here") == 1
-    assert MIN_WORDS == 5 and line_stage(spark, empty(spark), "").count() == 0
+    assert line_stage(spark, empty(spark), "").count() == 0
 
 
 def test_names_that_clash(spark):
@@ -72,3 +73,29 @@ def test_short_lines_and_lines_without_spaces(spark):
     rows = [(1, f"All rights reserved.\n\nx\n{long}\nCode: 12"), (2, f"All rights reserved. \n\nx\ny\n{long}一\nCode: 13\nCode: 12")]
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("\ny\nCode: 13", 4)}
+
+
+def test_variants_in_blocks(monkeypatch):
+    line, all_of = "the quick brown fox jumps over the lazy dog", line_dedup.SAME_AFTER | line_dedup.SAME_BEFORE | line_dedup.LONGER_AFTER | line_dedup.LONGER_BEFORE | line_dedup.SHORTER
+
+    def keys(x):
+        return sorted((int(k), int(r)) for ks, rs in line_dedup.neighbourhood(x, all_of) for k, r in zip(ks, rs, strict=True))
+
+    whole = keys(line)
+    assert len(whole) == 2 * len(line) + 1
+    monkeypatch.setattr(line_dedup, "BLOCK_CHARS", 7)
+    assert keys(line) == whole
+    by_role = {r: {k for k, s in keys(line[:9] + line[10:]) if s == r} for r in range(3)}
+    assert by_role[2] <= {k for k, r in whole if r == 1}
+
+
+def test_equal_lines_only(spark):
+    df = spark.createDataFrame([(1, "a line of some words\nb"), (2, "a line of same words\nb")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(df, near_chars=None).collect()}
+    assert got == {1: "a line of some words\nb", 2: "a line of same words"}
+
+
+def test_white_space_rule(spark):
+    rows = [(1, "\u00a0\n \t\na\u00a0b"), (2, "\u00a0\n \t\n a\u00a0b\x0c")]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: " \t"}
