@@ -26,12 +26,13 @@ SELECT n.doc_id, n.n AS n_shingles, min(c) AS component_id FROM n JOIN r ON r.id
 
 LM_SCORING = f"""WITH w AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS a FROM (SELECT doc_id, {_WORDS} AS ws FROM documents)),
   g AS (SELECT doc_id, i, a AS w1, lag(a) OVER d || ' ' || a AS w2, lag(a, 2) OVER d || ' ' || lag(a) OVER d || ' ' || a AS w3 FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-  c AS (SELECT *, count(*) OVER (PARTITION BY w1) AS c1, count(*) OVER (PARTITION BY w2) AS c2, count(*) OVER (PARTITION BY w3) AS c3, count(*) OVER () AS n FROM g),
-  p AS (SELECT doc_id, CASE WHEN w3 IS NOT NULL AND c3 >= 2 THEN ln(c3) - ln(lag(c2) OVER d)
-      WHEN w2 IS NOT NULL AND c2 >= 2 THEN ln(c2) - ln(lag(c1) OVER d) + CASE WHEN w3 IS NULL THEN 0 ELSE ln(0.4) END
-      ELSE ln(c1) - ln(n) + ln(0.4) * ((w2 IS NOT NULL)::INT + (w3 IS NOT NULL)::INT) END AS s FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+  c AS (SELECT *, count(*) OVER (PARTITION BY w1) - count(*) OVER (PARTITION BY w1, doc_id) AS c1, count(*) OVER (PARTITION BY w2) - count(*) OVER (PARTITION BY w2, doc_id) AS c2,
+      count(*) OVER (PARTITION BY w3) - count(*) OVER (PARTITION BY w3, doc_id) AS c3, count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n FROM g),
+  p AS (SELECT doc_id, CASE WHEN w3 IS NOT NULL AND c3 > 0 THEN ln(c3) - ln(lag(c2) OVER d)
+      WHEN w2 IS NOT NULL AND c2 > 0 THEN ln(c2) - ln(lag(c1) OVER d) + CASE WHEN w3 IS NULL THEN 0 ELSE ln(0.4) END
+      ELSE ln(greatest(c1, 1)) - ln(greatest(n, 1)) + ln(0.4) * ((w2 IS NOT NULL)::INT + (w3 IS NOT NULL)::INT) END AS s FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
   t AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM p GROUP BY doc_id)
-SELECT d.doc_id, coalesce(t.n, 0) AS n_words, round(coalesce(t.s, 0), 4) AS score, round(t.s / t.n, 6) AS mean FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id"""
+SELECT d.doc_id, coalesce(t.n, 0) AS n_words, round(coalesce(t.s, 0), 4) AS total, round(coalesce(t.s, 0) / greatest(coalesce(t.n, 0), 1), 6) AS score FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id"""
 
 EMBEDDING_DEDUP = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

@@ -7,24 +7,34 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from meritgrid.llm.lm_scoring import MIN_COUNT, backoff_scores, numbers, packed, unnumbers, unpacked
+from meritgrid.llm.lm_scoring import backoff_scores, numbers, packed, unnumbers, unpacked
 from tests.llm.cases import awkward, empty, prose, table
 
 
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def grams_of(w, order):
+    return Counter(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+
+
 def brute_force(docs, order):
-    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) for i, t in docs}
-    counts = Counter(tuple(w[i : i + k]) for w in words.values() for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    words = {i: words_of(t) for i, t in docs}
+    counts = sum((grams_of(w, order) for w in words.values()), Counter())
     total = sum(map(len, words.values()))
     out = {}
     for doc, w in words.items():
+        own = grams_of(w, order)
+        others = lambda g: counts[g] - own[g]  # noqa: B023, E731
         score = 0.0
         for i in range(len(w)):
             for k in range(min(i + 1, order), 0, -1):
                 gram = tuple(w[i - k + 1 : i + 1])
                 if k == 1:
-                    score += math.log(counts[gram] / total)
-                elif counts[gram] >= MIN_COUNT:
-                    score += math.log(counts[gram] / counts[gram[:-1]])
+                    score += math.log(max(others(gram), 1) / max(total - len(w), 1))
+                elif others(gram) > 0:
+                    score += math.log(others(gram) / others(gram[:-1]))
                     break
                 else:
                     score += math.log(0.4)
@@ -33,15 +43,24 @@ def brute_force(docs, order):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_against_brute_force(spark, order, monkeypatch):
-    from meritgrid.llm import lm_scoring
-
-    monkeypatch.setattr(lm_scoring, "GROUP_DOCS", 7)
-    docs = [(i, prose(i, i % 40)) for i in range(60)]
-    got = {r["id"]: (r["n_words"], r["score"]) for r in backoff_scores(spark.createDataFrame(docs, "doc_id long, text string"), order=order).collect()}
+def test_against_brute_force(spark, order):
+    docs = [(i, prose(i, i % 40)) for i in range(60)] + [(60, prose(3, 700)), (61, prose(5, 5)), (62, prose(9, 9) + " " + prose(9, 9))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
     want = brute_force(docs, order)
-    assert {i: n for i, (n, _) in got.items()} == {i: n for i, (n, _) in want.items()}
-    assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-6) for i in want)
+    for size in (800, None):
+        got = {r["id"]: (r["n_words"], r["total"]) for r in backoff_scores(df, order=order, group_bytes=size).collect()}
+        assert {i: n for i, (n, _) in got.items()} == {i: n for i, (n, _) in want.items()}
+        assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-6) for i in want)
+
+
+def test_long_texts(spark):
+    """Two texts of 20 MB and a short one: the long ones are groups of their own."""
+    long = prose(1, 4000) + " "
+    text = long * (20_000_000 // len(long))
+    df = spark.createDataFrame([(1, text), (2, text), (3, prose(1, 50))], "doc_id long, text string").repartition(3)
+    rows = {r["id"]: r for r in backoff_scores(df, group_bytes=4 << 20).collect()}
+    assert rows[1]["n_words"] == rows[2]["n_words"] > 3_000_000 and rows[1]["total"] == pytest.approx(rows[2]["total"])
+    assert rows[3]["score"] > -3
 
 
 def test_blocks():
@@ -53,5 +72,5 @@ def test_blocks():
 def test_awkward_rows(spark):
     rows = backoff_scores(table(spark)).collect()
     assert len(rows) == len(awkward())
-    assert all((r["mean"] is None) == (r["n_words"] == 0) for r in rows)
+    assert all(r["n_words"] or (r["total"], r["score"]) == (0, 0) for r in rows)
     assert backoff_scores(empty(spark)).count() == 0
