@@ -50,13 +50,13 @@ def shard(
     """One row per row of `docs`: id, size, text_crc32, shard, slot (position in the shard from 0)."""
     n = docs.count()
     buckets = max(1, min(-(-n // BUCKET_ROWS), MOST_BUCKETS))
-    unit = F.shiftrightunsigned(F.col("h"), 11) * F.lit(2.0**-53)
+    unit = F.shiftrightunsigned(F.col("h"), 10) * F.lit(2.0**-53)
     rows = docs.select(
         F.col(id_col).alias("id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8).alias("size"),
         F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("s"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 1).alias("h"),
     ).withColumn("b", F.floor(unit * buckets))
     ties = [F.col(c) for c in ("h", "id", "size", "text_crc32")]
     ranked = _number(rows, ["s"], "b", ties, "rank", "of")

@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from meritgrid.llm import language_id as lang
@@ -26,6 +31,29 @@ def test_quality_on_texts_it_did_not_learn_from(spark):
     assert np.mean([(r["score"] >= quality.THRESHOLD) == bool(r["quality"]) for r in scored]) >= 0.95
 
 
+def test_quality_against_plain_compression(spark):
+    """Each text block by block through plain compressors, then the curve."""
+    docs, labels = labelled(spark)
+    model = quality.fit(docs, quality.learnable(labels))
+
+    def size(dictionary: bytes, text: bytes) -> int:
+        total = 0
+        for i in range(0, len(text), quality.BLOCK):
+            d = zstandard.ZstdCompressionDict(dictionary)
+            packer = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
+            total += len(packer.compress(text[i : i + quality.BLOCK]))
+        return total
+
+    rows = [(i, t) for i, t in enumerate(["", "ok", prose(3, 300), "BUY !!! click | win | $$$ " * 40, "日本語 " * 200, prose(9, 2)])]
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        raw = text.encode()
+        good = size(model.good, raw)
+        x = ((size(model.bad, raw) - good) / len(raw), good / len(raw)) if raw else (0.0, 1.0)
+        z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale, strict=True))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), abs=1e-9)
+
+
 def test_quality_awkward_rows(spark):
     docs, labels = labelled(spark)
     model = quality.fit(docs, labels)
@@ -51,6 +79,62 @@ def test_language_on_texts_it_did_not_learn_from():
     assert foreign[0] < model.reject_below
 
 
+class PlainKneserNey:
+    """Interpolated Kneser-Ney of one language in dictionaries of strings."""
+
+    def __init__(self, texts: list[str], alphabet: int):
+        self.base = 1 / (1 + alphabet)
+        grams = [g for t in texts for g in self.grams(t)]
+        self.count = {lang.ORDER: Counter(grams)}
+        for n in range(lang.ORDER - 1, 0, -1):
+            self.count[n] = Counter(g[1:] for g in self.count[n + 1])
+        self.discount, self.total, self.types = {}, {}, {}
+        for n, count in self.count.items():
+            once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+            self.discount[n] = min(max(once / (once + 2 * twice), 0.05), 0.95) if twice else 0.5
+            self.total[n], self.types[n] = Counter(), Counter()
+            for g, c in count.items():
+                self.total[n][g[:-1]] += c
+                self.types[n][g[:-1]] += 1
+
+    @staticmethod
+    def grams(text: str) -> list[str]:
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        line = "".join(w + " " for w in letters.split())
+        return [(" " * (lang.ORDER - 1) + line)[i : i + lang.ORDER] for i in range(len(line))]
+
+    def p(self, gram: str) -> float:
+        n = len(gram)
+        if n == 0:
+            return self.base
+        lower, total = self.p(gram[1:]), self.total[n][gram[:-1]]
+        if not total:
+            return lower
+        return (max(self.count[n][gram] - self.discount[n], 0) + self.discount[n] * self.types[n][gram[:-1]] * lower) / total
+
+    def cross_entropy(self, text: str) -> float:
+        grams = self.grams(text)
+        return -sum(math.log2(self.p(g)) for g in grams) / max(len(grams), 1)
+
+
+def test_language_against_plain_kneser_ney(spark):
+    samples = bilingual()
+    model = lang.train(samples)
+    taught = {k: [t for i, t in enumerate(v) if i % 4] for k, v in samples.items()}
+    alphabet = len({g[-1] for v in taught.values() for t in v for g in PlainKneserNey.grams(t)})
+    plain = {k: PlainKneserNey(v, alphabet) for k, v in taught.items()}
+    texts = [prose(77, 40), prose(78, 3, FRENCH), "La rivière, 12 ponts -- under THE sky!", "zzz qqq", "é", "the", prose(5, 400) + "\n" + prose(5, 400, FRENCH)]
+    h, n, _, _ = model.cross_entropy(texts)
+    for i, text in enumerate(texts):
+        assert n[i] == len(PlainKneserNey.grams(text))
+        assert [h[i][k] for k in range(2)] == pytest.approx([plain[k].cross_entropy(text) for k in model.languages], abs=1e-4)
+    rows = list(enumerate([*texts, None, "", "123"]))
+    made = lang.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    best = {i: min(model.languages, key=lambda k: plain[k].cross_entropy(t)) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["lang_pred"] for r in made} == best | dict.fromkeys((7, 8, 9), "und")
+    assert all((r["score"] == 0) == (r["lang_pred"] == "und") and 0 <= r["score"] <= 1 for r in made)
+
+
 def test_language_model_is_a_distribution():
     """The probabilities of all characters after a context add up to about one, for seen and unseen contexts."""
     model = lang.train(bilingual())

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from meritgrid.llm.best_fit_packing import best_fit, pack
 from meritgrid.llm.sharding import shard
@@ -81,6 +82,41 @@ def test_shards_match_the_mixture(spark):
     assert sorted(map(tuple, shard(df.repartition(5), shards=7, seed=1).collect())) == sorted(map(tuple, out))
 
 
+def plain_shards(rows, shards, seed):
+    """Rank by seeded hash within the source, sort by fractional rank, cut."""
+
+    def order(row):
+        doc, text, source = row
+        h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), seed=42)
+        if doc is not None:
+            h = xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), seed=h)
+        body = (text or "").encode()
+        return h >> 1, (doc is not None, doc or 0), len(body) + 8, zlib.crc32(body)
+
+    by: dict[str, list] = {}
+    for row in rows:
+        by.setdefault("" if row[2] is None else f"={row[2]}", []).append(row)
+    line = []
+    for source, own in by.items():
+        own.sort(key=order)
+        line += [((i + 0.5) / len(own), source, order(row), row[0]) for i, row in enumerate(own)]
+    line.sort(key=lambda x: x[:3])
+    n, out = len(line), []
+    for at, (_, _, (_, _, size, crc), doc) in enumerate(line):
+        shard_of = at * shards // n
+        out.append((doc, size, crc, shard_of, at - -(-shard_of * n // shards)))
+    return out
+
+
+@pytest.mark.parametrize(("n", "shards", "seed"), [(1200, 7, 1), (1000, 24, 2024), (5, 24, 0)])
+def test_shards_against_plain_ranks(spark, n, shards, seed):
+    rows = [(i, prose(i, i % 30), None if i % 50 == 0 else "hot" if i % 3 == 0 else f"s{i % 7}") for i in range(n)]
+    rows += [(7, "again", "hot"), (7, "again", "hot"), (7, "other", "hot"), (8, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    key = lambda r: str(tuple(r))
+    assert sorted(map(tuple, shard(df, shards=shards, seed=seed).collect()), key=key) == sorted(plain_shards(rows, shards, seed), key=key)
+
+
 def test_shard_awkward_rows(spark):
     out = shard(table(spark), shards=3).collect()
     assert len(out) == len(awkward()) and {r["size"] for r in out if r["id"] == 2} == {8}

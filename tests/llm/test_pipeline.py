@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from meritgrid.llm.components import components
@@ -14,6 +16,32 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_components_of_random_graphs(spark, monkeypatch, most):
+    """Against a plain search; few edges at once and, with `most` 0, salted moves."""
+    from meritgrid.llm import components as module
+
+    monkeypatch.setattr(module, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(module, "EDGES_AT_ONCE", 8)
+    rng = random.Random(most)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1000 + (i * 7) % 64) for i in range(64)]
+    near: dict[int, set[int]] = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want: dict[int, int] = {}
+    for start in sorted(near):
+        todo = [start]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = start
+                todo += near[x]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    got = {r["id"]: r["component"] for r in components(df).collect()}
+    assert got == {i: c for i, c in want.items() if near[i] != {i}}
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("tables")
