@@ -7,10 +7,12 @@ quantises `PROJECTIONS` Gaussian projections of the normalised vector, shifted a
 0.93 two vectors share a cell of one table with probability 0.20, and of one of the `TABLES` with 0.999; more
 similar ones almost surely. Below the threshold nothing links.
 
-Equal vectors are one class, compared once. Cells of more than `TILE` classes are cut into tiles by a hash and
-each pair of tiles is one piece of work, so no cell is gathered in one task; a piece of work returns a number
-of links and a component for each class in it, not pairs. A pair that meets in several tables counts in the
-first of them.
+Equal vectors are one class, compared once. Cells that hold the same classes in several tables are one cell, that
+of the first table, so a group of near copies that stay together meets once, not in every table. Cells of more
+than `TILE` classes are cut into tiles by a hash and each pair of tiles is one piece of work, so no cell is
+gathered in one task; a piece of work returns a number of links and a component for each class in it, not pairs.
+A pair that meets in several cells counts in the first table that has it. Numbers of links ask for every pair of a
+group of near copies to be looked at: that is a matrix product, and the one term here that is not linear.
 
 Defined results: a vector that is null, empty or zero, or holds a null or a component that is not finite, and
 one without a label, links with nothing and is its own component; rows with one id and one vector are copies
@@ -25,14 +27,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meritgrid.llm.components import components, cut
+from meritgrid.llm.arrowtext import mix64
+from meritgrid.llm.components import components, cut, forest
 
 THRESHOLD = 0.93
 TABLES = 32
 PROJECTIONS = 10
 WIDTH = 2.0
-TILE = 256
+TILE = 2048
+#: Rows of a tile compared at once with the other tile.
+BLOCK = 512
 SEED = 93
 
 _planes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -60,83 +66,109 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each class its cells, in a column of `TABLES` numbers."""
-    for batch in batches:
-        by_size: dict[int, list[int]] = {}
-        raw = batch.column(batch.schema.get_field_index("v")).to_pylist()
-        for i, v in enumerate(raw):
-            by_size.setdefault(len(v), []).append(i)
-        for rows in by_size.values():
-            keys = cells(_unit(np.frombuffer(b"".join(raw[i] for i in rows)).reshape(len(rows), -1)))
-            ids = batch.column(batch.schema.get_field_index("rep")).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(list(keys), pa.list_(pa.int64()))], ["rep", "cells"])
-
-
-def _compare(table: int, inside: bool, a: tuple, b: tuple, threshold: float) -> list[tuple[int, int, int]]:
-    """(class, links, component) of the classes in one pair of tiles; a and b: ids, numbers of copies, vectors."""
-    left, right = _unit(a[2]), _unit(b[2])
-    near = left @ right.T >= threshold
-    if inside:
-        near = np.triu(near, 1)
-    x, y = np.nonzero(near)
-    if table and len(x):
-        first = ~(cells(left)[x, :table] == cells(right)[y, :table]).any(axis=1)
-        x, y = x[first], y[first]
-    if not len(x):
-        return []
-    links: dict[int, int] = {}
-    parent: dict[int, int] = {}
-
-    def root(i: int) -> int:
-        while parent.setdefault(i, i) != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i, j in zip(x.tolist(), y.tolist(), strict=True):
-        p, q = a[0][i], b[0][j]
-        links[p], links[q] = links.get(p, 0) + b[1][j], links.get(q, 0) + a[1][i]
-        p, q = root(p), root(q)
-        parent[max(p, q)] = min(p, q)
-    return [(i, n, root(i)) for i, n in links.items()]
-
-
-def _work(threshold: float):
+def _vectors(raw: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.float32 if width == 4 else np.float64).reshape(len(raw), -1).astype(np.float64)
+
+
+def _hashed(width: int):
+    """Rows (rep, table, key): of each class its cell in each table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            by_size: dict[int, list[int]] = {}
+            reps, groups, raw = (batch.column(i) for i in range(3))
+            raw = raw.to_pylist()
+            for i, v in enumerate(raw):
+                by_size.setdefault(len(v), []).append(i)
+            for rows in by_size.values():
+                at = cells(_unit(_vectors([raw[i] for i in rows], width))).view(np.uint64)
+                of = groups.take(pa.array(rows)).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+                tables = np.arange(TABLES, dtype=np.int32)
+                keys = mix64(mix64(of + tables.astype(np.uint64)) + at).view(np.int64)
+                ids = np.repeat(reps.take(pa.array(rows)).to_numpy(zero_copy_only=False), TABLES)
+                columns = [pa.array(ids), pa.array(np.tile(tables, len(rows))), pa.array(keys.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "table", "key"])
+
+    return run
+
+
+class _Side:
+    """The classes of one tile: ids, numbers of copies, groups, vectors."""
+
+    def __init__(self, rows: list[tuple], width: int):
+        self.ids, self.n, self.group = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        self.unit = _unit(_vectors([r[4] for r in rows], width))
+        self.links = np.zeros(len(rows), np.int64)
+        self.cells: np.ndarray | None = None
+
+    def in_table(self, t: int) -> np.ndarray:
+        if self.cells is None:
+            self.cells = cells(self.unit)
+        return self.cells[:, t]
+
+
+def _compare(table: int, inside: bool, a: _Side, b: _Side, threshold: float) -> list[tuple[np.ndarray, ...]]:
+    """(classes, links, components) of one pair of tiles, or of the pairs inside one."""
+    edges = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for start in range(0, len(a.ids), BLOCK):
+        part = slice(start, start + BLOCK)
+        near = (a.unit[part] @ b.unit.T >= threshold) & (a.group[part, None] == b.group[None, :])
+        if inside:
+            near = np.triu(near, start + 1)
+        x, y = np.nonzero(near)
+        x += start
+        met = np.zeros(len(x), bool)
+        for t in range(table if len(x) else 0):
+            met |= a.in_table(t)[x] == b.in_table(t)[y]
+        x, y = x[~met], y[~met]
+        np.add.at(a.links, x, b.n[y])
+        np.add.at(b.links, y, a.n[x])
+        edges.append(forest(a.ids[x], b.ids[y]))
+    child, parent = forest(*(np.concatenate(e) for e in zip(*edges, strict=True)))
+    out = []
+    for side in (a,) if inside else (a, b):
+        ids = side.ids[side.links > 0]
+        at = np.minimum(np.searchsorted(child, ids), max(len(child) - 1, 0))
+        root = np.where(child[at] == ids, parent[at], ids) if len(child) else ids
+        out.append((ids, side.links[side.links > 0], root))
+    return out
+
+
+def _work(threshold: float, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: list | None = None
         rows: list[tuple] = []
 
-        def done() -> list[tuple[int, int, int]]:
+        def done() -> list[tuple[np.ndarray, ...]]:
             if key is None or len(rows) < 2:
                 return []
-            table, i, j = key[1], key[3], key[4]
-            sides = [[r for r in rows if r[0] == s] for s in ((0,) if i == j else (0, 1))]
-            if not all(sides):
-                return []
-            a, b = (
-                ([r[1] for r in side], [r[2] for r in side], np.frombuffer(b"".join(r[3] for r in side)).reshape(len(side), -1))
-                for side in (sides[0], sides[-1])
-            )
-            return _compare(table, i == j, a, b, threshold)
+            inside = key[2] == key[3]
+            found = []
+            for size in sorted({len(r[4]) for r in rows}):
+                some = [r for r in rows if len(r[4]) == size]
+                left = _Side([r for r in some if r[0] == 0], width)
+                right = left if inside else _Side([r for r in some if r[0] == 1], width)
+                if len(left.ids) and len(right.ids):
+                    found += _compare(key[1], inside, left, right, threshold)
+            return found
 
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("group", "table", "cell", "i", "j", "side", "rep", "n", "v")]
-            for *now, side, rep, n, v in zip(*columns, strict=True):
+            out: list[tuple[np.ndarray, ...]] = []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "table", "i", "j", "side", "rep", "n", "group", "v")]
+            for *now, side, rep, n, group, v in zip(*columns, strict=True):
                 if now != key:
                     out += done()
                     key, rows = now, []
-                rows.append((side, rep, n, v))
+                rows.append((side, rep, n, group, v))
             yield _links(out)
         yield _links(done())
 
     return run
 
 
-def _links(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "links", "component"])
+def _links(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    columns = zip(*found, strict=True) if found else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in columns], ["rep", "links", "component"])
 
 
 def near_duplicates(
@@ -156,20 +188,24 @@ def near_duplicates(
         F.when(usable, F.xxhash64(F.col(label_col), F.size(v))).alias("group"),
         F.when(usable, v).alias("v"),
     )
-    packed = rows.where("same is not null and id is not null").mapInArrow(_packed, "id long, same string, group long, v binary")
+    element = vectors.schema[vector_col].dataType.elementType
+    width = 4 if isinstance(element, T.FloatType) else 8
+    packed = rows.where("same is not null and id is not null").mapInArrow(_packed(width), "id long, same string, group long, v binary")
     classes = cut(
         packed.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("group").alias("group"), F.first("v").alias("v")),
         "classes",
     )
-    spread = classes.select("rep", "v").mapInArrow(_hashed, "rep long, cells array<long>")
-    light = spread.select("rep", F.posexplode("cells").alias("table", "cell")).join(classes.select("rep", "group"), "rep")
-    crowded = light.groupBy("group", "table", "cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    tiles = F.ceil(F.col("m") / F.lit(TILE))
-    own = F.pmod(F.xxhash64("rep"), tiles)
-    met = light.join(crowded, ["group", "table", "cell"]).select("rep", "group", "table", "cell", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other"))
-    met = met.select("rep", "group", "table", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    work = ["group", "table", "cell", "i", "j"]
-    found = met.join(classes.select("rep", "n", "v"), "rep").repartition(*work).sortWithinPartitions(*work, "side", "rep").mapInArrow(_work(threshold), "rep long, links long, component long")
+    light = classes.select("rep", "group", "v").mapInArrow(_hashed(width), "rep long, table int, key long")
+    members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    crowded = light.groupBy("key").agg(F.min("table").alias("table"), F.count(F.lit(1)).alias("m"), *members).where("m > 1")
+    kept = crowded.groupBy("m", "x0", "x1").agg(F.min(F.struct("table", "key")).alias("f")).select("f.*", F.ceil(F.col("m") / F.lit(TILE)).cast("int").alias("tiles"))
+    own, tiles = F.col("own"), F.col("tiles")
+    met = light.select("rep", "key").join(kept, "key").withColumn("own", F.pmod(F.xxhash64("rep"), tiles).cast("int"))
+    met = met.select("rep", "key", "table", "own", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    met = met.select("rep", "key", "table", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(own <= F.col("other"), 0).otherwise(1).alias("side"))
+    work = ["key", "table", "i", "j"]
+    dealt = met.join(classes.select("rep", "n", "group", "v"), "rep").repartition(*work).sortWithinPartitions(*work, "side", "rep")
+    found = dealt.mapInArrow(_work(threshold, width), "rep long, links long, component long")
     found = cut(found, "links")
     grouped = components(found.select(F.col("rep").alias("a"), F.col("component").alias("b")))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -187,11 +223,16 @@ def near_duplicates(
     )
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as the bytes of their doubles."""
-    for batch in batches:
-        v = batch.column(batch.schema.get_field_index("v")).to_pylist()
-        yield batch.set_column(batch.schema.get_field_index("v"), "v", pa.array([np.array(x).tobytes() for x in v], pa.binary()))
+def _packed(width: int):
+    """Vectors as the bytes of their components, floats where the column has floats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("v")
+            made = [np.array(x, np.float32 if width == 4 else np.float64).tobytes() for x in batch.column(at).to_pylist()]
+            yield batch.set_column(at, "v", pa.array(made, pa.binary()))
+
+    return run
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
