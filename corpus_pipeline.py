@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage is written as Parquet into the session's shared folder and read again before the next, so a lost
-executor repeats a stage's tasks, not the pipeline. All stages but the last return the columns of `documents`.
+executor repeats a stage's tasks, not the pipeline; a stage's table goes once the next one is written. All stages
+but the last return the columns of `documents`. A document that loses all its lines to earlier ones stays as an
+empty text, is like no other, and is packed as a piece of size 0.
 """
 
 from __future__ import annotations
@@ -30,11 +32,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole `documents` table."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
