@@ -36,10 +36,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with about `limit` bytes of text each."""
+    """Cut a batch into runs of rows with about `limit` bytes of text (or elements of a list) each."""
     if batch.num_rows == 0:
         return
-    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)
+    column = batch.column(batch.schema.get_field_index(text))
+    sizes = pc.fill_null(pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column), 0)
     ends = np.cumsum(np.asarray(sizes, dtype=np.int64))
     start = 0
     while start < batch.num_rows:

@@ -9,7 +9,7 @@ A text of more than `capacity` bytes is cut: every full piece fills a bin alone,
 text has nothing that could conflict. Bitmaps are exact, not hashed: each group numbers its own sources, and
 the clusters that occur in it more than once, and uses as many 64-bit words as it needs.
 
-Documents are dealt by a hash of their id into groups of about `group_docs`, each packed in one task: the
+Documents are dealt by a hash of id and text into groups of about `group_docs`, each packed in one task: the
 group has the same size however large the table or one source is, only ids and sizes travel, and each group
 leaves at most a few bins unfilled.
 
@@ -107,7 +107,7 @@ def pack(
         size.alias("size"),
         F.when(size > 0, F.col(source_col).cast("string")).alias("source"),
         F.when(size > 0, cluster).alias("cluster"),
-        F.pmod(F.xxhash64(F.col(id_col), F.lit(8)), F.lit(groups)).alias("grp"),
+        F.pmod(F.xxhash64(F.col(id_col), F.lit(8), F.col(text_col)), F.lit(groups)).alias("grp"),
     )
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, piece long, start long, size long, bin_id long, bin_offset long"
 

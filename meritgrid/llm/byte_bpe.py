@@ -20,21 +20,26 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from meritgrid.llm.frames import modest_batches
+
+from meritgrid.llm.arrowtext import slices
+from meritgrid.llm.frames import free_name, modest_batches
 
 MOST_MEMOS = 400_000
 #: A longer piece is not memoised.
 LONGEST_MEMO = 64
+#: Ids of a text that are held at once where only their hash is asked for.
+IDS_AT_ONCE = 1 << 16
+#: A rank file is broadcast, so it has a bound.
+MOST_RANK_BYTES = 64 << 20
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -125,6 +130,19 @@ class ByteBpe:
             self.memo[piece] = ids
         return ids
 
+    def parts(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text of any length, some at a time."""
+        known, whole, learn = self.memo.get, self.whole.get, self._learn
+        ids: list[int] = []
+        for match in self.pattern.finditer(text):
+            piece = match[0]
+            ids += known(piece) or whole(piece) or learn(piece)
+            if len(ids) >= IDS_AT_ONCE:
+                yield ids
+                ids = []
+        if ids:
+            yield ids
+
     def encode(self, text: str) -> list[int]:
         known, whole, learn = self.memo.get, self.whole.get, self._learn
         return list(chain.from_iterable([known(p) or whole(p) or learn(p) for p in self.pattern.findall(text)]))
@@ -136,75 +154,80 @@ class ByteBpe:
 _coders: dict[tuple[str, str], ByteBpe] = {}
 
 
-def coder(name: str, pattern: str, content: bytes | None = None) -> ByteBpe:
-    """One per vocabulary and worker process; the rank file is the one that Spark sent along."""
-    if (name, pattern) not in _coders:
-        if content is None:
-            with open(SparkFiles.get(name), "rb") as f:
-                content = f.read()
-        _coders[name, pattern] = ByteBpe(read_ranks(content), pattern)
-    return _coders[name, pattern]
+class Ranks:
+    """A rank file on its way to the tasks: its content, broadcast, known by its hash."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        with open(path, "rb") as f:
+            content = f.read(MOST_RANK_BYTES + 1)
+        if len(content) > MOST_RANK_BYTES:
+            raise ValueError(f"the rank file has more than {MOST_RANK_BYTES} bytes")
+        self.digest = hashlib.sha256(content).hexdigest()
+        self.content: Broadcast = spark.sparkContext.broadcast(content)
+
+    def coder(self, pattern: str) -> ByteBpe:
+        """One per vocabulary, pattern and worker process."""
+        if (self.digest, pattern) not in _coders:
+            _coders[self.digest, pattern] = ByteBpe(read_ranks(self.content.value), pattern)
+        return _coders[self.digest, pattern]
 
 
-def _with_columns(df: DataFrame, made, fields: list[T.StructField], column: str) -> DataFrame:
+def _with_columns(df: DataFrame, made, fields: list[tuple[str, T.DataType]], column: str) -> DataFrame:
+    """`df` and the made columns, under free names."""
     at = df.columns.index(column)
+    added = [T.StructField(free_name(df, n), t) for n, t in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                columns = made(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *(f.name for f in fields)])
+        for part in (p for b in batches for p in slices(b, column)):
+            columns = made(part.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *(f.name for f in added)])
 
-    return df.mapInArrow(run, T.StructType([*df.schema, *fields]))
+    return df.mapInArrow(run, T.StructType([*df.schema, *added]))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """`docs` with the token ids of its texts."""
-    name = _sent(docs.sparkSession, ranks_path)
+    """`docs` with the token ids of its texts; a name that is taken gets a number."""
+    ranks = Ranks(docs.sparkSession, ranks_path)
 
     def made(texts: list[str | None]) -> list[pa.Array]:
-        own = coder(name, pattern)
+        own = ranks.coder(pattern)
         return [pa.array([own.encode(t or "") for t in texts], pa.list_(pa.int32()))]
 
-    return _with_columns(docs, made, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], text_col)
+    return _with_columns(docs, made, [(ids_col, T.ArrayType(T.IntegerType()))], text_col)
 
 
 def decode(rows: DataFrame, ranks_path: str, pattern: str, *, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """`rows` with the bytes of its token ids."""
-    name = _sent(rows.sparkSession, ranks_path)
+    """`rows` with the bytes of its token ids; a name that is taken gets a number."""
+    ranks = Ranks(rows.sparkSession, ranks_path)
 
     def made(ids: list[list[int] | None]) -> list[pa.Array]:
-        own = coder(name, pattern)
+        own = ranks.coder(pattern)
         return [pa.array([own.decode(i or []) for i in ids], pa.binary())]
 
-    return _with_columns(rows, made, [T.StructField(bytes_col, T.BinaryType())], ids_col)
+    return _with_columns(rows, made, [(bytes_col, T.BinaryType())], ids_col)
+
+
+def _digests(own: ByteBpe, text: str) -> tuple[int, str, str]:
+    n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
+    for ids in own.parts(text):
+        of_ids.update(("," if n else "").encode() + ",".join(map(str, ids)).encode())
+        of_bytes.update(own.decode(ids))
+        n += len(ids)
+    return n, of_ids.hexdigest(), of_bytes.hexdigest()
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text") -> DataFrame:
     """`docs` without its text, with n_tokens and the SHA-256 of the ids and of the bytes decoded from them; ids
-    do not leave the task."""
-    name = _sent(docs.sparkSession, ranks_path)
+    do not leave the task. A name that is taken gets a number."""
+    ranks = Ranks(docs.sparkSession, ranks_path)
 
     def made(texts: list[str | None]) -> list[pa.Array]:
-        own = coder(name, pattern)
-        ids = [own.encode(t or "") for t in texts]
-        return [
-            pa.array([len(i) for i in ids], pa.int64()),
-            pa.array([hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in ids]),
-            pa.array([hashlib.sha256(own.decode(i)).hexdigest() for i in ids]),
-        ]
-
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return _with_columns(docs, made, fields, text_col).drop(text_col)
+        own = ranks.coder(pattern)
+        found = [_digests(own, t or "") for t in texts]
+        return [pa.array([f[0] for f in found], pa.int64()), *(pa.array([f[k] for f in found], pa.string()) for k in (1, 2))]
 
-
-def _sent(spark: SparkSession, path: str) -> str:
-    """Sends the rank file to the executors once and returns its name there."""
-    name = re.split(r"[/\\]", path)[-1]
-    if not any(f.endswith(f"/{name}") for f in spark.sparkContext.listFiles):
-        spark.sparkContext.addFile(path)
-    return name
+    fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    return _with_columns(docs, made, fields, text_col).drop(text_col)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ of a text that they share. It is 1 for equal texts only.
 
 Defined results: null text counts as empty; empty texts have one fingerprint, like each other and nothing
 else; a text shorter than a span is one span; rows with equal ids follow each other in the order of their
-texts; a null id comes after all others; other columns are not read; an empty table gives an empty result,
+texts; a null id comes after all others; a task holds two texts at a time, with some 100 bytes for each code
+point of them; other columns are not read; an empty table gives an empty result,
 and a single document is its own next one.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritgrid.llm.arrowtext import mix64
+from meritgrid.llm.arrowtext import mix64, slices
 from meritgrid.llm.frames import modest_batches
 
 PRIMES = (2_147_483_647, 2_147_483_629)
@@ -173,8 +174,7 @@ def next_documents(docs: DataFrame, run, schema: str, *, id_col: str = "doc_id",
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting = None
     for whole in batches:
-        for start in range(0, whole.num_rows, 512):
-            batch = whole.slice(start, 512)
+        for batch in slices(whole, "t"):
             out: list[tuple] = []
             columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bucket", "guard", "id", "t")]
             for bucket, guard, doc, text in zip(*columns, strict=True):

@@ -11,7 +11,8 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def modest_batches(spark: SparkSession) -> None:
     """Whole documents are long rows: the usual ten thousand of them in a batch are tens of megabytes in every
-    task, on either side of the pipe. A setting that is lower already stays."""
+    task, on either side of the pipe. A setting that is lower already stays. The setting is the session's and is read
+    when a plan runs, after the query that asked for it has returned, so it is not put back."""
     if not 0 < int(spark.conf.get(_BATCH, "10000")) <= BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 

@@ -11,7 +11,7 @@ Letters are lower-cased, and each run of other characters counts as one space, s
 markup say nothing about the language. A text's first letter follows spaces only.
 
 The models are fitted on a bounded sample: at most `docs_per_lang` texts a language (those with the smallest
-hashes of their id) of at most `max_bytes` each. A quarter of it is kept out of the counts to calibrate: the
+hashes of their id) of at most `max_bytes` each, and `max_docs` in all. A quarter of it is kept out of the counts to calibrate: the
 fit and the margin of texts in their own language, and of the same texts as they look when their language is
 taken away, give a logistic curve for `score`, the probability that the chosen language is right; a text is
 rejected if its log odds lie `SLACK` below what all but one in a thousand of the former reach, and below
@@ -280,14 +280,18 @@ def fit(
     lang_col: str = "lang",
     docs_per_lang: int = 400,
     max_bytes: int = 65_536,
+    max_langs: int = 200,
+    max_docs: int = 6_400,
 ) -> LanguageModel:
     """Fit on a bounded sample; only ids travel until it is chosen, and of each language only those with hashes so
-    small that four times the sample is expected to have them."""
+    small that four times the sample is expected to have them. `max_docs` texts in all, of the `max_langs` languages
+    with the most documents, so the sample is bounded in a table with any number of languages, too."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     rows = rows.where(F.col("id").isNotNull() & F.col("l").isNotNull())
-    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()
     if not counts:
         return LanguageModel([])
+    docs_per_lang = max(1, min(docs_per_lang, max_docs // len(counts)))
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["l"], min(1.0, 4 * docs_per_lang / r["n"]))))
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     rows = rows.where((h < share[F.col("l")] * (1 << 40)) & F.octet_length("t").between(1, max_bytes))
@@ -310,6 +314,7 @@ def identify(
     """`docs` with the predicted language and its score; map only, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
+    lang_col, score_col = free_name(docs, lang_col), free_name(docs, score_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, text_col)):

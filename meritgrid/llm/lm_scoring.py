@@ -17,7 +17,7 @@ counts. Adding up blocks, and looking up a word's n-gram in its group's blocks,
 (`_answers`, `Group`); which blocks meet is left to Spark.
 
 A group takes texts of `group_bytes` in all. By default that is the root of the table's size times a constant, not
-under 4 MB, and there are as many partitions as groups: blocks then keep some hundred n-grams, and groups times
+under 8 MB, and there are as many partitions as groups: blocks then keep some hundred n-grams, and groups times
 partitions stays in proportion to the table (100 TB: 500,000 groups of 200 MB). A text over that size is a group of
 its own. A frequent n-gram or a hot source is one entry of a group's block.
 
@@ -43,11 +43,11 @@ from meritgrid.llm.frames import modest_batches
 ORDER = 3
 BACKOFF = float(np.log(0.4))
 #: Texts of a group: at least so many bytes, and the root of the table's bytes times so many.
-GROUP_BYTES, GROUP_GROWTH = 4 << 20, 400
+GROUP_BYTES, GROUP_GROWTH = 8 << 20, 400
 
 
-def _shrink(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def _shrink(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _grow(data: bytes) -> bytes:
@@ -81,7 +81,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by: dict[int, list[int]] = {}
             for i, g in enumerate(groups):
                 by.setdefault(g, []).append(i)
-            blobs = [_shrink(pickle.dumps([(ids[i], texts[i]) for i in rows])) for rows in by.values()]
+            blobs = [_shrink(pickle.dumps([(ids[i], texts[i]) for i in rows]), 3) for rows in by.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array(blobs, pa.binary())], ["grp", "docs"])
 
 

@@ -11,7 +11,8 @@ those with the smallest hashes of their id, of at most `max_bytes` each. Scoring
 
 Defined results: a null text scores as an empty one; an empty text gets the curve's value at no difference
 and a ratio of 1; rows are scored one by one, so ties and repeated rows are harmless and null ids or labels
-only keep a row out of the sample; extra columns pass through; an empty table gives an empty result. If
+only keep a row out of the sample; a document labelled both good and bad teaches neither; a name that is taken
+gets a number; extra columns pass through; an empty table gives an empty result. If
 either class has fewer than `MIN_DOCS` usable texts there is nothing to tell apart: every text then scores
 the share of good labels, or 1.0 without any label.
 """
@@ -138,6 +139,7 @@ def fit(
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")
     )
+    usable = usable.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     totals = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64(F.col("id")), F.col("id")
     ids = [
@@ -171,7 +173,7 @@ def fit(
 def score(docs: DataFrame, model: QualityModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`docs` and a column of scores from 0 to 1, higher for text like the good labels; map only, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at, score_col = docs.columns.index(text_col), free_name(docs, score_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, text_col)):

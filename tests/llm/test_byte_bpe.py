@@ -53,4 +53,34 @@ def test_awkward_rows(spark, coders):
     ids = encode(table(spark), PATH, public_tokenizers.PATTERN, ids_col="made")
     back = decode(ids, PATH, public_tokenizers.PATTERN, ids_col="made", bytes_col="out").collect()
     assert all(bytes(r["out"]) == (r["text"] or "").encode() for r in back)
+    twice = decode(encode(ids.withColumnRenamed("made", "ids"), PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)
+    assert twice.columns[-3:] == ["ids", "ids_1", "decoded"] and twice.count() == len(awkward())
+    clash = round_trip(ids.withColumnRenamed("made", "N_tokens"), PATH, public_tokenizers.PATTERN)
+    assert clash.columns[-4:] == ["N_tokens", "n_tokens_1", "ids_sha256", "decoded_sha256"]
     assert round_trip(empty(spark), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_long_texts_in_parts(coders, monkeypatch):
+    from meritgrid.llm import byte_bpe
+
+    own, reference = coders
+    text = "The river, 12 bridges; über 300 Boote.\n" * 40_000
+    ids = reference.encode_ordinary(text)
+    want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert byte_bpe._digests(own, text) == want
+    monkeypatch.setattr(byte_bpe, "IDS_AT_ONCE", 7)
+    assert byte_bpe._digests(own, text[:2000])[0] == len(reference.encode_ordinary(text[:2000]))
+
+
+def test_rank_files_of_one_name(spark, tmp_path):
+    """Two files with the same name are two vocabularies."""
+    import base64
+
+    df = spark.createDataFrame([(1, "abab")], "id long, text string")
+    got = []
+    for i, tokens in enumerate(([b"a", b"b"], [b"a", b"b", b"ab"])):
+        folder = tmp_path / str(i)
+        folder.mkdir()
+        (folder / "ranks.tiktoken").write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % r for r, t in enumerate(tokens)))
+        got.append(encode(df, str(folder / "ranks.tiktoken"), r"\w+").first()["ids"])
+    assert got == [[0, 1, 0, 1], [2, 2]]

@@ -62,6 +62,9 @@ def test_quality_awkward_rows(spark):
     assert len(rows) == len(awkward()) and all(0 <= r["made"] <= 1 for r in rows)
     assert len({r["made"] for r in rows if not r["text"]}) == 1
     assert quality.score(empty(spark), model, score_col="made").count() == 0
+    assert quality.score(table(spark), model).columns == [*table(spark).columns, "score_1"]
+    both = labels.unionByName(labels.where("doc_id < 60").selectExpr("doc_id", "1 - quality AS quality"))
+    assert quality.fit(docs, both) == quality.fit(docs, labels.where("doc_id >= 60"))
     none = quality.fit(docs, labels.where("false"))
     assert {r["made"] for r in quality.score(table(spark), none, score_col="made").collect()} == {1.0}
 
@@ -161,6 +164,9 @@ def test_language_awkward_rows(spark):
     out = lang.identify(table(spark), model, lang_col="made", score_col="made_score").collect()
     assert len(out) == len(awkward())
     by = {r["doc_id"]: r["made"] for r in out}
+    assert lang.identify(table(spark), model).columns[-2:] == ["lang_pred_1", "score_1"]
+    few = lang.fit(spark.createDataFrame([(i, prose(i, 9), f"l{i % 9}") for i in range(90)], "doc_id long, text string, lang string"), max_langs=3, max_docs=12)
+    assert len(few.languages) == 3
     assert by[2] == by[3] == by[4] == by[11] == "und" and by[1] == "en"
     kept = lang.language_stage(spark, table(spark), "")
     assert kept.columns == table(spark).columns and 1 in [r["doc_id"] for r in kept.collect()]

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from meritgrid.llm.components import components
-from tests.llm.cases import prose
+from tests.llm.cases import empty, prose, table
 
 
 def test_components(spark):
@@ -79,3 +79,17 @@ def test_stages(spark, folder):
     assert 0 in kept and not [i for i in kept if i % 6 == 4 and i > 4 and i - 4 in kept]
     assert {r["doc_id"] for r in seen["best_fit_packing"]} == kept
     assert corpus_pipeline.run(spark, folder).count() == n[4]
+
+
+def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for name, rows in (("awkward", table(spark)), ("empty", empty(spark))):
+        folder = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, None, 1), (None, 1, 0), (1, 1, 1), (5, 0, None), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            out = function(spark, docs, folder)
+            assert out.columns == docs.columns and out.count() <= docs.count(), stage
+        n = corpus_pipeline.run(spark, folder).count()
+        assert n == 0 if name == "empty" else n > 0
