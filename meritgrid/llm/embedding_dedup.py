@@ -39,6 +39,8 @@ WIDTH = 2.0
 TILE = 2048
 #: Rows of a tile compared at once with the other tile.
 BLOCK = 512
+#: Cells of up to so many classes are compared together, so many pairs at once.
+SMALL, PAIRS_AT_ONCE = 64, 1 << 14
 SEED = 93
 
 _planes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -92,76 +94,154 @@ def _hashed(width: int):
     return run
 
 
-class _Side:
-    """The classes of one tile: ids, numbers of copies, groups, vectors."""
+class _Rows:
+    """Rows of cells or tiles as arrays: key, table, i, j, side, class, number of copies, group, vector."""
 
-    def __init__(self, rows: list[tuple], width: int):
-        self.ids, self.n, self.group = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-        self.unit = _unit(_vectors([r[4] for r in rows], width))
-        self.links = np.zeros(len(rows), np.int64)
-        self.cells: np.ndarray | None = None
+    def __init__(self, columns: list[np.ndarray]):
+        self.columns = columns
+        self.key, self.table, self.i, self.j, self.side, self.ids, self.n, self.group, self.raw = columns
+        self.located: np.ndarray | None = None
 
-    def in_table(self, t: int) -> np.ndarray:
-        if self.cells is None:
-            self.cells = cells(self.unit)
-        return self.cells[:, t]
+    def where(self, rows: np.ndarray | slice) -> _Rows:
+        return _Rows([c[rows] for c in self.columns])
 
+    def with_vectors(self, width: int) -> _Rows:
+        self.unit = _unit(_vectors(list(self.raw), width))
+        return self
 
-def _compare(table: int, inside: bool, a: _Side, b: _Side, threshold: float) -> list[tuple[np.ndarray, ...]]:
-    """(classes, links, components) of one pair of tiles, or of the pairs inside one."""
-    edges = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    def in_table(self, t: int) -> np.ndarray:
+        if self.located is None:
+            self.located = np.ascontiguousarray(cells(self.unit).T)
+        return self.located[t]
+
+
+def _named(ids: np.ndarray, child: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Of each id its root in a forest."""
+    if not len(child):
+        return ids
+    at = np.minimum(np.searchsorted(child, ids), len(child) - 1)
+    return np.where(child[at] == ids, parent[at], ids)
+
+
+def _small(rows: _Rows, threshold: float) -> tuple[np.ndarray, ...]:
+    """(classes, links, components) of many small cells, one after the other."""
+    n = len(rows.key)
+    first = np.flatnonzero(np.append(True, (rows.key[1:] != rows.key[:-1]) | (rows.i[1:] != rows.i[:-1])))
+    sizes = np.diff(np.append(first, n))
+    after = np.repeat(first + sizes, sizes) - np.arange(n) - 1
+    ends = np.cumsum(after)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for start in range(0, int(ends[-1]), PAIRS_AT_ONCE):
+        pair = np.arange(start, min(start + PAIRS_AT_ONCE, int(ends[-1])))
+        x = np.searchsorted(ends, pair, side="right")
+        y = x + 1 + pair - (ends[x] - after[x])
+        ok = (np.einsum("ij,ij->i", rows.unit[x], rows.unit[y]) >= threshold) & (rows.group[x] == rows.group[y])
+        found.append((x[ok], y[ok]))
+    x, y = (np.concatenate(f) for f in zip(*found, strict=True))
+    if len(x):
+        used, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        of = cells(rows.unit[used])
+        met = (of[at[: len(x)]] == of[at[len(x) :]]) & (np.arange(TABLES) < rows.table[x][:, None])
+        x, y = x[~met.any(axis=1)], y[~met.any(axis=1)]
+    ids, at = np.unique(np.concatenate([rows.ids[x], rows.ids[y]]), return_inverse=True)
+    links = np.bincount(at, np.concatenate([rows.n[y], rows.n[x]]), len(ids)).astype(np.int64)
+    return ids, links, _named(ids, *forest(rows.ids[x], rows.ids[y]))
+
+
+def _near(table: int, inside: bool, a: _Rows, b: _Rows, threshold: float) -> np.ndarray:
+    """Which pairs of two tiles link and meet in no table before this one; of pairs inside one tile both ways."""
+    near = np.zeros((len(a.ids), len(b.ids)), bool)
     for start in range(0, len(a.ids), BLOCK):
         part = slice(start, start + BLOCK)
-        near = (a.unit[part] @ b.unit.T >= threshold) & (a.group[part, None] == b.group[None, :])
+        block = (a.unit[part] @ b.unit.T >= threshold) & (a.group[part, None] == b.group[None, :])
         if inside:
-            near = np.triu(near, start + 1)
-        x, y = np.nonzero(near)
-        x += start
-        met = np.zeros(len(x), bool)
-        for t in range(table if len(x) else 0):
-            met |= a.in_table(t)[x] == b.in_table(t)[y]
-        x, y = x[~met], y[~met]
-        np.add.at(a.links, x, b.n[y])
-        np.add.at(b.links, y, a.n[x])
-        edges.append(forest(a.ids[x], b.ids[y]))
-    child, parent = forest(*(np.concatenate(e) for e in zip(*edges, strict=True)))
+            block = np.triu(block, start + 1)
+        if table and np.count_nonzero(block) * 8 > block.size:
+            for t in range(table):
+                block &= a.in_table(t)[part, None] != b.in_table(t)[None, :]
+        elif table and block.any():
+            x, y = np.nonzero(block)
+            met = np.zeros(len(x), bool)
+            for t in range(table):
+                met |= a.in_table(t)[x + start] == b.in_table(t)[y]
+            block[x[met], y[met]] = False
+        near[part] = block
+    return near | near.T if inside else near
+
+
+def _joined(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and column of a matrix of links its component, named by the smallest of the ids of both."""
+    if np.count_nonzero(near) * 32 > near.size:
+        most = np.iinfo(np.int64).max
+        for _ in range(8):
+            before = left, right
+            left = np.minimum(left, np.where(near, right[None, :], most).min(axis=1))
+            right = np.minimum(right, np.where(near, left[:, None], most).min(axis=0))
+            if (left == before[0]).all() and (right == before[1]).all():
+                return left, right
+    x, y = np.nonzero(near)
+    tree = forest(left[x], right[y])
+    return _named(left, *tree), _named(right, *tree)
+
+
+def _compare(table: int, inside: bool, a: _Rows, b: _Rows, threshold: float) -> list[tuple[np.ndarray, ...]]:
+    """(classes, links, components) of one pair of tiles, or of the pairs inside one."""
+    near = _near(table, inside, a, b, threshold)
+    if not near.any():
+        return []
+    links = [near.astype(np.float32) @ b.n.astype(np.float64), near.T.astype(np.float32) @ a.n.astype(np.float64)]
+    roots = _joined(near, a.ids, b.ids)
     out = []
-    for side in (a,) if inside else (a, b):
-        ids = side.ids[side.links > 0]
-        at = np.minimum(np.searchsorted(child, ids), max(len(child) - 1, 0))
-        root = np.where(child[at] == ids, parent[at], ids) if len(child) else ids
-        out.append((ids, side.links[side.links > 0], root))
+    for side, n, root in zip((a,) if inside else (a, b), links, roots, strict=False):
+        some = n > 0
+        out.append((side.ids[some], n[some].astype(np.int64), root[some]))
     return out
 
 
 def _work(threshold: float, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: list | None = None
-        rows: list[tuple] = []
-
-        def done() -> list[tuple[np.ndarray, ...]]:
-            if key is None or len(rows) < 2:
-                return []
-            inside = key[2] == key[3]
-            found = []
-            for size in sorted({len(r[4]) for r in rows}):
-                some = [r for r in rows if len(r[4]) == size]
-                left = _Side([r for r in some if r[0] == 0], width)
-                right = left if inside else _Side([r for r in some if r[0] == 1], width)
-                if len(left.ids) and len(right.ids):
-                    found += _compare(key[1], inside, left, right, threshold)
-            return found
+    """Rows (rep, links, component) out of rows sorted by cell and pair of tiles, side and class."""
+
+    def done(rows: _Rows) -> Iterator[tuple[np.ndarray, ...]]:
+        """Of rows that end where a cell or pair of tiles ends."""
+        new = (rows.key[1:] != rows.key[:-1]) | (rows.i[1:] != rows.i[:-1]) | (rows.j[1:] != rows.j[:-1])
+        first = np.flatnonzero(np.append(True, new))
+        sizes = np.diff(np.append(first, len(rows.key)))
+        small = (sizes <= SMALL) & (rows.i[first] == rows.j[first])
+        bytes_of = np.fromiter(map(len, rows.raw), np.int64, len(rows.raw))
+        for size in np.unique(bytes_of):
+            some = rows.where(np.repeat(small, sizes) & (bytes_of == size))
+            if len(some.key):
+                yield _small(some.with_vectors(width), threshold)
+            for start, n in zip(first[~small].tolist(), sizes[~small].tolist(), strict=True):
+                tile = rows.where(slice(start, start + n))
+                tile = tile.where(bytes_of[start : start + n] == size)
+                if len(tile.key) > 1:
+                    inside = tile.i[0] == tile.j[0]
+                    left = tile.where(tile.side == 0)
+                    right = tile.where(tile.side == 1)
+                    if len(left.key) and (inside or len(right.key)):
+                        left.with_vectors(width)
+                        yield from _compare(int(tile.table[0]), inside, left, left if inside else right.with_vectors(width), threshold)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            out: list[tuple[np.ndarray, ...]] = []
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "table", "i", "j", "side", "rep", "n", "group", "v")]
-            for *now, side, rep, n, group, v in zip(*columns, strict=True):
-                if now != key:
-                    out += done()
-                    key, rows = now, []
-                rows.append((side, rep, n, group, v))
-            yield _links(out)
-        yield _links(done())
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(columns[0]):
+                continue
+            last = tuple(c[-1] for c in (columns[0], columns[2], columns[3]))
+            open_from = int(np.flatnonzero(~((columns[0] == last[0]) & (columns[2] == last[1]) & (columns[3] == last[2])))[-1:].sum() + 1)
+            if all((columns[k] == v).all() for k, v in zip((0, 2, 3), last, strict=True)):
+                open_from = 0
+            if held and (open_from or tuple(held[-1][k][-1] for k in (0, 2, 3)) != last):
+                whole = [np.concatenate(c) for c in zip(*held, [c[:open_from] for c in columns], strict=True)]
+                yield _links(list(done(_Rows(whole))))
+                held = []
+            elif open_from:
+                yield _links(list(done(_Rows([c[:open_from] for c in columns]))))
+            held.append([c[open_from:] for c in columns])
+        if held:
+            yield _links(list(done(_Rows([np.concatenate(c) for c in zip(*held, strict=True)]))))
 
     return run
 
@@ -204,7 +284,7 @@ def near_duplicates(
     met = met.select("rep", "key", "table", "own", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
     met = met.select("rep", "key", "table", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(own <= F.col("other"), 0).otherwise(1).alias("side"))
     work = ["key", "table", "i", "j"]
-    dealt = met.join(classes.select("rep", "n", "group", "v"), "rep").repartition(*work).sortWithinPartitions(*work, "side", "rep")
+    dealt = met.join(classes.select("rep", "n", "group", "v"), "rep").select(*work, "side", "rep", "n", "group", "v").repartition(*work).sortWithinPartitions(*work, "side", "rep")
     found = dealt.mapInArrow(_work(threshold, width), "rep long, links long, component long")
     found = cut(found, "links")
     grouped = components(found.select(F.col("rep").alias("a"), F.col("component").alias("b")))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from meritgrid.llm import embedding_dedup as e
 
@@ -36,9 +37,11 @@ def test_against_brute_force(spark):
     assert there > 300 and found >= 0.99 * there and all(got[i][0] <= want[i][0] for i in got)
 
 
-def test_tiles(spark, monkeypatch):
+@pytest.mark.parametrize(("tile", "small"), [(16, 4), (16, 64), (500, 4), (500, 200)])
+def test_tiles(spark, monkeypatch, tile, small):
     """One cell of many distinct vectors, cut into tiles."""
-    monkeypatch.setattr(e, "TILE", 16)
+    monkeypatch.setattr(e, "TILE", tile)
+    monkeypatch.setattr(e, "SMALL", small)
     rng = np.random.default_rng(2)
     base = rng.standard_normal(16)
     rows = [(i, (base + rng.standard_normal(16) * 0.05).tolist(), 1, 0, 0, "") for i in range(120)]
