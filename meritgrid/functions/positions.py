@@ -1,18 +1,32 @@
-"""Exact positions in a global order, and percentiles made of them, without gathering the rows in one task."""
+"""Exact positions and running sums in a global order, and percentiles made of them, without gathering the rows in
+one task."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows looked at to choose the bounds of the buckets, and the most buckets.
-SAMPLE_ROWS = 4096
-BUCKETS = 256
-#: Of a table that small one bucket is made, without a look at its rows.
-SMALL_ROWS = 20_000
+#: Rows that a bucket has about, the most buckets, and rows looked at for each to choose the bounds.
+BUCKET_ROWS, BUCKETS, SAMPLED = 20_000, 256, 16
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one in the warehouse in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` worked out once and kept in the shared folder, for what is read several times."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
 
 
 def _tree(bounds: list, low: int, high: int, below) -> Column:
@@ -23,36 +37,79 @@ def _tree(bounds: list, low: int, high: int, below) -> Column:
     return F.when(below(bounds[middle]), _tree(bounds, low, middle, below)).otherwise(_tree(bounds, middle + 1, high, below))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "position", total: str = "n_rows") -> DataFrame:
-    """`df` with each row's 1-based position by the ascending columns `order`, nulls first, and the number of rows.
+def _below(order: list[str], bound: tuple) -> Column:
+    """Whether a row stands before a bound; a null stands before all else."""
+    tests, equal = [], F.lit(True)
+    for column, value in zip(order, bound, strict=True):
+        if value is None:
+            equal = equal & F.col(column).isNull()
+        else:
+            tests.append(equal & (F.col(column).isNull() | (F.col(column) < F.lit(value))))
+            equal = equal & F.coalesce(F.col(column) == F.lit(value), F.lit(False))
+    return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
+
+
+def _bounds(rows: DataFrame, order: list[str], n: int) -> list[tuple]:
+    """Bounds of about as many buckets as the rows need, from those rows that have the smallest hashes. They decide how
+    even the buckets are, never the result. Several columns make a bound, so a frequent first value is cut by the next."""
+    buckets = min(BUCKETS, n // BUCKET_ROWS)
+    if buckets < 2:
+        return []
+    sample = rows.select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLED * buckets).collect()
+    keys = sorted({tuple(r) for r in sample}, key=lambda k: tuple((v is not None, v) for v in k))
+    step = max(1, len(keys) // buckets)
+    return keys[step::step]
 
-    Bounds from a bounded sample (the rows with the smallest hashes) cut the order into buckets, the buckets
-    are counted, and rows are numbered within their bucket. The bounds decide how even the buckets are, never
-    the result. Several columns make a bound, so a frequent first value is cut by the next ones.
+
+def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """`df` with, for each of `sums`, its total over all rows that stand before a row by the ascending columns `order`,
+    nulls first. The order must be strict, or rows of equal place see each other in any order.
+
+    Rows fall into buckets of the order, buckets are added up, and rows are summed inside their bucket. The input is
+    worked out once, since it is looked at four times. At 10^10 rows a bucket has 40 million, which a task sorts with
+    spilling.
     """
-    n = df.count()
-    bounds: list = []
-    if n > SMALL_ROWS:
-        rows = df.select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLE_ROWS).collect()
-        keys = sorted({tuple(r) for r in rows if None not in tuple(r)})
-        step = max(1, len(keys) // BUCKETS)
-        bounds = keys[step::step]
-
-    def below(bound: tuple) -> Column:
-        tests, equal = [], F.lit(True)
-        for column, value in zip(order, bound, strict=True):
-            tests.append(equal & (F.col(column).isNull() | (F.col(column) < F.lit(value))))
-            equal = equal & (F.col(column) == F.lit(value))
-        return reduce(lambda a, b: a | b, tests)
+    rows = settled(df.withColumns({f"_of_{n}": c for n, c in sums.items()}))
+    bounds = _bounds(rows, order, rows.count())
+    bucketed = rows.withColumn("_bucket", _tree(bounds, 0, len(bounds), lambda b: _below(order, b)))
+    totals = bucketed.groupBy("_bucket").agg(*(F.sum(f"_of_{n}").alias(f"_in_{n}") for n in sums))
+    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("_bucket", *(F.coalesce(F.sum(f"_in_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums))
+    inside = W.partitionBy("_bucket").orderBy(*(F.col(c).asc_nulls_first() for c in order)).rowsBetween(W.unboundedPreceding, -1)
+    own = bucketed.withColumns({n: F.coalesce(F.sum(f"_of_{n}").over(inside), F.lit(0)) for n in sums})
+    joined = own.join(F.broadcast(offsets), "_bucket")  # a row a bucket
+    out = joined.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in sums})
+    return out.select(*(c for c in df.columns if c not in sums), *sums)
 
-    bucketed = df.withColumn("_bucket", _tree(bounds, 0, len(bounds), below))
+
+def numbered(df: DataFrame, order: list[str], name: str = "position", total: str = "n_rows") -> DataFrame:
+    """`df` with each row's 1-based position by the ascending columns `order`, nulls first, and the number of rows.
+
+    As `running_sums`, with rows counted."""
+    rows = settled(df)
+    n = rows.count()
+    bounds = _bounds(rows, order, n)
+    bucketed = rows.withColumn("_bucket", _tree(bounds, 0, len(bounds), lambda b: _below(order, b)))
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_bucket", (F.sum("_n").over(W.orderBy("_bucket")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(W.partitionBy("_bucket").orderBy(*(F.col(c).asc_nulls_first() for c in order)))
-    joined = bucketed.withColumn("_own", own).join(F.broadcast(offsets), "_bucket")
+    joined = bucketed.withColumn("_own", own).join(F.broadcast(offsets), "_bucket")  # a row a bucket
     return joined.withColumn(name, F.col("_before") + F.col("_own")).withColumn(total, F.lit(n).cast("long")).drop("_bucket", "_own", "_before")
 
 
+def order_statistics(df: DataFrame, keys: list[str], order: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """(keys, and for each of `places` the value there): a place is a 0-based index into a key's rows, given as a column
+    of `_n`, their number. A key may have any share of all rows: they are numbered in one order with the key in front,
+    and a place is looked up by its number."""
+    rows = df.select(*keys, *order, *([value] if value not in order else []))
+    placed = settled(numbered(rows, [*keys, *order], "_at", "_all"))
+    groups = placed.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("_k"), (F.col("_first") + p).cast("long").alias("_at")) for k, p in places.items())))
+    asked = groups.select(*keys, wanted.alias("w")).select(*keys, "w._k", "w._at")
+    found = asked.join(placed.select("_at", F.col(value).alias("_value")), "_at")
+    return found.groupBy(*keys).agg(*(F.max(F.when(F.col("_k") == k, F.col("_value"))).alias(k) for k in places))
+
+
 def midpoint_percentile(df: DataFrame, score: str, key: str, name: str = "percentile") -> DataFrame:
     """(i + 1/2) / n by ascending score, ties by key; i counts from 0."""
     out = numbered(df, [score, key], "_p", "_of")
@@ -66,30 +123,10 @@ def span_percentile(df: DataFrame, score: str, key: str, name: str = "percentile
 
 
 def below_share(df: DataFrame, score: str, name: str = "percentile", digits: int = 4) -> DataFrame:
-    """The share of rows with a strictly lower score; counted by distinct value before any window."""
-    values = df.groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
-    placed = numbered(values, [score], "_p", "_v")
-    running = placed.withColumn("_below", F.sum("_n").over(W.orderBy(score)) - F.col("_n"))
-    n = df.count()
-    shares = running.select(F.col(score), F.round(F.col("_below") / F.lit(float(max(n, 1))), digits).alias(name))
-    return df.join(shares, score)
-
-
-def index_value(values: Column, index: Column) -> Column:
-    """The element of sorted `values` at a 0-based index."""
-    return F.element_at(values, index.cast("int") + 1)
-
-
-def order_statistic(values: Column, p: float, rule: str) -> Column:
-    """An exact percentile of an array by one of the index rules in use.
-
-    floor_n: index min(int(n p), n - 1); floor_n1: index int(p (n - 1)); ceil: index ceil(n p) - 1.
-    """
-    ordered = F.array_sort(values)
-    n = F.size(values)
-    index = {
-        "floor_n": F.least(F.floor(n * F.lit(p)), n - 1),
-        "floor_n1": F.floor((n - 1) * F.lit(p)),
-        "ceil": F.greatest(F.ceil(n * F.lit(p)) - 1, F.lit(0)),
-    }[rule]
-    return F.when(n > 0, index_value(ordered, index))
+    """The share of rows with a strictly lower score, of all that have one; null for a row without a score. Scores are
+    counted by distinct value before they are ordered."""
+    values = settled(df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("_n")))
+    n = values.agg(F.sum("_n")).first()[0] or 1
+    running = running_sums(values, [score], {"_below": F.col("_n")})
+    shares = running.select(F.col(score), F.round(F.col("_below") / F.lit(float(n)), digits).alias(name))
+    return df.join(shares, score, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meritgrid.functions.positions import numbered, order_statistic
+from meritgrid.functions.positions import numbered, order_statistics, running_sums
 
 # Windows and thresholds of the alerts.
 DRIFT_ROWS, DRIFT_DROP, DRIFT_Z = 14, 0.30, 2.0
@@ -16,6 +16,7 @@ BINS = 50
 KS_WARN, KS_CRITICAL = 0.1, 0.3
 SLO_SUCCESS = 0.999
 DEFAULT_BUDGET = 1000.0
+COVERED_STATES = ["CA", "NY", "TX", "FL", "IL", "PA", "OH", "NC", "GA", "MI"]
 
 
 def drift(daily: DataFrame) -> DataFrame:
@@ -46,12 +47,11 @@ def spikes(daily: DataFrame, *keys: str) -> DataFrame:
 
 def summary_days(events: DataFrame, time: str, end: str, days: int = 7) -> DataFrame:
     """(day, event_type, n) for each type and each of so many days up to `end`, days without events with 0."""
-    spine = events.sparkSession.range(days).select(F.date_sub(F.lit(end).cast("date"), (F.lit(days - 1) - F.col("id")).cast("int")).alias("day"))
     types = events.select("event_type").distinct()
     wanted = types.select("event_type", F.explode(F.sequence(F.date_sub(F.lit(end).cast("date"), days - 1), F.lit(end).cast("date"))).alias("day"))
     low = F.date_sub(F.lit(end).cast("date"), days - 1)
     counts = daily_counts(events.where(F.to_date(time).between(low, F.lit(end).cast("date"))), time, "event_type")
-    return wanted.join(spine, "day", "left_semi").join(counts, ["day", "event_type"], "left").select("day", "event_type", F.coalesce("n", F.lit(0)).alias("n"))
+    return wanted.join(counts, ["day", "event_type"], "left").select("day", "event_type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def jumps(values: DataFrame, *keys: str, version: str = "version", value: str = "value") -> DataFrame:
@@ -92,13 +92,14 @@ def histogram(scores: DataFrame, value: str, key: str, bins: int = BINS) -> Data
 
 def ks_statistic(values: DataFrame, side: str, value: str) -> DataFrame:
     """One row: the largest distance between the empirical distributions of the two sides (0 and 1), and severity.
-    Values are counted before they are ordered."""
+    Values are counted before they are ordered, and the running counts are those of buckets of values."""
     counts = values.groupBy(value).agg(F.count_if(F.col(side) == 0).alias("a"), F.count_if(F.col(side) == 1).alias("b"))
-    totals = values.agg(F.count_if(F.col(side) == 0).alias("na"), F.count_if(F.col(side) == 1).alias("nb")).first()
-    run = W.orderBy(value)
-    placed = counts.select(F.abs(F.sum("a").over(run) / F.lit(float(max(totals["na"], 1))) - F.sum("b").over(run) / F.lit(float(max(totals["nb"], 1)))).alias("d"))
-    d = F.round(F.max("d"), 6)
-    return placed.agg(d.alias("ks")).withColumn("severity", F.when(F.col("ks") > KS_CRITICAL, "critical").when(F.col("ks") > KS_WARN, "warning"))
+    running = running_sums(counts, [value], {"_a": F.col("a"), "_b": F.col("b")})
+    shown = running.select((F.col("_a") + F.col("a")).alias("a"), (F.col("_b") + F.col("b")).alias("b"))
+    totals = shown.agg(F.max("a").alias("na"), F.max("b").alias("nb")).first()
+    share = lambda c: F.col(c) / F.lit(float(max(totals[f"n{c}"] or 0, 1)))
+    d = F.round(F.max(F.abs(share("a") - share("b"))), 6)
+    return shown.agg(d.alias("ks")).withColumn("severity", F.when(F.col("ks") > KS_CRITICAL, "critical").when(F.col("ks") > KS_WARN, "warning"))
 
 
 def pooled_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -180,15 +181,14 @@ def coverage(candidates: DataFrame) -> DataFrame:
 
 def service_levels(requests: DataFrame, *keys: str) -> DataFrame:
     """Per key: requests, p95 and p99 latency at index int(p (n - 1)), success rate, error budget used in per cent.
-    The order statistics come from positions in a window, so no key's latencies are gathered in an array."""
-    own = W.partitionBy(*keys)
-    placed = requests.withColumn("_i", F.row_number().over(own.orderBy("latency", "id")) - 1).withColumn("_n", F.count(F.lit(1)).over(own))
-    at = lambda p: F.max(F.when(F.col("_i") == F.floor((F.col("_n") - 1) * F.lit(p)), F.col("latency")))
-    fails = F.count_if(~F.col("success"))
-    n = F.count(F.lit(1))
-    return placed.groupBy(*keys).agg(
-        n.alias("requests"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.round(1 - fails / n, 6).alias("success_rate"), F.round(fails / ((1 - SLO_SUCCESS) * n) * 100, 4).alias("budget_used_pct")
+    The order statistics come from positions in one order of all requests, so a busy source is no task of its own."""
+    at = lambda p: F.floor((F.col("_n") - 1) * F.lit(p))
+    points = order_statistics(requests, list(keys), ["latency", "id"], "latency", {"p95": at(0.95), "p99": at(0.99)})
+    fails, n = F.count_if(~F.col("success")), F.count(F.lit(1))
+    rates = requests.groupBy(*keys).agg(
+        n.alias("requests"), F.round(1 - fails / n, 6).alias("success_rate"), F.round(fails / ((1 - SLO_SUCCESS) * n) * 100, 4).alias("budget_used_pct")
     )
+    return rates.join(points, list(keys)).select(*keys, "requests", "p95", "p99", "success_rate", "budget_used_pct")
 
 
 def health(requests: DataFrame, sources: list[str] | None = None) -> DataFrame:
@@ -276,5 +276,31 @@ def stale_sources(slas: DataFrame, refreshed: DataFrame, now: Column) -> DataFra
     return slas.join(last, "source", "left").select("source", hours.alias("age_hours")).join(slas, "source").where(F.col("age_hours").isNull() | (F.col("age_hours") > F.col("sla_hours")))
 
 
-def percentile_of(values: Column, p: float, rule: str) -> Column:
-    return order_statistic(values, p, rule)
+def coverage_delta(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """(metric, delta) between two results of `coverage`: shares to two digits, the middle of confidence to four."""
+    digits = {c: 2 for c in current.columns if c.endswith("_pct")} | {"p50": 4}
+    long = lambda df, name: df.select(F.explode(F.create_map(*(x for c in digits for x in (F.lit(c), F.col(c).cast("double"))))).alias("metric", name))
+    both = long(current, "now").join(long(previous, "before"), "metric")
+    return both.select("metric", F.when(F.col("metric") == "p50", F.round(F.col("now") - F.col("before"), 4)).otherwise(F.round(F.col("now") - F.col("before"), 2)).alias("delta"))
+
+
+def clinician_coverage(clinicians: DataFrame) -> DataFrame:
+    """One row over (has_candidate, has_abms, has_state_board, has_hospital_tier, has_publications, practice_state):
+    shares in per cent, the states that state boards cover and the others, and caveats."""
+    share = lambda c: F.coalesce(F.round(100.0 * F.count_if(F.col(c)) / F.nullif(F.count(F.lit(1)), F.lit(0)), 2), F.lit(0.0))
+    state = F.col("practice_state")
+    covered = state.isin(COVERED_STATES)
+    states = lambda test: F.array_sort(F.collect_set(F.when(test & (state != ""), state)))
+    row = clinicians.agg(
+        F.count(F.lit(1)).alias("total_clinicians"),
+        share("has_candidate").alias("npi_crosslinked_pct"),
+        share("has_abms").alias("abms_coverage_pct"),
+        share("has_state_board").alias("state_board_coverage_pct"),
+        share("has_hospital_tier").alias("hospital_tier_pct"),
+        share("has_publications").alias("publication_pct"),
+        states(covered).alias("covered_states"),
+        states(~covered).alias("gap_states"),
+    )
+    some = F.col("total_clinicians") > 0
+    caveats = F.array_compact(F.array(F.when(some & (F.col("publication_pct") < 30), "few publications"), F.when(some & (F.col("abms_coverage_pct") < 50), "few certifications")))
+    return row.withColumn("caveats", caveats)

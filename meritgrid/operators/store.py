@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meritgrid.functions.positions import numbered
+
 # The order in which contest categories are reviewed.
 PRIORITIES = {"integrity": 0, "identity": 1, "affiliation": 2}
 
@@ -85,14 +87,18 @@ def resolution_stats(queue: DataFrame, decisions: DataFrame) -> DataFrame:
     last = decisions.groupBy("item").agg(F.max("ts").alias("decided_at"))
     joined = queue.join(last, "item", "left")
     days = (F.unix_micros("decided_at") - F.unix_micros("submitted_at")) / 86_400e6
-    done = joined.where("decided_at is not null").select("item", days.alias("d"))
-    from meritgrid.functions.positions import numbered
-
-    placed = numbered(done, ["d", "item"], "_p", "_n")
-    p95 = F.max(F.when(F.col("_p") == F.least(F.floor(F.col("_n") * F.lit(0.95)), F.col("_n") - 1) + 1, F.col("d")))
-    stats = placed.agg(F.count(F.lit(1)).alias("resolved"), F.round(F.median("d"), 6).alias("median_days"), F.round(p95, 6).alias("p95_days"))
-    total = queue.agg(F.count(F.lit(1)).alias("total"))
-    return total.withColumn("_j", F.lit(1)).join(stats.withColumn("_j", F.lit(1)), "_j").select("total", "resolved", (F.col("total") - F.col("resolved")).alias("open"), "median_days", "p95_days")
+    every = joined.select("item", days.alias("d"), F.col("decided_at").isNull().alias("_open"))
+    placed = numbered(every, ["_open", "d", "item"], "_p", "_all")
+    n = placed.agg(F.count_if(~F.col("_open"))).first()[0]
+    at = lambda i: F.max(F.when((F.col("_p") == i + 1) & ~F.col("_open"), F.col("d")))
+    median = (at((n - 1) // 2) + at(n // 2)) / 2
+    return placed.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(~F.col("_open")).alias("resolved"),
+        F.count_if(F.col("_open")).alias("open"),
+        F.round(median, 6).alias("median_days"),
+        F.round(at(min(int(n * 0.95), n - 1)), 6).alias("p95_days"),
+    )
 
 
 def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> DataFrame:
@@ -147,3 +153,45 @@ def without_version(cache: DataFrame, version: str) -> DataFrame:
 
 def recent_per_key(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_k") <= n).drop("_k")
+
+
+# What a confirmed dispute does to a candidate, by category.
+DISPUTE_DIRECTIONS = {"low_quality_output": "downweight", "incorrect_ranking": "downweight", "missing_expertise": "downweight", "integrity_concern": "flag"}
+
+
+def dispute_feedback(disputes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(dispute, uuid, query, category, direction, weight) of disputes (dispute, uuid, query, category) whose latest
+    decision (dispute, confirmed, decided_at) confirms them."""
+    last = decisions.groupBy("dispute").agg(F.max_by("confirmed", "decided_at").alias("confirmed"))
+    known = F.create_map(*(F.lit(x) for kv in DISPUTE_DIRECTIONS.items() for x in kv))
+    confirmed = disputes.join(last.where("confirmed"), "dispute")
+    return confirmed.select("dispute", "uuid", "query", "category", F.coalesce(known[F.col("category")], F.lit("review")).alias("direction"), F.lit(1.0).alias("weight"))
+
+
+def training_rows(queue: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(item, uuid, features, decision, decided_at): every decision on an item of the queue, as rows to learn from."""
+    return decisions.join(queue, "item").select("item", "uuid", "features", "decision", "decided_at")
+
+
+def pending_conflicts(conflicts: DataFrame) -> DataFrame:
+    return conflicts.where("status = 'pending'")
+
+
+def without_conflicts(patents: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Patents (patent, ...) without those that a pending or excluded conflict names."""
+    held = conflicts.where(F.col("status").isin("pending", "excluded")).select("patent").distinct()
+    return patents.join(held, "patent", "left_anti")
+
+
+def may_continue(sessions: DataFrame, ended: DataFrame, most: int = 20, cooldown_minutes: int = 60) -> DataFrame:
+    """Sessions (reviewer, judgments, started) with `allowed`: fewer judgments than the limit, and the reviewer's last
+    session (reviewer, ended) over for an hour."""
+    last = ended.groupBy("reviewer").agg(F.max("ended").alias("_ended"))
+    rested = F.col("_ended").isNull() | (F.col("started") >= F.col("_ended") + F.expr(f"INTERVAL {cooldown_minutes} MINUTES"))
+    return sessions.join(last, "reviewer", "left").withColumn("allowed", (F.col("judgments") < most) & rested).drop("_ended")
+
+
+def with_terms(candidates: DataFrame, terms: list[str]) -> DataFrame:
+    """Candidates (uuid, terms) that have one of the terms, whatever its case."""
+    wanted = F.array(*(F.lit(t.lower()) for t in terms))
+    return candidates.where(F.arrays_overlap(F.transform("terms", F.lower), wanted))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from meritgrid.functions.positions import numbered, settled
 from meritgrid.operators.classify import sanction_action
 
 # Limits of requests, and the words by which feed entries are graded.
@@ -44,7 +45,7 @@ def retraction_events(entries: DataFrame) -> DataFrame:
     severity = F.when(F.lower(text).rlike("fabricat|falsif|misconduct"), "critical").when(F.lower(text).rlike("plagiar|duplicat"), "high").otherwise("medium")
     names = F.regexp_extract_all(text, F.lit(r"by ([A-Z][a-z]+ [A-Z][a-z]+)"), F.lit(1))
     return entries.select(
-        "id", F.lit("retraction").alias("event_type"), F.get(names, F.lit(0)).alias("subject"), F.slice(names, 2, 100).alias("others"), F.nullif(F.regexp_extract(text, r"(?i)pmid:?\s*(\d+)", 1), F.lit("")).alias("pmid"), severity.alias("severity"), "published"
+        "id", F.lit("retraction").alias("event_type"), F.get(names, F.lit(0)).alias("subject"), F.slice(names, F.lit(2), F.greatest(F.size(names) - 1, F.lit(0))).alias("others"), F.nullif(F.regexp_extract(text, r"(?i)pmid:?\s*(\d+)", 1), F.lit("")).alias("pmid"), severity.alias("severity"), "published"
     )
 
 
@@ -87,17 +88,26 @@ def dispatch(events: DataFrame, handlers: list[Callable[[DataFrame, int], None]]
 
 
 def sliding_counts(requests: DataFrame, customer: str = "customer", time: str = "ts", key: str = "id") -> DataFrame:
-    """Requests with the number of the customer's requests in the last 60 seconds and the burst flag. Customers with
-    very many requests are still one ordered group each; the frame of a row is bounded by its seconds."""
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-    frame = W.partitionBy(customer).orderBy("_us").rangeBetween(-BURST_SECONDS * 1_000_000, 0)
-    return requests.withColumn("_us", micros).withColumn("in_window", F.count(F.lit(1)).over(frame)).withColumn("burst", F.col("in_window") > BURST_LIMIT).drop("_us")
+    """Requests with the number of the customer's requests in the last 60 seconds and the burst flag.
+
+    A window holds one minute of a customer, not all of a busy one: each request counts in its own minute, and is sent
+    to the next one as well, where it counts for others but is not a row of the result."""
+    micros, span = F.unix_micros(F.col(time).cast("timestamp")), BURST_SECONDS * 1_000_000
+    own = requests.withColumn("_us", micros).withColumn("_minute", F.floor(F.col("_us") / span))
+    both = own.withColumn("_later", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_minute", F.col("_minute") + F.col("_later"))
+    frame = W.partitionBy(customer, "_minute").orderBy("_us").rangeBetween(-span, 0)
+    counted = both.withColumn("in_window", F.count(F.lit(1)).over(frame)).where("_later = 0").drop("_us", "_minute", "_later")
+    return counted.withColumn("burst", F.col("in_window") > BURST_LIMIT)
 
 
 def same_query_counts(requests: DataFrame) -> DataFrame:
-    """The running number of a customer's requests with one query hash, which never expires, and its flag."""
-    run = W.partitionBy("customer", "query_hash").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, 0)
-    return requests.withColumn("same", F.count(F.lit(1)).over(run)).withColumn("suspicious", F.col("same") > SAME_QUERY_LIMIT)
+    """The running number of a customer's requests with one query hash, which never expires, and its flag: positions in
+    one order of all requests, less what stands before the customer's first of that hash."""
+    placed = settled(numbered(requests, ["customer", "query_hash", "ts", "id"], "_at", "_all"))
+    first = placed.groupBy("customer", "query_hash").agg(F.min("_at").alias("_first"))
+    rows = placed.join(first, ["customer", "query_hash"])
+    rows = rows.withColumn("same", F.col("_at") - F.col("_first") + 1).drop("_at", "_all", "_first")
+    return rows.withColumn("suspicious", F.col("same") > SAME_QUERY_LIMIT)
 
 
 def windowed_counts(events: DataFrame, time: str, length: str, slide: str | None = None, delay: str | None = None, *keys: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from meritgrid.functions import positions
 from meritgrid.operators import features, identity, integrity, learning, monitoring, privacy, ranking, store
+from meritgrid.streaming import events
 
 
 def one(df):
@@ -18,7 +20,7 @@ def one(df):
 
 
 def test_positions_with_many_buckets(spark, monkeypatch):
-    monkeypatch.setattr(positions, "SMALL_ROWS", 10)
+    monkeypatch.setattr(positions, "BUCKET_ROWS", 10)
     rows = [(i, None if i % 50 == 0 else float(i % 7)) for i in range(500)]
     got = positions.numbered(spark.createDataFrame(rows, "k long, v double"), ["v", "k"]).collect()
     want = {k: p for p, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])), start=1)}
@@ -33,10 +35,41 @@ def test_percentiles(spark):
     assert one(positions.span_percentile(df.limit(1), "raw", "uuid"))["percentile"] == 0.0
 
 
-@pytest.mark.parametrize(("rule", "p", "want"), [("floor_n", 0.9, 10), ("floor_n1", 0.95, 9), ("ceil", 0.5, 5)])
-def test_order_statistic(spark, rule, p, want):
-    df = spark.createDataFrame([([float(i) for i in range(1, 11)],)], "v array<double>")
-    assert one(df.select(positions.order_statistic(F.col("v"), p, rule).alias("x")))["x"] == want
+def test_order_statistics(spark):
+    rows = [(k, float(v), i) for k, n in (("a", 10), ("b", 1), ("c", 57)) for i, v in enumerate(range(n, 0, -1))]
+    df = spark.createDataFrame(rows, "k string, v double, id int").repartition(3)
+    places = {"p90": F.least(F.floor(F.col("_n") * 0.9), F.col("_n") - 1), "low": F.lit(0)}
+    got = {r["k"]: (r["p90"], r["low"]) for r in positions.order_statistics(df, ["k"], ["v", "id"], "v", places).collect()}
+    assert got == {"a": (10.0, 1.0), "b": (1.0, 1.0), "c": (52.0, 1.0)}
+
+
+@pytest.mark.parametrize("rows", [3, 20_000])
+def test_running_sums_and_nulls(spark, monkeypatch, rows):
+    """With one bucket and with many, nulls first, a frequent value cut by the next column."""
+    monkeypatch.setattr(positions, "BUCKET_ROWS", rows)
+    data = [(None if i % 5 == 0 else float(i % 3), i, i % 4) for i in range(200)]
+    df = spark.createDataFrame(data, "v double, id int, w int").repartition(4)
+    got = {r["id"]: r["s"] for r in positions.running_sums(df, ["v", "id"], {"s": F.col("w")}).collect()}
+    want, total = {}, 0
+    for _, i, w in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        want[i] = total
+        total += w
+    assert got == want
+    placed = {r["id"]: r["position"] for r in positions.numbered(df, ["v", "id"]).collect()}
+    assert [i for i, _ in sorted(placed.items(), key=lambda x: x[1])] == list(want)
+    shares = {r["id"]: r["percentile"] for r in positions.below_share(df, "v").collect()}
+    known = [r for r in data if r[0] is not None]
+    want_shares = {i: None if v is None else sum(x[0] < v for x in known) / len(known) for v, i, _ in data}
+    assert shares.keys() == want_shares.keys() and all(shares[i] == pytest.approx(w, abs=6e-5) if w is not None else shares[i] is None for i, w in want_shares.items())
+
+
+def test_sliding_counts_of_a_busy_customer(spark):
+    rng = random.Random(3)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, c, t0 + dt.timedelta(seconds=rng.randrange(300))) for i in range(400) for c in ["hot" if i % 3 else f"c{i % 7}"]]
+    got = {r["id"]: r["in_window"] for r in events.sliding_counts(spark.createDataFrame(rows, "id int, customer string, ts timestamp")).collect()}
+    want = {i: sum(k == c and 0 <= (t - u).total_seconds() <= 60 for _, k, u in rows) for i, c, t in rows}
+    assert got == want and len(got) == len(rows)
 
 
 def test_citation_impact(spark):
