@@ -28,18 +28,33 @@ def lookup_terms(query: Column) -> Column:
     return F.filter(every, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
 
 
+def _grams(text: Column) -> Column:
+    """The pieces of up to three characters of a text."""
+    n = F.length(text)
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))
+    return F.array_distinct(F.filter(F.concat(cut(1), cut(2), cut(3)), lambda g: F.length(g) > 0))
+
+
+def _longest_grams(text: Column) -> Column:
+    size = F.least(F.length(text), F.lit(3))
+    return F.filter(_grams(text), lambda g: F.length(g) == size)
+
+
 def expand(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(id, terms, confidence) from (id, query) and labels (label): for each lookup term the first five labels that
     contain it, in the order of the terms; without any, the query's longer words in title case.
 
-    Labels that hold a term share one of its words, which makes the join an equi-join; the rest is a filter."""
-    asked = queries.select("id", F.posexplode(lookup_terms(F.col("query"))).alias("p", "term"))
-    asked = asked.withColumn("t", F.lower("term")).withColumn("w", F.get(F.split("t", " "), F.lit(0)))
-    label_words = vocabulary.select("label", F.lower("label").alias("l")).distinct()
-    parts = label_words.select("label", "l", F.explode(F.array_distinct(F.split("l", r"[^\p{L}\p{N}]+"))).alias("w"))
-    hits = asked.join(parts, "w").where(F.contains("l", "t")).select("id", "p", "label").distinct()
-    top = hits.withColumn("k", F.row_number().over(W.partitionBy("id", "p").orderBy("label"))).where(F.col("k") <= LABELS_PER_TERM)
-    first = top.groupBy("id", F.lower("label").alias("l")).agg(F.min(F.struct("p", "k", "label")).alias("m"))
+    A label that contains a term has all its pieces of three characters, so term and labels are joined on the piece of
+    the term that the fewest labels have; whether a label contains the term is then looked at."""
+    asked = queries.select("id", F.posexplode(lookup_terms(F.col("query"))).alias("p", "term")).withColumn("t", F.lower("term"))
+    labels = vocabulary.select("label", F.lower("label").alias("l")).distinct()
+    pieces = labels.select("label", "l", F.explode(_grams(F.col("l"))).alias("g"))
+    often = pieces.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    own = asked.select("t").distinct().select("t", F.explode(_longest_grams(F.col("t"))).alias("g"))
+    rarest = own.join(often, "g", "left").groupBy("t").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("m")).where("m.df > 0")
+    hits = rarest.select("t", F.col("m.g").alias("g")).join(pieces, "g").where(F.contains("l", "t")).select("t", "label")
+    top = hits.withColumn("k", F.row_number().over(W.partitionBy("t").orderBy("label"))).where(F.col("k") <= LABELS_PER_TERM)
+    first = asked.join(top, "t").groupBy("id", F.lower("label").alias("l")).agg(F.min(F.struct("p", "k", "label")).alias("m"))
     found = first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["label"]).alias("found"))
     fallback = F.transform(words(F.col("query"), 3), F.initcap)
     joined = queries.join(found, "id", "left")

@@ -257,18 +257,13 @@ def link(artifacts: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     texts = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     lower = lambda c: F.array_distinct(F.transform(texts(c), F.lower))
-    parts = lambda df, most: max(1, -(-df.count() // most))
-    across, down = parts(artifacts, LINK_BLOCK), parts(candidates, CANDIDATE_BLOCK)
+    across, down = _blocks(artifacts, LINK_BLOCK), _blocks(candidates, CANDIDATE_BLOCK)
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
 
-    def dealt(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        rows = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
-        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))).groupBy("_i", "_j")
-
     left = artifacts.select("artifact_id", F.transform(texts(F.col("names")), F.lower).alias("names"), texts(name_words(F.col("names"))).alias("words"), "ror_id", "parent_ror_id", lower(F.col("coauthors")).alias("people"), lower(F.col("terms")).alias("term_set"), some("coauthors").alias("has_people"), some("terms").alias("has_terms"), F.coalesce(F.col("year").cast("double"), F.lit(float("nan"))).alias("year"))
     right = candidates.select("uuid", F.transform(texts(F.col("names")), F.lower).alias("names"), texts(name_words(F.col("names"))).alias("words"), F.array_distinct(F.array_compact(texts(F.col("rors")))).alias("rors"), lower(F.col("names")).alias("name_set"), lower(F.col("terms")).alias("term_set"), some("terms").alias("has_terms"), F.col("first_year").cast("double").alias("first_year"), F.col("last_year").cast("double").alias("last_year"))
     schema = T.StructType([T.StructField("artifact_id", artifacts.schema["artifact_id"].dataType), T.StructField("uuid", candidates.schema["uuid"].dataType), T.StructField("f_name", T.DoubleType())])
-    pairs = dealt(left, "artifact_id", "_i", across, "_j", down).cogroup(dealt(right, "uuid", "_j", down, "_i", across)).applyInPandas(_best_of_block, schema)
+    pairs = in_blocks(left, "artifact_id", "_i", across, "_j", down).groupBy("_i", "_j").cogroup(in_blocks(right, "uuid", "_j", down, "_i", across).groupBy("_i", "_j")).applyInPandas(_best_of_block, schema)
     c = candidates.select("uuid", F.col("names").alias("c_names"), "rors", F.col("terms").alias("c_terms"), "first_year", "last_year")
     both = pairs.join(artifacts, "artifact_id").join(c, "uuid")
     features = both.select(
@@ -351,30 +346,46 @@ def expanded_organisation(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, " "), word), " ")
 
 
-def resolve_organisations(raw: DataFrame, names: DataFrame, aliases: DataFrame, most_names: int = 10_000) -> DataFrame:
-    """`raw` (affiliation) resolved against a dictionary `names` (canonical_name, ror_id, ...) of at most
-    `most_names` rows: alias, then exact name, then the closest name by `name_ratio`, the first of equals. Only
-    distinct strings that neither alias nor name resolves are compared."""
-    known_names = sorted(r[0] for r in names.select("canonical_name").distinct().limit(most_names + 1).collect())
-    if len(known_names) > most_names:
-        raise ValueError(f"the dictionary has more than {most_names} names")
-    lower = [n.lower() for n in known_names]
-
-    @F.pandas_udf("name string, ratio double")
-    def closest(texts: pd.Series) -> pd.DataFrame:
-        found = []
-        for x in texts:
-            ratios = [round(200.0 * _lcs(x, n) / max(len(x) + len(n), 1)) for n in lower]
-            best = max(range(len(lower)), key=ratios.__getitem__) if lower else None
-            found.append((None, None) if best is None else (known_names[best], ratios[best] / 100.0))
-        return pd.DataFrame(found, columns=["name", "ratio"])
+def _closest_of_block(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    """For each text of a block the closest name of a block, the first of equals."""
+    rows = []
+    if len(a) and len(c):
+        known = c["canonical_name"].sort_values(ignore_index=True)
+        names = _Names([[n.lower()] for n in known])
+        for text in a["x"]:
+            ratio = names.ratios(text)
+            best = int(ratio.argmax())
+            rows.append((text, known[best], float(ratio[best])))
+    return pd.DataFrame(rows, columns=["x", "name", "ratio"])
+
+
+def in_blocks(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+    """`df` dealt by a hash of `key` into `n_own` blocks, each sent to every block of the other side."""
+    rows = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
+    return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
 
+def _blocks(df: DataFrame, most: int) -> int:
+    return max(1, -(-df.count() // most))
+
+
+def resolve_organisations(raw: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """`raw` (affiliation) resolved against a dictionary `names` (canonical_name, ror_id, ...) of any size: alias, then
+    exact name, then the closest name by `name_ratio`, the first of equals. Only distinct strings that neither alias
+    nor name resolves are compared, in blocks; the best of a block is all that leaves a task."""
     text = raw.select("affiliation").distinct().withColumn("_t", normal_organisation(F.col("affiliation")))
-    alias = aliases.select(F.lower("alias").alias("_t"), F.col("canonical_name").alias("_a"))
-    exact = names.select(F.lower("canonical_name").alias("_t"), F.col("canonical_name").alias("_e"))
+    alias = aliases.groupBy(F.lower("alias").alias("_t")).agg(F.min("canonical_name").alias("_a"))
+    exact = names.groupBy(F.lower("canonical_name").alias("_t")).agg(F.min("canonical_name").alias("_e"))
     known = text.join(alias, "_t", "left").join(exact, "_t", "left")
-    open_ = known.where("_a is null and _e is null and _t <> ''").select("affiliation", closest(expanded_organisation(F.col("_t"))).alias("m"))
-    found = known.join(open_, "affiliation", "left").select(
+    open_ = known.where("_a is null and _e is null and _t <> ''").select("affiliation", expanded_organisation(F.col("_t")).alias("x"))
+    asked, offered = open_.select("x").distinct(), names.where("canonical_name is not null").select("canonical_name").distinct()
+    across, down = _blocks(asked, LINK_BLOCK), _blocks(offered, CANDIDATE_BLOCK)
+    left = in_blocks(asked, "x", "_i", across, "_j", down).groupBy("_i", "_j")
+    right = in_blocks(offered, "canonical_name", "_j", down, "_i", across).groupBy("_i", "_j")
+    near = left.cogroup(right).applyInPandas(_closest_of_block, "x string, name string, ratio double")
+    best = near.groupBy("x").agg(F.min(F.struct((-F.col("ratio")).alias("d"), "name", "ratio")).alias("m"))
+    matched = open_.join(best, "x").select("affiliation", "m")
+    found = known.join(matched, "affiliation", "left").select(
         "affiliation",
         F.coalesce("_a", "_e", "m.name").alias("canonical_name"),
         F.when(F.coalesce("_a", "_e").isNotNull(), 1.0).otherwise(F.col("m.ratio")).alias("confidence"),
@@ -440,3 +451,32 @@ def cohort(seeds: DataFrame, authorship: DataFrame, hops: int = 2, fanout: int =
         frontier = new.join(reached, "uuid", "left_anti").select("uuid", F.lit(hop).alias("hop"), "seed")
         reached = reached.unionByName(frontier)
     return reached
+
+
+def merged_people(people: DataFrame) -> DataFrame:
+    """(last_name, full_name, grant_ids): people (full_name, seq, grant_ids) of one last name, whatever its case, as
+    one, with the name of the first and all grants, each once."""
+    last = F.lower(F.substring_index(F.trim("full_name"), " ", -1))
+    keyed = people.withColumn("last_name", last)
+    names = keyed.groupBy("last_name").agg(F.min_by("full_name", "seq").alias("full_name"))
+    ids = keyed.select("last_name", F.explode("grant_ids").alias("g")).groupBy("last_name").agg(F.array_sort(F.collect_set("g")).alias("grant_ids"))
+    return names.join(ids, "last_name", "left").withColumn("grant_ids", F.coalesce("grant_ids", F.array().cast("array<string>")))
+
+
+def merged_terms(terms: DataFrame, most: int = 10) -> DataFrame:
+    """(uuid, descriptor, major, place) out of (uuid, pos, descriptor, major): each descriptor once whatever its case,
+    in the order of first mention, major if a mention is, the first ten of a candidate. The spelling is that of the
+    first major mention, else of the first."""
+    spelling = F.min_by("descriptor", F.struct(~F.col("major"), "pos"))
+    one = terms.groupBy("uuid", F.lower("descriptor").alias("_l")).agg(spelling.alias("descriptor"), F.max("major").alias("major"), F.min("pos").alias("_p"))
+    placed = one.withColumn("place", F.row_number().over(W.partitionBy("uuid").orderBy("_p")))
+    return placed.where(F.col("place") <= most).select("uuid", "descriptor", "major", "place")
+
+
+def median_ratio(people: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(uuid, median): the middle citation ratio of each person's papers (uuid, pmid) that have one, 0 without."""
+    own = people.select("uuid", "pmid").distinct().join(ratios.select("pmid", "rcr"), "pmid", "left")
+    w = W.partitionBy("uuid")
+    placed = own.withColumn("_k", F.row_number().over(w.orderBy(F.col("rcr").asc_nulls_last()))).withColumn("_n", F.count("rcr").over(w))
+    middle = F.col("_k").isin(F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2))
+    return placed.groupBy("uuid").agg(F.coalesce(F.avg(F.when(middle, F.col("rcr"))), F.lit(0.0)).alias("median"))

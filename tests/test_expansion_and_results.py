@@ -17,6 +17,23 @@ def test_lookup_terms_and_expansion(spark):
     assert r[2]["terms"] == ["Qqqq"] and r[2]["confidence"] == 0.3
 
 
+def test_expansion_against_a_plain_loop(spark):
+    rng = random.Random(1)
+    parts = ["Brain", "Tumors", "Cardiology", "Non-Small", "Cell", "Lung", "Carcinoma,", "of", "é"]
+    labels = sorted({" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(40)})
+    asked = ["tumor", "cardio", "non-small", "cell lung", "of", "zzzz", "small cell carcinoma", "  brain, tumors  ", "é", "ardi olog"]
+    q = spark.createDataFrame(list(enumerate(asked)), "id int, query string")
+    got = {r["id"]: r["terms"] for r in expansion.expand(q, spark.createDataFrame([(x,) for x in labels], "label string")).collect()}
+    terms = {r["id"]: r["t"] for r in q.select("id", expansion.lookup_terms(F.col("query")).alias("t")).collect()}
+    for i, text in enumerate(asked):
+        found: list[str] = []
+        for term in terms[i]:
+            for label in [x for x in labels if term.lower() in x.lower()][:5]:
+                if label.lower() not in [f.lower() for f in found]:
+                    found.append(label)
+        assert got[i] == (found or [w.strip(".,;:!?()").capitalize() for w in text.split() if len(w.strip(".,;:!?()")) > 3])
+
+
 def test_validation_and_method(spark):
     t = spark.createDataFrame([(1, ["Lung", "nothing", "DRUG"], None), (2, [], ["x"])], "id int, terms array<string>, override array<string>")
     v = spark.createDataFrame([("mesh", "lung"), ("chembl", "drug"), ("other", "nothing")], "name string, label string")

@@ -59,3 +59,21 @@ def test_all_customers_are_candidates(spark, tmp_path):
     spark.createDataFrame([(0, "x")], "n_nationkey int, n_name string").write.parquet(f"{d}/nation.parquet")
     spark.createDataFrame([(u, "c", 0, "s", 0.0) for u in (1, 600, 999)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{d}/customer.parquet")
     assert [tuple(r)[:2] for r in fuzzy_link(spark, d).collect()] == [(600, "600")]
+
+
+def test_organisations_against_all_names(spark, monkeypatch):
+    """Every name is compared, in blocks smaller than the dictionary."""
+    monkeypatch.setattr(identity, "LINK_BLOCK", 5)
+    monkeypatch.setattr(identity, "CANDIDATE_BLOCK", 7)
+    rng = random.Random(7)
+    words = ["North", "South", "River", "Stone", "University", "Institute", "Clinic", "of", "Medicine", "é"]
+    names = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(40)})
+    texts = ["North Rivr Univ", "Stonne Clinc", "south", "xyz", "INST of Medicine", names[3].upper()]
+    raw = spark.createDataFrame([(t,) for t in texts], "affiliation string")
+    table = spark.createDataFrame([(n, f"r{i}") for i, n in enumerate(names)], "canonical_name string, ror_id string")
+    none = spark.createDataFrame([], "alias string, canonical_name string")
+    got = {r["affiliation"]: (r["canonical_name"], r["confidence"]) for r in identity.resolve_organisations(raw, table, none).collect()}
+    for t in texts:
+        x = " ".join(identity.ABBREVIATIONS.get(w, w) for w in t.lower().split())
+        ratios = [1.0 if n.lower() == t.lower() else round(200.0 * identity._lcs(x, n.lower()) / (len(x) + len(n))) / 100.0 for n in names]
+        assert got[t] == (names[ratios.index(max(ratios))], max(ratios))
