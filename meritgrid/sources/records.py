@@ -8,6 +8,7 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +27,20 @@ TRIAL_JSON = """protocolSection STRUCT<identificationModule STRUCT<nctId STRING,
   contactsLocationsModule STRUCT<overallOfficials ARRAY<STRUCT<name STRING, role STRING, affiliation STRING>>, locations ARRAY<STRUCT<facility STRING, contacts ARRAY<STRUCT<name STRING, role STRING>>>>>>"""
 
 WORK_JSON = """id STRING, doi STRING, title STRING, publication_date STRING, type STRING, cited_by_count BIGINT, ids STRUCT<pmid STRING>,
-  concepts ARRAY<STRUCT<id STRING, display_name STRING, score DOUBLE>>, authorships ARRAY<STRUCT<author STRUCT<id STRING, display_name STRING, orcid STRING>, author_position STRING, raw_affiliation_strings ARRAY<STRING>>>"""
+  concepts ARRAY<STRUCT<id STRING, display_name STRING, score DOUBLE>>, authorships ARRAY<STRUCT<author STRUCT<id STRING, display_name STRING, orcid STRING>, author_position STRING, raw_affiliation_strings ARRAY<STRING>>>,
+  grants ARRAY<STRUCT<award_id STRING, funder_display_name STRING>>"""
+
+RATIO_JSON = """pmid BIGINT, year INT, relative_citation_ratio DOUBLE, citation_count BIGINT, expected_citations_per_year DOUBLE, field_citation_rate DOUBLE,
+  is_research_article BOOLEAN, doi STRING"""
+
+AUTHOR_JSON = """id STRING, display_name STRING, orcid STRING, works_count BIGINT, cited_by_count BIGINT,
+  last_known_institutions ARRAY<STRUCT<id STRING, display_name STRING, country_code STRING>>, affiliations ARRAY<STRUCT<id STRING, display_name STRING, country_code STRING>>,
+  x_concepts ARRAY<STRUCT<id STRING, display_name STRING, score DOUBLE>>, concepts ARRAY<STRUCT<id STRING, display_name STRING, score DOUBLE>>"""
+
+FUNDER_JSON = "id STRING, display_name STRING, country_code STRING, grants_count BIGINT, works_count BIGINT"
+
+NOTICE_JSON = """title ARRAY<STRING>, author ARRAY<STRUCT<given STRING, family STRING>>, DOI STRING, `container-title` ARRAY<STRING>,
+  issued STRUCT<`date-parts` ARRAY<ARRAY<INT>>>"""
 
 # Roles of investigators, confidence of a record's person by source and key, and caps of lists.
 OFFICIAL_ROLES = {"PRINCIPAL_INVESTIGATOR": "PI", "STUDY_CHAIR": "Chair", "STUDY_DIRECTOR": "Director", "SUB_INVESTIGATOR": "Sub-I"}
@@ -118,7 +132,7 @@ def trials(spark: SparkSession, path: str) -> DataFrame:
         F.col("identificationModule.nctId").alias("nct_id"), F.col("identificationModule.briefTitle").alias("title"), F.col("conditionsModule.conditions").alias("conditions"), F.array_join("designModule.phases", "/").alias("phase"),
         F.col("designModule.studyType").alias("study_type"), F.col("statusModule.overallStatus").alias("status"), F.to_date("statusModule.lastUpdatePostDateStruct.date").alias("last_update"), F.concat(F.coalesce(officials, none), F.coalesce(sites, none)).alias("investigators"),
     )
-    return rows.dropDuplicates(["nct_id"])
+    return _one_of_each(rows, "nct_id", F.desc("last_update"))
 
 
 def works(spark: SparkSession, path: str) -> DataFrame:
@@ -126,7 +140,7 @@ def works(spark: SparkSession, path: str) -> DataFrame:
     w = spark.read.schema(f"results ARRAY<STRUCT<{_struct(WORK_JSON)}>>").json(path, multiLine=True).select(F.inline("results"))
     last = lambda c: F.substring_index(F.rtrim(c, F.lit("/")), "/", -1)
     return w.select(
-        last(F.col("id")).alias("openalex_id"), "doi", last(F.col("ids.pmid")).alias("pmid"), "title", F.to_date("publication_date").alias("publication_date"), "type", "cited_by_count", "concepts",
+        last(F.col("id")).alias("openalex_id"), "doi", last(F.col("ids.pmid")).alias("pmid"), "title", F.to_date("publication_date").alias("publication_date"), "type", "cited_by_count", "concepts", "grants",
         F.transform("authorships", lambda a: F.struct(last(a["author"]["id"]).alias("author_id"), a["author"]["display_name"].alias("author_name"), last(a["author"]["orcid"]).alias("orcid"), a["author_position"].alias("position"))).alias("authorships"),
     )
 
@@ -202,6 +216,106 @@ def trial_people(rows: DataFrame) -> DataFrame:
     )
 
 
+def citation_ratios(spark: SparkSession, path: str) -> DataFrame:
+    """Citation ratios out of landed pages {data: [...]}, one row a pmid, the latest year of repeats: pmid, year, rcr,
+    citation_count, expected_citations, field_rate, is_research_article, doi."""
+    pages = spark.read.schema(f"data ARRAY<STRUCT<{_struct(RATIO_JSON)}>>").json(path, multiLine=True).select(F.inline("data"))
+    rows = pages.select(
+        F.col("pmid").cast("string").alias("pmid"),
+        "year",
+        F.col("relative_citation_ratio").alias("rcr"),
+        F.coalesce("citation_count", F.lit(0)).alias("citation_count"),
+        F.col("expected_citations_per_year").alias("expected_citations"),
+        F.col("field_citation_rate").alias("field_rate"),
+        F.coalesce("is_research_article", F.lit(False)).alias("is_research_article"),
+        "doi",
+    )
+    return _one_of_each(rows.where("pmid is not null"), "pmid", F.desc("year"))
+
+
+def _one_of_each(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """The first row of each key by the order, then by all columns as text, so that the choice is always the same."""
+    text = F.to_json(F.struct(*rows.columns))
+    placed = rows.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(*order, text)))
+    return placed.where("_k = 1").drop("_k")
+
+
+def work_people(rows: DataFrame) -> DataFrame:
+    """One person a work: the author in the last place, else the last one listed; nobody without a name."""
+    last = F.get(F.filter("authorships", lambda a: a["position"] == "last"), F.lit(0))
+    person = F.coalesce(last, F.get("authorships", F.size("authorships") - 1))
+    known, unknown = CONFIDENCE["openalex"]
+    none = F.array().cast("array<string>")
+    named = rows.where(F.size("authorships") > 0).withColumn("p", person).where(F.trim("p.author_name") != "")
+    orcid = F.nullif(F.col("p.orcid"), F.lit(""))
+    award = lambda g: F.concat_ws("-", F.nullif(g["funder_display_name"], F.lit("")), g["award_id"])
+    awards = F.transform(F.filter(F.col("grants"), lambda g: F.coalesce(g["award_id"], F.lit("")) != ""), award)
+    return named.select(
+        F.trim("p.author_name").alias("name"),
+        orcid.alias("orcid"),
+        F.lit(None).cast("string").alias("era"),
+        F.lit(None).cast("string").alias("affiliation"),
+        F.when(F.coalesce("pmid", F.lit("")) != "", F.array("pmid")).otherwise(none).alias("pmids"),
+        F.coalesce(awards, none).alias("grant_ids"),
+        none.alias("nct_ids"),
+        F.coalesce(F.slice(F.transform("concepts", lambda c: c["display_name"]), 1, MOST_CATEGORIES), none).alias("terms"),
+        F.when(orcid.isNotNull(), known).otherwise(unknown).alias("confidence"),
+        F.col("publication_date").alias("updated"),
+        F.lit("openalex").alias("source"),
+    )
+
+
+def work_authors(spark: SparkSession, path: str) -> DataFrame:
+    """Authors out of landed pages {results: [...]}: id, name, ORCID, counts, institutions, concepts."""
+    raw = spark.read.schema(f"results ARRAY<STRUCT<{_struct(AUTHOR_JSON)}>>").json(path, multiLine=True).select(F.inline("results"))
+    places = F.when(F.size("last_known_institutions") > 0, F.col("last_known_institutions")).otherwise(F.col("affiliations"))
+    return raw.select(
+        F.col("id").alias("openalex_id"),
+        "display_name",
+        F.substring_index("orcid", "/", -1).alias("orcid"),
+        F.coalesce("works_count", F.lit(0)).alias("works_count"),
+        F.coalesce("cited_by_count", F.lit(0)).alias("cited_by_count"),
+        places.alias("institutions"),
+        F.coalesce("x_concepts", "concepts").alias("concepts"),
+    )
+
+
+def funders(spark: SparkSession, path: str) -> DataFrame:
+    """Funders out of landed pages {results: [...]}."""
+    raw = spark.read.schema(f"results ARRAY<STRUCT<{_struct(FUNDER_JSON)}>>").json(path, multiLine=True).select(F.inline("results"))
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return raw.select(F.col("id").alias("openalex_id"), "display_name", "country_code", count("grants_count"), count("works_count"))
+
+
+def retractions(spark: SparkSession, path: str) -> DataFrame:
+    """Retraction notices out of landed pages {message: {items: [...]}}: title, authors, doi, journal, day. A day needs
+    year, month and day, and one that does not exist is null."""
+    items = T.StructType([T.StructField("items", T.ArrayType(T.StructType.fromDDL(NOTICE_JSON)))])
+    pages = spark.read.schema(T.StructType([T.StructField("message", items)])).json(path, multiLine=True)
+    raw = pages.select(F.inline("message.items"))
+    parts = F.get(F.col("issued")["date-parts"], F.lit(0))
+    text = F.format_string("%04d-%02d-%02d", *(F.get(parts, F.lit(i)) for i in range(3)))
+    return raw.select(
+        F.coalesce(F.get("title", F.lit(0)), F.lit("")).alias("title"),
+        F.transform("author", lambda a: F.trim(F.concat_ws(" ", a["given"], a["family"]))).alias("authors"),
+        F.col("DOI").alias("doi"),
+        F.get(F.col("`container-title`"), F.lit(0)).alias("journal"),
+        F.when(F.size(parts) >= 3, F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")).alias("retraction_date"),
+    )
+
+
+def misconduct_findings(spark: SparkSession, path: str) -> DataFrame:
+    """Findings of misconduct that are kept by hand, as no public file has them: CSV (name, institution, finding_date,
+    finding) with a header; a missing file is an empty list."""
+    schema = "name STRING, institution STRING, finding_date DATE, finding STRING"
+    try:
+        return spark.read.csv(path, header=True, schema=schema, enforceSchema=False).where(F.trim("name") != "")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def ingest(people: DataFrame) -> DataFrame:
     """Records of all sources as candidates: those of one id are merged in one aggregation. Lists are distinct unions,
     the best confidence and the latest date a source stay, the first affiliation of the first source by name."""
