@@ -175,9 +175,9 @@ def contradictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Overlap of the parts that two customers bought, for pairs of at least 0.2."""
+    """Overlap of the parts that two customers bought, for pairs of at least 0.05."""
     sets = papers(spark, d).select("uuid", "work")
-    return identity.similar_sets(sets, 0.2).select("a", "b", F.round("jaccard", 6).alias("jaccard")).where("jaccard >= 0.2")
+    return identity.similar_sets(sets, 0.05).select("a", "b", F.round("jaccard", 6).alias("jaccard")).where("jaccard >= 0.05")
 
 
 def fuzzy_link(spark: SparkSession, d: str) -> DataFrame:
@@ -245,5 +245,5 @@ ORACLE_SQL = {
     "contradictions": """WITH p AS (SELECT s_suppkey AS u, CASE s_suppkey % 3 WHEN 0 THEN 'academic' WHEN 1 THEN 'industry' ELSE 'unknown' END AS a, CASE WHEN s_suppkey % 5 = 0 THEN 'industry' ELSE 'academic' END AS b, s_suppkey % 7 = 0 AS f FROM supplier WHERE s_suppkey % 4 <> s_suppkey % 6)
       SELECT u AS uuid, CASE WHEN f OR (a <> b AND a <> 'unknown') THEN 'major' ELSE 'minor' END AS severity, f OR (a <> b AND a <> 'unknown') AS flagged FROM p""",
     "jaccard_pairs": f"""WITH {PAPERS_SQL}, s AS (SELECT DISTINCT uuid, work FROM papers), n AS (SELECT uuid, count(*) AS n FROM s GROUP BY uuid), p AS (SELECT x.uuid AS a, y.uuid AS b, count(*) AS k FROM s x JOIN s y USING (work) WHERE x.uuid < y.uuid GROUP BY ALL)
-      SELECT a, b, round(k / (x.n + y.n - k)::DOUBLE, 6) AS jaccard FROM p JOIN n x ON x.uuid = a JOIN n y ON y.uuid = b WHERE round(k / (x.n + y.n - k)::DOUBLE, 6) >= 0.2""",
+      SELECT a, b, round(k / (x.n + y.n - k)::DOUBLE, 6) AS jaccard FROM p JOIN n x ON x.uuid = a JOIN n y ON y.uuid = b WHERE round(k / (x.n + y.n - k)::DOUBLE, 6) >= 0.05""",
 }

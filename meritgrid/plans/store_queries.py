@@ -116,7 +116,7 @@ def intersect_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def except_keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).exceptAll(table(spark, d, "orders").select("o_custkey").distinct())
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
 
 
 def evidence_union(spark: SparkSession, d: str) -> DataFrame:
@@ -242,7 +242,7 @@ ORACLE_SQL = {
     "recent_per_key": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5",
     "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "intersect_keys": "SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'",
-    "except_keys": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "except_keys": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
     "evidence_union": "SELECT uuid, category, count(*) AS n FROM (SELECT o_custkey AS uuid, 'publication' AS category FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT o_custkey, 'grant' FROM orders UNION ALL SELECT c_custkey, 'profile' FROM customer) GROUP BY ALL",
     "json_props_agg": "SELECT event_type, sum((props->>'k')::INT)::BIGINT AS total, max((props->>'k')::INT) AS top, count(props->>'k') AS n FROM events GROUP BY 1",
     "judged_cross_pairs": "SELECT x.l_orderkey AS query, x.l_linenumber AS winner, y.l_linenumber AS loser FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey WHERE x.l_quantity > 25 AND NOT y.l_quantity > 25",

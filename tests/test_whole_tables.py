@@ -12,7 +12,7 @@ from tests.test_oracles import plain
 WIDE = os.environ.get("TEST_WIDE_SF_DIR", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not os.path.isdir(WIDE), reason="no test tables here")
 
-NAMES = ["coauthor_two_hop", "insert_missing", "judged_cross_pairs", "recall_set", "triangular_unjudged"]
+NAMES = ["coauthor_two_hop", "except_keys", "insert_missing", "jaccard_pairs", "judged_cross_pairs", "recall_set", "triangular_unjudged"]
 
 
 @pytest.mark.parametrize("name", NAMES)
