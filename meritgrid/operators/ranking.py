@@ -104,15 +104,23 @@ def ranked(candidates: DataFrame, k: int | None = None, **exponents: float) -> D
     return rows.select(F.posexplode("r")).select((F.col("pos") + 1).alias("rank"), "col.*").drop("_d")
 
 
-def score_bands(candidates: DataFrame, mean: tuple[float, float, float], covariance: list[list[float]], samples: int = 200, seed: int = 42) -> DataFrame:
-    """2.5, 50 and 97.5 % of the score under exponents drawn from a normal distribution and clipped to their
-    bounds. The draws are few and shared, so they travel as literals; percentiles interpolate linearly."""
+def exponent_draws(mean: tuple[float, float, float], covariance: list[list[float]], samples: int = 200, seed: int = 42) -> np.ndarray:
+    """Exponents drawn from a normal distribution and clipped to their bounds, a row a draw."""
     draws = np.random.default_rng(seed).multivariate_normal(mean, np.array(covariance), size=samples)
     for i, bounds in enumerate(EXPONENT_BOUNDS.values()):
         draws[:, i] = np.clip(draws[:, i], *bounds)
-    drawn = F.array(*(F.struct(*(F.lit(float(v)).alias(n) for n, v in zip("abg", d, strict=True))) for d in draws))
+    return draws
+
+
+def score_bands(candidates: DataFrame, mean: tuple[float, float, float], covariance: list[list[float]], samples: int = 200, seed: int = 42) -> DataFrame:
+    """2.5, 50 and 97.5 % of the score under drawn exponents. The draws are few and shared: one row with an array, that
+    every task gets. Percentiles interpolate linearly."""
+    draws = exponent_draws(mean, covariance, samples, seed)
+    table = candidates.sparkSession.createDataFrame([([tuple(d) for d in draws.tolist()],)], "_draws array<struct<a:double,b:double,g:double>>")
+    drawn = F.col("_draws")
     score = lambda d: F.col("integrity") * power(F.col("quality"), d["a"]) * power(F.col("topical"), d["b"]) * power(F.col("recency"), d["g"])
-    rows = candidates.withColumn("_s", F.array_sort(F.transform(drawn, score)))
+    shared = candidates.withColumn("_one", F.lit(1)).join(F.broadcast(table.withColumn("_one", F.lit(1))), "_one")
+    rows = shared.withColumn("_s", F.array_sort(F.transform(drawn, score)))
 
     def at(p: float) -> Column:
         place = p * (samples - 1)

@@ -12,6 +12,10 @@ from meritgrid.plans.ranking_query import REFERENCE_DAY, rank_topk
 from meritgrid.plans.standins import GRANTS_SQL, PAPERS_SQL
 
 
+#: Mean and covariance of the exponents, and draws, of the bands.
+BANDS = ((0.7, 1.0, 0.4), [[0.01, 0.0, 0.0], [0.0, 0.01, 0.0], [0.0, 0.0, 0.01]], 50)
+
+
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -139,8 +143,7 @@ def rank_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_bands(spark: SparkSession, d: str) -> DataFrame:
-    covariance = [[0.01, 0.0, 0.0], [0.0, 0.01, 0.0], [0.0, 0.0, 0.01]]
-    return _rounded(ranking.score_bands(_score_rows(spark, d), (0.7, 1.0, 0.4), covariance, 50), 8, "low", "median", "high")
+    return _rounded(ranking.score_bands(_score_rows(spark, d), *BANDS), 8, "low", "median", "high")
 
 
 def rerank_client(spark: SparkSession, d: str) -> DataFrame:
@@ -187,6 +190,7 @@ _FUNDING = """money AS (SELECT uuid, ln(sum(cost * role_weight * CASE code WHEN
  f2 AS (SELECT *, (row_number() OVER (ORDER BY 0.7 * cost_log + 0.3 * r01, uuid) - 0.5) / count(*) OVER () AS p FROM money)"""
 _SCORES = """scores AS (SELECT c_custkey AS uuid, CASE WHEN c_custkey % 17 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS integrity, (c_custkey % 97 + 1) / 97.0::DOUBLE AS quality,
   (c_custkey % 31) / 31.0::DOUBLE AS topical, (c_custkey % 53 + 1) / 53.0::DOUBLE AS recency, c_custkey % 23 = 0 AS hard FROM customer)"""
+_DRAWS = ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE, {g!r}::DOUBLE)" for a, b, g in ranking.exponent_draws(*BANDS).tolist())
 _TOP = "SELECT row_number() OVER (ORDER BY s DESC, uuid) AS rank, uuid, s FROM (SELECT uuid, integrity * pow(quality, {a}) * (CASE WHEN topical <= 0 THEN 0 ELSE pow(topical, 1.0) END) * pow(recency, {g}) AS s FROM scores WHERE NOT hard AND integrity <> 0) QUALIFY rank <= {k}"
 
 ORACLE_SQL = {
@@ -205,6 +209,23 @@ ORACLE_SQL = {
       SELECT uuid, f AS fda_submission_count, t AS phase2plus_trial_count, p AS is_nccn_panel_member, round(x, 6) AS composite, round((row_number() OVER (ORDER BY x, uuid) - 0.5) / count(*) OVER (), 6) AS percentile FROM c""",
     "lineage": """WITH s AS (SELECT c_custkey AS uuid, c_custkey % 13 AS t, c_custkey % 6 AS r, (c_custkey % 10) / 10.0::DOUBLE AS l FROM customer), c AS (SELECT *, (0.4::DOUBLE * least(t / 10.0::DOUBLE, 1.0) + 0.6::DOUBLE * least(r / 5.0::DOUBLE, 1.0)) * l AS x FROM s)
       SELECT uuid, t AS traceable_trainee_count, r AS r01_trainee_count, l AS aft_link_confidence, round(x, 6) AS composite, round((row_number() OVER (ORDER BY x, uuid) - 0.5) / count(*) OVER (), 6) AS percentile FROM c""",
+    "clinician": f"""WITH c AS (SELECT c_custkey AS u, CASE WHEN c_custkey % 2 = 0 THEN 1.0 ELSE 0.7 END::DOUBLE AS base, CASE c_custkey % 4 WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 WHEN 3 THEN 0.4 ELSE 0.2 END::DOUBLE AS tier,
+        least((c_custkey % 8) / 5.0::DOUBLE, 1.0) AS trials FROM customer),
+      s AS (SELECT u, (CASE WHEN u % 3 = 0 THEN 0.0 WHEN u % 4 > 1 THEN least(base + 0.1::DOUBLE * (u % 4 - 1), 1.0) ELSE base END)::DOUBLE AS b,
+        (CASE WHEN u % 7 = 0 THEN 0.0 WHEN u % 6 <> 0 THEN 1.0 WHEN u % 5 = 0 THEN 0.1 WHEN u % 5 = 1 THEN 0.5 WHEN u % 5 = 2 THEN 0.7 ELSE 1.0 END)::DOUBLE AS l,
+        (CASE WHEN u % 3 = 0 AND u % 9 <= 5 THEN greatest(tier, 0.9) ELSE tier END)::DOUBLE AS h, (CASE WHEN u % 8 = 0 THEN 0.0 WHEN u % 4 >= 3 THEN least(trials + 0.2::DOUBLE, 1.0) ELSE trials END)::DOUBLE AS t,
+        (CASE WHEN u % 10 <> 0 THEN least((u % 700) / 500.0::DOUBLE, 1.0) ELSE 0.0 END)::DOUBLE AS v FROM c),
+      k AS (SELECT *, 0.30::DOUBLE * b + 0.15::DOUBLE * l + 0.25::DOUBLE * h + 0.15::DOUBLE * t + 0.15::DOUBLE * v AS x FROM s)
+      SELECT u AS uuid, round(b, 4) AS board_certification_score, round(l, 4) AS license_score, round(h, 4) AS hospital_tier_score, round(t, 4) AS trial_pi_score, round(v, 4) AS procedure_volume_score,
+        CASE WHEN u % 10 <> 0 THEN 1.0 ELSE 0.3 END::DOUBLE AS procedure_volume_confidence, CASE WHEN u % 10 = 0 THEN '{features.NO_VOLUME_CAVEAT}' END AS coverage_caveat,
+        round((row_number() OVER (ORDER BY x, u) - 0.5) / count(*) OVER (), 6) AS percentile FROM k""",
+    "score_bands": f"""WITH {_SCORES}, d(a, b, g) AS (VALUES {_DRAWS}), s AS (SELECT uuid, integrity * pow(quality, a) * (CASE WHEN topical <= 0 THEN 0 ELSE pow(topical, b) END) * pow(recency, g) AS s FROM scores, d)
+      SELECT uuid, round(quantile_cont(s, 0.025), 8) AS low, round(quantile_cont(s, 0.5), 8) AS median, round(quantile_cont(s, 0.975), 8) AS high, 50 AS n_samples FROM s GROUP BY uuid""",
+    "live_scoring": """WITH i AS (SELECT o_custkey AS u, count(*) FILTER (o_orderkey % 2 = 0) AS p, count(*) FILTER (o_orderkey % 9 = 0) AS n, count(*) FILTER (o_orderkey % 7 = 0) AS g, count(*) FILTER (o_orderkey % 7 = 0 AND o_orderstatus = 'O') AS r,
+        avg(o_totalprice / 100000.0::DOUBLE) FILTER (o_orderkey % 4 = 0) AS rcr FROM orders GROUP BY 1)
+      SELECT u AS uuid, round(least(1.0, coalesce(rcr / 5.0, p / 20.0::DOUBLE)), 6) AS f1, round(CASE WHEN g > 0 THEN 1 - exp(-(r + 0.6::DOUBLE * (g - r)) / 3.0) ELSE 0 END, 6)::DOUBLE AS f2,
+        round(least(1.0, (1 + least(n, 5) * 0.6::DOUBLE + least(g, 5) * 0.4::DOUBLE) / 5.0), 6) AS f3, CASE WHEN u % 40 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS f4, round(least(1.0, n / 5.0::DOUBLE), 6) AS f5,
+        round(least(1.0, (2 * 0.6::DOUBLE + ((p > 0)::INT + (n > 0)::INT + (g > 0)::INT) * 0.4::DOUBLE) / 3.0), 6) AS f6, round(least(1.0, ((g - r) / 3.0::DOUBLE + (n > 0)::INT + 1) / 3.0), 6) AS f7 FROM i JOIN customer ON c_custkey = u""",
     "quality_prior": "SELECT c_custkey AS uuid, round(exp(0.45 * ln(greatest((c_custkey % 97) / 97.0::DOUBLE, 0.01)) + 0.20 * ln(greatest((c_custkey % 89) / 89.0::DOUBLE, 0.01)) + 0.20 * ln(greatest((c_custkey % 83) / 83.0::DOUBLE, 0.01)) + 0.05 * ln(0.01) + 0.10 * ln(0.01)), 8) AS raw_score FROM customer",
     "topical_fit": f"""WITH {PAPERS_SQL}, w AS (SELECT uuid, t, sum(author_weight) AS w FROM (SELECT uuid, author_weight, unnest([term, brand]) AS t FROM papers) GROUP BY uuid, t), n AS (SELECT uuid, sqrt(sum(w * w)) AS n FROM w GROUP BY uuid)
       SELECT uuid, round(least(1.0, sum(w / n * CASE t WHEN 'PROMO' THEN 1 ELSE 2 END / sqrt(5.0::DOUBLE))), 6) AS topical_fit FROM w JOIN n USING (uuid) WHERE t IN ('PROMO', 'Brand#12') GROUP BY uuid""",

@@ -250,6 +250,10 @@ ORACLE_SQL = {
     "triangular_unjudged": "SELECT x.l_orderkey, x.l_linenumber AS a, y.l_linenumber AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber WHERE (x.l_linenumber + y.l_linenumber) % 3 <> 0",
     "sliding_60s_count": "SELECT event_id AS id, event_type AS source, count(*) OVER w AS in_window, count(*) OVER w > 100 AS burst FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)",
     "same_query_count": "SELECT event_id AS id, row_number() OVER w AS same, row_number() OVER w > 10 AS suspicious FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)",
+    "token_bucket_replay": """WITH RECURSIVE e AS (SELECT user_id AS c, event_id AS id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+      b AS (SELECT c, id, us, k, true AS allowed, 1.0::DOUBLE AS t FROM e WHERE k = 1
+        UNION ALL SELECT c, id, us, k, f >= 1, f - CASE WHEN f >= 1 THEN 1 ELSE 0 END FROM (SELECT e.*, least(2.0::DOUBLE, b.t + (e.us - b.us) / 1e6::DOUBLE * 0.0002::DOUBLE) AS f FROM b JOIN e ON e.c = b.c AND e.k = b.k + 1))
+      SELECT c AS customer, id, allowed, round(t, 4) AS tokens FROM b""",
     "tumbling_window": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "session_window": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
       SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOURS AS "end", count(*) AS n FROM s GROUP BY user_id, s""",
