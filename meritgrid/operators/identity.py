@@ -52,7 +52,10 @@ def strong_key_id(prefix: str, value: Column) -> Column:
 def candidate_id(orcid: Column, era: Column, name: Column, affiliation: Column) -> Column:
     """Id by ORCID, else by eRA account in upper case, else by name and the first 80 characters of affiliation."""
     by_name = F.concat_ws(":", F.lower(F.trim(name)), F.substring(F.lower(F.trim(F.coalesce(affiliation, F.lit("")))), 1, 80))
-    return F.when(orcid.isNotNull(), strong_key_id("orcid", orcid)).when(era.isNotNull(), strong_key_id("era", F.upper(era))).otherwise(strong_key_id("name", by_name))
+    return F.when(orcid.isNotNull(), strong_key_id("orcid", orcid)).when(
+        era.isNotNull(),
+        strong_key_id("era", F.upper(era)),
+    ).otherwise(strong_key_id("name", by_name))
 
 
 def normal_orcid(value: Column) -> Column:
@@ -101,15 +104,29 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def resolve_strong_keys(records: DataFrame, registry: DataFrame) -> DataFrame:
     """`records` (id, orcid, era) with the `uuid` and `matched_by` of the registry (key_type, key_value, uuid),
     ORCID before eRA; other key types are not looked at."""
-    keys = records.select("id", F.explode(F.array(F.struct(F.lit(0).alias("p"), F.lit("orcid").alias("key_type"), F.col("orcid").alias("key_value")), F.struct(F.lit(1).alias("p"), F.lit("era_commons").alias("key_type"), F.col("era").alias("key_value")))).alias("k")).select("id", "k.*")
-    best = keys.where("key_value is not null").join(registry, ["key_type", "key_value"]).groupBy("id").agg(F.min(F.struct("p", "uuid", "key_type")).alias("m"))
+    keys = records.select(
+        "id",
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("p"), F.lit("orcid").alias("key_type"), F.col("orcid").alias("key_value")),
+                F.struct(F.lit(1).alias("p"), F.lit("era_commons").alias("key_type"), F.col("era").alias("key_value")),
+            )
+        ).alias("k"),
+    ).select("id", "k.*")
+    best = keys.where("key_value is not null").join(
+        registry,
+        ["key_type", "key_value"],
+    ).groupBy("id").agg(F.min(F.struct("p", "uuid", "key_type")).alias("m"))
     return records.join(best, "id", "left").select(*records.columns, F.col("m.uuid").alias("uuid"), F.col("m.key_type").alias("matched_by"))
 
 
 def get_or_create(records: DataFrame, registry: DataFrame, order: list[str]) -> DataFrame:
     """(id, uuid, is_new): the registered uuid of the first key type in `order` that matches, else a new one made
     of the record's own first key, so that a repeated run makes the same."""
-    long = records.select("id", F.posexplode(F.array(*(F.struct(F.lit(t).alias("key_type"), F.col("strong_keys")[t].alias("key_value")) for t in order))).alias("p", "k")).select("id", "p", "k.*").where("key_value is not null")
+    long = records.select(
+        "id",
+        F.posexplode(F.array(*(F.struct(F.lit(t).alias("key_type"), F.col("strong_keys")[t].alias("key_value")) for t in order))).alias("p", "k"),
+    ).select("id", "p", "k.*").where("key_value is not null")
     known = long.join(registry, ["key_type", "key_value"]).groupBy("id").agg(F.min(F.struct("p", "uuid")).alias("m"))
     own = long.groupBy("id").agg(F.min(F.struct("p", F.concat_ws(":", "key_type", "key_value").alias("k"))).alias("o"))
     joined = records.select("id").join(known, "id", "left").join(own, "id", "left")
@@ -233,7 +250,9 @@ def _best_of_block(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
             people, terms = _overlap(r.people, by_name, n_names), _overlap(r.term_set, by_term, n_terms)
             has_people, has_terms = float(r.has_people), (bool(r.has_terms) & c["has_terms"].to_numpy(bool)).astype(float)
             total = w["name"] + w["affiliation"] + w["time"] + w["coauthor"] * has_people + w["mesh"] * has_terms
-            score = (w["name"] * ratio + w["affiliation"] * place + w["coauthor"] * has_people * people + w["mesh"] * has_terms * terms + w["time"] * time) / total
+            score = (
+                w["name"] * ratio + w["affiliation"] * place + w["coauthor"] * has_people * people + w["mesh"] * has_terms * terms + w["time"] * time
+            ) / total
             if score.max() < REVIEW - 1e-9:
                 kin = [k for x in r.words for k in by_word.get(x, [])] + by_ror.get(r.ror_id, []) + by_ror.get(r.parent_ror_id, [])
                 score[np.setdiff1d(np.arange(len(c)), kin)] = -1.0
@@ -260,10 +279,44 @@ def link(artifacts: DataFrame, candidates: DataFrame) -> DataFrame:
     across, down = _blocks(artifacts, LINK_BLOCK), _blocks(candidates, CANDIDATE_BLOCK)
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
 
-    left = artifacts.select("artifact_id", F.transform(texts(F.col("names")), F.lower).alias("names"), texts(name_words(F.col("names"))).alias("words"), "ror_id", "parent_ror_id", lower(F.col("coauthors")).alias("people"), lower(F.col("terms")).alias("term_set"), some("coauthors").alias("has_people"), some("terms").alias("has_terms"), F.coalesce(F.col("year").cast("double"), F.lit(float("nan"))).alias("year"))
-    right = candidates.select("uuid", F.transform(texts(F.col("names")), F.lower).alias("names"), texts(name_words(F.col("names"))).alias("words"), F.array_distinct(F.array_compact(texts(F.col("rors")))).alias("rors"), lower(F.col("names")).alias("name_set"), lower(F.col("terms")).alias("term_set"), some("terms").alias("has_terms"), F.col("first_year").cast("double").alias("first_year"), F.col("last_year").cast("double").alias("last_year"))
-    schema = T.StructType([T.StructField("artifact_id", artifacts.schema["artifact_id"].dataType), T.StructField("uuid", candidates.schema["uuid"].dataType), T.StructField("f_name", T.DoubleType())])
-    pairs = in_blocks(left, "artifact_id", "_i", across, "_j", down).groupBy("_i", "_j").cogroup(in_blocks(right, "uuid", "_j", down, "_i", across).groupBy("_i", "_j")).applyInPandas(_best_of_block, schema)
+    left = artifacts.select(
+        "artifact_id",
+        F.transform(texts(F.col("names")), F.lower).alias("names"),
+        texts(name_words(F.col("names"))).alias("words"),
+        "ror_id",
+        "parent_ror_id",
+        lower(F.col("coauthors")).alias("people"),
+        lower(F.col("terms")).alias("term_set"),
+        some("coauthors").alias("has_people"),
+        some("terms").alias("has_terms"),
+        F.coalesce(F.col("year").cast("double"), F.lit(float("nan"))).alias("year"),
+    )
+    right = candidates.select(
+        "uuid",
+        F.transform(texts(F.col("names")), F.lower).alias("names"),
+        texts(name_words(F.col("names"))).alias("words"),
+        F.array_distinct(F.array_compact(texts(F.col("rors")))).alias("rors"),
+        lower(F.col("names")).alias("name_set"),
+        lower(F.col("terms")).alias("term_set"),
+        some("terms").alias("has_terms"),
+        F.col("first_year").cast("double").alias("first_year"),
+        F.col("last_year").cast("double").alias("last_year"),
+    )
+    schema = T.StructType(
+        [
+            T.StructField("artifact_id", artifacts.schema["artifact_id"].dataType),
+            T.StructField("uuid", candidates.schema["uuid"].dataType),
+            T.StructField("f_name", T.DoubleType()),
+        ]
+    )
+    pairs = in_blocks(
+        left,
+        "artifact_id",
+        "_i",
+        across,
+        "_j",
+        down,
+    ).groupBy("_i", "_j").cogroup(in_blocks(right, "uuid", "_j", down, "_i", across).groupBy("_i", "_j")).applyInPandas(_best_of_block, schema)
     c = candidates.select("uuid", F.col("names").alias("c_names"), "rors", F.col("terms").alias("c_terms"), "first_year", "last_year")
     both = pairs.join(artifacts, "artifact_id").join(c, "uuid")
     features = both.select(
@@ -279,8 +332,15 @@ def link(artifacts: DataFrame, candidates: DataFrame) -> DataFrame:
     )
     score = link_confidence({k: F.col(f"f_{k}") for k in LINK_WEIGHTS}, F.col("_co"), F.col("_me"))
     ranked = features.withColumn("confidence", score)
-    best = ranked.groupBy("artifact_id").agg(F.min(F.struct((-F.col("confidence")).alias("d"), "uuid", "confidence", *(f"f_{k}" for k in LINK_WEIGHTS))).alias("m"))
-    out = artifacts.select("artifact_id").join(best, "artifact_id", "left").select("artifact_id", F.col("m.uuid").alias("_u"), F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"), *(F.coalesce(F.col(f"m.f_{k}"), F.lit(0.0)).alias(f"f_{k}") for k in LINK_WEIGHTS))
+    best = ranked.groupBy("artifact_id").agg(
+        F.min(F.struct((-F.col("confidence")).alias("d"), "uuid", "confidence", *(f"f_{k}" for k in LINK_WEIGHTS))).alias("m")
+    )
+    out = artifacts.select("artifact_id").join(best, "artifact_id", "left").select(
+        "artifact_id",
+        F.col("m.uuid").alias("_u"),
+        F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"),
+        *(F.coalesce(F.col(f"m.f_{k}"), F.lit(0.0)).alias(f"f_{k}") for k in LINK_WEIGHTS),
+    )
     action = link_action(F.col("confidence"))
     return out.withColumn("action", action).withColumn("uuid", F.when(F.col("action") != "reject", F.col("_u"))).drop("_u")
 
@@ -293,7 +353,13 @@ def npi_match(pairs: DataFrame) -> DataFrame:
     specialty = (F.coalesce("npi_specialty", F.lit("")) != "") & (F.coalesce(F.size("mesh"), F.lit(0)) > 0)
     address = (F.coalesce("npi_state", F.lit("")) != "") & F.upper("affiliation").contains(F.upper("npi_state"))
     address = F.coalesce(address, F.lit(False))
-    signals = F.array_compact(F.array(F.when((a != b) & (last(a) != last(b)), "name_mismatch"), F.when(~specialty, "specialty_mismatch"), F.when(~address, "address_mismatch")))
+    signals = F.array_compact(
+        F.array(
+            F.when((a != b) & (last(a) != last(b)), "name_mismatch"),
+            F.when(~specialty, "specialty_mismatch"),
+            F.when(~address, "address_mismatch"),
+        )
+    )
     confidence = F.least(name + 0.1 * specialty.cast("double") + 0.1 * address.cast("double"), F.lit(1.0))
     out = pairs.withColumns({"confidence": F.round(confidence, 6), "specialty_match": specialty, "address_match": address, "signals": signals})
     return out.withColumn("action", link_action(F.col("confidence"), STRICT_AUTO_LINK, REVIEW))
@@ -302,14 +368,31 @@ def npi_match(pairs: DataFrame) -> DataFrame:
 def merge_candidates(candidates: DataFrame) -> DataFrame:
     """Pairs (a, b) of candidates (uuid, strong_keys, names) that share a strong key or a name, a < b, with
     confidence, kind and the number of shared keys or names."""
-    keys = candidates.select("uuid", F.explode(F.map_filter("strong_keys", lambda k, v: k.isin(MERGE_KEYS) & v.isNotNull())).alias("t", "v")).select("uuid", F.concat_ws(":", F.lit("k"), "t", "v").alias("k"), F.lit(True).alias("strong"))
-    names = candidates.select("uuid", F.explode(F.array_distinct(F.transform("names", F.lower))).alias("n")).select("uuid", F.concat_ws(":", F.lit("n"), "n").alias("k"), F.lit(False).alias("strong"))
+    keys = candidates.select(
+        "uuid",
+        F.explode(F.map_filter("strong_keys", lambda k, v: k.isin(MERGE_KEYS) & v.isNotNull())).alias("t", "v"),
+    ).select("uuid", F.concat_ws(":", F.lit("k"), "t", "v").alias("k"), F.lit(True).alias("strong"))
+    names = candidates.select("uuid", F.explode(F.array_distinct(F.transform("names", F.lower))).alias("n")).select(
+        "uuid",
+        F.concat_ws(":", F.lit("n"), "n").alias("k"),
+        F.lit(False).alias("strong"),
+    )
     both = keys.unionByName(names)
     x, y = both.toDF("a", "k", "strong"), both.toDF("b", "k", "_s")
-    shared = x.join(y, "k").where("a < b").groupBy("a", "b").agg(F.count_if(F.col("strong")).alias("n_keys"), F.count_if(~F.col("strong")).alias("n_names"))
+    shared = x.join(y, "k").where("a < b").groupBy("a", "b").agg(
+        F.count_if(F.col("strong")).alias("n_keys"),
+        F.count_if(~F.col("strong")).alias("n_names"),
+    )
     strong = F.col("n_keys") > 0
     confidence = F.when(strong, F.least(0.95 + 0.02 * F.col("n_keys"), F.lit(1.0))).otherwise(F.least(0.5 + 0.15 * F.col("n_names"), F.lit(0.9)))
-    return shared.select("a", "b", "n_keys", "n_names", F.round(confidence, 6).alias("confidence"), F.when(strong, "strong_key").otherwise("review_needed").alias("kind")).where(F.col("confidence") >= REVIEW)
+    return shared.select(
+        "a",
+        "b",
+        "n_keys",
+        "n_names",
+        F.round(confidence, 6).alias("confidence"),
+        F.when(strong, "strong_key").otherwise("review_needed").alias("kind"),
+    ).where(F.col("confidence") >= REVIEW)
 
 
 def merged_record(a: str, b: str) -> Column:
@@ -389,7 +472,10 @@ def resolve_organisations(raw: DataFrame, names: DataFrame, aliases: DataFrame)
         "affiliation",
         F.coalesce("_a", "_e", "m.name").alias("canonical_name"),
         F.when(F.coalesce("_a", "_e").isNotNull(), 1.0).otherwise(F.col("m.ratio")).alias("confidence"),
-        F.when(F.col("_a").isNotNull(), "alias").when(F.col("_e").isNotNull(), "exact").when(F.col("m.ratio") >= 0.7, "fuzzy").when(F.col("m.ratio").isNotNull(), "fuzzy-low").alias("matched_via"),
+        F.when(F.col("_a").isNotNull(), "alias").when(F.col("_e").isNotNull(), "exact").when(F.col("m.ratio") >= 0.7, "fuzzy").when(
+            F.col("m.ratio").isNotNull(),
+            "fuzzy-low",
+        ).alias("matched_via"),
     )
     return raw.join(found.join(names, "canonical_name", "left"), "affiliation", "left")
 
@@ -419,7 +505,12 @@ def similar_sets(members: DataFrame, least: float) -> DataFrame:
     sets = members.select("uuid", "work").distinct()
     common = sets.groupBy("work").agg(F.count(F.lit(1)).alias("_f"))
     own = W.partitionBy("uuid")
-    placed = sets.join(common, "work").select("uuid", "work", F.row_number().over(own.orderBy("_f", "work")).alias("_p"), F.count(F.lit(1)).over(own).alias("n"))
+    placed = sets.join(common, "work").select(
+        "uuid",
+        "work",
+        F.row_number().over(own.orderBy("_f", "work")).alias("_p"),
+        F.count(F.lit(1)).over(own).alias("n"),
+    )
     prefixes = placed.withColumn("rest", F.ceil(F.col("n") * t) - 1).where(F.col("_p") <= F.col("n") - F.col("rest"))
     x, y = (prefixes.select(F.col("uuid").alias(k), "work", F.col("n").alias(f"n{k}"), F.col("rest").alias(f"r{k}")) for k in "ab")
     met = x.join(y, "work").where("a < b").where((F.col("na") >= F.col("nb") * t) & (F.col("nb") >= F.col("na") * t))
@@ -468,7 +559,11 @@ def merged_terms(terms: DataFrame, most: int = 10) -> DataFrame:
     in the order of first mention, major if a mention is, the first ten of a candidate. The spelling is that of the
     first major mention, else of the first."""
     spelling = F.min_by("descriptor", F.struct(~F.col("major"), "pos"))
-    one = terms.groupBy("uuid", F.lower("descriptor").alias("_l")).agg(spelling.alias("descriptor"), F.max("major").alias("major"), F.min("pos").alias("_p"))
+    one = terms.groupBy("uuid", F.lower("descriptor").alias("_l")).agg(
+        spelling.alias("descriptor"),
+        F.max("major").alias("major"),
+        F.min("pos").alias("_p"),
+    )
     placed = one.withColumn("place", F.row_number().over(W.partitionBy("uuid").orderBy("_p")))
     return placed.where(F.col("place") <= most).select("uuid", "descriptor", "major", "place")
 

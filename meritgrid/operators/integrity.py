@@ -137,7 +137,10 @@ def predatory(medline: Column, doaj: Column, cabells: Column, flags: Column) ->
 
 def predatory_load(papers: DataFrame) -> DataFrame:
     """(uuid, predatory_load): the weighted share of predatory papers, from (uuid, is_predatory, position)."""
-    weight = F.when(F.col("position") == "last", POSITION_WEIGHTS["last"]).when(F.col("position") == "first", POSITION_WEIGHTS["first"]).otherwise(OTHER_POSITION)
+    weight = F.when(F.col("position") == "last", POSITION_WEIGHTS["last"]).when(
+        F.col("position") == "first",
+        POSITION_WEIGHTS["first"],
+    ).otherwise(OTHER_POSITION)
     return papers.groupBy("uuid").agg((F.sum(F.when(F.col("is_predatory"), weight).otherwise(0.0)) / F.sum(weight)).alias("predatory_load"))
 
 

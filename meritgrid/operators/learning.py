@@ -13,6 +13,7 @@ from meritgrid.operators.ranking import EXPONENT_BOUNDS
 
 # Where the fit starts and when its result may be used.
 START = (0.7, 1.0, 0.4)
+TINY = 1e-12
 LEAST_PAIRS, WIDEST_HALF_CI = 20, 0.2
 LARGE_CHANGE = 0.05
 DOWNSTREAM_PAIRS, DOWNSTREAM_FACTOR = 50, 2
@@ -46,9 +47,16 @@ def sampled_pairs(candidates: DataFrame, judged: DataFrame, n_pairs: int, seed:
     x, y = scored.toDF("x", "sx"), scored.toDF("y", "sy")
     if n * (n - 1) // 2 > ALL_PAIRS:
         placed = numbered(scored, ["score", "uuid"], "p", "_n").drop("_n")
-        x, y = placed.select(F.col("uuid").alias("x"), F.col("score").alias("sx"), F.col("p").alias("px")), placed.select(F.col("uuid").alias("y"), F.col("score").alias("sy"), F.col("p").alias("py"))
+        x, y = placed.select(
+            F.col("uuid").alias("x"),
+            F.col("score").alias("sx"),
+            F.col("p").alias("px"),
+        ), placed.select(F.col("uuid").alias("y"), F.col("score").alias("sy"), F.col("p").alias("py"))
         while draws < n * (n - 1) // 2:
-            drawn = candidates.sparkSession.range(draws).select("id", *((F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(k)), F.lit(n)) + 1).alias(k) for k in ("px", "py")))
+            drawn = candidates.sparkSession.range(draws).select(
+                "id",
+                *((F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(k)), F.lit(n)) + 1).alias(k) for k in ("px", "py")),
+            )
             accepted = drawn.where("px <> py").join(x, "px").join(y, "py").select("id", *pair).where(uniform("id", F.lit("accept")) < F.col("w"))
             open_ = accepted.groupBy("a", "b").agg(F.min("id").alias("id"), F.first("w").alias("w")).join(done, ["a", "b"], "left_anti")
             found = open_.count()
@@ -101,7 +109,10 @@ def fit_exponents(pairs: DataFrame, rounds: int = 50) -> Fit:
             p = 1 / (1 + F.exp(-z))
             w = p * (1 - p)
             cells = [(a, b) for i, a in enumerate("qtr") for b in "qtr"[i:]]
-            row = d.agg(*(F.sum((1 - p) * F.col(c)).alias(f"g{c}") for c in "qtr"), *(F.sum(w * F.col(a) * F.col(b)).alias(f"h{a}{b}") for a, b in cells)).first()
+            row = d.agg(
+                *(F.sum((1 - p) * F.col(c)).alias(f"g{c}") for c in "qtr"),
+                *(F.sum(w * F.col(a) * F.col(b)).alias(f"h{a}{b}") for a, b in cells),
+            ).first()
             gradient = np.array([row[f"g{c}"] for c in "qtr"])
             matrix = np.array([[row["h" + "".join(sorted((a, b), key="qtr".index))] for b in "qtr"] for a in "qtr"]) + 1e-9 * np.eye(3)
             free = ~((at <= low) & (gradient < 0) | (at >= high) & (gradient > 0))
@@ -119,6 +130,17 @@ def fit_exponents(pairs: DataFrame, rounds: int = 50) -> Fit:
     return Fit(tuple(map(float, at)), tuple(map(float, half)), done, n)
 
 
+def negative_log_likelihood(pairs: DataFrame, exponents: tuple[float, float, float]) -> DataFrame:
+    """One row, the fit's objective at given exponents over pairs (wq, wt, wr, lq, lt, lr): the sum of -ln of the share
+    that the winner has of both scores."""
+    def score(side: str) -> Column:
+        parts = [F.pow(F.greatest(F.coalesce(f"{side}{c}", F.lit(0.0)), F.lit(TINY)), F.lit(float(e))) for c, e in zip("qtr", exponents, strict=True)]
+        return parts[0] * parts[1] * parts[2]
+
+    win, lose = score("w"), score("l")
+    return pairs.agg(F.coalesce(F.sum(-F.log(win / (win + lose + TINY) + TINY)), F.lit(0.0)).alias("nll"), F.count(F.lit(1)).alias("n_pairs"))
+
+
 def cold_start(fit: Fit) -> str:
     """Whether a first fit may be used: the first rule that it fails, or ready."""
     if not fit.converged:

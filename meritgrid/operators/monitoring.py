@@ -24,7 +24,10 @@ def drift(daily: DataFrame) -> DataFrame:
     drop of 30 %, warning for a z score of 2. Fewer than two rows before give no baseline and no alert."""
     before = W.partitionBy("source").orderBy("day").rowsBetween(-DRIFT_ROWS, -1)
     n = F.count("n").over(before)
-    rows = daily.withColumn("mean", F.when(n >= 2, F.avg("n").over(before)).otherwise(0.0)).withColumn("deviation", F.when(n >= 2, F.stddev_samp("n").over(before)).otherwise(0.0))
+    rows = daily.withColumn("mean", F.when(n >= 2, F.avg("n").over(before)).otherwise(0.0)).withColumn(
+        "deviation",
+        F.when(n >= 2, F.stddev_samp("n").over(before)).otherwise(0.0),
+    )
     drop = F.when(F.col("mean") > 0, (F.col("mean") - F.col("n")) / F.col("mean")).otherwise(0.0)
     z = F.when((F.col("mean") > 0) & (F.col("deviation") > 0), (F.col("mean") - F.col("n")) / F.col("deviation")).otherwise(0.0)
     rows = rows.withColumn("drop", drop).withColumn("z", z)
@@ -62,7 +65,10 @@ def jumps(values: DataFrame, *keys: str, version: str = "version", value: str =
     zero = F.abs("old_value") < 1e-10
     change = F.when(zero, F.when(F.abs(value) > 0.01, 100.0)).otherwise(F.abs(F.col(value) - F.col("old_value")) / F.abs("old_value") * 100.0)
     found = rows.withColumn("change", change).where(F.col("change") > JUMP_PERCENT)
-    return found.withColumn("severity", F.when(F.col("change") > 2 * JUMP_PERCENT, "critical").otherwise("warning")).withColumn("change", F.round("change", 2))
+    return found.withColumn(
+        "severity",
+        F.when(F.col("change") > 2 * JUMP_PERCENT, "critical").otherwise("warning"),
+    ).withColumn("change", F.round("change", 2))
 
 
 def trends(snapshots: DataFrame, key: str, day: str, value: str, least: int = 4, last: int = 1000) -> DataFrame:
@@ -75,9 +81,18 @@ def trends(snapshots: DataFrame, key: str, day: str, value: str, least: int = 4,
 def latest_drop(snapshots: DataFrame, key: str, day: str, value: str, threshold: float) -> DataFrame:
     """Keys whose latest value fell by more than the threshold since the one before; twice that is critical."""
     order = W.partitionBy(key).orderBy(F.desc(day))
-    rows = snapshots.select(key, day, F.col(value).alias("value"), F.lead(value).over(order).alias("previous"), F.row_number().over(order).alias("_k")).where("_k = 1")
+    rows = snapshots.select(
+        key,
+        day,
+        F.col(value).alias("value"),
+        F.lead(value).over(order).alias("previous"),
+        F.row_number().over(order).alias("_k"),
+    ).where("_k = 1")
     drop = F.col("previous") - F.col("value")
-    return rows.withColumn("drop", drop).where(F.col("drop") > threshold).withColumn("severity", F.when(F.col("drop") > 2 * threshold, "critical").otherwise("warning")).drop("_k")
+    return rows.withColumn("drop", drop).where(F.col("drop") > threshold).withColumn(
+        "severity",
+        F.when(F.col("drop") > 2 * threshold, "critical").otherwise("warning"),
+    ).drop("_k")
 
 
 def histogram(scores: DataFrame, value: str, key: str, bins: int = BINS) -> DataFrame:
@@ -85,7 +100,11 @@ def histogram(scores: DataFrame, value: str, key: str, bins: int = BINS) -> Data
     one value only gets bins half a unit to either side."""
     ends = scores.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     same = F.col("_lo") == F.col("_hi")
-    ends = ends.select(key, F.when(same, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"), F.when(same, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("hi"))
+    ends = ends.select(
+        key,
+        F.when(same, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"),
+        F.when(same, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("hi"),
+    )
     placed = scores.join(ends, key).select(key, "lo", "hi", F.least(F.width_bucket(value, "lo", "hi", F.lit(bins)), F.lit(bins)).alias("bin"))
     return placed.groupBy(key, "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
 
@@ -144,9 +163,16 @@ def merge_accuracy(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     p = predicted.select("a", "b", F.col("is_match").alias("p")).dropDuplicates(["a", "b"])
     t = truth.select("a", "b", F.col("is_match").alias("t")).dropDuplicates(["a", "b"])
     both = p.join(t, ["a", "b"], "full_outer").select(F.coalesce("p", F.lit(False)).alias("p"), F.coalesce("t", F.lit(False)).alias("t"))
-    counts = both.agg(F.sum((F.col("p") & F.col("t")).cast("long")).alias("tp"), F.sum((F.col("p") & ~F.col("t")).cast("long")).alias("fp"), F.sum((~F.col("p") & F.col("t")).cast("long")).alias("fn"))
+    counts = both.agg(
+        F.sum((F.col("p") & F.col("t")).cast("long")).alias("tp"),
+        F.sum((F.col("p") & ~F.col("t")).cast("long")).alias("fp"),
+        F.sum((~F.col("p") & F.col("t")).cast("long")).alias("fn"),
+    )
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    out = counts.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
+    out = counts.withColumn(
+        "precision",
+        ratio(F.col("tp"), F.col("tp") + F.col("fp")),
+    ).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     return out.withColumn("f1", F.round(f1, 6)).withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
 
@@ -186,7 +212,10 @@ def service_levels(requests: DataFrame, *keys: str) -> DataFrame:
     points = order_statistics(requests, list(keys), ["latency", "id"], "latency", {"p95": at(0.95), "p99": at(0.99)})
     fails, n = F.count_if(~F.col("success")), F.count(F.lit(1))
     rates = requests.groupBy(*keys).agg(
-        n.alias("requests"), F.round(1 - fails / n, 6).alias("success_rate"), F.round(fails / ((1 - SLO_SUCCESS) * n) * 100, 4).alias("budget_used_pct")
+        n.alias("requests"), F.round(1 - fails / n, 6).alias("success_rate"), F.round(
+            fails / ((1 - SLO_SUCCESS) * n) * 100,
+            4,
+        ).alias("budget_used_pct")
     )
     return rates.join(points, list(keys)).select(*keys, "requests", "p95", "p99", "success_rate", "budget_used_pct")
 
@@ -205,7 +234,12 @@ def freshness(successes: DataFrame, slo: DataFrame, now: Column) -> DataFrame:
     last = successes.groupBy("source").agg(F.max("ts").alias("last"), F.avg("lag").alias("mean_lag"))
     hours = (F.unix_timestamp(now) - F.unix_timestamp("last")) / 3600.0
     joined = slo.join(last, "source", "full_outer")
-    return joined.select("source", F.round(hours, 4).alias("age_hours"), F.round("mean_lag", 6).alias("mean_lag"), (F.coalesce(hours, F.lit(float("inf"))) <= F.coalesce("slo_hours", F.lit(24.0))).alias("met"))
+    return joined.select(
+        "source",
+        F.round(hours, 4).alias("age_hours"),
+        F.round("mean_lag", 6).alias("mean_lag"),
+        (F.coalesce(hours, F.lit(float("inf"))) <= F.coalesce("slo_hours", F.lit(24.0))).alias("met"),
+    )
 
 
 def refresh_sla(slas: DataFrame, successes: DataFrame, now: Column) -> DataFrame:
@@ -221,7 +255,10 @@ def refresh_sla(slas: DataFrame, successes: DataFrame, now: Column) -> DataFrame
 def cost_report(usage: DataFrame, day: str) -> DataFrame:
     """(customer, model, cost, calls) of one UTC day by customer, by model and in all, in one pass."""
     today = usage.where(F.to_date("ts") == F.lit(day).cast("date"))
-    return today.groupingSets([["customer"], ["model"], []], "customer", "model").agg(F.round(F.sum("cost"), 6).alias("cost"), F.count(F.lit(1)).alias("calls"))
+    return today.groupingSets([["customer"], ["model"], []], "customer", "model").agg(
+        F.round(F.sum("cost"), 6).alias("cost"),
+        F.count(F.lit(1)).alias("calls"),
+    )
 
 
 def over_budget(usage: DataFrame, budgets: DataFrame, day: str) -> DataFrame:
@@ -234,7 +271,11 @@ def recall(expected: DataFrame, returned: DataFrame) -> DataFrame:
     """(query, recall, found, missed) over sets of (query, uuid); a query that expects nothing has recall 1."""
     e = expected.groupBy("query").agg(F.array_sort(F.collect_set("uuid")).alias("e"))
     r = returned.groupBy("query").agg(F.collect_set("uuid").alias("r"))
-    joined = e.join(r, "query", "full_outer").select("query", F.coalesce("e", F.array().cast("array<string>")).alias("e"), F.coalesce("r", F.array().cast("array<string>")).alias("r"))
+    joined = e.join(r, "query", "full_outer").select(
+        "query",
+        F.coalesce("e", F.array().cast("array<string>")).alias("e"),
+        F.coalesce("r", F.array().cast("array<string>")).alias("r"),
+    )
     found = F.array_sort(F.array_intersect("e", "r"))
     value = F.when(F.size("e") == 0, 1.0).otherwise(F.size(found) / F.size("e"))
     return joined.select("query", F.round(value, 6).alias("recall"), found.alias("found"), F.array_sort(F.array_except("e", "r")).alias("missed"))
@@ -273,15 +314,26 @@ def stale_sources(slas: DataFrame, refreshed: DataFrame, now: Column) -> DataFra
     """Sources that were never refreshed or are older than agreed: the circuits that are open."""
     last = refreshed.groupBy("source").agg(F.max("ts").alias("last"))
     hours = (F.unix_timestamp(now) - F.unix_timestamp("last")) / 3600.0
-    return slas.join(last, "source", "left").select("source", hours.alias("age_hours")).join(slas, "source").where(F.col("age_hours").isNull() | (F.col("age_hours") > F.col("sla_hours")))
+    return slas.join(last, "source", "left").select(
+        "source",
+        hours.alias("age_hours"),
+    ).join(slas, "source").where(F.col("age_hours").isNull() | (F.col("age_hours") > F.col("sla_hours")))
 
 
 def coverage_delta(current: DataFrame, previous: DataFrame) -> DataFrame:
     """(metric, delta) between two results of `coverage`: shares to two digits, the middle of confidence to four."""
     digits = {c: 2 for c in current.columns if c.endswith("_pct")} | {"p50": 4}
-    long = lambda df, name: df.select(F.explode(F.create_map(*(x for c in digits for x in (F.lit(c), F.col(c).cast("double"))))).alias("metric", name))
+    long = lambda df, name: df.select(
+        F.explode(F.create_map(*(x for c in digits for x in (F.lit(c), F.col(c).cast("double"))))).alias("metric", name)
+    )
     both = long(current, "now").join(long(previous, "before"), "metric")
-    return both.select("metric", F.when(F.col("metric") == "p50", F.round(F.col("now") - F.col("before"), 4)).otherwise(F.round(F.col("now") - F.col("before"), 2)).alias("delta"))
+    return both.select(
+        "metric",
+        F.when(
+            F.col("metric") == "p50",
+            F.round(F.col("now") - F.col("before"), 4),
+        ).otherwise(F.round(F.col("now") - F.col("before"), 2)).alias("delta"),
+    )
 
 
 def clinician_coverage(clinicians: DataFrame) -> DataFrame:
@@ -302,5 +354,10 @@ def clinician_coverage(clinicians: DataFrame) -> DataFrame:
         states(~covered).alias("gap_states"),
     )
     some = F.col("total_clinicians") > 0
-    caveats = F.array_compact(F.array(F.when(some & (F.col("publication_pct") < 30), "few publications"), F.when(some & (F.col("abms_coverage_pct") < 50), "few certifications")))
+    caveats = F.array_compact(
+        F.array(
+            F.when(some & (F.col("publication_pct") < 30), "few publications"),
+            F.when(some & (F.col("abms_coverage_pct") < 50), "few certifications"),
+        )
+    )
     return row.withColumn("caveats", caveats)

@@ -84,7 +84,11 @@ def power(base: Column, exponent: Column | float) -> Column:
 def scored(candidates: DataFrame, alpha: float = ALPHA, beta: float = BETA, gamma: float = GAMMA) -> DataFrame:
     """The candidates that no gate removes, with powered parts and the final score, all rounded to 8 places."""
     allowed = candidates.where(~F.coalesce(F.col("is_hard_zero"), F.lit(False)) & (F.col("integrity") != 0))
-    parts = {"quality_powered": power(F.col("quality"), alpha), "topical_powered": power(F.col("topical"), beta), "recency_powered": power(F.col("recency"), gamma)}
+    parts = {
+        "quality_powered": power(F.col("quality"), alpha),
+        "topical_powered": power(F.col("topical"), beta),
+        "recency_powered": power(F.col("recency"), gamma),
+    }
     out = allowed.withColumns(parts)
     final = F.col("integrity") * F.col("quality_powered") * F.col("topical_powered") * F.col("recency_powered")
     return out.withColumn("_final", final).withColumns({k: F.round(k, 8) for k in parts} | {"score": F.round(final, 8)})
@@ -100,7 +104,11 @@ def ranked(candidates: DataFrame, k: int | None = None, **exponents: float) -> D
         down = all_rows.withColumn("_down", -F.col("_final"))
         return numbered(down, ["_down", "uuid"], "rank", "_n").drop("_down", "_n", "_final")
     top = all_rows.orderBy(F.desc("_final"), "uuid").limit(k)
-    rows = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("_final")).alias("_d"), "uuid", *[c for c in top.columns if c not in ("uuid", "_final")]))).alias("r"))
+    rows = top.agg(
+        F.array_sort(
+            F.collect_list(F.struct((-F.col("_final")).alias("_d"), "uuid", *[c for c in top.columns if c not in ("uuid", "_final")]))
+        ).alias("r")
+    )
     return rows.select(F.posexplode("r")).select((F.col("pos") + 1).alias("rank"), "col.*").drop("_d")
 
 
@@ -112,13 +120,22 @@ def exponent_draws(mean: tuple[float, float, float], covariance: list[list[float
     return draws
 
 
-def score_bands(candidates: DataFrame, mean: tuple[float, float, float], covariance: list[list[float]], samples: int = 200, seed: int = 42) -> DataFrame:
+def score_bands(
+    candidates: DataFrame,
+    mean: tuple[float, float, float],
+    covariance: list[list[float]],
+    samples: int = 200,
+    seed: int = 42,
+) -> DataFrame:
     """2.5, 50 and 97.5 % of the score under drawn exponents. The draws are few and shared: one row with an array, that
     every task gets. Percentiles interpolate linearly."""
     draws = exponent_draws(mean, covariance, samples, seed)
     table = candidates.sparkSession.createDataFrame([([tuple(d) for d in draws.tolist()],)], "_draws array<struct<a:double,b:double,g:double>>")
     drawn = F.col("_draws")
-    score = lambda d: F.col("integrity") * power(F.col("quality"), d["a"]) * power(F.col("topical"), d["b"]) * power(F.col("recency"), d["g"])
+    score = lambda d: F.col("integrity") * power(
+        F.col("quality"),
+        d["a"],
+    ) * power(F.col("topical"), d["b"]) * power(F.col("recency"), d["g"])
     shared = candidates.withColumn("_one", F.lit(1)).join(F.broadcast(table.withColumn("_one", F.lit(1))), "_one")
     rows = shared.withColumn("_s", F.array_sort(F.transform(drawn, score)))
 
@@ -133,7 +150,10 @@ def score_bands(candidates: DataFrame, mean: tuple[float, float, float], covaria
 
 def rerank(results: DataFrame, alpha: float, beta: float, gamma: float) -> DataFrame:
     """A saved result in the order of other exponents; integrity is left out, as it is in the client."""
-    return results.withColumn("rescored", F.pow("quality", F.lit(alpha)) * F.pow("topical", F.lit(beta)) * F.pow("recency", F.lit(gamma))).orderBy(F.desc("rescored"), "uuid")
+    return results.withColumn(
+        "rescored",
+        F.pow("quality", F.lit(alpha)) * F.pow("topical", F.lit(beta)) * F.pow("recency", F.lit(gamma)),
+    ).orderBy(F.desc("rescored"), "uuid")
 
 
 def result_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -154,7 +174,10 @@ def live_features(candidates: DataFrame, rcr: DataFrame, apex_names: DataFrame)
 
     `candidates`: uuid, name, pmids, nct_ids, grant_ids, patent_ids, evidence_trail, sources, affiliations.
     """
-    ratios = candidates.select("uuid", F.explode(F.array_distinct("pmids")).alias("pmid")).join(rcr, "pmid").groupBy("uuid").agg(F.avg("rcr").alias("_rcr"))
+    ratios = candidates.select(
+        "uuid",
+        F.explode(F.array_distinct("pmids")).alias("pmid"),
+    ).join(rcr, "pmid").groupBy("uuid").agg(F.avg("rcr").alias("_rcr"))
     named = apex_names.select(F.lower("name").alias("_name")).distinct().withColumn("_apex", F.lit(1.0))
     c = candidates.join(ratios, "uuid", "left").withColumn("_name", F.lower("name")).join(named, "_name", "left")
     count = {k: F.coalesce(F.size(k), F.lit(0)).cast("double") for k in ("pmids", "nct_ids", "grant_ids", "patent_ids")}
@@ -186,5 +209,9 @@ def live_topical_fit(mesh: Column, text: Column, names: Column, query_terms: lis
     own = F.array_distinct(mesh)
     dot = reduce(lambda a, b: a + b, [F.array_contains(own, t).cast("double") * (n / norm) for t, n in zip(terms, counts, strict=True)], F.lit(0.0))
     cosine = F.least(F.lit(1.0), dot / F.sqrt(F.size(own).cast("double")))
-    share = lambda x: reduce(lambda a, b: a + b, [F.lower(x).contains(w).cast("double") for w in words], F.lit(0.0)) / max(len(words), 1)
+    share = lambda x: reduce(
+        lambda a, b: a + b,
+        [F.lower(x).contains(w).cast("double") for w in words],
+        F.lit(0.0),
+    ) / max(len(words), 1)
     return F.when(F.size(own) > 0, 0.7 * cosine + 0.3 * share(text)).otherwise(share(F.concat_ws(" ", names, text)))

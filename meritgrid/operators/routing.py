@@ -75,7 +75,9 @@ def write_vector(vector: dict[str, Any], exponents: tuple[float, float, float],
 def selected_specialty(distribution: Column, asked: Column, available: list[str]) -> Column:
     """What the query asks for if there are weights for it, else the likeliest of the map of probabilities (of equals
     the first entry) if there are weights for that, else the default."""
-    best = F.array_max(F.transform(F.map_entries(distribution), lambda e, i: F.struct(e["value"].alias("p"), (-i).alias("i"), e["key"].alias("s"))))["s"]
+    best = F.array_max(
+        F.transform(F.map_entries(distribution), lambda e, i: F.struct(e["value"].alias("p"), (-i).alias("i"), e["key"].alias("s")))
+    )["s"]
     return F.when(asked.isin(available), asked).when(best.isin(available), best).otherwise(F.lit(DEFAULT_SPECIALTY))
 
 
@@ -98,7 +100,10 @@ def collapsed(queries: DataFrame, scores: DataFrame, parents: DataFrame, floor:
     """(query, collapsed, terms, flag) of queries (query, terms): a ranking collapses if no score (query, score)
     reaches the floor; then the terms and their parents (term, parent), sorted, are what to ask with next."""
     best = scores.groupBy("query").agg(F.max("score").alias("_best"))
-    wider = queries.select("query", F.explode("terms").alias("term")).join(parents, "term").groupBy("query").agg(F.collect_set("parent").alias("_parents"))
+    wider = queries.select(
+        "query",
+        F.explode("terms").alias("term"),
+    ).join(parents, "term").groupBy("query").agg(F.collect_set("parent").alias("_parents"))
     joined = queries.join(best, "query", "left").join(wider, "query", "left")
     gone = ~F.coalesce(F.col("_best") >= floor, F.lit(False))
     expanded = F.array_sort(F.array_union(F.array_distinct("terms"), F.coalesce("_parents", F.array().cast("array<string>"))))

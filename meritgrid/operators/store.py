@@ -60,7 +60,10 @@ def canonical(artifacts: DataFrame, priority: Column) -> tuple[DataFrame, DataFr
     order = F.struct(priority.alias("p"), "seq")
     first = artifacts.groupBy("type", "id").agg(F.min_by(F.struct("source", "seq"), order).alias("c"))
     rows = first.select("type", "id", F.col("c.source").alias("source"), F.col("c.seq").alias("seq"))
-    edges = artifacts.join(first.select("type", "id", F.col("c.source").alias("canonical_source")), ["type", "id"]).where("source <> canonical_source")
+    edges = artifacts.join(
+        first.select("type", "id", F.col("c.source").alias("canonical_source")),
+        ["type", "id"],
+    ).where("source <> canonical_source")
     return rows, edges.select("type", "id", "source", "canonical_source").distinct()
 
 
@@ -156,7 +159,12 @@ def recent_per_key(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
 
 
 # What a confirmed dispute does to a candidate, by category.
-DISPUTE_DIRECTIONS = {"low_quality_output": "downweight", "incorrect_ranking": "downweight", "missing_expertise": "downweight", "integrity_concern": "flag"}
+DISPUTE_DIRECTIONS = {
+    "low_quality_output": "downweight",
+    "incorrect_ranking": "downweight",
+    "missing_expertise": "downweight",
+    "integrity_concern": "flag",
+}
 
 
 def dispute_feedback(disputes: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -165,7 +173,14 @@ def dispute_feedback(disputes: DataFrame, decisions: DataFrame) -> DataFrame:
     last = decisions.groupBy("dispute").agg(F.max_by("confirmed", "decided_at").alias("confirmed"))
     known = F.create_map(*(F.lit(x) for kv in DISPUTE_DIRECTIONS.items() for x in kv))
     confirmed = disputes.join(last.where("confirmed"), "dispute")
-    return confirmed.select("dispute", "uuid", "query", "category", F.coalesce(known[F.col("category")], F.lit("review")).alias("direction"), F.lit(1.0).alias("weight"))
+    return confirmed.select(
+        "dispute",
+        "uuid",
+        "query",
+        "category",
+        F.coalesce(known[F.col("category")], F.lit("review")).alias("direction"),
+        F.lit(1.0).alias("weight"),
+    )
 
 
 def training_rows(queue: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -195,3 +210,8 @@ def with_terms(candidates: DataFrame, terms: list[str]) -> DataFrame:
     """Candidates (uuid, terms) that have one of the terms, whatever its case."""
     wanted = F.array(*(F.lit(t.lower()) for t in terms))
     return candidates.where(F.arrays_overlap(F.transform("terms", F.lower), wanted))
+
+
+def score_history(snapshots: DataFrame, key: str) -> DataFrame:
+    """Snapshots (uuid, day, score) of one candidate in the order of their days; the filter reaches the scan."""
+    return snapshots.where(F.col("uuid") == key).orderBy("day")

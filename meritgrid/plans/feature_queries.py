@@ -31,7 +31,10 @@ def percentile_span(spark: SparkSession, d: str) -> DataFrame:
 
 
 def percentile_below(spark: SparkSession, d: str) -> DataFrame:
-    orders = standins.table(spark, d, "orders").select(F.col("o_orderkey").alias("uuid"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("score"))
+    orders = standins.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("uuid"),
+        F.floor(F.col("o_totalprice") / 1000).cast("long").alias("score"),
+    )
     return positions.below_share(orders, "score").select("uuid", "score", "percentile")
 
 
@@ -53,7 +56,14 @@ def leadership(spark: SparkSession, d: str) -> DataFrame:
         (F.countDistinct("work") % 3).alias("trial_chair_roles"),
         (F.max("work") % 2 == 0).alias("has_editorial_role"),
     )
-    return _rounded(features.leadership_percentile(features.leadership(roles)), 6, "last_author_rate", "corresponding_author_rate", "trial_pi_count", "percentile")
+    return _rounded(
+        features.leadership_percentile(features.leadership(roles)),
+        6,
+        "last_author_rate",
+        "corresponding_author_rate",
+        "trial_pi_count",
+        "percentile",
+    )
 
 
 def membership(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +108,12 @@ def clinician(spark: SparkSession, d: str) -> DataFrame:
 
 def quality_prior(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("uuid")
-    rows = standins.candidates(spark, d).select("uuid", ((u % 97) / 97.0).alias("f1_rcr"), ((u % 89) / 89.0).alias("f2_funding"), ((u % 83) / 83.0).alias("f3_leadership"))
+    rows = standins.candidates(spark, d).select(
+        "uuid",
+        ((u % 97) / 97.0).alias("f1_rcr"),
+        ((u % 89) / 89.0).alias("f2_funding"),
+        ((u % 83) / 83.0).alias("f3_leadership"),
+    )
     weights = {"f1_rcr": 0.45, "f2_funding": 0.20, "f3_leadership": 0.20, "f4_apex": 0.0, "f5_translational": 0.05, "f6_lineage": 0.10}
     return ranking.quality_prior(rows, weights).select("uuid", "raw_score")
 
@@ -114,7 +129,13 @@ def topical_embedding(spark: SparkSession, d: str) -> DataFrame:
     before the shuffle, and there is one of them a label."""
     e = standins.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     size = F.size("v")
-    mean = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
+    mean = e.select(
+        "label",
+        F.posexplode("v").alias("i", "x"),
+    ).groupBy(
+        "label",
+        "i",
+    ).agg(F.avg("x").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     v, c = F.col("v"), F.col("c")
     return e.where(size > 0).join(mean, "label").select("vec_id", "label", F.round(dot(v, c) / F.sqrt(dot(v, v) * dot(c, c)), 6).alias("cosine"))
@@ -122,19 +143,32 @@ def topical_embedding(spark: SparkSession, d: str) -> DataFrame:
 
 def recency(spark: SparkSession, d: str) -> DataFrame:
     p = standins.papers(spark, d)
-    rows = p.select("uuid", "published", F.col("author_weight").alias("role_weight"), F.lit(0.2).alias("type_weight"), (F.col("article_type") == "Letter").alias("is_preprint"), "terms")
+    rows = p.select(
+        "uuid",
+        "published",
+        F.col("author_weight").alias("role_weight"),
+        F.lit(0.2).alias("type_weight"),
+        (F.col("article_type") == "Letter").alias("is_preprint"),
+        "terms",
+    )
     return _rounded(ranking.recency(rows, ["PROMO", "Brand#3"], F.lit(REFERENCE_DAY).cast("date")), 6, "recency")
 
 
 def linear_recency(spark: SparkSession, d: str) -> DataFrame:
     last = standins.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("uuid")).agg(F.max(F.to_date("o_orderdate")).alias("last"))
-    return standins.candidates(spark, d).select("uuid").join(last, "uuid", "left").select("uuid", F.round(ranking.linear_recency(F.col("last"), F.lit("2002-01-01").cast("date")), 6).alias("recency"))
+    return standins.candidates(spark, d).select("uuid").join(last, "uuid", "left").select(
+        "uuid",
+        F.round(ranking.linear_recency(F.col("last"), F.lit("2002-01-01").cast("date")), 6).alias("recency"),
+    )
 
 
 def _score_rows(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("uuid")
     return standins.candidates(spark, d).select(
-        "uuid", F.when(u % 17 == 0, 0.0).otherwise(1.0).alias("integrity"), ((u % 97 + 1) / 97.0).alias("quality"), ((u % 31) / 31.0).alias("topical"), ((u % 53 + 1) / 53.0).alias("recency"), (u % 23 == 0).alias("is_hard_zero")
+        "uuid", F.when(
+            u % 17 == 0,
+            0.0,
+        ).otherwise(1.0).alias("integrity"), ((u % 97 + 1) / 97.0).alias("quality"), ((u % 31) / 31.0).alias("topical"), ((u % 53 + 1) / 53.0).alias("recency"), (u % 23 == 0).alias("is_hard_zero")
     )
 
 
@@ -147,7 +181,12 @@ def score_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rerank_client(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.rerank(_score_rows(spark, d).where("not is_hard_zero"), 1.2, 0.5, 0.8).limit(50).select("uuid", F.round("rescored", 6).alias("rescored"))
+    return ranking.rerank(
+        _score_rows(spark, d).where("not is_hard_zero"),
+        1.2,
+        0.5,
+        0.8,
+    ).limit(50).select("uuid", F.round("rescored", 6).alias("rescored"))
 
 
 def result_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -161,10 +200,18 @@ def live_scoring(spark: SparkSession, d: str) -> DataFrame:
     ids = o.groupBy(F.col("o_custkey").alias("uuid")).agg(
         F.collect_list(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string"))).alias("pmids"),
         F.collect_list(F.when(F.col("o_orderkey") % 9 == 0, F.col("o_orderkey").cast("string"))).alias("nct_ids"),
-        F.collect_list(F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.when(F.col("o_orderstatus") == "O", "R01").otherwise("K23"), F.col("o_orderkey").cast("string")))).alias("grant_ids"),
+        F.collect_list(
+            F.when(
+                F.col("o_orderkey") % 7 == 0,
+                F.concat(F.when(F.col("o_orderstatus") == "O", "R01").otherwise("K23"), F.col("o_orderkey").cast("string")),
+            )
+        ).alias("grant_ids"),
     )
     c = standins.candidates(spark, d).join(ids, "uuid").select(
-        "uuid", "name", "pmids", "nct_ids", "grant_ids", F.array().cast("array<string>").alias("patent_ids"), F.array(F.lit("PI on trial")).alias("evidence_trail"), F.array(F.lit("pubmed"), "segment").alias("sources"), F.array(F.lit("City Hospital")).alias("affiliations")
+        "uuid", "name", "pmids", "nct_ids", "grant_ids", F.array().cast("array<string>").alias("patent_ids"), F.array(F.lit("PI on trial")).alias("evidence_trail"), F.array(
+            F.lit("pubmed"),
+            "segment",
+        ).alias("sources"), F.array(F.lit("City Hospital")).alias("affiliations")
     )
     rcr = o.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").cast("string").alias("pmid"), (F.col("o_totalprice") / 100000.0).alias("rcr"))
     apex = standins.candidates(spark, d).where("uuid % 40 = 0").select("name")

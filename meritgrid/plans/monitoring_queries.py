@@ -33,7 +33,15 @@ def weekly_summary(spark: SparkSession, d: str) -> DataFrame:
 def jump_lag(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     yearly = o.groupBy("o_custkey", F.year("o_orderdate").alias("version")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
-    return m.jumps(yearly, "o_custkey").select("o_custkey", "old_version", "version", "old_value", "value", F.round("change", 1).alias("change"), "severity")
+    return m.jumps(yearly, "o_custkey").select(
+        "o_custkey",
+        "old_version",
+        "version",
+        "old_value",
+        "value",
+        F.round("change", 1).alias("change"),
+        "severity",
+    )
 
 
 def trend_slope(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +51,14 @@ def trend_slope(spark: SparkSession, d: str) -> DataFrame:
 
 def latest_drop(spark: SparkSession, d: str) -> DataFrame:
     daily = _events(spark, d).groupBy(F.col("user_id").alias("customer"), F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 4).alias("v"))
-    return m.latest_drop(daily, "customer", "day", "v", 2.0).select("customer", "day", "value", "previous", F.round("drop", 4).alias("drop"), "severity")
+    return m.latest_drop(daily, "customer", "day", "v", 2.0).select(
+        "customer",
+        "day",
+        "value",
+        "previous",
+        F.round("drop", 4).alias("drop"),
+        "severity",
+    )
 
 
 def histogram_50(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +66,12 @@ def histogram_50(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.round(F.stddev_samp("value"), 6).alias("deviation"), F.count("value").alias("n"))
+    return _events(spark, d).groupBy("event_type").agg(
+        F.round(F.avg("value"), 6).alias("mean"),
+        F.round(F.median("value"), 6).alias("median"),
+        F.round(F.stddev_samp("value"), 6).alias("deviation"),
+        F.count("value").alias("n"),
+    )
 
 
 def ks_two_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +85,12 @@ def kappa_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _judgments(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    return o.select((F.col("o_orderkey") % 200).alias("item"), (F.col("o_custkey") % 6).alias("reviewer"), (F.col("o_totalprice") > 200000).alias("choice"), F.col("o_orderkey").alias("seq"))
+    return o.select(
+        (F.col("o_orderkey") % 200).alias("item"),
+        (F.col("o_custkey") % 6).alias("reviewer"),
+        (F.col("o_totalprice") > 200000).alias("choice"),
+        F.col("o_orderkey").alias("seq"),
+    )
 
 
 def reviewer_kappa(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +99,12 @@ def reviewer_kappa(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    return li.select((F.col("l_partkey") % 40).alias("a"), (F.col("l_suppkey") % 40).alias("b"), (F.col("l_orderkey") % 5).alias("reviewer"), (F.col("l_linenumber") == 1).alias("is_reshow")).where("a <> b")
+    return li.select(
+        (F.col("l_partkey") % 40).alias("a"),
+        (F.col("l_suppkey") % 40).alias("b"),
+        (F.col("l_orderkey") % 5).alias("reviewer"),
+        (F.col("l_linenumber") == 1).alias("is_reshow"),
+    ).where("a <> b")
 
 
 def overlapping_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -94,8 +124,18 @@ def confusion_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _cohort(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("uuid")
-    keys = F.when(u % 3 == 0, F.create_map(F.lit("orcid"), F.lit("x"))).when(u % 5 == 0, F.create_map(F.lit("era_commons"), F.lit("y"))).otherwise(F.create_map(F.lit("npi"), F.lit("z")))
-    return candidates(spark, d).select("uuid", keys.alias("strong_keys"), ((u * 37 % 101) / 100.0).alias("linkage_confidence"), (u % 4).alias("n_papers"), (u % 3).alias("n_grants"), (u % 2).alias("n_trials"))
+    keys = F.when(u % 3 == 0, F.create_map(F.lit("orcid"), F.lit("x"))).when(
+        u % 5 == 0,
+        F.create_map(F.lit("era_commons"), F.lit("y")),
+    ).otherwise(F.create_map(F.lit("npi"), F.lit("z")))
+    return candidates(spark, d).select(
+        "uuid",
+        keys.alias("strong_keys"),
+        ((u * 37 % 101) / 100.0).alias("linkage_confidence"),
+        (u % 4).alias("n_papers"),
+        (u % 3).alias("n_grants"),
+        (u % 2).alias("n_trials"),
+    )
 
 
 def coverage_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -120,13 +160,20 @@ def freshness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def refresh_sla(spark: SparkSession, d: str) -> DataFrame:
-    slas = spark.createDataFrame([("click", 0.1, True), ("view", 48.0, True), ("never", 5.0, False)], "source string, sla_hours double, hard_gate boolean")
+    slas = spark.createDataFrame(
+        [("click", 0.1, True), ("view", 48.0, True), ("never", 5.0, False)],
+        "source string, sla_hours double, hard_gate boolean",
+    )
     return m.refresh_sla(slas, requests(spark, d), F.lit(NOW).cast("timestamp_ntz")).withColumn("age_hours", F.round("age_hours", 4))
 
 
 def stale_sources(spark: SparkSession, d: str) -> DataFrame:
     slas = spark.createDataFrame([("click", 0.1), ("view", 48.0), ("never", 5.0)], "source string, sla_hours double")
-    return m.stale_sources(slas, requests(spark, d), F.lit(NOW).cast("timestamp_ntz")).select("source", "sla_hours", F.round("age_hours", 4).alias("age_hours"))
+    return m.stale_sources(slas, requests(spark, d), F.lit(NOW).cast("timestamp_ntz")).select(
+        "source",
+        "sla_hours",
+        F.round("age_hours", 4).alias("age_hours"),
+    )
 
 
 def cost_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +183,10 @@ def cost_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 
 def over_budget(spark: SparkSession, d: str) -> DataFrame:
     usage = _events(spark, d).select("ts", F.col("user_id").alias("customer"), F.col("value").alias("cost"))
-    budgets = candidates(spark, d).select(F.col("uuid").alias("customer"), (F.col("uuid") % 40).cast("double").alias("budget")).where("customer % 2 = 0")
+    budgets = candidates(spark, d).select(
+        F.col("uuid").alias("customer"),
+        (F.col("uuid") % 40).cast("double").alias("budget"),
+    ).where("customer % 2 = 0")
     return m.over_budget(usage, budgets, DAY).withColumn("spent", F.round("spent", 4))
 
 
@@ -160,8 +210,17 @@ def signal_balance(spark: SparkSession, d: str) -> DataFrame:
 def linkage_shift(spark: SparkSession, d: str) -> DataFrame:
     c = _cohort(spark, d)
     before = c.select("uuid", F.col("linkage_confidence").alias("confidence"))
-    now = c.select("uuid", F.when(F.col("uuid") % 3 == 0, F.col("linkage_confidence") + 0.15).otherwise(F.col("linkage_confidence")).alias("confidence")).where("uuid % 11 <> 0")
-    return m.linkage_shift(before, now).select("uuid", F.round("old", 4).alias("old"), F.round("new", 4).alias("new"), F.round("delta", 4).alias("delta"), "crossing")
+    now = c.select(
+        "uuid",
+        F.when(F.col("uuid") % 3 == 0, F.col("linkage_confidence") + 0.15).otherwise(F.col("linkage_confidence")).alias("confidence"),
+    ).where("uuid % 11 <> 0")
+    return m.linkage_shift(before, now).select(
+        "uuid",
+        F.round("old", 4).alias("old"),
+        F.round("new", 4).alias("new"),
+        F.round("delta", 4).alias("delta"),
+        "crossing",
+    )
 
 
 QUERIES = {

@@ -21,16 +21,37 @@ def rank_experts(papers: DataFrame, grants: DataFrame, cohort: DataFrame, terms:
     vectors = ranking.topic_vectors(papers.select("uuid", "author_weight", F.array("term").alias("terms")), F.col("author_weight"))
     fit = ranking.topical_fit(vectors, ranking.query_vector(terms))
     fresh = ranking.recency(
-        papers.select("uuid", "published", F.col("author_weight").alias("role_weight"), F.lit(0.01).alias("type_weight"), F.lit(False).alias("is_preprint"), F.array("term").alias("terms")),
+        papers.select(
+            "uuid",
+            "published",
+            F.col("author_weight").alias("role_weight"),
+            F.lit(0.01).alias("type_weight"),
+            F.lit(False).alias("is_preprint"),
+            F.array("term").alias("terms"),
+        ),
         list(terms),
         F.lit(reference).cast("date"),
     )
     scores = quality.select("uuid", F.col("percentile").alias("quality")).join(fit, "uuid").join(fresh, "uuid")
-    rows = scores.select("uuid", F.lit(1.0).alias("integrity"), "quality", F.col("topical_fit").alias("topical"), "recency", F.lit(False).alias("is_hard_zero"))
+    rows = scores.select(
+        "uuid",
+        F.lit(1.0).alias("integrity"),
+        "quality",
+        F.col("topical_fit").alias("topical"),
+        "recency",
+        F.lit(False).alias("is_hard_zero"),
+    )
     return ranking.ranked(rows, k)
 
 
 def rank_topk(spark: SparkSession, d: str) -> DataFrame:
     papers = standins.papers(spark, d)
     top = rank_experts(papers, standins.grants(spark, d), standins.candidates(spark, d), dict.fromkeys(QUERY_TERMS, 1.0), REFERENCE_DAY)
-    return top.select("rank", "uuid", F.round("quality", 6).alias("quality"), F.round("topical", 6).alias("topical"), F.round("recency", 6).alias("recency"), "score")
+    return top.select(
+        "rank",
+        "uuid",
+        F.round("quality", 6).alias("quality"),
+        F.round("topical", 6).alias("topical"),
+        F.round("recency", 6).alias("recency"),
+        "score",
+    )

@@ -15,7 +15,15 @@ from meritgrid.sources import records
 # Weights of two specialties, as in their first versions.
 VECTORS = {
     "basic_research": {"f1_rcr": 0.45, "f2_funding": 0.20, "f3_leadership": 0.20, "f4_apex": 0.0, "f5_translational": 0.05, "f6_lineage": 0.10},
-    "clinician": {"f1_rcr": 0.15, "f2_funding": 0.10, "f3_leadership": 0.30, "f4_apex": 0.0, "f5_translational": 0.20, "f6_lineage": 0.05, "f7_clinician": 0.20},
+    "clinician": {
+        "f1_rcr": 0.15,
+        "f2_funding": 0.10,
+        "f3_leadership": 0.30,
+        "f4_apex": 0.0,
+        "f5_translational": 0.20,
+        "f6_lineage": 0.05,
+        "f7_clinician": 0.20,
+    },
 }
 
 
@@ -90,7 +98,12 @@ def specialty_reassigned(spark: SparkSession, d: str) -> DataFrame:
     def snapshot(n: int) -> DataFrame:
         a, b = (u * n % 11) / 10.0, (u * n % 7) / 10.0
         odds = F.create_map(F.lit("clinician"), a, F.lit("policy_epi" if n == 3 else "translational"), b)
-        return candidates(spark, d).select("uuid", F.when(a >= b, "clinician").otherwise("other").alias("specialty"), F.greatest(a, b).alias("confidence"), odds.alias("probabilities"))
+        return candidates(spark, d).select(
+            "uuid",
+            F.when(a >= b, "clinician").otherwise("other").alias("specialty"),
+            F.greatest(a, b).alias("confidence"),
+            odds.alias("probabilities"),
+        )
 
     return routing.reassigned(snapshot(3), snapshot(5)).withColumns({c: F.round(c, 4) for c in ("previous_confidence", "new_confidence")})
 
@@ -99,7 +112,11 @@ def reassignment_rates(spark: SparkSession, d: str) -> DataFrame:
     """A day of events as a run: errors are reassignments, those of high value major ones."""
     e = table(spark, d, "events")
     gone = F.col("event_type") == "error"
-    runs = e.groupBy(F.to_date("ts").alias("run_date")).agg(F.count(F.lit(1)).alias("total"), F.count_if(gone).alias("reassigned"), F.count_if(gone & (F.col("value") > 50)).alias("major"))
+    runs = e.groupBy(F.to_date("ts").alias("run_date")).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(gone).alias("reassigned"),
+        F.count_if(gone & (F.col("value") > 50)).alias("major"),
+    )
     return routing.reassignment_rates(runs, 0.2)
 
 
@@ -112,7 +129,13 @@ def coverage_delta(spark: SparkSession, d: str) -> DataFrame:
 
 def clinician_coverage(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("uuid")
-    flags = {"has_candidate": u % 3 != 0, "has_abms": u % 5 == 0, "has_state_board": u % 2 == 0, "has_hospital_tier": u % 7 == 0, "has_publications": u % 4 == 0}
+    flags = {
+        "has_candidate": u % 3 != 0,
+        "has_abms": u % 5 == 0,
+        "has_state_board": u % 2 == 0,
+        "has_hospital_tier": u % 7 == 0,
+        "has_publications": u % 4 == 0,
+    }
     rows = candidates(spark, d).select(F.substring("country", 1, 2).alias("practice_state"), *(v.alias(k) for k, v in flags.items()))
     row = monitoring.clinician_coverage(rows)
     return row.withColumns({c: F.array_join(c, ",") for c in ("covered_states", "gap_states", "caveats")})
@@ -121,15 +144,28 @@ def clinician_coverage(spark: SparkSession, d: str) -> DataFrame:
 def dispute_feedback(spark: SparkSession, d: str) -> DataFrame:
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     kinds = F.array(*(F.lit(k) for k in ("low_quality_output", "incorrect_ranking", "missing_expertise", "integrity_concern", "other")))
-    disputes = o.select(F.col("o_orderkey").alias("dispute"), F.col("o_custkey").alias("uuid"), F.lit(None).cast("string").alias("query"), F.element_at(kinds, (F.col("o_orderkey") % 5).cast("int") + 1).alias("category"))
-    decisions = li.select(F.col("l_orderkey").alias("dispute"), (F.col("l_quantity") > 25).alias("confirmed"), (F.col("l_linenumber") * 100 + F.col("l_quantity")).alias("decided_at"))
+    disputes = o.select(
+        F.col("o_orderkey").alias("dispute"),
+        F.col("o_custkey").alias("uuid"),
+        F.lit(None).cast("string").alias("query"),
+        F.element_at(kinds, (F.col("o_orderkey") % 5).cast("int") + 1).alias("category"),
+    )
+    decisions = li.select(
+        F.col("l_orderkey").alias("dispute"),
+        (F.col("l_quantity") > 25).alias("confirmed"),
+        (F.col("l_linenumber") * 100 + F.col("l_quantity")).alias("decided_at"),
+    )
     return store.dispute_feedback(disputes, decisions).select("dispute", "uuid", "category", "direction", "weight")
 
 
 def review_training(spark: SparkSession, d: str) -> DataFrame:
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     queue = o.select(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("uuid"), F.col("o_totalprice").alias("features"))
-    decisions = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("item"), F.col("l_linestatus").alias("decision"), F.col("l_linenumber").alias("decided_at"))
+    decisions = li.where("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias("item"),
+        F.col("l_linestatus").alias("decision"),
+        F.col("l_linenumber").alias("decided_at"),
+    )
     return store.training_rows(queue, decisions)
 
 
@@ -142,7 +178,12 @@ def patents_without_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 def session_rule(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    sessions = e.where("event_type = 'view'").select("event_id", F.col("user_id").alias("reviewer"), (F.col("event_id") % 30).alias("judgments"), F.col("ts").alias("started"))
+    sessions = e.where("event_type = 'view'").select(
+        "event_id",
+        F.col("user_id").alias("reviewer"),
+        (F.col("event_id") % 30).alias("judgments"),
+        F.col("ts").alias("started"),
+    )
     ended = e.where("event_type = 'purchase'").select(F.col("user_id").alias("reviewer"), F.col("ts").alias("ended"))
     return store.may_continue(sessions, ended).select("event_id", "allowed")
 
@@ -154,8 +195,16 @@ def term_cohort(spark: SparkSession, d: str) -> DataFrame:
 
 def merged_people(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    name = F.concat_ws(" ", F.element_at(F.array(F.lit("Ann"), F.lit("Bo")), (F.col("o_orderkey") % 2).cast("int") + 1), F.concat(F.when(F.col("o_orderkey") % 3 == 0, "Smith").otherwise("SMITH"), "o_custkey"))
-    people = o.select(name.alias("full_name"), F.col("o_orderkey").alias("seq"), F.array(F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)).alias("grant_ids"))
+    name = F.concat_ws(
+        " ",
+        F.element_at(F.array(F.lit("Ann"), F.lit("Bo")), (F.col("o_orderkey") % 2).cast("int") + 1),
+        F.concat(F.when(F.col("o_orderkey") % 3 == 0, "Smith").otherwise("SMITH"), "o_custkey"),
+    )
+    people = o.select(
+        name.alias("full_name"),
+        F.col("o_orderkey").alias("seq"),
+        F.array(F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)).alias("grant_ids"),
+    )
     return identity.merged_people(people).withColumn("grant_ids", F.array_join("grant_ids", ","))
 
 
@@ -163,7 +212,12 @@ def merged_terms(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     word = F.element_at(F.array(*map(F.lit, ("Lung", "Heart", "Skin", "Liver"))), (F.col("l_suppkey") % 4).cast("int") + 1)
     word = F.when(F.col("l_linenumber") % 2 == 0, F.lower(word)).otherwise(word)
-    terms = li.select(F.col("l_orderkey").alias("uuid"), (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_suppkey")).alias("pos"), word.alias("descriptor"), (F.col("l_returnflag") == "R").alias("major"))
+    terms = li.select(
+        F.col("l_orderkey").alias("uuid"),
+        (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_suppkey")).alias("pos"),
+        word.alias("descriptor"),
+        (F.col("l_returnflag") == "R").alias("major"),
+    )
     return identity.merged_terms(terms, 3)
 
 
@@ -189,8 +243,15 @@ def landed_citations(spark: SparkSession, d: str) -> DataFrame:
 def landed_works_people(spark: SparkSession, d: str) -> DataFrame:
     """Orders as landed works with two authors, their people merged into candidates."""
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    author = lambda name, orcid, place: F.struct(F.struct(F.lit("A1").alias("id"), name.alias("display_name"), orcid.alias("orcid")).alias("author"), F.lit(place).alias("author_position"))
-    last = author(F.concat(F.lit("Person "), "o_custkey"), F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("https://orcid.org/"), "o_custkey")), "last")
+    author = lambda name, orcid, place: F.struct(
+        F.struct(F.lit("A1").alias("id"), name.alias("display_name"), orcid.alias("orcid")).alias("author"),
+        F.lit(place).alias("author_position"),
+    )
+    last = author(
+        F.concat(F.lit("Person "), "o_custkey"),
+        F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("https://orcid.org/"), "o_custkey")),
+        "last",
+    )
     rows = o.select(
         F.concat(F.lit("https://example.org/W"), k).alias("id"),
         F.struct(F.concat(F.lit("https://example.org/"), k).alias("pmid")).alias("ids"),
@@ -228,18 +289,32 @@ def landed_retractions(spark: SparkSession, d: str) -> DataFrame:
 def evidence_facets(spark: SparkSession, d: str) -> DataFrame:
     """Papers, grants and trials of all candidates as one feed, counted by kind."""
     p = papers(spark, d).select("uuid", F.col("pmid").alias("identifier"), "rcr", F.col("published").alias("day"))
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("uuid"), F.col("o_orderkey").cast("string").alias("identifier"), F.to_date("o_orderdate").alias("day"), "o_orderstatus")
+    o = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("uuid"),
+        F.col("o_orderkey").cast("string").alias("identifier"),
+        F.to_date("o_orderdate").alias("day"),
+        "o_orderstatus",
+    )
     feed = results.evidence(p, o.where("o_orderstatus <> 'F'").drop("o_orderstatus"), o.where("o_orderstatus = 'F'").drop("o_orderstatus"))
     return results.facets(feed)
 
 
 def get_or_create(spark: SparkSession, d: str) -> DataFrame:
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    keys = F.create_map(F.lit("orcid"), F.when(k % 3 > 0, F.concat(F.lit("o"), "o_custkey")), F.lit("npi"), F.when(k % 2 == 0, F.concat(F.lit("n"), "o_custkey")))
+    keys = F.create_map(
+        F.lit("orcid"),
+        F.when(k % 3 > 0, F.concat(F.lit("o"), "o_custkey")),
+        F.lit("npi"),
+        F.when(k % 2 == 0, F.concat(F.lit("n"), "o_custkey")),
+    )
     rows = o.select(k.alias("id"), keys.alias("strong_keys"))
     c = candidates(spark, d)
     registry = c.where("uuid % 2 = 0").select(F.lit("npi").alias("key_type"), F.concat(F.lit("n"), "uuid").alias("key_value"), F.concat(F.lit("u"), "uuid").alias("uuid")).unionByName(
-        c.where("uuid % 5 = 0").select(F.lit("orcid").alias("key_type"), F.concat(F.lit("o"), "uuid").alias("key_value"), F.concat(F.lit("v"), "uuid").alias("uuid"))
+        c.where("uuid % 5 = 0").select(
+            F.lit("orcid").alias("key_type"),
+            F.concat(F.lit("o"), "uuid").alias("key_value"),
+            F.concat(F.lit("v"), "uuid").alias("uuid"),
+        )
     )
     return identity.get_or_create(rows, registry, ["orcid", "npi"])
 

@@ -22,7 +22,10 @@ def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     c = candidates(spark, d)
     u = F.col("uuid")
     leie = c.where("uuid % 20 = 0").select(
-        F.lit("none").alias("first_name"), F.lit("none").alias("last_name"), F.concat(F.lit("NPI"), "uuid").alias("npi"), F.when(u % 100 == 0, F.lit("2020-01-01").cast("date")).alias("reinstate_date")
+        F.lit("none").alias("first_name"), F.lit("none").alias("last_name"), F.concat(F.lit("NPI"), "uuid").alias("npi"), F.when(
+            u % 100 == 0,
+            F.lit("2020-01-01").cast("date"),
+        ).alias("reinstate_date")
     )
     ofac = c.where("uuid % 61 = 0").select(F.lit("nobody").alias("primary_name"), F.array(F.upper("name")).alias("aliases"))
     ori = c.where("uuid % 37 = 0").select("name", F.make_date(F.lit(2010) + (u % 12).cast("int"), F.lit(6), F.lit(30)).alias("finding_date"))
@@ -35,7 +38,15 @@ def hard_gate_ladder(spark: SparkSession, d: str) -> DataFrame:
     leie, ofac, ori, notices = _lists(spark, d)
     rows = integrity.excluded(_people(spark, d), leie)
     rows = integrity.recent_finding(integrity.listed(rows, ofac), ori, F.lit(AS_OF).cast("date"))
-    return integrity.hard_gate(rows, notices, QUERY_TERMS).select("uuid", "leie_excluded", "sanctioned", "recent_finding", "is_zero", "reason", "rules_evaluated")
+    return integrity.hard_gate(rows, notices, QUERY_TERMS).select(
+        "uuid",
+        "leie_excluded",
+        "sanctioned",
+        "recent_finding",
+        "is_zero",
+        "reason",
+        "rules_evaluated",
+    )
 
 
 def soft_discount_product(spark: SparkSession, d: str) -> DataFrame:
@@ -56,22 +67,42 @@ def predatory_case(spark: SparkSession, d: str) -> DataFrame:
 
 def triage_case(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_chars")
-    text = F.when(n % 5 == 0, F.concat("text", F.lit(" Figures MANIPULATED."))).when(n % 5 == 1, F.concat("text", F.lit(" an inadvertent slip"))).when(n % 5 == 2, F.concat(F.lit("Overlapping publication: "), "text")).when(n % 5 == 3, "  ").otherwise(F.col("text"))
+    text = F.when(n % 5 == 0, F.concat("text", F.lit(" Figures MANIPULATED."))).when(n % 5 == 1, F.concat("text", F.lit(" an inadvertent slip"))).when(
+        n % 5 == 2,
+        F.concat(F.lit("Overlapping publication: "), "text"),
+    ).when(n % 5 == 3, "  ").otherwise(F.col("text"))
     severity = integrity.triage_severity(text)
-    return table(spark, d, "documents").select("doc_id", severity.alias("severity"), integrity.triage_confidence(severity).alias("confidence"), integrity.triage_discount(severity).alias("discount"))
+    return table(spark, d, "documents").select(
+        "doc_id",
+        severity.alias("severity"),
+        integrity.triage_confidence(severity).alias("confidence"),
+        integrity.triage_discount(severity).alias("discount"),
+    )
 
 
 def phrase_scan(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     title = F.when(k % 3 == 0, "Profound learning with an arbitrary FOREST").when(k % 3 == 1, "Enormous information").otherwise("A plain title")
-    docs = table(spark, d, "documents").select("doc_id", title.alias("title"), F.col("text").alias("abstract"), ((k % 10) / 10.0).alias("coordinated_authorship_score"))
+    docs = table(spark, d, "documents").select(
+        "doc_id",
+        title.alias("title"),
+        F.col("text").alias("abstract"),
+        ((k % 10) / 10.0).alias("coordinated_authorship_score"),
+    )
     return integrity.papermill(docs).select("doc_id", "phrase_count", F.array_join("phrases", "|").alias("phrases"), "suspected")
 
 
 def phi_scan(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    extra = F.when(k % 6 == 0, " MRN: 1234567 seen").when(k % 6 == 1, " SSN 123456789").when(k % 6 == 2, " number 123456789").when(k % 6 == 3, " 12 Main Street").otherwise("")
-    docs = table(spark, d, "documents").select("doc_id", F.concat("text", extra).alias("text"), F.when(k % 7 == 0, "born 1980-02-03").otherwise("x").alias("patient_note"))
+    extra = F.when(
+        k % 6 == 0,
+        " MRN: 1234567 seen",
+    ).when(k % 6 == 1, " SSN 123456789").when(k % 6 == 2, " number 123456789").when(k % 6 == 3, " 12 Main Street").otherwise("")
+    docs = table(spark, d, "documents").select(
+        "doc_id",
+        F.concat("text", extra).alias("text"),
+        F.when(k % 7 == 0, "born 1980-02-03").otherwise("x").alias("patient_note"),
+    )
     return privacy.phi_scan(docs, "doc_id", ["text", "patient_note"]).select("doc_id", "field", "pattern", F.size("matches").cast("long").alias("n"))
 
 
@@ -82,7 +113,12 @@ def phi_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.select(F.col("user_id").alias("uuid"), F.when(F.col("event_type").isin("click", "error"), "opt_out").otherwise("opt_in").alias("action"), "ts", F.col("event_id").alias("seq"))
+    return e.select(
+        F.col("user_id").alias("uuid"),
+        F.when(F.col("event_type").isin("click", "error"), "opt_out").otherwise("opt_in").alias("action"),
+        "ts",
+        F.col("event_id").alias("seq"),
+    )
 
 
 def optout_latest_anti(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +130,12 @@ def optout_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def privacy_gate(spark: SparkSession, d: str) -> DataFrame:
-    rows = candidates(spark, d).select("uuid", "name", F.when(F.col("uuid") % 13 == 0, "mail a.b@example.org").otherwise("none").alias("note"), F.lit(40).alias("age_years"))
+    rows = candidates(spark, d).select(
+        "uuid",
+        "name",
+        F.when(F.col("uuid") % 13 == 0, "mail a.b@example.org").otherwise("none").alias("note"),
+        F.lit(40).alias("age_years"),
+    )
     return privacy.privacy_gate(rows, _log(spark, d), ["name", "note"]).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -105,7 +146,13 @@ def override_latest(spark: SparkSession, d: str) -> DataFrame:
 
 def keyword_argmax(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    text = F.concat("text", F.when(k % 4 == 0, " drug target BINDING").when(k % 4 == 1, " randomized placebo endpoint policy").when(k % 4 == 2, " outbreak surveillance").otherwise(""))
+    text = F.concat(
+        "text",
+        F.when(k % 4 == 0, " drug target BINDING").when(
+            k % 4 == 1,
+            " randomized placebo endpoint policy",
+        ).when(k % 4 == 2, " outbreak surveillance").otherwise(""),
+    )
     kind, confidence = classify.query_class(text)
     return table(spark, d, "documents").select("doc_id", kind.alias("kind"), confidence.alias("confidence"))
 
@@ -126,15 +173,26 @@ def specialty_rules(spark: SparkSession, d: str) -> DataFrame:
 def strong_key_lookup(spark: SparkSession, d: str) -> DataFrame:
     c = candidates(spark, d)
     registry = c.where("uuid % 2 = 0").select(F.lit("orcid").alias("key_type"), F.concat(F.lit("o"), "uuid").alias("key_value"), F.col("uuid").cast("string").alias("uuid")).unionByName(
-        c.where("uuid % 3 = 0").select(F.lit("era_commons").alias("key_type"), F.concat(F.lit("e"), "uuid").alias("key_value"), F.concat(F.lit("x"), "uuid").alias("uuid"))
+        c.where("uuid % 3 = 0").select(
+            F.lit("era_commons").alias("key_type"),
+            F.concat(F.lit("e"), "uuid").alias("key_value"),
+            F.concat(F.lit("x"), "uuid").alias("uuid"),
+        )
+    )
+    records = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("o"), "o_custkey")).alias("orcid"),
+        F.concat(F.lit("e"), "o_custkey").alias("era"),
     )
-    records = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("o"), "o_custkey")).alias("orcid"), F.concat(F.lit("e"), "o_custkey").alias("era"))
     return identity.resolve_strong_keys(records, registry).select("id", "uuid", "matched_by")
 
 
 def longest_prefix_join(spark: SparkSession, d: str) -> DataFrame:
     codes = table(spark, d, "part").select(F.upper("p_brand").alias("code")).distinct()
-    crosswalk = spark.createDataFrame([("BRAND#", "any"), ("BRAND#1", "ones"), ("BRAND#12", "twelve"), ("BRAND#2", "twos")], "prefix string, term string")
+    crosswalk = spark.createDataFrame(
+        [("BRAND#", "any"), ("BRAND#1", "ones"), ("BRAND#12", "twelve"), ("BRAND#2", "twos")],
+        "prefix string, term string",
+    )
     return identity.longest_prefix(codes, crosswalk).select("code", "prefix", "term")
 
 
@@ -154,8 +212,20 @@ def npi_match(spark: SparkSession, d: str) -> DataFrame:
 
 def shared_key_pairs(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("uuid")
-    keys = F.create_map(F.lit("orcid"), (u.cast("long") / 3).cast("long").cast("string"), F.lit("npi"), F.when(u % 2 == 0, (u / 6).cast("long").cast("string")))
-    c = candidates(spark, d).select("uuid", keys.alias("strong_keys"), F.array(F.concat(F.lit("Name"), (u / 5).cast("long").cast("string")), F.concat(F.lit("ALSO"), (u / 4).cast("long").cast("string"))).alias("names"))
+    keys = F.create_map(
+        F.lit("orcid"),
+        (u.cast("long") / 3).cast("long").cast("string"),
+        F.lit("npi"),
+        F.when(u % 2 == 0, (u / 6).cast("long").cast("string")),
+    )
+    c = candidates(spark, d).select(
+        "uuid",
+        keys.alias("strong_keys"),
+        F.array(
+            F.concat(F.lit("Name"), (u / 5).cast("long").cast("string")),
+            F.concat(F.lit("ALSO"), (u / 4).cast("long").cast("string")),
+        ).alias("names"),
+    )
     return identity.merge_candidates(c)
 
 
@@ -169,7 +239,10 @@ def contradictions(spark: SparkSession, d: str) -> DataFrame:
     s, n = table(spark, d, "supplier"), F.col("s_suppkey")
     named = F.concat("s_name", F.when(n % 3 == 0, " University").when(n % 3 == 1, " Inc").otherwise(""))
     pairs = s.select(
-        F.col("s_suppkey").alias("uuid"), named.alias("name_a"), (n % 4).cast("string").alias("ror_a"), (n % 2).cast("string").alias("country_a"), F.when(n % 5 == 0, "Acme Corp").otherwise("State College").alias("name_b"), (n % 6).cast("string").alias("ror_b"), F.when(n % 7 > 0, (n % 2).cast("string")).otherwise("9").alias("country_b")
+        F.col("s_suppkey").alias("uuid"), named.alias("name_a"), (n % 4).cast("string").alias("ror_a"), (n % 2).cast("string").alias("country_a"), F.when(n % 5 == 0, "Acme Corp").otherwise("State College").alias("name_b"), (n % 6).cast("string").alias("ror_b"), F.when(
+            n % 7 > 0,
+            (n % 2).cast("string"),
+        ).otherwise("9").alias("country_b")
     )
     return identity.contradictions(pairs).select("uuid", "severity", "flagged")
 
@@ -186,7 +259,14 @@ def fuzzy_link(spark: SparkSession, d: str) -> DataFrame:
     artifacts = s.select(
         F.col("s_suppkey").alias("artifact_id"), F.array(F.concat_ws(" ", F.lit("Customer"), F.format_string("%d", "s_suppkey"), F.lit("Smith"))).alias("names"), F.col("s_nationkey").cast("string").alias("ror_id"), F.lit(None).cast("string").alias("parent_ror_id"), F.array().cast("array<string>").alias("coauthors"), F.array().cast("array<string>").alias("terms"), F.lit(2000).alias("year")
     )
-    people = c.select(F.col("uuid").cast("string").alias("uuid"), F.array(F.concat_ws(" ", F.lit("Customer"), F.format_string("%d", "uuid"), F.lit("Smythe"))).alias("names"), F.array((F.col("uuid") % 25).cast("string")).alias("rors"), F.array().cast("array<string>").alias("terms"), F.lit(1990).alias("first_year"), F.lit(2010).alias("last_year"))
+    people = c.select(
+        F.col("uuid").cast("string").alias("uuid"),
+        F.array(F.concat_ws(" ", F.lit("Customer"), F.format_string("%d", "uuid"), F.lit("Smythe"))).alias("names"),
+        F.array((F.col("uuid") % 25).cast("string")).alias("rors"),
+        F.array().cast("array<string>").alias("terms"),
+        F.lit(1990).alias("first_year"),
+        F.lit(2010).alias("last_year"),
+    )
     return identity.link(artifacts, people).select("artifact_id", "uuid", F.round("confidence", 6).alias("confidence"), "action")
 
 
@@ -203,7 +283,11 @@ _LATEST = "SELECT user_id AS uuid, arg_max(event_type IN ('click', 'error'), (ts
 _HITS = {k: " + ".join(f"contains(t, '{w}')::INT" for w in v) for k, v in classify.QUERY_WORDS.items()}
 _PHI = "SELECT doc_id, field, '{n}' AS pattern, len(regexp_extract_all(value, '(?i){p}')) AS n FROM fields WHERE {w}"
 _CONTEXT = "regexp_matches(value, '(?is)(" + "|".join(f"{t}.{{0,{20 - len(t)}}}\\b\\d{{9}}\\b|\\b\\d{{9}}\\b.{{0,{20 - len(t)}}}{t}" for t in privacy.SSN_TERMS) + ")')"
-_WHEN = {n: "true" for n in privacy.PHI_PATTERNS} | {"dob_mmddyyyy": "field = 'patient_note'", "dob_iso": "field = 'patient_note'", "ssn_nodash": _CONTEXT}
+_WHEN = {n: "true" for n in privacy.PHI_PATTERNS} | {
+    "dob_mmddyyyy": "field = 'patient_note'",
+    "dob_iso": "field = 'patient_note'",
+    "ssn_nodash": _CONTEXT,
+}
 
 ORACLE_SQL = {
     "hard_gate_ladder": f"""WITH {PAPERS_SQL}, t AS (SELECT uuid, list_sort(list_distinct(list(term))) AS terms FROM papers GROUP BY uuid),

@@ -46,7 +46,10 @@ PAPERS_SQL = """papers AS (
 
 def grants(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    code = F.when(F.col("o_orderpriority").startswith("1"), "R01").when(F.col("o_orderpriority").startswith("2"), "K23").when(F.col("o_orderpriority").startswith("3"), "R21").otherwise("T32")
+    code = F.when(
+        F.col("o_orderpriority").startswith("1"),
+        "R01",
+    ).when(F.col("o_orderpriority").startswith("2"), "K23").when(F.col("o_orderpriority").startswith("3"), "R21").otherwise("T32")
     role = F.when(F.col("o_orderkey") % 3 == 0, "Contact PI").when(F.col("o_orderkey") % 3 == 1, "Co-PI").otherwise("Co-I")
     return o.select(
         F.col("o_custkey").alias("uuid"), code.alias("activity_code"), role.alias("pi_role"), F.col("o_totalprice").alias("total_cost"), (F.col("o_orderstatus") == "O").alias("is_active"), (F.col("o_orderkey") % 4).alias("pi_count")
@@ -70,8 +73,19 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """id, ts, customer, source, latency, success, status from the events."""
     e = table(spark, d, "events")
-    status = F.when(F.col("event_id") % 50 == 0, "5xx").when(F.col("event_id") % 20 == 0, "4xx").when(F.col("event_id") % 99 == 0, "timeout").otherwise("2xx")
-    return e.select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("customer"), F.col("event_type").alias("source"), F.col("value").alias("latency"), (F.col("event_id") % 50 != 0).alias("success"), status.alias("status"))
+    status = F.when(F.col("event_id") % 50 == 0, "5xx").when(F.col("event_id") % 20 == 0, "4xx").when(
+        F.col("event_id") % 99 == 0,
+        "timeout",
+    ).otherwise("2xx")
+    return e.select(
+        F.col("event_id").alias("id"),
+        "ts",
+        F.col("user_id").alias("customer"),
+        F.col("event_type").alias("source"),
+        F.col("value").alias("latency"),
+        (F.col("event_id") % 50 != 0).alias("success"),
+        status.alias("status"),
+    )
 
 
 REQUESTS_SQL = """requests AS (

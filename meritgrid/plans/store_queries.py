@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meritgrid.operators import learning, store
+from meritgrid.operators import expansion, learning, store
 from meritgrid.plans.standins import PAPERS_SQL, candidates, papers, requests, table
 from meritgrid.streaming import events as ev
 
@@ -18,7 +18,12 @@ def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
 
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     c = candidates(spark, d).select("uuid", "name", "balance", F.lit("old").alias("created"))
-    changed = c.where("uuid % 3 = 0").select("uuid", F.concat("name", F.lit("!")).alias("name"), (F.col("balance") + 1).alias("balance"), F.lit("new").alias("created"))
+    changed = c.where("uuid % 3 = 0").select(
+        "uuid",
+        F.concat("name", F.lit("!")).alias("name"),
+        (F.col("balance") + 1).alias("balance"),
+        F.lit("new").alias("created"),
+    )
     fresh = c.where("uuid % 100 = 0").select((F.col("uuid") + 10_000_000).alias("uuid"), "name", "balance", F.lit("new").alias("created"))
     return store.upsert(c, changed.unionByName(fresh), ["uuid"], keep=["created"]).withColumn("balance", F.round("balance", 2))
 
@@ -31,7 +36,12 @@ def insert_missing(spark: SparkSession, d: str) -> DataFrame:
 
 def _artifacts(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    return li.select(F.col("l_returnflag").alias("type"), F.col("l_partkey").alias("id"), (F.col("l_suppkey") % 4).alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return li.select(
+        F.col("l_returnflag").alias("type"),
+        F.col("l_partkey").alias("id"),
+        (F.col("l_suppkey") % 4).alias("source"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    )
 
 
 def canonical_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -44,13 +54,25 @@ def cross_reference_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def queue_priority_next(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").where("o_orderstatus = 'P'")
-    kind = F.when(F.col("o_orderpriority").startswith("1"), "integrity").when(F.col("o_orderpriority").startswith("2"), "identity").when(F.col("o_orderpriority").startswith("3"), "affiliation").otherwise("other")
-    return store.next_in_queue(o.select(F.col("o_orderkey").alias("item"), kind.alias("category"), F.col("o_orderdate").alias("submitted_at")), "category", "submitted_at", 25)
+    kind = F.when(F.col("o_orderpriority").startswith("1"), "integrity").when(F.col("o_orderpriority").startswith("2"), "identity").when(
+        F.col("o_orderpriority").startswith("3"),
+        "affiliation",
+    ).otherwise("other")
+    return store.next_in_queue(
+        o.select(F.col("o_orderkey").alias("item"), kind.alias("category"), F.col("o_orderdate").alias("submitted_at")),
+        "category",
+        "submitted_at",
+        25,
+    )
 
 
 def _queue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     q = table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_orderdate").cast("timestamp").alias("submitted_at"))
-    done = table(spark, d, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("item"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.when(F.col("l_linenumber") % 2 == 0, "accepted").otherwise("rejected").alias("decision"))
+    done = table(spark, d, "lineitem").where("l_orderkey % 3 = 0").select(
+        F.col("l_orderkey").alias("item"),
+        F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.when(F.col("l_linenumber") % 2 == 0, "accepted").otherwise("rejected").alias("decision"),
+    )
     return q, done
 
 
@@ -90,7 +112,11 @@ def artifact_hash(spark: SparkSession, d: str) -> DataFrame:
 
 def incremental_anti(spark: SparkSession, d: str) -> DataFrame:
     rows = _id_lists(spark, d)
-    log = rows.where("uuid % 3 <> 0").select("uuid", store.artifact_set_hash(F.col("ids")).alias("hash"), (F.lit(1) + (F.col("uuid") % 2).cast("int")).alias("version"))
+    log = rows.where("uuid % 3 <> 0").select(
+        "uuid",
+        store.artifact_set_hash(F.col("ids")).alias("hash"),
+        (F.lit(1) + (F.col("uuid") % 2).cast("int")).alias("version"),
+    )
     return store.to_recompute(rows, log, 2).select("uuid")
 
 
@@ -116,7 +142,11 @@ def intersect_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def except_keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
+    return table(
+        spark,
+        d,
+        "customer",
+    ).select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
 
 
 def evidence_union(spark: SparkSession, d: str) -> DataFrame:
@@ -156,16 +186,43 @@ def pair_sampling(spark: SparkSession, d: str) -> DataFrame:
     return learning.sampled_pairs(c, judged, 200)
 
 
-def exponent_fit(spark: SparkSession, d: str) -> DataFrame:
-    """The fit on pairs of order lines, preferred by value: three exponents, half-widths, decision."""
+def _fit_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of neighbouring order lines, preferred by value: wq, wt, wr of the one, lq, lt, lr of the other."""
     li = table(spark, d, "lineitem")
-    x = li.select("l_orderkey", "l_linenumber", ((F.col("l_quantity") + 1) / 52).alias("q"), ((F.col("l_discount") + 0.01) / 0.12).alias("t"), ((F.col("l_tax") + 0.01) / 0.1).alias("r"), F.col("l_extendedprice").alias("v"))
-    nxt = x.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("q").alias("q2"), F.col("t").alias("t2"), F.col("r").alias("r2"), F.col("v").alias("v2"))
+    x = li.select(
+        "l_orderkey",
+        "l_linenumber",
+        ((F.col("l_quantity") + 1) / 52).alias("q"),
+        ((F.col("l_discount") + 0.01) / 0.12).alias("t"),
+        ((F.col("l_tax") + 0.01) / 0.1).alias("r"),
+        F.col("l_extendedprice").alias("v"),
+    )
+    nxt = x.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), *(F.col(c).alias(f"{c}2") for c in "qtrv"))
     p = x.join(nxt, ["l_orderkey", "l_linenumber"])
     wins = F.col("v") >= F.col("v2")
-    pairs = p.select(*(F.when(wins, F.col(c)).otherwise(F.col(f"{c}2")).alias(f"w{c}") for c in "qtr"), *(F.when(wins, F.col(f"{c}2")).otherwise(F.col(c)).alias(f"l{c}") for c in "qtr"))
-    fit = learning.fit_exponents(pairs)
-    return spark.createDataFrame([(*map(lambda v: round(v, 4), fit.exponents), *map(lambda v: round(v, 4), fit.half_widths), learning.deployment(learning.START, fit), fit.n_pairs)], "alpha double, beta double, gamma double, ci_alpha double, ci_beta double, ci_gamma double, decision string, n_pairs long")
+    winner = [F.when(wins, F.col(c)).otherwise(F.col(f"{c}2")).alias(f"w{c}") for c in "qtr"]
+    loser = [F.when(wins, F.col(f"{c}2")).otherwise(F.col(c)).alias(f"l{c}") for c in "qtr"]
+    return p.select(*winner, *loser)
+
+
+def exponent_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The fit on pairs of order lines: three exponents, half-widths, decision."""
+    fit = learning.fit_exponents(_fit_pairs(spark, d))
+    schema = "alpha double, beta double, gamma double, ci_alpha double, ci_beta double, ci_gamma double, decision string, n_pairs long"
+    row = (*(round(v, 4) for v in (*fit.exponents, *fit.half_widths)), learning.deployment(learning.START, fit), fit.n_pairs)
+    return spark.createDataFrame([row], schema)
+
+
+def pair_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    return learning.negative_log_likelihood(_fit_pairs(spark, d), learning.START).withColumn("nll", F.round("nll", 3))
+
+
+def code_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Diagnosis codes made of order keys, looked up in the built-in table: as written, undotted, by prefix."""
+    k = F.col("o_orderkey")
+    code = F.concat(F.element_at(F.array(F.lit("C34."), F.lit("c91"), F.lit("I50"), F.lit("X0")), (k % 4).cast("int") + 1), (k % 10).cast("string"))
+    codes = table(spark, d, "orders").select(code.alias("code")).distinct()
+    return expansion.diagnosis_terms(codes, expansion.code_table(spark, expansion.DIAGNOSES))
 
 
 def sliding_60s_count(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +254,12 @@ def asof_join(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("event_type in ('click', 'purchase')")
     run = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
     click = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(run)
-    return e.select("event_id", "event_type", "user_id", click.alias("click_id")).where("event_type = 'purchase'").select("event_id", "user_id", "click_id")
+    return e.select(
+        "event_id",
+        "event_type",
+        "user_id",
+        click.alias("click_id"),
+    ).where("event_type = 'purchase'").select("event_id", "user_id", "click_id")
 
 
 def rollup_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -214,12 +276,13 @@ QUERIES = {
     for f in (
         latest_per_key, upsert_merge, insert_missing, canonical_dedupe, cross_reference_edges, queue_priority_next, resolution_stats, queue_status, page_limit_offset,
         inverted_index_lookup, yearly_counts, artifact_hash, incremental_anti, cache_hits, recent_per_key, union_distinct, intersect_keys, except_keys, evidence_union,
-        json_props_agg, judged_cross_pairs, adjacent_pairs, triangular_unjudged, pair_sampling, exponent_fit, sliding_60s_count, same_query_count, token_bucket_replay,
+        json_props_agg, judged_cross_pairs, adjacent_pairs, triangular_unjudged, pair_sampling, exponent_fit, pair_likelihood, code_terms, sliding_60s_count, same_query_count, token_bucket_replay,
         tumbling_window, session_window, asof_join, rollup_totals, cube_counts,
     )
 }
 
 _ART = "a AS (SELECT l_returnflag AS type, l_partkey AS id, l_suppkey % 4 AS source, l_orderkey * 10 + l_linenumber AS seq FROM lineitem), f AS (SELECT type, id, arg_min(source, ((source + 1) % 4, seq)) AS source, arg_min(seq, ((source + 1) % 4, seq)) AS seq FROM a GROUP BY type, id)"
+_DIAGNOSES = ", ".join(f"('{code}', '{entries[0][0]}')" for code, entries in expansion.DIAGNOSES.items())
 ORACLE_SQL = {
     "latest_per_key": "SELECT user_id, event_type, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "upsert_merge": """SELECT c_custkey AS uuid, c_name || CASE WHEN c_custkey % 3 = 0 THEN '!' ELSE '' END AS name, round(c_acctbal + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END, 2) AS balance, 'old' AS created FROM customer
@@ -254,6 +317,12 @@ ORACLE_SQL = {
       b AS (SELECT c, id, us, k, true AS allowed, 1.0::DOUBLE AS t FROM e WHERE k = 1
         UNION ALL SELECT c, id, us, k, f >= 1, f - CASE WHEN f >= 1 THEN 1 ELSE 0 END FROM (SELECT e.*, least(2.0::DOUBLE, b.t + (e.us - b.us) / 1e6::DOUBLE * 0.0002::DOUBLE) AS f FROM b JOIN e ON e.c = b.c AND e.k = b.k + 1))
       SELECT c AS customer, id, allowed, round(t, 4) AS tokens FROM b""",
+    "pair_likelihood": """WITH x AS (SELECT l_orderkey AS o, l_linenumber AS k, l_extendedprice AS v, pow((l_quantity + 1) / 52, 0.7) * ((l_discount + 0.01::DOUBLE) / 0.12::DOUBLE) * pow((l_tax + 0.01::DOUBLE) / 0.1::DOUBLE, 0.4) AS s FROM lineitem),
+      p AS (SELECT CASE WHEN a.v >= b.v THEN a.s ELSE b.s END AS w, CASE WHEN a.v >= b.v THEN b.s ELSE a.s END AS l FROM x a JOIN x b ON a.o = b.o AND b.k = a.k + 1)
+      SELECT round(sum(-ln(w / (w + l + 1e-12) + 1e-12)), 3) AS nll, count(*) AS n_pairs FROM p""",
+    "code_terms": f"""WITH c AS (SELECT DISTINCT ['C34.', 'c91', 'I50', 'X0'][o_orderkey % 4 + 1] || (o_orderkey % 10) AS code FROM orders), t(prefix, term) AS (VALUES {_DIAGNOSES}),
+      m AS (SELECT code, term, CASE WHEN upper(code) = prefix THEN 'exact' WHEN replace(upper(code), '.', '') = replace(prefix, '.', '') THEN 'undotted' ELSE 'prefix' END AS via, length(prefix) AS n FROM c JOIN t ON starts_with(upper(code), prefix) OR replace(upper(code), '.', '') = replace(prefix, '.', ''))
+      SELECT code, term, via FROM m QUALIFY row_number() OVER (PARTITION BY code ORDER BY CASE via WHEN 'exact' THEN 0 WHEN 'undotted' THEN 1 ELSE 2 END, n DESC) = 1""",
     "tumbling_window": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "session_window": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
       SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOURS AS "end", count(*) AS n FROM s GROUP BY user_id, s""",

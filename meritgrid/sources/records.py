@@ -73,7 +73,10 @@ def publications(spark: SparkSession, path: str) -> DataFrame:
             p["LastName"].alias("last_name"),
             p["Initials"].alias("initials"),
             F.substring_index(F.get(p["Identifier"], F.lit(0)), "/", -1).alias("orcid"),
-            F.transform(F.coalesce(p["AffiliationInfo"], F.array().cast("array<struct<Affiliation:string>>")), lambda x: x["Affiliation"]).alias("affiliations"),
+            F.transform(
+                F.coalesce(p["AffiliationInfo"], F.array().cast("array<struct<Affiliation:string>>")),
+                lambda x: x["Affiliation"],
+            ).alias("affiliations"),
             (i == F.size(people) - 1).alias("is_last_author"),
         ),
     )
@@ -97,9 +100,30 @@ def headings(raw: Column) -> Column:
     def pairs(h: Column) -> Column:
         q = F.when(F.size(h["QualifierName"]) > 0, h["QualifierName"]).otherwise(none)
         d = h["DescriptorName"]
-        return F.transform(q, lambda x: F.struct(d["_VALUE"].alias("descriptor"), x["_VALUE"].alias("qualifier"), ((d["_MajorTopicYN"] == "Y") | (x["_MajorTopicYN"] == "Y")).alias("major_topic")))
-
-    return F.flatten(F.transform(F.coalesce(raw, F.array().cast(T.ArrayType(T.StructType.fromDDL("DescriptorName STRUCT<_VALUE STRING, _MajorTopicYN STRING>, QualifierName ARRAY<STRUCT<_VALUE STRING, _MajorTopicYN STRING>>")))), pairs))
+        return F.transform(
+            q,
+            lambda x: F.struct(
+                d["_VALUE"].alias("descriptor"),
+                x["_VALUE"].alias("qualifier"),
+                ((d["_MajorTopicYN"] == "Y") | (x["_MajorTopicYN"] == "Y")).alias("major_topic"),
+            ),
+        )
+
+    return F.flatten(
+        F.transform(
+            F.coalesce(
+                raw,
+                F.array().cast(
+                    T.ArrayType(
+                        T.StructType.fromDDL(
+                            "DescriptorName STRUCT<_VALUE STRING, _MajorTopicYN STRING>, QualifierName ARRAY<STRUCT<_VALUE STRING, _MajorTopicYN STRING>>"
+                        )
+                    )
+                ),
+            ),
+            pairs,
+        )
+    )
 
 
 def grants(spark: SparkSession, path: str) -> DataFrame:
@@ -108,9 +132,23 @@ def grants(spark: SparkSession, path: str) -> DataFrame:
     g = pages.select(F.inline("results"))
     code = F.coalesce(F.nullif(F.col("activity_code"), F.lit("")), F.substring(F.regexp_replace("project_num", "^[0-9]+", ""), 1, 3))
     return g.select(
-        F.col("project_num").alias("project_number"), code.alias("activity_code"), "project_title", F.substring("abstract_text", 1, 500).alias("abstract_text"), F.col("award_amount").alias("total_cost"), "fiscal_year",
-        F.transform(F.split("terms", ";"), F.trim).alias("project_terms"), F.col("organization.org_name").alias("organization_name"), F.to_date(F.substring("award_notice_date", 1, 10)).alias("award_notice_date"), "is_active",
-        F.transform("principal_investigators", lambda p: F.struct(p["full_name"].alias("full_name"), p["profile_id"].alias("era_id"), F.when(p["is_contact_pi"], "Contact PI").otherwise("Co-PI").alias("role"))).alias("pis"),
+        F.col("project_num").alias("project_number"), code.alias("activity_code"), "project_title", F.substring(
+            "abstract_text",
+            1,
+            500,
+        ).alias("abstract_text"), F.col("award_amount").alias("total_cost"), "fiscal_year",
+        F.transform(
+            F.split("terms", ";"),
+            F.trim,
+        ).alias("project_terms"), F.col("organization.org_name").alias("organization_name"), F.to_date(F.substring("award_notice_date", 1, 10)).alias("award_notice_date"), "is_active",
+        F.transform(
+            "principal_investigators",
+            lambda p: F.struct(
+                p["full_name"].alias("full_name"),
+                p["profile_id"].alias("era_id"),
+                F.when(p["is_contact_pi"], "Contact PI").otherwise("Co-PI").alias("role"),
+            ),
+        ).alias("pis"),
     )
 
 
@@ -126,11 +164,38 @@ def trials(spark: SparkSession, path: str) -> DataFrame:
     roles = F.create_map(*(F.lit(x) for kv in OFFICIAL_ROLES.items() for x in kv))
     person = "array<struct<full_name:string,role:string,affiliation:string,site:string>>"
     none = F.array().cast(person)
-    officials = F.transform("contactsLocationsModule.overallOfficials", lambda o: F.struct(o["name"].alias("full_name"), F.coalesce(roles[o["role"]], F.lit("PI")).alias("role"), o["affiliation"].alias("affiliation"), F.lit(None).cast("string").alias("site")))
-    sites = F.flatten(F.transform("contactsLocationsModule.locations", lambda x: F.transform(F.filter(F.coalesce(x["contacts"], F.array().cast("array<struct<name:string,role:string>>")), lambda k: roles[k["role"]].isNotNull()), lambda k: F.struct(k["name"].alias("full_name"), roles[k["role"]].alias("role"), x["facility"].alias("affiliation"), x["facility"].alias("site")))))
+    officials = F.transform(
+        "contactsLocationsModule.overallOfficials",
+        lambda o: F.struct(
+            o["name"].alias("full_name"),
+            F.coalesce(roles[o["role"]], F.lit("PI")).alias("role"),
+            o["affiliation"].alias("affiliation"),
+            F.lit(None).cast("string").alias("site"),
+        ),
+    )
+    sites = F.flatten(
+        F.transform(
+            "contactsLocationsModule.locations",
+            lambda x: F.transform(
+                F.filter(F.coalesce(x["contacts"], F.array().cast("array<struct<name:string,role:string>>")), lambda k: roles[k["role"]].isNotNull()),
+                lambda k: F.struct(
+                    k["name"].alias("full_name"),
+                    roles[k["role"]].alias("role"),
+                    x["facility"].alias("affiliation"),
+                    x["facility"].alias("site"),
+                ),
+            ),
+        )
+    )
     rows = s.select(
-        F.col("identificationModule.nctId").alias("nct_id"), F.col("identificationModule.briefTitle").alias("title"), F.col("conditionsModule.conditions").alias("conditions"), F.array_join("designModule.phases", "/").alias("phase"),
-        F.col("designModule.studyType").alias("study_type"), F.col("statusModule.overallStatus").alias("status"), F.to_date("statusModule.lastUpdatePostDateStruct.date").alias("last_update"), F.concat(F.coalesce(officials, none), F.coalesce(sites, none)).alias("investigators"),
+        F.col("identificationModule.nctId").alias("nct_id"), F.col("identificationModule.briefTitle").alias("title"), F.col("conditionsModule.conditions").alias("conditions"), F.array_join(
+            "designModule.phases",
+            "/",
+        ).alias("phase"),
+        F.col("designModule.studyType").alias("study_type"), F.col("statusModule.overallStatus").alias("status"), F.to_date("statusModule.lastUpdatePostDateStruct.date").alias("last_update"), F.concat(
+            F.coalesce(officials, none),
+            F.coalesce(sites, none),
+        ).alias("investigators"),
     )
     return _one_of_each(rows, "nct_id", F.desc("last_update"))
 
@@ -141,17 +206,33 @@ def works(spark: SparkSession, path: str) -> DataFrame:
     last = lambda c: F.substring_index(F.rtrim(c, F.lit("/")), "/", -1)
     return w.select(
         last(F.col("id")).alias("openalex_id"), "doi", last(F.col("ids.pmid")).alias("pmid"), "title", F.to_date("publication_date").alias("publication_date"), "type", "cited_by_count", "concepts", "grants",
-        F.transform("authorships", lambda a: F.struct(last(a["author"]["id"]).alias("author_id"), a["author"]["display_name"].alias("author_name"), last(a["author"]["orcid"]).alias("orcid"), a["author_position"].alias("position"))).alias("authorships"),
+        F.transform(
+            "authorships",
+            lambda a: F.struct(
+                last(a["author"]["id"]).alias("author_id"),
+                a["author"]["display_name"].alias("author_name"),
+                last(a["author"]["orcid"]).alias("orcid"),
+                a["author_position"].alias("position"),
+            ),
+        ).alias("authorships"),
     )
 
 
 def exclusions(spark: SparkSession, path: str) -> DataFrame:
     """The federal exclusion list: CSV with a header; empty text and impossible dates are null."""
-    raw = spark.read.csv(path, header=True, schema="LASTNAME STRING, FIRSTNAME STRING, NPI STRING, EXCLTYPE STRING, EXCLDATE STRING, REINDATE STRING, STATE STRING, SPECIALTY STRING", enforceSchema=False)
+    raw = spark.read.csv(
+        path,
+        header=True,
+        schema="LASTNAME STRING, FIRSTNAME STRING, NPI STRING, EXCLTYPE STRING, EXCLDATE STRING, REINDATE STRING, STATE STRING, SPECIALTY STRING",
+        enforceSchema=False,
+    )
     date = lambda c: F.expr(f"try_to_date({c}, 'yyyyMMdd')")
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
     return raw.select(
-        text("LASTNAME").alias("last_name"), text("FIRSTNAME").alias("first_name"), F.nullif(text("NPI"), F.lit("0000000000")).alias("npi"), text("EXCLTYPE").alias("exclusion_type"), date("EXCLDATE").alias("exclusion_date"), date("REINDATE").alias("reinstate_date"), text("STATE").alias("state"), text("SPECIALTY").alias("specialty"),
+        text("LASTNAME").alias("last_name"), text("FIRSTNAME").alias("first_name"), F.nullif(
+            text("NPI"),
+            F.lit("0000000000"),
+        ).alias("npi"), text("EXCLTYPE").alias("exclusion_type"), date("EXCLDATE").alias("exclusion_date"), date("REINDATE").alias("reinstate_date"), text("STATE").alias("state"), text("SPECIALTY").alias("specialty"),
     )
 
 
@@ -159,7 +240,12 @@ def sanctions(spark: SparkSession, path: str) -> DataFrame:
     """The sanctions list: CSV without a header, columns by place; rows without a name go."""
     raw = spark.read.csv(path, header=False, schema="id STRING, name STRING, kind STRING, program STRING", mode="PERMISSIVE")
     name = F.trim("name")
-    return raw.where(F.col("kind").isNotNull() & name.isNotNull() & ~name.isin("", "-0-")).select(name.alias("primary_name"), F.array().cast("array<string>").alias("aliases"), F.trim("kind").alias("record_type"), F.trim("program").alias("program"))
+    return raw.where(F.col("kind").isNotNull() & name.isNotNull() & ~name.isin("", "-0-")).select(
+        name.alias("primary_name"),
+        F.array().cast("array<string>").alias("aliases"),
+        F.trim("kind").alias("record_type"),
+        F.trim("program").alias("program"),
+    )
 
 
 def json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -192,8 +278,19 @@ def publication_people(articles: DataFrame) -> DataFrame:
     rows = articles.where(F.size("authors") > 0).withColumn("p", person)
     orcid = F.nullif(F.col("p.orcid"), F.lit(""))
     return rows.select(
-        F.col("p.full_name").alias("name"), orcid.alias("orcid"), F.lit(None).cast("string").alias("era"), F.substring(F.get("p.affiliations", F.lit(0)), 1, 200).alias("affiliation"), F.array("pmid").alias("pmids"), F.array().cast("array<string>").alias("grant_ids"), F.array().cast("array<string>").alias("nct_ids"),
-        F.slice(F.transform("mesh_descriptors", lambda m: m["descriptor"]), 1, MOST_TERMS).alias("terms"), F.when(orcid.isNotNull(), with_orcid).otherwise(without).alias("confidence"), F.col("publication_date").alias("updated"), F.lit("pubmed").alias("source"),
+        F.col("p.full_name").alias("name"), orcid.alias("orcid"), F.lit(None).cast("string").alias("era"), F.substring(
+            F.get("p.affiliations", F.lit(0)),
+            1,
+            200,
+        ).alias("affiliation"), F.array("pmid").alias("pmids"), F.array().cast("array<string>").alias("grant_ids"), F.array().cast("array<string>").alias("nct_ids"),
+        F.slice(
+            F.transform("mesh_descriptors", lambda m: m["descriptor"]),
+            1,
+            MOST_TERMS,
+        ).alias("terms"), F.when(
+            orcid.isNotNull(),
+            with_orcid,
+        ).otherwise(without).alias("confidence"), F.col("publication_date").alias("updated"), F.lit("pubmed").alias("source"),
     )
 
 
@@ -203,7 +300,10 @@ def grant_people(rows: DataFrame) -> DataFrame:
     g = rows.withColumn("p", F.explode("pis"))
     return g.select(
         F.col("p.full_name").alias("name"), F.lit(None).cast("string").alias("orcid"), F.col("p.era_id").alias("era"), F.col("organization_name").alias("affiliation"), F.array().cast("array<string>").alias("pmids"), F.array("project_number").alias("grant_ids"), F.array().cast("array<string>").alias("nct_ids"),
-        F.slice("project_terms", 1, MOST_CATEGORIES).alias("terms"), F.when(F.col("p.era_id").isNotNull(), known).otherwise(unknown).alias("confidence"), F.coalesce("award_notice_date", F.make_date("fiscal_year", F.lit(7), F.lit(1))).alias("updated"), F.lit("reporter").alias("source"),
+        F.slice("project_terms", 1, MOST_CATEGORIES).alias("terms"), F.when(F.col("p.era_id").isNotNull(), known).otherwise(unknown).alias("confidence"), F.coalesce(
+            "award_notice_date",
+            F.make_date("fiscal_year", F.lit(7), F.lit(1)),
+        ).alias("updated"), F.lit("reporter").alias("source"),
     )
 
 
@@ -212,7 +312,11 @@ def trial_people(rows: DataFrame) -> DataFrame:
     t = rows.withColumn("p", F.explode(F.filter("investigators", lambda i: i["role"] == "PI")))
     return t.select(
         F.col("p.full_name").alias("name"), F.lit(None).cast("string").alias("orcid"), F.lit(None).cast("string").alias("era"), F.col("p.affiliation").alias("affiliation"), F.array().cast("array<string>").alias("pmids"), F.array().cast("array<string>").alias("grant_ids"), F.array("nct_id").alias("nct_ids"),
-        F.slice("conditions", 1, MOST_CATEGORIES).alias("terms"), F.lit(CONFIDENCE["ctgov"][0]).alias("confidence"), F.col("last_update").alias("updated"), F.lit("ctgov").alias("source"),
+        F.slice(
+            "conditions",
+            1,
+            MOST_CATEGORIES,
+        ).alias("terms"), F.lit(CONFIDENCE["ctgov"][0]).alias("confidence"), F.col("last_update").alias("updated"), F.lit("ctgov").alias("source"),
     )
 
 
@@ -324,8 +428,16 @@ def ingest(people: DataFrame) -> DataFrame:
     keyed = people.withColumn("uuid", candidate_id(F.col("orcid"), F.col("era"), F.col("name"), F.col("affiliation")))
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))))
     lists = keyed.groupBy("uuid").agg(
-        F.array_sort(F.collect_set("name")).alias("name_variants"), F.max("orcid").alias("orcid"), F.max("era").alias("era"), F.min_by("affiliation", F.struct("source", "affiliation")).alias("affiliation"),
+        F.array_sort(F.collect_set("name")).alias("name_variants"), F.max("orcid").alias("orcid"), F.max("era").alias("era"), F.min_by(
+            "affiliation",
+            F.struct("source", "affiliation"),
+        ).alias("affiliation"),
         *(union(c).alias(c) for c in ("pmids", "grant_ids", "nct_ids", "terms")), F.max("confidence").alias("linkage_confidence"),
     )
-    dates = keyed.groupBy("uuid", "source").agg(F.max("updated").alias("updated")).groupBy("uuid").agg(F.map_from_entries(F.collect_list(F.struct("source", "updated"))).alias("last_updated_per_source"))
+    dates = keyed.groupBy(
+        "uuid",
+        "source",
+    ).agg(F.max("updated").alias("updated")).groupBy("uuid").agg(
+        F.map_from_entries(F.collect_list(F.struct("source", "updated"))).alias("last_updated_per_source")
+    )
     return lists.join(dates, "uuid")

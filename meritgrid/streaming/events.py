@@ -42,25 +42,47 @@ def new_entries(entries: DataFrame, delay: str | None = "30 days") -> DataFrame:
 def retraction_events(entries: DataFrame) -> DataFrame:
     """Events of a retraction feed: pmid from the text, the first author named, severity by the reason."""
     text = F.concat_ws(" ", "title", "summary")
-    severity = F.when(F.lower(text).rlike("fabricat|falsif|misconduct"), "critical").when(F.lower(text).rlike("plagiar|duplicat"), "high").otherwise("medium")
+    severity = F.when(
+        F.lower(text).rlike("fabricat|falsif|misconduct"),
+        "critical",
+    ).when(F.lower(text).rlike("plagiar|duplicat"), "high").otherwise("medium")
     names = F.regexp_extract_all(text, F.lit(r"by ([A-Z][a-z]+ [A-Z][a-z]+)"), F.lit(1))
     return entries.select(
-        "id", F.lit("retraction").alias("event_type"), F.get(names, F.lit(0)).alias("subject"), F.slice(names, F.lit(2), F.greatest(F.size(names) - 1, F.lit(0))).alias("others"), F.nullif(F.regexp_extract(text, r"(?i)pmid:?\s*(\d+)", 1), F.lit("")).alias("pmid"), severity.alias("severity"), "published"
+        "id", F.lit("retraction").alias("event_type"), F.get(names, F.lit(0)).alias("subject"), F.slice(names, F.lit(2), F.greatest(F.size(names) - 1, F.lit(0))).alias("others"), F.nullif(
+            F.regexp_extract(text, r"(?i)pmid:?\s*(\d+)", 1),
+            F.lit(""),
+        ).alias("pmid"), severity.alias("severity"), "published"
     )
 
 
 def misconduct_events(entries: DataFrame) -> DataFrame:
     """Findings of misconduct; the person's name stands after a semicolon, a dash or a hyphen in the title."""
     title = F.col("title")
-    name = F.when(title.contains(";"), F.substring_index(title, ";", -1)).when(title.contains("—"), F.substring_index(title, "—", -1)).otherwise(F.substring_index(title, "-", -1))
+    name = F.when(
+        title.contains(";"),
+        F.substring_index(title, ";", -1),
+    ).when(title.contains("—"), F.substring_index(title, "—", -1)).otherwise(F.substring_index(title, "-", -1))
     name = F.regexp_replace(F.trim(name), r"[.,;:]+$", "")
     hit = F.lower(F.concat_ws(" ", "title", "summary")).rlike("|".join(MISCONDUCT_WORDS))
-    return entries.where(hit).select("id", F.lit("misconduct").alias("event_type"), F.when(F.length(name) > 3, name).alias("subject"), F.lit("critical").alias("severity"), "published")
+    return entries.where(hit).select(
+        "id",
+        F.lit("misconduct").alias("event_type"),
+        F.when(F.length(name) > 3, name).alias("subject"),
+        F.lit("critical").alias("severity"),
+        "published",
+    )
 
 
 def sanction_events(entries: DataFrame) -> DataFrame:
     action, severity = sanction_action(F.concat_ws(" ", "title", "summary"))
-    return entries.select("id", F.lit("sanction").alias("event_type"), F.col("title").alias("subject"), action.alias("action"), severity.alias("severity"), "published")
+    return entries.select(
+        "id",
+        F.lit("sanction").alias("event_type"),
+        F.col("title").alias("subject"),
+        action.alias("action"),
+        severity.alias("severity"),
+        "published",
+    )
 
 
 def board_events(entries: DataFrame, state: str) -> DataFrame:
@@ -69,7 +91,14 @@ def board_events(entries: DataFrame, state: str) -> DataFrame:
     severity = F.lit("high")
     for word, level in reversed(BOARD_SEVERITIES):
         severity = F.when(text.contains(word), level).otherwise(severity)
-    return entries.select("id", F.lit("board_action").alias("event_type"), F.col("title").alias("subject"), F.lit(state).alias("state"), severity.alias("severity"), "published")
+    return entries.select(
+        "id",
+        F.lit("board_action").alias("event_type"),
+        F.col("title").alias("subject"),
+        F.lit(state).alias("state"),
+        severity.alias("severity"),
+        "published",
+    )
 
 
 def dispatch(events: DataFrame, handlers: list[Callable[[DataFrame, int], None]], checkpoint: str, **trigger: Any):
@@ -84,7 +113,10 @@ def dispatch(events: DataFrame, handlers: list[Callable[[DataFrame, int], None]]
         finally:
             df.unpersist()
 
-    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "15 minutes"})).start()
+    return events.writeStream.foreachBatch(batch).option(
+        "checkpointLocation",
+        checkpoint,
+    ).trigger(**(trigger or {"processingTime": "15 minutes"})).start()
 
 
 def sliding_counts(requests: DataFrame, customer: str = "customer", time: str = "ts", key: str = "id") -> DataFrame:
@@ -167,4 +199,7 @@ def replay_buckets(requests: DataFrame, rate: float, capacity: float | None = No
             yield pd.DataFrame({"customer": pdf["customer"], "id": pdf["id"], "allowed": allowed, "tokens": left})
 
     rows = requests.select("customer", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.repartition("customer").sortWithinPartitions("customer", "us", "id").mapInPandas(run, "customer long, id long, allowed boolean, tokens double")
+    return rows.repartition("customer").sortWithinPartitions("customer", "us", "id").mapInPandas(
+        run,
+        "customer long, id long, allowed boolean, tokens double",
+    )
