@@ -94,7 +94,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(contracted(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))), "edges")
     while True:
         least = edges.withColumn("m", F.min("b").over(W.partitionBy("a")))
-        pairs = least.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        pairs = least.select(
+            F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
+        )
         edges = cut(contracted(pairs.select("e.*")), "edges")
         parents = edges.groupBy("a").agg(F.min("b").alias("to"), F.max("b").alias("most"))
         moves = cut(edges.select("b").distinct().join(parents.select(F.col("a").alias("b"), "to"), "b"), "moves")

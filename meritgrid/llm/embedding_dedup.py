@@ -278,13 +278,26 @@ def near_duplicates(
     light = classes.select("rep", "group", "v").mapInArrow(_hashed(width), "rep long, table int, key long")
     members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2)]
     crowded = light.groupBy("key").agg(F.min("table").alias("table"), F.count(F.lit(1)).alias("m"), *members).where("m > 1")
-    kept = crowded.groupBy("m", "x0", "x1").agg(F.min(F.struct("table", "key")).alias("f")).select("f.*", F.ceil(F.col("m") / F.lit(TILE)).cast("int").alias("tiles"))
+    kept = crowded.groupBy("m", "x0", "x1").agg(F.min(F.struct("table", "key")).alias("f")).select(
+        "f.*",
+        F.ceil(F.col("m") / F.lit(TILE)).cast("int").alias("tiles"),
+    )
     own, tiles = F.col("own"), F.col("tiles")
     met = light.select("rep", "key").join(kept, "key").withColumn("own", F.pmod(F.xxhash64("rep"), tiles).cast("int"))
     met = met.select("rep", "key", "table", "own", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    met = met.select("rep", "key", "table", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(own <= F.col("other"), 0).otherwise(1).alias("side"))
+    met = met.select(
+        "rep",
+        "key",
+        "table",
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
+        F.when(own <= F.col("other"), 0).otherwise(1).alias("side"),
+    )
     work = ["key", "table", "i", "j"]
-    dealt = met.join(classes.select("rep", "n", "group", "v"), "rep").select(*work, "side", "rep", "n", "group", "v").repartition(*work).sortWithinPartitions(*work, "side", "rep")
+    dealt = met.join(
+        classes.select("rep", "n", "group", "v"),
+        "rep",
+    ).select(*work, "side", "rep", "n", "group", "v").repartition(*work).sortWithinPartitions(*work, "side", "rep")
     found = dealt.mapInArrow(_work(threshold, width), "rep long, links long, component long")
     found = cut(found, "links")
     grouped = components(found.select(F.col("rep").alias("a"), F.col("component").alias("b")))

@@ -186,7 +186,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if waiting is not None and waiting[0] == bucket:
                     out.append(_compared(*waiting[1:], codes, print_))
                 waiting = None if guard else (bucket, doc, codes, own, print_)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, _TYPES, strict=True)], _NAMES)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, _TYPES, strict=True)],
+                _NAMES,
+            )
 
 
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_prefix", "edited_suffix"]

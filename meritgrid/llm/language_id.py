@@ -210,7 +210,10 @@ def _kneser_ney(per_language: list[list[tuple[np.ndarray, np.ndarray, np.ndarray
             seen = total > 0
             weight[:, k] = np.where(seen, discount * types / np.maximum(total, 1), 1.0)
             p[at, k] = np.maximum(count - discount, 0) / total[into]
-        lower = np.full_like(p, 2.0**model.base) if n == 0 else 2.0 ** model.grams[n - 1][1][np.searchsorted(model.grams[n - 1][0], suffix_of)].astype(float)
+        lower = np.full_like(
+            p,
+            2.0**model.base,
+        ) if n == 0 else 2.0 ** model.grams[n - 1][1][np.searchsorted(model.grams[n - 1][0], suffix_of)].astype(float)
         p += weight[context_of] * lower
         model.grams.append((keys, np.log2(p).astype(np.float32)))
         model.contexts.append((contexts, np.log2(weight).astype(np.float32)))

@@ -98,7 +98,17 @@ def _lines(near_chars: int):
                 for number, line in enumerate(text.split("\n") if text else ()):
                     if (line := considered(line)) is not None:
                         h = xxhash.xxh3_128_intdigest(line.encode())
-                        rows.append((doc is None, _LAST if doc is None else doc, th, number, _signed(h >> 64), _signed(h & (2**64 - 1)), *halves(line, near_chars)))
+                        rows.append(
+                            (
+                                doc is None,
+                                _LAST if doc is None else doc,
+                                th,
+                                number,
+                                _signed(h >> 64),
+                                _signed(h & (2**64 - 1)),
+                                *halves(line, near_chars),
+                            )
+                        )
                     if len(rows) >= _BATCH_LINES:
                         yield _batch(rows, names, types)
                         rows = []
@@ -169,7 +179,10 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = pa.array(np.repeat(np.array(row, np.int64), [len(k) for k, _ in found]))  # noqa: B023
             keys = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in found)])  # noqa: B023
             roles = np.concatenate([np.zeros(0, np.int8), *(r for _, r in found)])  # noqa: B023
-            return pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:4]), pa.array(keys), pa.array(roles)], [*PLACE, "key", "role"])  # noqa: B023
+            return pa.RecordBatch.from_arrays(
+                [*(c.take(at) for c in batch.columns[:4]), pa.array(keys), pa.array(roles)],
+                [*PLACE, "key", "role"],
+            )  # noqa: B023
 
         held = 0
         for i, (x, emits) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
@@ -232,7 +245,10 @@ def _rebuilt(at: int, width: int):
                 removed.append(len(lines) - len(left))
             columns = list(batch.columns[:width])
             columns[at] = pa.array(made, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(all_lines, pa.int64()), pa.array(removed, pa.int64())], [*batch.schema.names[:width], "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(all_lines, pa.int64()), pa.array(removed, pa.int64())],
+                [*batch.schema.names[:width], "n_lines", "n_removed"],
+            )
 
     return run
 

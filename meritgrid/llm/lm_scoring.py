@@ -221,7 +221,14 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
 
 
-def backoff_scores(docs: DataFrame, *, order: int = ORDER, group_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def backoff_scores(
+    docs: DataFrame,
+    *,
+    order: int = ORDER,
+    group_bytes: int | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """One row per row of `docs`: id, n_words, total (sum of natural logarithms), score (total per word)."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     all_bytes = plain.agg(F.sum(F.octet_length("t"))).first()[0] or 0

@@ -219,7 +219,10 @@ def _pair_keys(threshold: Fraction):
                         rows.append(row)
                 keys = np.concatenate([*made, np.zeros(0, np.uint64)])
                 at = pa.array(np.repeat(np.array(rows, np.int64), [len(k) for k in made]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["key", "rep", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)],
+                    ["key", "rep", "n"],
+                )
 
     return run
 
@@ -345,7 +348,10 @@ def _whole_sets(n_words: int):
             values, first = shingles(batch, "t", n_words)
             parts = [values[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
             made = [pa.array([f(v) for v in parts], pa.binary()) for f in (sketch, np.ndarray.tobytes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sums(values, first)[0]), batch.column(2), *made], ["rep", "own", "s1", "sketch", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(_sums(values, first)[0]), batch.column(2), *made],
+                ["rep", "own", "s1", "sketch", "shingles"],
+            )
 
     return run
 
@@ -379,7 +385,11 @@ def jaccard_components(docs: DataFrame, *, words: int, threshold: str | Fraction
     texts = plain.where("id is not null and t <> ''")
     found = texts.mapInArrow(_sets(words, t, commonness(texts, words)), "id long, n long, s1 long, s2 long, prefix array<long>, bits binary")
     reps = cut(
-        found.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "reps"
+        found.where("n > 0").groupBy("n", "s1", "s2").agg(
+            F.min("id").alias("rep"),
+            F.first("prefix").alias("prefix"),
+            F.first("bits").alias("bits"),
+        ), "reps"
     )
 
     tokens = reps.select("rep", F.explode("prefix").alias("token"))
@@ -390,7 +400,10 @@ def jaccard_components(docs: DataFrame, *, words: int, threshold: str | Fraction
         frequent.select("rep", "n", "tokens").mapInArrow(_pair_keys(t), "key long, rep long, n long")
     )
     made = cut(made, "keys")
-    centres = made.groupBy("key").agg(F.min(F.struct(F.col("rep").alias("x"), F.col("n").alias("nx"))).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    centres = made.groupBy("key").agg(
+        F.min(F.struct(F.col("rep").alias("x"), F.col("n").alias("nx"))).alias("c"),
+        F.count(F.lit(1)).alias("m"),
+    ).where("m > 1")
     keys = cut(made.join(centres.select("key", "c.*"), "key"), "shared keys")
     near_size = lambda a, b: F.least(a, b) * t.denominator >= F.greatest(a, b) * t.numerator
     star = keys.where((F.col("rep") != F.col("x")) & near_size(F.col("n"), F.col("nx"))).select("x", F.col("rep").alias("y")).distinct()
@@ -409,7 +422,15 @@ def jaccard_components(docs: DataFrame, *, words: int, threshold: str | Fraction
     tiles = F.ceil(F.col("m") / F.lit(TILE)).cast("int")
     many = open_.where(F.col("m") > CROWD).withColumn("own", F.pmod(F.xxhash64("rep"), tiles).cast("int"))
     many = many.select("key", "rep", "n", "c", "own", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    work = many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "n", "c")
+    work = many.select(
+        "key",
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "rep",
+        "n",
+        "c",
+    )
     dealt = work.join(reps.select("rep", "bits"), "rep").select("key", "i", "j", "side", "rep", "n", "c", "bits").repartition("key", "i", "j")
     crowded = dealt.sortWithinPartitions("key", "i", "j", "side", "rep").mapInArrow(_crowds(t), "x long, y long")
     rest = rest.unionByName(crowded).distinct().join(star, ["x", "y"], "left_anti")
@@ -419,7 +440,10 @@ def jaccard_components(docs: DataFrame, *, words: int, threshold: str | Fraction
     named = reps.select("n", "s1", "s2", "rep").join(final, "rep", "left").select("n", "s1", "s2", F.coalesce("c", "rep").alias("component"))
     rows = plain.mapInArrow(_sets(words, t), "id long, n long, s1 long, s2 long")
     return rows.join(named, ["n", "s1", "s2"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(
+            F.col("id").isNotNull(),
+            F.coalesce("component", "id"),
+        ).alias("component_id")
     )
 
 

@@ -148,7 +148,10 @@ def fit(
     constant = totals.get(1, 0) / sum(totals.values()) if totals else 1.0
     if not ids:
         return QualityModel(constant=constant)
-    chosen = docs.sparkSession.createDataFrame(ids, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType())]))
+    chosen = docs.sparkSession.createDataFrame(
+        ids,
+        T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType())]),
+    )
     rows = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
         .where(F.col("t").isNotNull() & (F.octet_length("t") > 0) & (F.octet_length("t") <= max_bytes))

@@ -29,7 +29,12 @@ def awkward() -> list[tuple]:
         11: "12345 !!! ???",
     }
     rows = [(i, t, None if i == 4 else "en", None if i == 5 else f"s{i % 2}", None, 0.5, i, "k", 1, 2, "x") for i, t in texts.items()]
-    rows += [rows[0], rows[0], (None, "a row without an id that has words", "en", "s1", 3, None, None, None, None, None, None), (8, "another text with the same id as before", "en", "s0", 1, 0.0, 0, "", 0, 0, "")]
+    rows += [
+        rows[0],
+        rows[0],
+        (None, "a row without an id that has words", "en", "s1", 3, None, None, None, None, None, None),
+        (8, "another text with the same id as before", "en", "s0", 1, 0.0, 0, "", 0, 0, ""),
+    ]
     return rows
 
 

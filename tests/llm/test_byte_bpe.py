@@ -18,7 +18,12 @@ PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def coders():
     with open(PATH, "rb") as f:
         ranks = read_ranks(f.read())
-    return ByteBpe(ranks, public_tokenizers.PATTERN), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return ByteBpe(ranks, public_tokenizers.PATTERN), tiktoken.Encoding(
+        "own",
+        pat_str=public_tokenizers.PATTERN,
+        mergeable_ranks=ranks,
+        special_tokens={},
+    )
 
 
 @settings(max_examples=300, deadline=None)

@@ -126,7 +126,15 @@ def test_language_against_plain_kneser_ney(spark):
     taught = {k: [t for i, t in enumerate(v) if i % 4] for k, v in samples.items()}
     alphabet = len({g[-1] for v in taught.values() for t in v for g in PlainKneserNey.grams(t)})
     plain = {k: PlainKneserNey(v, alphabet) for k, v in taught.items()}
-    texts = [prose(77, 40), prose(78, 3, FRENCH), "La rivière, 12 ponts -- under THE sky!", "zzz qqq", "é", "the", prose(5, 400) + "\n" + prose(5, 400, FRENCH)]
+    texts = [
+        prose(77, 40),
+        prose(78, 3, FRENCH),
+        "La rivière, 12 ponts -- under THE sky!",
+        "zzz qqq",
+        "é",
+        "the",
+        prose(5, 400) + "\n" + prose(5, 400, FRENCH),
+    ]
     h, n, _, _ = model.cross_entropy(texts)
     for i, text in enumerate(texts):
         assert n[i] == len(PlainKneserNey.grams(text))
@@ -165,7 +173,11 @@ def test_language_awkward_rows(spark):
     assert len(out) == len(awkward())
     by = {r["doc_id"]: r["made"] for r in out}
     assert lang.identify(table(spark), model).columns[-2:] == ["lang_pred_1", "score_1"]
-    few = lang.fit(spark.createDataFrame([(i, prose(i, 9), f"l{i % 9}") for i in range(90)], "doc_id long, text string, lang string"), max_langs=3, max_docs=12)
+    few = lang.fit(
+        spark.createDataFrame([(i, prose(i, 9), f"l{i % 9}") for i in range(90)], "doc_id long, text string, lang string"),
+        max_langs=3,
+        max_docs=12,
+    )
     assert len(few.languages) == 3
     assert by[2] == by[3] == by[4] == by[11] == "und" and by[1] == "en"
     kept = lang.language_stage(spark, table(spark), "")

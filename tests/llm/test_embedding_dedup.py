@@ -51,7 +51,21 @@ def test_tiles(spark, monkeypatch, tile, small):
 
 def test_awkward_rows(spark):
     good = [1.0] * 16
-    rows = [(1, None, 1), (2, [], 1), (3, [0.0] * 16, 1), (4, [float("nan")] + good[1:], 1), (5, [None] + good[1:], 1), (6, [float("inf")] + good[1:], 1), (7, good, None), (8, good, 1), (9, good, 1), (9, good, 1), (10, good, 2), (11, [2.0] * 16, 1), (12, good[:8], 1)]
+    rows = [
+        (1, None, 1),
+        (2, [], 1),
+        (3, [0.0] * 16, 1),
+        (4, [float("nan")] + good[1:], 1),
+        (5, [None] + good[1:], 1),
+        (6, [float("inf")] + good[1:], 1),
+        (7, good, None),
+        (8, good, 1),
+        (9, good, 1),
+        (9, good, 1),
+        (10, good, 2),
+        (11, [2.0] * 16, 1),
+        (12, good[:8], 1),
+    ]
     got = e.near_duplicates(spark.createDataFrame([(*r, 0, 0, "") for r in rows], SCHEMA)).collect()
     assert len(got) == len(rows)
     by = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got}

@@ -39,7 +39,9 @@ def test_against_brute_force(spark):
 
     def edited(line: str) -> str:
         i = rng.randrange(len(line) + 1)
-        return rng.choice([line, line[:i] + "x" + line[i:], line[:i] + line[i + 1 :], line[:i] + "y" + line[i + 1 :], line + " ", line[:i] + "zz" + line[i:]])
+        return rng.choice(
+            [line, line[:i] + "x" + line[i:], line[:i] + line[i + 1 :], line[:i] + "y" + line[i + 1 :], line + " ", line[:i] + "zz" + line[i:]]
+        )
 
     docs = [(i, "\n".join(edited(rng.choice(base)) for _ in range(rng.randrange(1, 6)))) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")

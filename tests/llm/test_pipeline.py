@@ -86,7 +86,10 @@ def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
     for name, rows in (("awkward", table(spark)), ("empty", empty(spark))):
         folder = f"{tmp_path}/{name}"
         rows.write.parquet(f"{folder}/documents.parquet")
-        spark.createDataFrame([(1, None, 1), (None, 1, 0), (1, 1, 1), (5, 0, None), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame(
+            [(1, None, 1), (None, 1, 0), (1, 1, 1), (5, 0, None), (5, 1, 0)],
+            "doc_id long, quality int, toxic int",
+        ).write.parquet(f"{folder}/labels.parquet")
         docs = spark.read.parquet(f"{folder}/documents.parquet")
         for stage, function in corpus_pipeline.STAGES[:-1]:
             out = function(spark, docs, folder)
