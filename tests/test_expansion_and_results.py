@@ -10,7 +10,17 @@ from meritgrid.operators import expansion, results
 def test_lookup_terms_and_expansion(spark):
     q = spark.createDataFrame([(1, "KRAS inhibitors for lung cancer"), (2, "zzz qqqq")], "id int, query string")
     got = {r["id"]: r["t"] for r in q.select("id", expansion.lookup_terms(F.col("query")).alias("t")).collect()}
-    assert got[1] == ["KRAS inhibitors for lung cancer", "KRAS inhibitors", "inhibitors for", "for lung", "lung cancer", "KRAS", "inhibitors", "lung", "cancer"]
+    assert got[1] == [
+        "KRAS inhibitors for lung cancer",
+        "KRAS inhibitors",
+        "inhibitors for",
+        "for lung",
+        "lung cancer",
+        "KRAS",
+        "inhibitors",
+        "lung",
+        "cancer",
+    ]
     v = spark.createDataFrame([(x,) for x in ("Lung Cancer, small cell", "Lung", "Proto KRAS gene", "Heart")], "label string")
     r = {x["id"]: x for x in expansion.expand(q, v).collect()}
     assert r[1]["terms"] == ["Lung Cancer, small cell", "Proto KRAS gene", "Lung"] and r[1]["confidence"] == 0.8
@@ -52,7 +62,10 @@ def test_diagnosis_codes(spark):
 
 def test_shown(spark):
     ranked = spark.createDataFrame([(1, "a", 0.5), (2, "b", 0.4)], "rank int, uuid string, score double")
-    art = spark.createDataFrame([("a", "pmid", str(i), float(i)) for i in range(5)] + [("c", "pmid", "9", 1.0)], "uuid string, kind string, identifier string, contribution double")
+    art = spark.createDataFrame(
+        [("a", "pmid", str(i), float(i)) for i in range(5)] + [("c", "pmid", "9", 1.0)],
+        "uuid string, kind string, identifier string, contribution double",
+    )
     bands = spark.createDataFrame([("a", 0.4, 0.6)], "uuid string, low double, high double")
     homes = spark.createDataFrame([("b", "Uni")], "uuid string, affiliation string")
     r = {x["uuid"]: x for x in results.shown(ranked, art, bands, homes).collect()}
@@ -71,7 +84,10 @@ def test_specialty_model(spark):
     for i in range(90):
         kind = ("clinician", "drug_discovery", "basic")[i % 3]
         base = dict.fromkeys(results.FEATURES, 0.0) | {"total_papers": rng.randrange(5, 50)}
-        base |= {"has_npi": 1.0, "procedure_volume": rng.randrange(100, 900)} if kind == "clinician" else {"total_patents": rng.randrange(60, 99)} if kind == "drug_discovery" else {"total_grants": rng.randrange(60, 90)}
+        base |= {
+            "has_npi": 1.0,
+            "procedure_volume": rng.randrange(100, 900),
+        } if kind == "clinician" else {"total_patents": rng.randrange(60, 99)} if kind == "drug_discovery" else {"total_grants": rng.randrange(60, 90)}
         rows.append((f"u{i}", kind, *(float(base[f]) for f in results.FEATURES)))
     df = spark.createDataFrame(rows, ["uuid", "specialty", *results.FEATURES])
     model = results.train_specialty(df.where("uuid < 'u6'"), trees=3, depth=2)

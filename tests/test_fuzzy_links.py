@@ -57,7 +57,10 @@ def test_all_customers_are_candidates(spark, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([(600, 0)], "s_suppkey long, s_nationkey int").write.parquet(f"{d}/supplier.parquet")
     spark.createDataFrame([(0, "x")], "n_nationkey int, n_name string").write.parquet(f"{d}/nation.parquet")
-    spark.createDataFrame([(u, "c", 0, "s", 0.0) for u in (1, 600, 999)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame(
+        [(u, "c", 0, "s", 0.0) for u in (1, 600, 999)],
+        "c_custkey long, c_name string, c_nationkey int, c_mktsegment string, c_acctbal double",
+    ).write.parquet(f"{d}/customer.parquet")
     assert [tuple(r)[:2] for r in fuzzy_link(spark, d).collect()] == [(600, "600")]
 
 

@@ -73,7 +73,12 @@ def test_sliding_counts_of_a_busy_customer(spark):
 
 
 def test_citation_impact(spark):
-    rows = [("a", 1.5, 1.0, None)] * 10 + [("a", 1.5, 0.7, None)] * 5 + [("b", 2.0, 1.0, "Editorial"), ("b", 2.0, 1.0, "Letter"), ("b", 2.0, 1.0, "Journal Article"), ("c", 0.0, 1.0, None)]
+    rows = [("a", 1.5, 1.0, None)] * 10 + [("a", 1.5, 0.7, None)] * 5 + [
+        ("b", 2.0, 1.0, "Editorial"),
+        ("b", 2.0, 1.0, "Letter"),
+        ("b", 2.0, 1.0, "Journal Article"),
+        ("c", 0.0, 1.0, None),
+    ]
     got = {r["uuid"]: r for r in features.citation_impact(spark.createDataFrame(rows, "uuid string, rcr double, author_weight double, article_type string")).collect()}
     assert got["a"]["eligible_paper_count"] == 15 and not got["a"]["low_confidence"]
     assert got["b"]["eligible_paper_count"] == 1 and got["b"]["low_confidence"]
@@ -90,22 +95,47 @@ def test_lineage_and_translational(spark):
 
 def test_clinician(spark):
     schema = "uuid string, is_board_certified boolean, has_moc boolean, certification_count int, has_active_license boolean, has_disciplinary_action boolean, action_severity string, hospital_tier int, specialty_rank int, trial_pi_count int, trial_phases array<int>, total_procedures int, procedure_volume_available boolean"
-    rows = [("a", True, False, 3, True, True, "probation", 2, 3, 4, [2, 3], 0, False), ("b", False, True, 1, False, False, None, 9, None, 0, [], 900, True)]
+    rows = [
+        ("a", True, False, 3, True, True, "probation", 2, 3, 4, [2, 3], 0, False),
+        ("b", False, True, 1, False, False, None, 9, None, 0, [], 900, True),
+    ]
     got = {r["uuid"]: r for r in features.clinician(spark.createDataFrame(rows, schema)).collect()}
     a, b = got["a"], got["b"]
-    assert (a["board_certification_score"], a["license_score"], a["hospital_tier_score"], a["trial_pi_score"], a["procedure_volume_confidence"]) == (0.9, 0.5, 0.9, 1.0, 0.3)
-    assert (b["board_certification_score"], b["license_score"], b["hospital_tier_score"], b["procedure_volume_score"], b["coverage_caveat"]) == (0.0, 0.0, 0.2, 1.0, None)
+    assert (
+        a["board_certification_score"],
+        a["license_score"],
+        a["hospital_tier_score"],
+        a["trial_pi_score"],
+        a["procedure_volume_confidence"],
+    ) == (0.9, 0.5, 0.9, 1.0, 0.3)
+    assert (
+        b["board_certification_score"],
+        b["license_score"],
+        b["hospital_tier_score"],
+        b["procedure_volume_score"],
+        b["coverage_caveat"],
+    ) == (0.0, 0.0, 0.2, 1.0, None)
 
 
 def test_topical_fit(spark):
-    art = spark.createDataFrame([("same", 1.0, ["x", "y"]), ("part", 1.0, ["x", "z"]), ("none", 1.0, ["q"])], "uuid string, w double, terms array<string>")
+    art = spark.createDataFrame(
+        [("same", 1.0, ["x", "y"]), ("part", 1.0, ["x", "z"]), ("none", 1.0, ["q"])],
+        "uuid string, w double, terms array<string>",
+    )
     got = {r["uuid"]: r["topical_fit"] for r in ranking.topical_fit(ranking.topic_vectors(art, F.col("w")), ranking.query_vector({"x": 1.0, "y": 1.0})).collect()}
     assert got["same"] == pytest.approx(1.0) and got["part"] == pytest.approx(0.5) and "none" not in got
 
 
 def test_recency(spark):
     today = dt.date(2024, 1, 1)
-    rows = [("new", today, 1.0, 1.0, False, ["x"]), ("old", dt.date(2000, 1, 1), 1.0, 1.0, False, ["x"]), ("other", today, 1.0, 1.0, False, ["z"]), ("pre", today, 1.0, 1.0, True, ["x"]), *([("many", today, 1.0, 1.0, False, ["x"])] * 12), ("future", dt.date(2054, 1, 1), 1.0, 1.0, False, ["x"])]
+    rows = [
+        ("new", today, 1.0, 1.0, False, ["x"]),
+        ("old", dt.date(2000, 1, 1), 1.0, 1.0, False, ["x"]),
+        ("other", today, 1.0, 1.0, False, ["z"]),
+        ("pre", today, 1.0, 1.0, True, ["x"]),
+        *([("many", today, 1.0, 1.0, False, ["x"])] * 12),
+        ("future", dt.date(2054, 1, 1), 1.0, 1.0, False, ["x"]),
+    ]
     df = spark.createDataFrame(rows, "uuid string, published date, role_weight double, type_weight double, is_preprint boolean, terms array<string>")
     got = {r["uuid"]: r["recency"] for r in ranking.recency(df, ["x"], F.lit(today)).collect()}
     assert got["new"] > 0.2 and got["old"] < 0.05 and got["other"] == 0 and got["pre"] < got["new"] and got["many"] > 0.95 and 0 <= got["future"] <= 1
@@ -131,8 +161,21 @@ def test_score_bands(spark):
 
 
 def test_hard_gate_ladder(spark):
-    people = spark.createDataFrame([("1", "Ann Lee", "77", ["x"]), ("2", "Bo Ray", None, ["x"]), ("3", "Cy Dee", None, ["x"]), ("4", "Di Fox", None, ["x", "y"]), ("5", "Ed Gow", None, ["x"]), ("6", "Flo Hay", None, ["x", "y"])], "uuid string, name string, npi string, terms array<string>")
-    leie = spark.createDataFrame([("none", "none", "77", None), ("Ed", "Gow", None, dt.date(2020, 1, 1))], "first_name string, last_name string, npi string, reinstate_date date")
+    people = spark.createDataFrame(
+        [
+            ("1", "Ann Lee", "77", ["x"]),
+            ("2", "Bo Ray", None, ["x"]),
+            ("3", "Cy Dee", None, ["x"]),
+            ("4", "Di Fox", None, ["x", "y"]),
+            ("5", "Ed Gow", None, ["x"]),
+            ("6", "Flo Hay", None, ["x", "y"]),
+        ],
+        "uuid string, name string, npi string, terms array<string>",
+    )
+    leie = spark.createDataFrame(
+        [("none", "none", "77", None), ("Ed", "Gow", None, dt.date(2020, 1, 1))],
+        "first_name string, last_name string, npi string, reinstate_date date",
+    )
     ofac = spark.createDataFrame([("X", ["BO RAY"])], "primary_name string, aliases array<string>")
     ori = spark.createDataFrame([("cy dee", dt.date(2020, 1, 1)), ("Ed Gow", dt.date(2001, 1, 1))], "name string, finding_date date")
     notices = spark.createDataFrame([("4", "p", "data were fabricated"), ("6", "q", "an honest error")], "uuid string, pmid string, notice string")
@@ -143,9 +186,19 @@ def test_hard_gate_ladder(spark):
 
 
 def test_phi_and_fields(spark):
-    rows = [("a", "123-45-6789", ""), ("b", "id 123456789", ""), ("c", "my ssn is 123456789", ""), ("d", "on 1980-02-03", "1980-02-03"), ("e", "MRN: 12345", "")]
+    rows = [
+        ("a", "123-45-6789", ""),
+        ("b", "id 123456789", ""),
+        ("c", "my ssn is 123456789", ""),
+        ("d", "on 1980-02-03", "1980-02-03"),
+        ("e", "MRN: 12345", ""),
+    ]
     got = {(r["uuid"], r["field"], r["pattern"]) for r in privacy.phi_scan(spark.createDataFrame(rows, "uuid string, note string, patient string"), "uuid", ["note", "patient"]).collect()}
-    assert ("a", "note", "ssn_dashed") in got and ("c", "note", "ssn_nodash") in got and ("d", "patient", "dob_iso") in got and ("e", "note", "mrn_pattern") in got
+    assert ("a", "note", "ssn_dashed") in got and ("c", "note", "ssn_nodash") in got and ("d", "patient", "dob_iso") in got and (
+        "e",
+        "note",
+        "mrn_pattern",
+    ) in got
     assert not [g for g in got if g[0] == "b"] and ("d", "note", "dob_iso") not in got
     assert [privacy.field_blocked(n) for n in ("Age", "dosage", "page_count", "gender_code", "name")] == [True, False, True, True, False]
 
@@ -157,8 +210,14 @@ def test_name_ratio(spark):
 
 
 def test_link(spark):
-    art = spark.createDataFrame([("a1", ["Jane Roe"], "r1", None, ["Al Poe"], ["t1"], 2010), ("a2", ["Zed Qux"], None, None, [], [], None)], "artifact_id string, names array<string>, ror_id string, parent_ror_id string, coauthors array<string>, terms array<string>, year int")
-    cand = spark.createDataFrame([("u1", ["Jane Roe"], ["r1"], ["t1"], 2005, 2015), ("u2", ["Jane Doe"], ["r2"], ["t9"], 2005, 2015)], "uuid string, names array<string>, rors array<string>, terms array<string>, first_year int, last_year int")
+    art = spark.createDataFrame(
+        [("a1", ["Jane Roe"], "r1", None, ["Al Poe"], ["t1"], 2010), ("a2", ["Zed Qux"], None, None, [], [], None)],
+        "artifact_id string, names array<string>, ror_id string, parent_ror_id string, coauthors array<string>, terms array<string>, year int",
+    )
+    cand = spark.createDataFrame(
+        [("u1", ["Jane Roe"], ["r1"], ["t1"], 2005, 2015), ("u2", ["Jane Doe"], ["r2"], ["t9"], 2005, 2015)],
+        "uuid string, names array<string>, rors array<string>, terms array<string>, first_year int, last_year int",
+    )
     got = {r["artifact_id"]: r for r in identity.link(art, cand).collect()}
     assert got["a1"]["uuid"] == "u1" and got["a1"]["action"] == "auto-link" and got["a2"]["uuid"] is None and got["a2"]["confidence"] == 0.0
 
@@ -168,11 +227,20 @@ def test_organisations(spark):
     aliases = spark.createDataFrame([("stanford", "Stanford University")], "alias string, canonical_name string")
     raw = spark.createDataFrame([("Stanford",), ("mayo  clinic",), ("Stanford Univ.",), ("",), ("zzzz",)], "affiliation string")
     got = {r["affiliation"]: (r["ror_id"], r["matched_via"]) for r in identity.resolve_organisations(raw, names, aliases).collect()}
-    assert got["Stanford"] == ("r1", "alias") and got["mayo  clinic"] == ("r2", "exact") and got["Stanford Univ."] == ("r1", "fuzzy") and got[""] == (None, None) and got["zzzz"][1] == "fuzzy-low"
+    assert got["Stanford"] == (
+        "r1",
+        "alias",
+    ) and got["mayo  clinic"] == (
+        "r2",
+        "exact",
+    ) and got["Stanford Univ."] == ("r1", "fuzzy") and got[""] == (None, None) and got["zzzz"][1] == "fuzzy-low"
 
 
 def test_get_or_create_and_merge(spark):
-    records = spark.createDataFrame([("1", {"orcid": "o1", "npi": "n1"}), ("2", {"npi": "n2"}), ("3", {})], "id string, strong_keys map<string,string>")
+    records = spark.createDataFrame(
+        [("1", {"orcid": "o1", "npi": "n1"}), ("2", {"npi": "n2"}), ("3", {})],
+        "id string, strong_keys map<string,string>",
+    )
     registry = spark.createDataFrame([("npi", "n1", "known")], "key_type string, key_value string, uuid string")
     got = {r["id"]: r for r in identity.get_or_create(records, registry, ["orcid", "npi"]).collect()}
     assert got["1"]["uuid"] == "known" and not got["1"]["is_new"] and got["2"]["is_new"] and got["3"]["uuid"]
@@ -214,5 +282,8 @@ def test_store(spark):
     c = spark.createDataFrame([(2, "B", "t1"), (3, "c", "t1")], "k int, v string, created string")
     assert sorted(map(tuple, store.upsert(t, c, ["k"], keep=["created"]).collect())) == [(1, "a", "t0"), (2, "B", "t0"), (3, "c", "t1")]
     assert sorted(r["k"] for r in store.delete(t, c, ["k"]).collect()) == [1]
-    log = spark.createDataFrame([("u", "opt_out", 1, 1), ("u", "opt_in", 2, 2), ("u", "opt_out", 3, 3), ("w", "opt_in", 1, 4)], "uuid string, action string, ts int, seq int")
+    log = spark.createDataFrame(
+        [("u", "opt_out", 1, 1), ("u", "opt_in", 2, 2), ("u", "opt_out", 3, 3), ("w", "opt_in", 1, 4)],
+        "uuid string, action string, ts int, seq int",
+    )
     assert [r["uuid"] for r in privacy.opted_out(log).collect()] == ["u"]

@@ -13,7 +13,10 @@ DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
 
 
-@pytest.mark.parametrize("name", ["percentile_below", "percentile_midpoint", "service_levels", "sliding_60s_count", "same_query_count", "ks_two_sample", "resolution_stats"])
+@pytest.mark.parametrize(
+    "name",
+    ["percentile_below", "percentile_midpoint", "service_levels", "sliding_60s_count", "same_query_count", "ks_two_sample", "resolution_stats"],
+)
 def test_windows_over_everything_see_totals_only(spark, monkeypatch, name):
     monkeypatch.setattr(positions, "BUCKET_ROWS", 20)
     plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString().splitlines()

@@ -23,13 +23,29 @@ def test_publications(spark, tmp_path):
     r = df.collect()[0]
     assert r["pmid"] == "123" and r["abstract"] == "First part." and r["publication_date"] == dt.date(2024, 3, 15) and r["medline_indexed"]
     assert [a["is_last_author"] for a in r["authors"]] == [False, True] and r["authors"][0]["orcid"] == "0000-1"
-    assert [(m["descriptor"], m["qualifier"], m["major_topic"]) for m in r["mesh_descriptors"]] == [("Lung", "genetics", True), ("Humans", None, False)]
+    assert [(m["descriptor"], m["qualifier"], m["major_topic"]) for m in r["mesh_descriptors"]] == [
+        ("Lung", "genetics", True),
+        ("Humans", None, False),
+    ]
     p = records.publication_people(df).collect()[0]
     assert p["name"] == "Al Poe" and p["confidence"] == 0.70 and p["terms"] == ["Lung", "Humans"]
 
 
 def test_grants_and_trials(spark, tmp_path):
-    grant = {"project_num": "5R01CA1", "activity_code": "", "abstract_text": "x" * 900, "fiscal_year": 2020, "award_amount": 5, "is_active": True, "terms": "a;b", "organization": {"org_name": "Uni"}, "principal_investigators": [{"full_name": "Jane Roe", "profile_id": "7", "is_contact_pi": True}, {"full_name": "Al Poe", "profile_id": None, "is_contact_pi": False}]}
+    grant = {
+        "project_num": "5R01CA1",
+        "activity_code": "",
+        "abstract_text": "x" * 900,
+        "fiscal_year": 2020,
+        "award_amount": 5,
+        "is_active": True,
+        "terms": "a;b",
+        "organization": {"org_name": "Uni"},
+        "principal_investigators": [
+            {"full_name": "Jane Roe", "profile_id": "7", "is_contact_pi": True},
+            {"full_name": "Al Poe", "profile_id": None, "is_contact_pi": False},
+        ],
+    }
     (tmp_path / "g.json").write_text(json.dumps({"results": [grant]}))
     g = records.grants(spark, str(tmp_path / "g.json"))
     r = g.collect()[0]
@@ -46,7 +62,9 @@ def test_grants_and_trials(spark, tmp_path):
 
 
 def test_lists(spark, tmp_path):
-    (tmp_path / "leie.csv").write_text("LASTNAME,FIRSTNAME,NPI,EXCLTYPE,EXCLDATE,REINDATE,STATE,SPECIALTY\nRoe,Jane,0000000000,1128a1,20200102,00000000,CA,\n")
+    (tmp_path / "leie.csv").write_text(
+        "LASTNAME,FIRSTNAME,NPI,EXCLTYPE,EXCLDATE,REINDATE,STATE,SPECIALTY\nRoe,Jane,0000000000,1128a1,20200102,00000000,CA,\n"
+    )
     r = records.exclusions(spark, str(tmp_path / "leie.csv")).collect()[0]
     assert r["npi"] is None and r["exclusion_date"] == dt.date(2020, 1, 2) and r["reinstate_date"] is None and r["specialty"] is None
     (tmp_path / "sdn.csv").write_text('1,"DOE, John ",individual,X\n2,-0-,individual,X\n3\n')
@@ -74,7 +92,14 @@ def test_feed_is_deduplicated(spark, tmp_path):
 
 
 def test_feed_events(spark):
-    df = spark.createDataFrame([("1", "Case of misconduct finding; Jane Roe.", "", "l", dt.datetime(2024, 1, 1)), ("2", "Retraction by Al Poe and by Cy Dee PMID: 77", "data fabricated", "l", dt.datetime(2024, 1, 1)), ("3", "Delisted: X", "", "l", dt.datetime(2024, 1, 1))], "id string, title string, summary string, link string, published timestamp")
+    df = spark.createDataFrame(
+        [
+            ("1", "Case of misconduct finding; Jane Roe.", "", "l", dt.datetime(2024, 1, 1)),
+            ("2", "Retraction by Al Poe and by Cy Dee PMID: 77", "data fabricated", "l", dt.datetime(2024, 1, 1)),
+            ("3", "Delisted: X", "", "l", dt.datetime(2024, 1, 1)),
+        ],
+        "id string, title string, summary string, link string, published timestamp",
+    )
     assert [(r["id"], r["subject"]) for r in events.misconduct_events(df).collect()] == [("1", "Jane Roe")]
     r = {x["id"]: x for x in events.retraction_events(df).collect()}["2"]
     assert r["pmid"] == "77" and r["subject"] == "Al Poe" and r["others"] == ["Cy Dee"] and r["severity"] == "critical"
@@ -87,7 +112,10 @@ def test_token_bucket_stream_agrees_with_replay(spark, tmp_path):
     source.mkdir()
     feed(source, "1.json", [{"customer": c, "id": i, "ts": t} for c, i, t in rows])
     stream = events.feed(spark, str(source), "customer long, id long, ts timestamp")
-    q = events.token_buckets(stream, 0.5, 2.0).writeStream.format("memory").queryName("buckets").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = events.token_buckets(stream, 0.5, 2.0).writeStream.format("memory").queryName("buckets").outputMode("append").option(
+        "checkpointLocation",
+        str(tmp_path / "c"),
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     got = {r["id"]: r["allowed"] for r in spark.table("buckets").collect()}
     batch = spark.read.schema("customer long, id long, ts timestamp").json(str(source))
@@ -101,6 +129,9 @@ def test_windows_on_a_stream(spark, tmp_path):
     feed(source, "1.json", [{"ts": f"2024-01-01T0{h}:10:00Z", "k": "a"} for h in range(6)])
     stream = spark.readStream.schema("ts timestamp, k string").json(str(source))
     counted = events.windowed_counts(stream, "ts", "1 hour", None, "30 minutes", "k")
-    q = counted.writeStream.format("memory").queryName("windows").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cw")).start()
+    q = counted.writeStream.format("memory").queryName("windows").outputMode("update").trigger(availableNow=True).option(
+        "checkpointLocation",
+        str(tmp_path / "cw"),
+    ).start()
     q.awaitTermination()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == 6
