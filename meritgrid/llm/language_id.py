@@ -121,6 +121,10 @@ class LanguageModel:
     typical: np.ndarray = field(default_factory=lambda: np.zeros(0))
     curve: np.ndarray = field(default_factory=lambda: np.zeros(3))
     reject_below: float = 0.0
+    #: Shares of the calibration texts that the bound treats wrongly: own-language texts that it rejects, and texts
+    #: with their language taken away that it lets pass.
+    lost: float = 0.0
+    passed: float = 0.0
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "found"}
@@ -271,7 +275,10 @@ def train(samples: dict[str, list[str]]) -> LanguageModel:
     beta = logistic((x - mean) / scale, y, np.ones(len(x)))
     model.curve = np.array([beta[0] - (beta[1:] * mean / scale).sum(), *(beta[1:] / scale)])
     logits = model.curve[0] + good @ model.curve[1:]
-    model.reject_below = float(sigmoid(np.minimum(np.quantile(logits, 0.001) - SLACK, MOST_LOG_ODDS)))
+    bound = min(float(np.quantile(logits, 0.001)) - SLACK, MOST_LOG_ODDS)
+    model.reject_below = float(sigmoid(np.array(bound)))
+    model.lost = float((logits < bound).mean())
+    model.passed = float((model.curve[0] + bad @ model.curve[1:] >= bound).mean())
     return model
 
 

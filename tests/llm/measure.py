@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from meritgrid.llm import embedding_dedup
 from meritgrid.llm.best_fit_packing import CAPACITY
+from meritgrid.llm.language_id import fit
+from meritgrid.llm.quality_classifier import learnable
 from meritgrid.llm.queries import QUERIES
 
 
@@ -22,7 +24,8 @@ def language(spark: SparkSession, d: str) -> str:
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
     rows = QUERIES["op4_language_id"](spark, d).where("held_out").join(docs, "doc_id").where("lang is not null")
     right, n = rows.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count(F.lit(1))).first()
-    return f"held-out texts in their language: {right} of {n}"
+    model = fit(learnable(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang")))
+    return f"held-out texts in their language: {right} of {n}; of calibration texts rejected {model.lost:.4f} in their language, passed {model.passed:.4f} without it"
 
 
 def quality(spark: SparkSession, d: str) -> str:
