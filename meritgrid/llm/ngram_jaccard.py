@@ -22,8 +22,8 @@ Equal sets are one class with one representative. Only components are asked for,
 key links its representatives to the smallest, not to each other; in the second round only pairs in different
 components are left to compare, and all of them are. No link between components is lost, and a group of near
 copies is compared with its centre, not pair by pair. Keys of many documents that the first round left in different
-components are not joined: tiles of their documents are compared by bitmaps inside tasks, and only pairs that pass
-come out.
+components are not joined: tiles of their documents are compared on whole sets inside tasks, and a forest of the
+links comes out, no more rows than documents.
 
 Defined results: null and empty texts and those without words have an empty set and link with nothing; fewer
 words than `words` make one shingle; equal sets link; rows with one id and set are one; a null id links
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meritgrid.llm.arrowtext import mix64, slices, text_bytes, words
-from meritgrid.llm.components import components, cut
+from meritgrid.llm.components import components, cut, forest
 from meritgrid.llm.frames import modest_batches
 
 RARE = 16
@@ -53,8 +53,9 @@ COUNTED_AT_ONCE = 1 << 20
 #: Keys of up to so many documents are joined; larger ones are compared in tiles of so many.
 CROWD = 64
 TILE = 1024
-#: Bits unpacked at once on either side of a comparison.
-BITS_AT_ONCE = 4 << 20
+#: Shingles that more documents than this have on either side of a pair of tiles are counted by matrices, so many at
+#: once, the others by pairs, so many at once.
+OFTEN, COLUMNS_AT_ONCE, PAIRS_AT_ONCE = 32, 4096, 1 << 21
 #: At most so many ids are broadcast; more are shuffled.
 BROADCAST_ROWS = 500_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -280,63 +281,79 @@ def _by_sets(threshold: Fraction):
     return test
 
 
-def _unpacked(maps: list[bytes], size: int) -> np.ndarray:
-    """Bitmaps of one length as rows of floats, folded to `size` bits."""
-    bits = np.unpackbits(np.frombuffer(b"".join(maps), np.uint8)).reshape(len(maps), -1)
-    while bits.shape[1] > size:
-        bits = bits[:, 0::2] | bits[:, 1::2]
-    return bits.astype(np.float32)
-
-
-def _compared(a: list[tuple], b: list[tuple], inside: bool, threshold: Fraction) -> list[tuple[int, int]]:
-    """The pairs of documents (rep, n, label, bitmap), one of either side, of different labels that the sizes and the
-    bitmaps do not rule out. Sets that can link have bitmaps of one length, or one is twice the other's."""
-    found: list[tuple[int, int]] = []
-    by: list[dict[int, list[tuple]]] = [{}, {}]
-    for side, rows in zip(by, (a, b), strict=True):
-        for r in rows:
-            side.setdefault(8 * len(r[3]), []).append(r)
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of `a` shares with each of `b`. Shingles that many of the sets have are counted by
+    products of incidence matrices, a slice of them at a time, the others pair by pair."""
+    out = np.zeros((len(a), len(b)), np.int32)
+    values, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    sizes = [len(x) for x in a]
+    cut_at = sum(sizes)
+    rows_a, rows_b = np.repeat(np.arange(len(a)), sizes), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    in_a, in_b = at[:cut_at], at[cut_at:]
+    count_a, count_b = np.bincount(in_a, minlength=len(values)), np.bincount(in_b, minlength=len(values))
+    often = (count_a > OFTEN) & (count_b > OFTEN)
+    column = np.cumsum(often) - 1
+    keep_a, keep_b = often[in_a], often[in_b]
+    for start in range(0, int(often.sum()), COLUMNS_AT_ONCE):
+        left, right = (np.zeros((len(x), COLUMNS_AT_ONCE), np.float32) for x in (a, b))
+        for matrix, rows, places in ((left, rows_a[keep_a], column[in_a[keep_a]]), (right, rows_b[keep_b], column[in_b[keep_b]])):
+            inside = (places >= start) & (places < start + COLUMNS_AT_ONCE)
+            matrix[rows[inside], places[inside] - start] = 1
+        out += (left @ right.T).astype(np.int32)
+    rare = ~often & (count_a > 0) & (count_b > 0)
+    use_a, use_b = rare[in_a], rare[in_b]
+    order_b = np.argsort(in_b[use_b], kind="stable")
+    value_b, row_b = in_b[use_b][order_b], rows_b[use_b][order_b]
+    value_a, row_a = in_a[use_a], rows_a[use_a]
+    first = np.searchsorted(value_b, value_a)
+    many = count_b[value_a]
+    ends = np.cumsum(many)
+    start = 0
+    while start < len(many):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS_AT_ONCE, side="right")))
+        n = many[start:stop]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        pair = np.repeat(row_a[start:stop], n) * len(b) + row_b[np.repeat(first[start:stop], n) + within]
+        out += np.bincount(pair, minlength=out.size).reshape(out.shape).astype(np.int32)
+        start = stop
+    return out
+
+
+def _joined_tiles(a: list[tuple], b: list[tuple], inside: bool, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """The links between documents (rep, n, label, set), one of either side, of different labels, as a forest of the
+    same components: no more edges than documents, however many pairs link."""
+    common = _shared([r[3] for r in a], [r[3] for r in b]).astype(np.int64)
+    (rx, nx, cx), (ry, ny, cy) = ([np.array([r[k] for r in side], np.int64) for k in range(3)] for side in (a, b))
     t, s = threshold.numerator, threshold.numerator + threshold.denominator
-    for la, left in by[0].items():
-        for lb in (la // 2, la, 2 * la):
-            right, size = by[1].get(lb, []), min(la, lb)
-            step = max(1, BITS_AT_ONCE // max(la, lb, 8))
-            for i in range(0, len(left) if right else 0, step):
-                x = left[i : i + step]
-                bx, (rx, nx, cx) = _unpacked([r[3] for r in x], size), (np.array([r[k] for r in x], np.int64)[:, None] for k in range(3))
-                for j in range(0, len(right), step):
-                    y = right[j : j + step]
-                    by_, (ry, ny, cy) = _unpacked([r[3] for r in y], size), (np.array([r[k] for r in y], np.int64)[None, :] for k in range(3))
-                    both = (bx @ by_.T).astype(np.int64)
-                    x_only, y_only = bx.sum(axis=1).astype(np.int64)[:, None] - both, by_.sum(axis=1).astype(np.int64)[None, :] - both
-                    ok = np.minimum(nx - x_only, ny - y_only) * s >= t * (nx + ny)
-                    ok &= (cx != cy) & ((rx < ry) if inside else (rx != ry))
-                    for p, q in zip(*np.nonzero(ok), strict=True):
-                        u, v = int(rx[p, 0]), int(ry[0, q])
-                        found.append((min(u, v), max(u, v)))
-    return found
+    ok = (common * s >= t * (nx[:, None] + ny[None, :])) & (cx[:, None] != cy[None, :])
+    ok &= (rx[:, None] < ry[None, :]) if inside else (rx[:, None] != ry[None, :])
+    x, y = np.nonzero(ok)
+    return forest(rx[x], ry[y])
 
 
 def _crowds(threshold: Fraction):
-    """Rows (x, y) out of rows (key, i, j, side, rep, n, c, bits), sorted by all but the last four."""
+    """Rows (x, y), a forest of the links in each pair of tiles, out of rows (key, i, j, side, rep, n, c, shingles), sorted
+    by all but the last four."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
         sides: tuple[list, list] = ([], [])
 
         def done() -> pa.RecordBatch:
-            pairs: list[tuple[int, int]] = []
+            x, y = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if now is not None:
                 inside = now[1] == now[2]
-                pairs = _compared(sides[0], sides[0] if inside else sides[1], inside, threshold)
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["x", "y"])
+                right = sides[0] if inside else sides[1]
+                if sides[0] and right:
+                    y, x = _joined_tiles(sides[0], right, inside, threshold)
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
         for batch in batches:
-            for key, i, j, side, rep, n, c, bits in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            for key, i, j, side, rep, n, c, values in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 if (key, i, j) != now:
                     yield done()
                     now, sides = (key, i, j), ([], [])
-                sides[side].append((rep, n, c, bits))
+                sides[side].append((rep, n, c, np.frombuffer(values, np.uint64)))
         yield done()
 
     return run
@@ -364,16 +381,21 @@ def _joined(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     return out.select("x", "y", *(f"{side}_{c}" for c in columns for side in "xy"))
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n_words: int, threshold: Fraction) -> DataFrame:
-    """Those of the pairs (x, y) that link."""
-    likely = cut(_joined(pairs, reps, "n", "bits").mapInArrow(_kept(_by_bitmaps(threshold)), "x long, y long"), "likely")
-    ids = likely.select(F.col("x").alias("rep")).unionByName(likely.select(F.col("y").alias("rep"))).distinct()
-    wanted = cut(ids.join(reps.select("rep", "s1"), "rep"), "wanted")
+def _fetched(ids: DataFrame, reps: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
+    """(rep, sketch, shingles) of the representatives `ids` (rep), made of their texts."""
+    wanted = cut(ids.distinct().join(reps.select("rep", "s1"), "rep"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.withColumnRenamed("id", "rep").join(wanted, "rep").select("rep", "t", "s1")
     made = texts.mapInArrow(_whole_sets(n_words), "rep long, own long, s1 long, sketch binary, shingles binary").where("own = s1")
-    sets = cut(made.dropDuplicates(["rep"]).select("rep", "sketch", "shingles"), "sets")
+    return cut(made.dropDuplicates(["rep"]).select("rep", "sketch", "shingles"), "sets")
+
+
+def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n_words: int, threshold: Fraction) -> DataFrame:
+    """Those of the pairs (x, y) that link."""
+    likely = cut(_joined(pairs, reps, "n", "bits").mapInArrow(_kept(_by_bitmaps(threshold)), "x long, y long"), "likely")
+    ids = likely.select(F.col("x").alias("rep")).unionByName(likely.select(F.col("y").alias("rep")))
+    sets = _fetched(ids, reps, docs, n_words)
     close = cut(_joined(likely, sets, "sketch").mapInArrow(_kept(_by_sketches(threshold)), "x long, y long"), "close")
     return cut(_joined(close, sets, "shingles").mapInArrow(_kept(_by_sets(threshold)), "x long, y long"), "links")
 
@@ -431,11 +453,14 @@ def jaccard_components(docs: DataFrame, *, words: int, threshold: str | Fraction
         "n",
         "c",
     )
-    dealt = work.join(reps.select("rep", "bits"), "rep").select("key", "i", "j", "side", "rep", "n", "c", "bits").repartition("key", "i", "j")
-    crowded = dealt.sortWithinPartitions("key", "i", "j", "side", "rep").mapInArrow(_crowds(t), "x long, y long")
-    rest = rest.unionByName(crowded).distinct().join(star, ["x", "y"], "left_anti")
+    rest = rest.distinct().join(star, ["x", "y"], "left_anti")
+    crowds = links.limit(0)
+    if not many.isEmpty():
+        sets = _fetched(many.select("rep"), reps, plain, words).select("rep", "shingles")
+        dealt = work.join(sets, "rep").select("key", "i", "j", "side", "rep", "n", "c", "shingles").repartition("key", "i", "j")
+        crowds = cut(dealt.sortWithinPartitions("key", "i", "j", "side", "rep").mapInArrow(_crowds(t), "x long, y long"), "crowds")
     more = _linked(cut(rest, "rest"), reps, plain, words, t)
-    all_links = links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    all_links = links.unionByName(more).unionByName(crowds).select(F.col("x").alias("a"), F.col("y").alias("b"))
     final = components(all_links).toDF("rep", "c")
     named = reps.select("n", "s1", "s2", "rep").join(final, "rep", "left").select("n", "s1", "s2", F.coalesce("c", "rep").alias("component"))
     rows = plain.mapInArrow(_sets(words, t), "id long, n long, s1 long, s2 long")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from meritgrid.llm import ngram_jaccard
@@ -56,6 +57,24 @@ def test_against_brute_force(spark, k, percent, crowd, monkeypatch):
     assert sum(i != c for i, (_, c) in got.items()) > 10
 
 
+@pytest.mark.parametrize(("often", "columns", "pairs"), [(32, 4096, 1 << 21), (2, 3, 7), (0, 5, 1), (1000, 4, 2)])
+def test_shared_counts(monkeypatch, often, columns, pairs):
+    for name, value in (("OFTEN", often), ("COLUMNS_AT_ONCE", columns), ("PAIRS_AT_ONCE", pairs)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    rng = np.random.default_rng(4)
+    a, b = ([np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(n)] for n in (9, 14))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert ngram_jaccard._shared(a, b).tolist() == want
+
+
+def test_a_crowd_leaves_a_forest():
+    """Many sets that all link are no more edges than sets."""
+    base = np.arange(100, dtype=np.uint64)
+    rows = [(i, 100, i, np.append(base[1:], np.uint64(1000 + i))) for i in range(200)]
+    x, y = ngram_jaccard._joined_tiles(rows, rows, True, ngram_jaccard.Fraction("0.9"))
+    assert sorted(x.tolist()) == list(range(1, 200)) and set(y.tolist()) == {0}
+
+
 def test_awkward_rows(spark):
     rows = jaccard_components(table(spark), words=3, threshold="0.9").collect()
     assert len(rows) == len(awkward())
