@@ -132,6 +132,10 @@ class ByteBpe:
 
     def parts(self, text: str) -> Iterator[list[int]]:
         """The ids of a text of any length, some at a time."""
+        if len(text) <= IDS_AT_ONCE:
+            if text:
+                yield self.encode(text)
+            return
         known, whole, learn = self.memo.get, self.whole.get, self._learn
         ids: list[int] = []
         for match in self.pattern.finditer(text):
