@@ -11,6 +11,9 @@ import pyarrow.compute as pc
 #: Text handled at once inside a task; a single longer text is handled alone.
 SLICE_BYTES = 1 << 20
 
+#: Bytes of text whose words are found at once; a longer word is looked at whole.
+BLOCK_BYTES = 1 << 20
+
 #: Bytes that end a word: space, and tab to carriage return.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -77,11 +80,40 @@ def _grow(n: int) -> None:
         _powers, _inverses = np.multiply.accumulate(p), np.multiply.accumulate(q)
 
 
+def blocks(raw: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Spans of about `limit` bytes, one after the other, that end behind a space (or, if a word is longer, further on)."""
+    start = 0
+    while start < len(raw):
+        stop = min(start + limit, len(raw))
+        if stop < len(raw):
+            spaces = np.flatnonzero(SPACE[raw[start:stop]])
+            while not len(spaces) and stop < len(raw):
+                start_at, stop = stop, min(stop + limit, len(raw))
+                spaces = np.flatnonzero(SPACE[raw[start_at:stop]]) + (start_at - start)
+            stop = start + int(spaces[-1]) + 1 if len(spaces) else len(raw)
+        yield start, stop
+        start = stop
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of many texts, in order, and each text's first word as n + 1 offsets.
 
-    A word is a run of bytes other than space, tab to carriage return, inside one text.
+    A word is a run of bytes other than space, tab to carriage return, inside one text. Longer texts are read block
+    by block, so what a text takes is its bytes and eight a word.
     """
+    if len(raw) <= BLOCK_BYTES:
+        return _words(raw, offsets, lower)
+    hashes, first, before = [], np.zeros(len(offsets), np.int64), 0
+    for start, stop in blocks(raw):
+        own, at = _words(raw[start:stop], np.clip(offsets, start, stop) - start, lower)
+        hashes.append(own)
+        here = (offsets > start) & (offsets <= stop)
+        first[here] = before + at[here]
+        before += len(own)
+    return np.concatenate(hashes), first
+
+
+def _words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     if len(raw) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = ~SPACE[raw]

@@ -40,3 +40,22 @@ EMBEDDING_DEDUP = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBL
   r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT b, c FROM r JOIN l ON a = id),
   k AS (SELECT id, min(c) AS c FROM r GROUP BY id)
 SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN k ON id = vec_id"""
+
+FILTER_AUDIT = """WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+  marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+  f AS (SELECT part, coalesce(good, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS toxic,
+      CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+      || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 'C' ELSE '' END
+      || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+    FROM d LEFT JOIN marks USING (doc_id)),
+  g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+  letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+  o(p) AS (SELECT x FROM letters UNION ALL SELECT p || x FROM o JOIN letters ON NOT contains(p, x)),
+  steps AS (SELECT p AS filter_order, k AS step, left(p, k - 1) AS gone, substr(p, k, 1) AS x FROM o CROSS JOIN generate_series(1, 5) s(k) WHERE length(p) = 5),
+  c AS (SELECT part, filter_order, step, x,
+      coalesce(sum(n) FILTER (translate(fails, gone || x, '') = fails), 0) AS kept, coalesce(sum(n) FILTER (contains(fails, x) AND translate(fails, gone, '') = fails), 0) AS removed,
+      coalesce(sum(n) FILTER (contains(fails, x) AND translate(fails, gone, '') <> fails), 0) AS redundant, coalesce(sum(n) FILTER (fails = x), 0) AS unique_fails,
+      coalesce(sum(good) FILTER (contains(fails, x) AND translate(fails, gone, '') = fails), 0) AS good_lost, coalesce(sum(toxic) FILTER (contains(fails, x) AND translate(fails, gone, '') = fails), 0) AS toxic_lost
+    FROM g CROSS JOIN steps GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM c"""
