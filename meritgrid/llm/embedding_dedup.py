@@ -255,7 +255,7 @@ def near_duplicates(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD
 ) -> DataFrame:
     """One row per row: id, n_links, component_id, kept."""
-    v = F.col(vector_col).cast("array<double>")
+    v, label = F.col(vector_col).cast("array<double>"), F.col(label_col).cast("string")
     usable = (
         F.col(label_col).isNotNull()
         & (F.size(v) > 0)
@@ -264,7 +264,7 @@ def near_duplicates(
     )
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"),
-        F.when(usable, F.sha2(F.concat_ws("|", F.col(label_col).cast("string"), v.cast("array<string>")).cast("binary"), 256)).alias("same"),
+        F.when(usable, F.sha2(F.concat_ws("|", F.length(label), label, F.size(v), v.cast("array<string>")).cast("binary"), 256)).alias("same"),
         F.when(usable, F.xxhash64(F.col(label_col), F.size(v))).alias("group"),
         F.when(usable, v).alias("v"),
     )

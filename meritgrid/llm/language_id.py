@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,8 @@ SLACK = 1.0
 MOST_LOG_ODDS = -2.0
 #: Characters whose language is judged together when a text's fit is measured.
 RUN = 64
-SLICE_CHARS = 1 << 18
+#: Characters that are judged at once in up to so many languages, fewer in more: a longer text goes through in parts.
+SLICE_CHARS, FEW_LANGUAGES = 1 << 18, 16
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
 
@@ -76,8 +78,48 @@ def grams(texts: list[str]) -> Grams:
     letter = letters()[codes]
     kept = letter.copy()
     kept[1:] |= letter[:-1]
-    doc, codes = doc[kept], np.where(letter, codes, 32)[kept].astype(np.uint64)
-    first = np.searchsorted(doc, np.arange(len(texts)))
+    return _grams(doc[kept], np.where(letter, codes, 32)[kept].astype(np.uint64), len(texts))
+
+
+def _pieces(text: str, size: int) -> Iterator[str]:
+    """A long text in parts of about `size` characters that begin with a space where there is one."""
+    start = 0
+    while start < len(text):
+        stop = start + size
+        space = text.rfind(" ", start + 1, stop + 1) if stop < len(text) else -1
+        stop = space if space > start else stop
+        yield text[start:stop]
+        start = stop
+
+
+def _long_grams(text: str, size: int) -> Iterator[Grams]:
+    """The n-grams of one long text, as `grams` has them, some runs at a time: what is left of a run waits for the next
+    part, and the last characters of the part before stand in front."""
+    waiting, context, after_letter = np.zeros(0, np.uint64), np.zeros(0, np.uint64), False
+
+    def made(codes: np.ndarray) -> Grams:
+        g = _grams(np.zeros(len(context) + len(codes), np.int64), np.concatenate([context, codes]), 1)
+        n = len(context)
+        return Grams(g.doc[n:], [k[n:] for k in g.keys], [c[n:] for c in g.contexts])
+
+    for piece in chain(_pieces(text, size), [" "]):
+        codes = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = letters()[codes]
+        kept = letter.copy()
+        kept[1:] |= letter[:-1]
+        kept[0] |= after_letter
+        after_letter = bool(letter[-1])
+        waiting = np.concatenate([waiting, np.where(letter, codes, 32)[kept].astype(np.uint64)])
+        whole = len(waiting) // RUN * RUN
+        if whole:
+            yield made(waiting[:whole])
+            context, waiting = np.concatenate([context, waiting[:whole]])[1 - ORDER :], waiting[whole:]
+    if len(waiting):
+        yield made(waiting)
+
+
+def _grams(doc: np.ndarray, codes: np.ndarray, docs: int) -> Grams:
+    first = np.searchsorted(doc, np.arange(docs))
     place = np.arange(len(doc)) - first[doc]
     key, context = codes.copy(), np.zeros(len(codes), np.uint64)
     keys, contexts = [mix64(key + np.uint64(1))], [mix64(context)]
@@ -152,16 +194,26 @@ class LanguageModel:
     def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text the bits a character in each language and the characters counted; of each run of `RUN`
         characters the bits in each language and its text."""
-        g = grams(texts)
+        return self._cross_entropy(grams(texts), len(texts))
+
+    def _cross_entropy(self, g: Grams, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         p = self.log2_p(g, np.arange(len(g.doc)), ORDER)
-        n = np.bincount(g.doc, minlength=len(texts))
+        n = np.bincount(g.doc, minlength=docs)
         first, runs = np.cumsum(n) - n, -(-n // RUN)
         run = (np.arange(len(g.doc)) - first[g.doc]) // RUN + (np.cumsum(runs) - runs)[g.doc]
         bits = np.column_stack([-np.bincount(run, p[:, k], runs.sum()) for k in range(p.shape[1])])
-        of = np.repeat(np.arange(len(texts)), runs)
-        total = np.column_stack([np.bincount(of, bits[:, k], len(texts)) for k in range(p.shape[1])])
+        of = np.repeat(np.arange(docs), runs)
+        total = np.column_stack([np.bincount(of, bits[:, k], docs) for k in range(p.shape[1])])
         return total / np.maximum(n, 1)[:, None], n, bits, of
 
+    def _long(self, text: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of one long text the bits a character in each language, the characters counted and the fit."""
+        bits, best, n = np.zeros((1, len(self.languages))), 0.0, 0
+        for g in _long_grams(text, size):
+            h, m, runs, _ = self._cross_entropy(g, 1)
+            bits, best, n = bits + h * m[0], best + float(runs.min(axis=1).sum()), n + int(m[0])
+        return bits / max(n, 1), np.array([n]), np.array([best / max(n, 1)])
+
     def fits(self, n: np.ndarray, bits: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Bits a character if each run is in the language that suits it best: quotations in a second language
         do not make a text foreign."""
@@ -180,15 +232,19 @@ class LanguageModel:
         langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         if not self.languages:
             return langs, scores
-        start = 0
+        start, most = 0, max(4096, SLICE_CHARS * FEW_LANGUAGES // max(FEW_LANGUAGES, len(self.languages)))
         while start < len(texts):
             stop, size = start + 1, len(texts[start])
-            while stop < len(texts) and size + len(texts[stop]) < SLICE_CHARS:
+            while stop < len(texts) and size + len(texts[stop]) < most:
                 size += len(texts[stop])
                 stop += 1
-            h, n, bits, of = self.cross_entropy(texts[start:stop])
+            if size > most:
+                h, n, fit = self._long(texts[start], most)
+            else:
+                h, n, bits, of = self.cross_entropy(texts[start:stop])
+                fit = self.fits(n, bits, of)
             best = h.argmin(axis=1)
-            score = sigmoid(self.curve[0] + self.signs(h, n, self.fits(n, bits, of), best) @ self.curve[1:])
+            score = sigmoid(self.curve[0] + self.signs(h, n, fit, best) @ self.curve[1:])
             for i in np.flatnonzero(n):
                 langs[start + i], scores[start + i] = self.languages[best[i]], score[i]
             start = stop
@@ -294,7 +350,7 @@ def fit(
     max_docs: int = 6_400,
 ) -> LanguageModel:
     """Fit on a bounded sample; only ids travel until it is chosen, and of each language only those with hashes so
-    small that four times the sample is expected to have them. `max_docs` texts in all, of the `max_langs` languages
+    small that four times the sample is expected to have them. An id has one text (of several the least). `max_docs` texts in all, of the `max_langs` languages
     with the most documents, so the sample is bounded in a table with any number of languages, too."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     rows = rows.where(F.col("id").isNotNull() & F.col("l").isNotNull())
@@ -305,13 +361,13 @@ def fit(
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["l"], min(1.0, 4 * docs_per_lang / r["n"]))))
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     rows = rows.where((h < share[F.col("l")] * (1 << 40)) & F.octet_length("t").between(1, max_bytes))
-    chosen = rows.select("id", "l").withColumn("k", F.row_number().over(W.partitionBy("l").orderBy(h, "id"))).where(F.col("k") <= docs_per_lang)
+    chosen = rows.select("id", "l").distinct().withColumn("k", F.row_number().over(W.partitionBy("l").orderBy(h, "id"))).where(F.col("k") <= docs_per_lang)
     ids = [(r["id"], r["l"]) for r in chosen.collect()]
     if not ids:
         return LanguageModel([])
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("l", docs.schema[lang_col].dataType)])
     wanted = docs.sparkSession.createDataFrame(ids, schema)
-    texts = rows.join(F.broadcast(wanted), ["id", "l"]).collect()
+    texts = rows.join(F.broadcast(wanted), ["id", "l"]).groupBy("id", "l").agg(F.min("t").alias("t")).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(texts, key=lambda r: (str(r["l"]), str(r["id"]), r["t"])):
         samples.setdefault(str(r["l"]), []).append(r["t"])

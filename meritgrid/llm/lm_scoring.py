@@ -235,7 +235,7 @@ def backoff_scores(
     all_words = plain.select("t").mapInArrow(_word_counts, "n long").agg(F.sum("n")).first()[0] or 0
     size = group_bytes or max(GROUP_BYTES, int((GROUP_GROWTH * all_bytes) ** 0.5))
     groups = max(1, -(-all_bytes // size))
-    h = F.xxhash64("id", F.lit(3))
+    h = F.xxhash64("id", "t", F.lit(3))  # ids may be null, or the same in many rows
     own_group = -1 - h.bitwiseAND(F.lit(2**62 - 1))
     grp = F.when(F.octet_length("t") > size, own_group).otherwise(F.pmod(h, F.lit(groups))).alias("grp")
     chunks = plain.select("id", "t", grp).mapInArrow(_chunks, "grp long, docs binary").repartition("grp")

@@ -22,12 +22,12 @@ Equal sets are one class with one representative. Only components are asked for,
 key links its representatives to the smallest, not to each other; in the second round only pairs in different
 components are left to compare, and all of them are. No link between components is lost, and a group of near
 copies is compared with its centre, not pair by pair. Keys of many documents that the first round left in different
-components are not joined: tiles of their documents are compared on whole sets inside tasks, and a forest of the
-links comes out, no more rows than documents.
+components are not joined: of those with the same documents one is kept, tiles of its documents are compared on whole
+sets inside tasks, and a forest of the links comes out, no more rows than documents.
 
 Defined results: null and empty texts and those without words have an empty set and link with nothing; fewer
-words than `words` make one shingle; equal sets link; rows with one id and set are one; a null id links
-nothing and has no component; other columns are not read; an empty table gives an empty result.
+words than `words` make one shingle; equal sets link; rows with one id and set are one, rows with one id and
+different texts are documents of their own; a null id links nothing and has no component; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -64,22 +64,19 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 def shingles(batch: pa.RecordBatch, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each row, one after the other, and their n + 1 offsets."""
     hashes, first = words(*text_bytes(batch.column(batch.schema.get_field_index(text))))
-    rows = len(first) - 1
-    counts = np.diff(first)
-    many = np.maximum(counts - n + 1, np.minimum(counts, 1))
-    row = np.repeat(np.arange(rows), many)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[row]
-    value = np.full(len(row), n, np.uint64)
-    for k in range(n):
-        inside = at + k < first[row + 1]
-        term = hashes[np.minimum(at + k, max(len(hashes) - 1, 0))] if len(hashes) else np.zeros(len(at), np.uint64)
-        value += np.where(inside, mix64(term * _FACTORS[k % len(_FACTORS)] + np.uint64(k + 1)), np.uint64(0))
-    value = mix64(value)
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-    return value[new], np.searchsorted(row[new], np.arange(rows + 1))
+
+    def hashed(own: np.ndarray, size: int) -> np.ndarray:
+        value = np.full(max(len(own) - size + 1, 0), n, np.uint64)
+        for k in range(size):
+            value += mix64(own[k : k + len(value)] * _FACTORS[k % len(_FACTORS)] + np.uint64(k + 1))
+        return mix64(value)
+
+    value = hashed(hashes, n)
+    parts = []
+    for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        short = low < high < low + n
+        parts.append(np.unique(hashed(hashes[low:high], high - low) if short else value[low : max(high - n + 1, low)]))
+    return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.cumsum([0, *map(len, parts)])
 
 
 def missing(n: np.ndarray | int, threshold: Fraction):
@@ -180,14 +177,15 @@ def leading(values: np.ndarray, stop: int, level: np.ndarray) -> np.ndarray:
 
 
 def _sets(n_words: int, threshold: Fraction, level: np.ndarray | None = None):
-    """Rows (id, n, s1, s2): the size of the set and two hashes; with levels its prefix and bitmap as well."""
+    """Rows (id, th, n, s1, s2) of rows (id, t, th): the size of the set and two hashes; with levels its prefix and
+    bitmap as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "t")):
             values, first = shingles(batch, "t", n_words)
             size = np.diff(first)
-            columns = [batch.column(0), pa.array(size, pa.int64()), *(pa.array(s) for s in _sums(values, first))]
-            names = ["id", "n", "s1", "s2"]
+            columns = [batch.column(0), batch.column(2), pa.array(size, pa.int64()), *(pa.array(s) for s in _sums(values, first))]
+            names = ["id", "th", "n", "s1", "s2"]
             if level is not None:
                 prefixes, maps = [], []
                 for i, n in enumerate(size.tolist()):
@@ -383,10 +381,10 @@ def _joined(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
 
 def _fetched(ids: DataFrame, reps: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
     """(rep, sketch, shingles) of the representatives `ids` (rep), made of their texts."""
-    wanted = cut(ids.distinct().join(reps.select("rep", "s1"), "rep"), "wanted")
+    wanted = cut(ids.distinct().join(reps.select("rep", "s1", F.col("least.id").alias("id"), F.col("least.th").alias("th")), "rep"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = docs.withColumnRenamed("id", "rep").join(wanted, "rep").select("rep", "t", "s1")
+    texts = docs.join(wanted, ["id", "th"]).select("rep", "t", "s1")
     made = texts.mapInArrow(_whole_sets(n_words), "rep long, own long, s1 long, sketch binary, shingles binary").where("own = s1")
     return cut(made.dropDuplicates(["rep"]).select("rep", "sketch", "shingles"), "sets")
 
@@ -400,18 +398,22 @@ def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n_words: int, th
     return cut(_joined(close, sets, "shingles").mapInArrow(_kept(_by_sets(threshold)), "x long, y long"), "links")
 
 
-def jaccard_components(docs: DataFrame, *, words: int, threshold: str | Fraction, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, n_shingles, component_id (the smallest id reachable by links)."""
+def jaccard_groups(docs: DataFrame, *, words: int, threshold: str | Fraction, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: id, th (a hash of the text), n_shingles, and best, the smallest (id, th) reachable by
+    links, null for a row that has no words or no id.
+
+    Equal sets are a class. A class has a number of its own, as an id may have several texts; its smallest (id, th) says
+    where its text is found."""
     t = Fraction(threshold)
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("th"))
     texts = plain.where("id is not null and t <> ''")
-    found = texts.mapInArrow(_sets(words, t, commonness(texts, words)), "id long, n long, s1 long, s2 long, prefix array<long>, bits binary")
+    found = texts.mapInArrow(_sets(words, t, commonness(texts, words)), "id long, th long, n long, s1 long, s2 long, prefix array<long>, bits binary")
     reps = cut(
         found.where("n > 0").groupBy("n", "s1", "s2").agg(
-            F.min("id").alias("rep"),
+            F.min(F.struct("id", "th")).alias("least"),
             F.first("prefix").alias("prefix"),
             F.first("bits").alias("bits"),
-        ), "reps"
+        ).withColumn("rep", F.monotonically_increasing_id()), "reps"
     )
 
     tokens = reps.select("rep", F.explode("prefix").alias("token"))
@@ -442,7 +444,10 @@ def jaccard_components(docs: DataFrame, *, words: int, threshold: str | Fraction
     on = (a["key"] == b["key"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near_size(F.col("nx"), F.col("ny"))
     rest = a.join(b, on).select("x", "y")
     tiles = F.ceil(F.col("m") / F.lit(TILE)).cast("int")
-    many = open_.where(F.col("m") > CROWD).withColumn("own", F.pmod(F.xxhash64("rep"), tiles).cast("int"))
+    crowded = open_.where(F.col("m") > CROWD)
+    members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    different = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("k"), *members).groupBy("k", "x0", "x1").agg(F.min("key").alias("key"))
+    many = crowded.join(different.select("key"), "key", "left_semi").withColumn("own", F.pmod(F.xxhash64("rep"), tiles).cast("int"))
     many = many.select("key", "rep", "n", "c", "own", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
     work = many.select(
         "key",
@@ -461,17 +466,22 @@ def jaccard_components(docs: DataFrame, *, words: int, threshold: str | Fraction
         crowds = cut(dealt.sortWithinPartitions("key", "i", "j", "side", "rep").mapInArrow(_crowds(t), "x long, y long"), "crowds")
     more = _linked(cut(rest, "rest"), reps, plain, words, t)
     all_links = links.unionByName(more).unionByName(crowds).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    final = components(all_links).toDF("rep", "c")
-    named = reps.select("n", "s1", "s2", "rep").join(final, "rep", "left").select("n", "s1", "s2", F.coalesce("c", "rep").alias("component"))
-    rows = plain.mapInArrow(_sets(words, t), "id long, n long, s1 long, s2 long")
+    final = cut(reps.select("rep", "least").join(components(all_links).toDF("rep", "c"), "rep"), "components")
+    smallest = final.groupBy("c").agg(F.min("least").alias("best"))
+    joined = final.select("rep", "c").join(smallest, "c").select("rep", "best")
+    named = reps.select("n", "s1", "s2", "rep", "least").join(joined, "rep", "left").select("n", "s1", "s2", F.coalesce("best", "least").alias("best"))
+    rows = plain.mapInArrow(_sets(words, t), "id long, th long, n long, s1 long, s2 long")
     return rows.join(named, ["n", "s1", "s2"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(
-            F.col("id").isNotNull(),
-            F.coalesce("component", "id"),
-        ).alias("component_id")
+        F.col("id").alias(id_col), "th", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("best")).alias("best")
     )
 
 
+def jaccard_components(docs: DataFrame, *, words: int, threshold: str | Fraction, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: id, n_shingles, component_id (the smallest id reachable by links)."""
+    groups = jaccard_groups(docs, words=words, threshold=threshold, id_col=id_col, text_col=text_col)
+    return groups.select(id_col, "n_shingles", F.coalesce("best.id", id_col).alias("component_id"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     modest_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -479,8 +489,9 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id; columns as they came."""
+    """One document of each group of near copies stays, that with the smallest id (of one id's texts that with the
+    smallest hash); rows with the same id and text stay or go together; columns as they came."""
     modest_batches(spark)
-    groups = jaccard_components(docs, words=5, threshold="0.8")
-    goes = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    groups = jaccard_groups(docs, words=5, threshold="0.8")
+    goes = groups.where((F.col("doc_id") != F.col("best.id")) | (F.col("th") != F.col("best.th"))).select(F.col("doc_id").alias("i"), F.col("th").alias("h")).distinct()
+    return docs.join(goes, (F.col("doc_id") == F.col("i")) & (F.xxhash64("text") == F.col("h")), "left_anti").select(*docs.columns)

@@ -135,7 +135,8 @@ def fit(
     docs_per_class: int = 1500,
     max_bytes: int = 65_536,
 ) -> QualityModel:
-    """Fit on a bounded sample of the labelled rows: `docs_per_class` ids of either class travel, no more."""
+    """Fit on a bounded sample of the labelled rows: `docs_per_class` ids of either class travel, with one text each of
+    `max_bytes` at most (of an id's several texts the least)."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")
     )
@@ -156,6 +157,8 @@ def fit(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
         .where(F.col("t").isNotNull() & (F.octet_length("t") > 0) & (F.octet_length("t") <= max_bytes))
         .join(F.broadcast(chosen), "id")
+        .groupBy("id", "y")
+        .agg(F.min("t").alias("t"))
         .collect()
     )
     rows.sort(key=lambda r: (r["y"], str(r["id"]), r["t"]))

@@ -184,3 +184,29 @@ def test_language_awkward_rows(spark):
     assert kept.columns == table(spark).columns and 1 in [r["doc_id"] for r in kept.collect()]
     assert lang.language_stage(spark, empty(spark), "").count() == 0
     assert lang.LanguageModel([]).predict(["words"]) [0] == ["und"]
+
+
+def test_language_of_a_long_text_goes_through_in_parts(monkeypatch):
+    model = lang.train(bilingual())
+    texts = [prose(k, 900, FRENCH) + " 12, 34! " * k + prose(k, 300) for k in range(4)] + ["1234 " * 900, "Σ" * 5000, "x" * 4500, " " * 5000 + "la maison"]
+    whole = [model.cross_entropy([t]) for t in texts]
+    fits = [model.fits(n, bits, of) for _, n, bits, of in whole]
+    for size in (64, 257, 4096):
+        for t, (h, n, _, _), fit in zip(texts, whole, fits, strict=True):
+            own, m, own_fit = model._long(t, size)
+            assert m == n and np.allclose(own, h, atol=1e-6) and np.allclose(own_fit, fit, atol=1e-6)
+    want = model.predict(texts)
+    monkeypatch.setattr(lang, "SLICE_CHARS", 100)
+    got = model.predict(texts)
+    assert got[0] == want[0] and np.allclose(got[1], want[1], atol=1e-6)
+
+
+def test_an_id_of_many_rows_gives_one_text_to_either_sample(spark, monkeypatch):
+    rows = [(7, prose(1, 30), "en")] * 300 + [(i, prose(i, 30, FRENCH), "fr") for i in range(20, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(lang, "train", lambda samples: seen.update(samples))
+    lang.fit(docs)
+    assert {k: len(v) for k, v in seen.items()} == {"en": 1, "fr": 20}
+    labels = spark.createDataFrame([(7, 1), *((i, 0) for i in range(20, 40))], "doc_id long, quality int")
+    assert quality.fit(docs, labels).constant == pytest.approx(1 / 21)

@@ -72,3 +72,10 @@ def test_awkward_rows(spark):
     assert all(by[i] == (0, i, True) for i in (1, 2, 3, 4, 5, 6, 7, 10, 12))
     assert by[8] == (3, 8, True) and by[9] == (3, 8, False) and by[11] == (3, 8, False)
     assert e.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_labels_and_components_do_not_run_together(spark):
+    rows = [(1, [1.0, 2.0], "x"), (2, [2.0], "x|1.0"), (3, [1.0, 2.0], "x"), (4, [2.0], "x|1.0|2"), (5, [1.0, 2.0, 2.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in e.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4), 5: (0, 5)}

@@ -74,3 +74,11 @@ def test_awkward_rows(spark):
     assert len(rows) == len(awkward())
     assert all(r["n_words"] or (r["total"], r["score"]) == (0, 0) for r in rows)
     assert backoff_scores(empty(spark)).count() == 0
+
+
+def test_rows_without_an_id_are_spread_over_groups(spark):
+    rows = [(None, prose(i, 200)) for i in range(60)] + [(1, prose(i, 200)) for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = backoff_scores(docs, group_bytes=8000).collect()
+    want = backoff_scores(docs).collect()
+    assert sorted((r["id"] or 0, r["n_words"], round(r["total"], 6)) for r in got) == sorted((r["id"] or 0, r["n_words"], round(r["total"], 6)) for r in want)

@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from meritgrid.llm import ngram_jaccard
-from meritgrid.llm.ngram_jaccard import jaccard_components, jaccard_stage
+from meritgrid.llm.ngram_jaccard import jaccard_components, jaccard_stage, shingles
 from tests.llm.cases import awkward, empty, prose, table
 
 
@@ -89,3 +90,35 @@ def test_awkward_rows(spark):
 
 def test_empty(spark):
     assert jaccard_components(empty(spark), words=3, threshold="0.9").count() == 0
+
+
+def test_texts_with_one_id_are_documents_of_their_own(spark):
+    base = {k: [f"{k}{i}" for i in range(40)] for k in "ab"}
+    a, b = (" ".join(base[k]) for k in "ab")
+    rows = [(8, a), (8, b), (9, a + " zz"), (10, b + " yy"), (11, "something else")]
+    for n in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard_components(docs, words=3, threshold="0.9").collect()}
+        assert got == {(8, 38): 8, (9, 39): 8, (10, 39): 8, (11, 1): 11}
+
+
+def test_stage_removes_by_id_and_text(spark):
+    text, own = prose(1, 60), prose(2, 60)
+    rows = [(1, text), (20, text), (20, own), (21, None), (None, text), (22, own), (1, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r[0] or 0, r[1] or "") for r in jaccard_stage(spark, docs, "").collect()))
+    assert got == sorted([(1, text), (1, text), (20, own), (21, ""), (0, text)])
+
+
+def test_shingles_are_those_of_each_text(spark):
+    texts = [prose(i, i) for i in range(12)] + [None, "", "a b", "A b a b a b a b"]
+    values, first = shingles(pa.record_batch({"t": pa.array(texts, pa.string())}), "t", 3)
+    seen: dict[tuple[str, ...], int] = {}
+    for t, x, y in zip(texts, first[:-1], first[1:], strict=True):
+        w = (t or "").lower().split()
+        want = {tuple(w[i : i + 3]) for i in range(max(len(w) - 2, 1))} if w else set()
+        assert len(want) == y - x
+        for v in values[x:y].tolist():
+            seen.setdefault(v, 0)
+    every = {tuple(w[i : i + 3]) for t in texts if (w := (t or "").lower().split()) for i in range(max(len(w) - 2, 1))}
+    assert len(seen) == len(every)
