@@ -14,7 +14,7 @@ A reader takes the end of a file, its table, its index, and those frames that ho
 is read is checked. Files carry no position, `_manifest` (Parquet) lists them with their numbers of documents and ids,
 the ids before them and their least and greatest document.
 
-Words are encoded once a worker and looked up from then on, where the vocabulary's pieces hold no white space
+Words are encoded by the library once a worker and looked up from then on, where the vocabulary's pieces hold no white space
 (`by_word`): then the ids of a text are those of its words, one after the other. Very long texts go through in blocks.
 
 Ranges are quantiles of the ids. An id that many rows have, or the lack of one, takes several ranges and its rows are
@@ -30,9 +30,12 @@ are not read; an empty table gives a manifest without files.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -61,29 +64,59 @@ MOST_TOKENIZER_BYTES = 64 << 20
 MOST_MEMOS = 500_000
 #: A longer word is cut where no piece can go on, and is not memoised.
 LONG_WORD = 1 << 12
-#: Words that are encoded in one go, apart by a character that is in none of them.
-WORDS_AT_ONCE = 8192
 #: Below this byte in UTF-8 there are no characters that combine with others, so A-Z may be lowered first.
 _COMBINING = 0xCC
-_GAP = "\0"
+#: Printing ASCII and the letters from U+00C0 to U+02FF.
+_PLAIN = re.compile(rb"[\x21-\x7e\xc3-\xcb\x80-\xbf]+")
 #: Fixed values of the seekable format.
 _SKIPPABLE, _SEEKABLE, _HAS_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 _ENTRY = np.dtype([("compressed", "<u4"), ("size", "<u4"), ("checksum", "<u4")])
 _MANIFEST = "file string, range long, part long, n_docs long, n_ids long, bytes long, least long, most long"
 
 
-class WordEncoder:
-    """Ids of texts by a tokenizer's file, without special tokens."""
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if _NATIVE else np.array(ids, "<u4").tobytes()
+
+
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else one from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in prints else next(others)) for b in range(256)]
+
+
+class WordEncoder(dict):
+    """Ids of texts by a tokenizer's file, without special tokens; a memo from words to the bytes of their ids.
+
+    A word that is not known goes through the library whole. Where the file has the usual steps (compose, fold white
+    space, lower, split by a pattern, bytes as characters), words of printing ASCII and letters below U+0300, which
+    composing leaves as they are, are lowered and split here, and the library's model gets the pieces."""
 
     def __init__(self, content: bytes, by_word: bool):
+        super().__init__()
         self.tokenizer = Tokenizer.from_buffer(content)
         self.tokenizer.encode_special_tokens = True
         self.by_word = by_word
-        self.memo: dict[bytes, bytes] = {}
-        self.lowers = self._whole("AbC É") == self._whole("abc É")
-        self.gap = np.frombuffer(self._whole(_GAP), np.uint32)
-        if by_word and (self._whole("a b\t\nc.") != self._whole("a") + self._whole("b") + self._whole("c.") or len(self.gap) != 1):
+        if by_word and self._whole("a b\t\nc.") != self._whole("a") + self._whole("b") + self._whole("c."):
             raise ValueError("the tokenizer's pieces hold white space, so texts cannot be encoded by words")
+        self.lowers = self._whole("AbC É") == self._whole("abc É")
+        self.pieces = self._pattern(json.loads(content))
+        self.model = self.tokenizer.model
+        self.table = dict(enumerate(_byte_characters()))
+
+    @staticmethod
+    def _pattern(steps: dict) -> regex.Pattern | None:
+        """What finds a lowered word's pieces, if the file has the steps that are done here."""
+        normal = (steps.get("normalizer") or {}).get("normalizers", [])
+        before = (steps.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        split = {"type": "Split", "behavior": "Removed", "invert": True}
+        level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        if [n["type"] for n in normal] != ["NFC", "Replace", "Lowercase"] or normal[1]["pattern"] != {"Regex": r"\s+"} or len(before) != 2:
+            return None
+        if not split.items() <= before[0].items() or not level.items() <= before[1].items() or steps["model"]["type"] != "BPE":
+            return None
+        return regex.compile(before[0]["pattern"]["Regex"]) if "Regex" in before[0]["pattern"] else None
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32).tobytes()
@@ -98,39 +131,31 @@ class WordEncoder:
                 cuts.append(last)
         return b"".join(self._whole(text[a:b]) for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True))
 
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of distinct words; short ones go through the library together."""
-        odd = [w for w in new if len(w) > LONG_WORD or b"\0" in w]
-        out = {w: self._long(w) for w in odd}
-        plain = [w for w in new if w not in out] if odd else new
-        gap = f" {_GAP} ".encode()
-        for start in range(0, len(plain), WORDS_AT_ONCE):
-            some = plain[start : start + WORDS_AT_ONCE]
-            raw = self._whole(gap.join([*some, b""]).decode())
-            ends = np.flatnonzero(np.frombuffer(raw, np.uint32) == self.gap[0]).tolist()
-            for w, a, b in zip(some, [-1, *ends], ends, strict=False):
-                out[w] = raw[4 * a + 4 : 4 * b]
-        return out
+    def __missing__(self, word: bytes) -> bytes:
+        if len(word) > LONG_WORD:
+            return self._long(word)
+        if self.pieces is None or not _PLAIN.fullmatch(word):
+            ids = self._whole(word.decode())
+        else:
+            text = word.decode().lower()
+            found = [text] if text.isalpha() else self.pieces.findall(text)
+            ids = b"".join([_packed([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.table))]) for p in found])
+        self[word] = ids
+        return ids
 
     def encode(self, raw: np.ndarray) -> bytes:
         """The ids of one text of UTF-8, as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return self._whole(raw.tobytes().decode())
-        parts = []
+        parts, find = [], self.__getitem__
         for start, stop in blocks(raw):
             piece = raw[start:stop]
             text = piece.tobytes()
             if self.lowers and len(piece) and piece.max() < _COMBINING:
                 text = text.lower()
-            own = text.split()
-            found = list(map(self.memo.get, own))
-            if None in found:
-                more = self._learn(list({w for w, f in zip(own, found, strict=True) if f is None}))
-                found = [more[w] if f is None else f for w, f in zip(own, found, strict=True)]
-                if len(self.memo) >= MOST_MEMOS:
-                    self.memo.clear()
-                self.memo.update((w, i) for w, i in more.items() if len(w) <= LONG_WORD)
-            parts += found
+            parts.append(b"".join(map(find, text.split())))
+            if len(self) >= MOST_MEMOS:
+                self.clear()
         return b"".join(parts)
 
 
