@@ -1,20 +1,20 @@
 """Who is who: keys, names, organisations, fuzzy links, merges, contradictions and co-author cohorts.
 
-Candidates for a comparison share a key and comparisons run where such rows meet; only fuzzy links compare all
-with all, in blocks, as any two names can be near.
+Candidates for a comparison share a key and comparisons run where such rows meet; names that are near share a piece.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meritgrid.functions.positions import settled
+from meritgrid.operators.closeness import HALF, best_ratio, close_pairs, closest_names, masks, most_common, prepared
 from meritgrid.operators.integrity import jaccard
 
 # Weights and thresholds of the links, word lists and abbreviations.
@@ -77,30 +77,6 @@ def first_email(affiliations: Column) -> Column:
     return F.get(F.filter(F.transform(affiliations, lambda a: F.regexp_extract(a, pattern, 0)), lambda e: e != ""), F.lit(0))
 
 
-def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of the table at a time in an integer's bits."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & places.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
-@F.pandas_udf(T.DoubleType())
-def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2 LCS / (length of both), as a whole percentage over 100."""
-    out = np.zeros(len(a))
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        if x is not None and y is not None:
-            total = len(x) + len(y)
-            out[i] = round(200.0 * _lcs(x, y) / total) / 100.0 if total else 1.0
-    return pd.Series(out)
-
-
 def resolve_strong_keys(records: DataFrame, registry: DataFrame) -> DataFrame:
     """`records` (id, orcid, era) with the `uuid` and `matched_by` of the registry (key_type, key_value, uuid),
     ORCID before eRA; other key types are not looked at."""
@@ -160,189 +136,125 @@ def link_action(confidence: Column, auto: float = AUTO_LINK, review: float = REV
     return F.when(confidence >= auto, "auto-link").when(confidence >= review, "review").otherwise("reject")
 
 
-def name_words(names: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(names, lambda n: F.filter(F.split(F.lower(n), r"[\s,.]+"), lambda w: F.length(w) > 1))))
-
-
-#: Rows of artifacts and candidates that one task compares, and names longer than fit a row of bits or a matrix.
-LINK_BLOCK, CANDIDATE_BLOCK = 512, 4096
-LONGEST_BITS, LONGEST_COLUMNS = 63, 200
-
-
-class _Names:
-    """Names of candidates as a matrix of character numbers, so that one name is compared with all at once."""
-
-    def __init__(self, names: list[list[str]]):
-        flat = [(i, n) for i, own in enumerate(names) for n in own if n is not None]
-        self.rows = len(names)
-        self.wide = [(i, n) for i, n in flat if len(n) > LONGEST_COLUMNS]
-        narrow = [(i, n) for i, n in flat if len(n) <= LONGEST_COLUMNS]
-        self.texts = [n for _, n in narrow]
-        self.owner = np.array([i for i, _ in narrow], np.int64)
-        self.sizes = np.array([len(n) for n in self.texts], np.int64)
-        self.number = {c: k for k, c in enumerate(sorted(set("".join(self.texts))))}
-        blank = len(self.number)
-        self.codes = np.full((int(self.sizes.max(initial=0)), len(narrow)), blank, np.int32)
-        for k, n in enumerate(self.texts):
-            self.codes[: len(n), k] = [self.number[c] for c in n]
-
-    def ratios(self, name: str) -> np.ndarray:
-        """The best `name_ratio` of `name` with the names of each candidate."""
-        out = np.zeros(self.rows)
-        if len(name) > LONGEST_BITS:
-            common = np.array([_lcs(name, n) for n in self.texts], np.int64)
-        else:
-            places = np.zeros(len(self.number) + 1, np.uint64)
-            for i, c in enumerate(name):
-                if c in self.number:
-                    places[self.number[c]] |= np.uint64(1 << i)
-            full = np.uint64((1 << len(name)) - 1)
-            row = np.full(len(self.texts), full)
-            for column in self.codes:
-                hit = row & places[column]
-                row = ((row + hit) | (row - hit)) & full
-            common = len(name) - np.bitwise_count(row).astype(np.int64)
-        total = self.sizes + len(name)
-        np.maximum.at(out, self.owner, np.where(total > 0, np.rint(200.0 * common / np.maximum(total, 1)) / 100.0, 1.0))
-        for i, n in self.wide:
-            out[i] = max(out[i], round(200.0 * _lcs(name, n) / (len(name) + len(n))) / 100.0)
-        return out
-
-
-def _index(sets: list[list[str]]) -> dict[str, list[int]]:
-    out: dict[str, list[int]] = {}
-    for i, own in enumerate(sets):
-        for x in own:
-            out.setdefault(x, []).append(i)
-    return out
-
-
-def _overlap(own: list[str], index: dict[str, list[int]], sizes: np.ndarray) -> np.ndarray:
-    shared = np.zeros(len(sizes))
-    for x in own:
-        shared[index.get(x, [])] += 1
-    return shared / np.maximum(len(own) + sizes - shared, 1)
-
-
-def _best_of_block(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-    """The best candidates of a block for each artifact of a block, one of each combination of features."""
-    rows: list[tuple] = []
-    if len(a) and len(c):
-        c = c.sort_values("uuid", ignore_index=True)
-        names, by_ror = _Names(list(map(list, c["names"]))), _index(list(map(list, c["rors"])))
-        c_names, c_terms = ([[x for x in own if x is not None] for own in c[k]] for k in ("name_set", "term_set"))
-        by_name, by_term, by_word = _index(c_names), _index(c_terms), _index(list(map(list, c["words"])))
-        n_names, n_terms = np.array(list(map(len, c_names))), np.array(list(map(len, c_terms)))
-        first, last = c["first_year"].to_numpy(float), c["last_year"].to_numpy(float)
-        w = LINK_WEIGHTS
-        for r in a.itertuples(index=False):
-            ratio = np.zeros(len(c))
-            for name in r.names:
-                if name is not None:
-                    ratio = np.maximum(ratio, names.ratios(name))
-            place = np.zeros(len(c))
-            if r.ror_id is not None:
-                place[by_ror.get(r.parent_ror_id, [])] = 0.5
-                place[by_ror.get(r.ror_id, [])] = 1.0
-            away = np.minimum(np.abs(r.year - first), np.abs(r.year - last))
-            time = np.where((r.year >= first) & (r.year <= last), 1.0, np.maximum(0.0, 1.0 - away / 20.0))
-            time = np.where(np.isnan(first + last + r.year), 0.5, time)
-            people, terms = _overlap(r.people, by_name, n_names), _overlap(r.term_set, by_term, n_terms)
-            has_people, has_terms = float(r.has_people), (bool(r.has_terms) & c["has_terms"].to_numpy(bool)).astype(float)
-            total = w["name"] + w["affiliation"] + w["time"] + w["coauthor"] * has_people + w["mesh"] * has_terms
-            score = (
-                w["name"] * ratio + w["affiliation"] * place + w["coauthor"] * has_people * people + w["mesh"] * has_terms * terms + w["time"] * time
-            ) / total
-            if score.max() < REVIEW - 1e-9:
-                kin = [k for x in r.words for k in by_word.get(x, [])] + by_ror.get(r.ror_id, []) + by_ror.get(r.parent_ror_id, [])
-                score[np.setdiff1d(np.arange(len(c)), kin)] = -1.0
-            seen = set()
-            for k in np.flatnonzero((score >= score.max() - 1e-9) & (score >= 0)):
-                what = (ratio[k], place[k], people[k], terms[k], time[k], has_terms[k])
-                if what not in seen:
-                    seen.add(what)
-                    rows.append((r.artifact_id, c["uuid"][k], ratio[k]))
-    return pd.DataFrame(rows, columns=["artifact_id", "uuid", "f_name"])
+#: Ratios of names at which candidates are looked for; a pair that shares nothing but a name needs the last of them.
+LINK_ROUNDS = (0.93, 0.85, 0.78, 0.72)
+#: Similarity of terms from which a pair can be a link with a ratio of names below all rounds.
+CLOSE_TERMS = 0.5
 
 
-def link(artifacts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The best candidate of each artifact: artifact_id, uuid (null if rejected), confidence, action, features.
+def _with_masks(names: Column) -> Column:
+    return F.transform(names, lambda n: F.struct(n.alias("name"), F.length(n).alias("n"), masks(n).alias("m")))
 
-    `artifacts`: artifact_id, names, ror_id, parent_ror_id, coauthors, terms, year; `candidates`: uuid, names,
-    rors, terms, first_year, last_year. Every artifact is compared with every candidate, block by block, as names
-    without a common word can match and frequent words make no block selective; a task takes two blocks of bounded
-    size and only the best of each artifact leaves it, so pairs are never rows. Below the review threshold a
-    confidence is that of the best candidate with a common name word or organisation, 0 if there is none.
-    """
-    texts = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    lower = lambda c: F.array_distinct(F.transform(texts(c), F.lower))
-    across, down = _blocks(artifacts, LINK_BLOCK), _blocks(candidates, CANDIDATE_BLOCK)
-    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
 
-    left = artifacts.select(
-        "artifact_id",
-        F.transform(texts(F.col("names")), F.lower).alias("names"),
-        texts(name_words(F.col("names"))).alias("words"),
-        "ror_id",
-        "parent_ror_id",
-        lower(F.col("coauthors")).alias("people"),
-        lower(F.col("terms")).alias("term_set"),
-        some("coauthors").alias("has_people"),
-        some("terms").alias("has_terms"),
-        F.coalesce(F.col("year").cast("double"), F.lit(float("nan"))).alias("year"),
-    )
-    right = candidates.select(
-        "uuid",
-        F.transform(texts(F.col("names")), F.lower).alias("names"),
-        texts(name_words(F.col("names"))).alias("words"),
-        F.array_distinct(F.array_compact(texts(F.col("rors")))).alias("rors"),
-        lower(F.col("names")).alias("name_set"),
-        lower(F.col("terms")).alias("term_set"),
-        some("terms").alias("has_terms"),
-        F.col("first_year").cast("double").alias("first_year"),
-        F.col("last_year").cast("double").alias("last_year"),
-    )
-    schema = T.StructType(
-        [
-            T.StructField("artifact_id", artifacts.schema["artifact_id"].dataType),
-            T.StructField("uuid", candidates.schema["uuid"].dataType),
-            T.StructField("f_name", T.DoubleType()),
-        ]
-    )
-    pairs = in_blocks(
-        left,
-        "artifact_id",
-        "_i",
-        across,
-        "_j",
-        down,
-    ).groupBy("_i", "_j").cogroup(in_blocks(right, "uuid", "_j", down, "_i", across).groupBy("_i", "_j")).applyInPandas(_best_of_block, schema)
-    c = candidates.select("uuid", F.col("names").alias("c_names"), "rors", F.col("terms").alias("c_terms"), "first_year", "last_year")
-    both = pairs.join(artifacts, "artifact_id").join(c, "uuid")
+def _able(a: Column, c: Column) -> Column:
+    """No ratio of two lists of names with masks is higher."""
+
+    def ratio(x: Column, y: Column) -> Column:
+        total = x["n"] + y["n"]
+        most = F.greatest(most_common(x["n"], x["m"], y["n"], y["m"]), F.lit(0))
+        return F.when(total > 0, 2 * most / total + HALF).otherwise(F.lit(1.0))
+
+    return F.coalesce(F.array_max(F.transform(a, lambda x: F.array_max(F.transform(c, lambda y: ratio(x, y))))), F.lit(0.0))
+
+
+def _links(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The best candidate of each artifact among pairs (artifact_id, uuid), where it is a link: artifact_id, uuid,
+    confidence and features. A ratio of names is measured only where its bound would make a link."""
+    both = pairs.join(left, "artifact_id").join(right, "uuid")
     features = both.select(
         "artifact_id",
         "uuid",
-        "f_name",
+        "names",
+        "c_names",
+        _able(F.col("names"), F.col("c_names")).alias("able"),
         affiliation_similarity(F.col("ror_id"), F.col("parent_ror_id"), F.col("rors")).alias("f_affiliation"),
-        jaccard(lower(F.col("coauthors")), lower(F.col("c_names"))).alias("f_coauthor"),
-        jaccard(lower(F.col("terms")), lower(F.col("c_terms"))).alias("f_mesh"),
+        jaccard(F.col("people"), F.col("name_set")).alias("f_coauthor"),
+        jaccard(F.col("term_set"), F.col("c_terms")).alias("f_mesh"),
         time_continuity(F.col("year"), F.col("first_year"), F.col("last_year")).alias("f_time"),
-        (F.coalesce(F.size("coauthors"), F.lit(0)) > 0).alias("_co"),
-        ((F.coalesce(F.size("terms"), F.lit(0)) > 0) & (F.coalesce(F.size("c_terms"), F.lit(0)) > 0)).alias("_me"),
-    )
-    score = link_confidence({k: F.col(f"f_{k}") for k in LINK_WEIGHTS}, F.col("_co"), F.col("_me"))
-    ranked = features.withColumn("confidence", score)
-    best = ranked.groupBy("artifact_id").agg(
-        F.min(F.struct((-F.col("confidence")).alias("d"), "uuid", "confidence", *(f"f_{k}" for k in LINK_WEIGHTS))).alias("m")
+        (F.size("people") > 0).alias("_co"),
+        ((F.size("term_set") > 0) & (F.size("c_terms") > 0)).alias("_me"),
     )
-    out = artifacts.select("artifact_id").join(best, "artifact_id", "left").select(
-        "artifact_id",
-        F.col("m.uuid").alias("_u"),
-        F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"),
-        *(F.coalesce(F.col(f"m.f_{k}"), F.lit(0.0)).alias(f"f_{k}") for k in LINK_WEIGHTS),
+
+    def score(name: str) -> Column:
+        return link_confidence({k: F.col(name if k == "name" else f"f_{k}") for k in LINK_WEIGHTS}, F.col("_co"), F.col("_me"))
+
+    likely = features.where(score("able") >= REVIEW)
+    text = lambda names: F.transform(names, lambda n: n["name"])
+    measured = likely.withColumn("f_name", best_ratio(text(F.col("names")), text(F.col("c_names"))))
+    kept = measured.withColumn("confidence", score("f_name")).where(F.col("confidence") >= REVIEW)
+    rows = F.struct((-F.col("confidence")).alias("d"), "uuid", "confidence", *(f"f_{k}" for k in LINK_WEIGHTS))
+    return kept.groupBy("artifact_id").agg(F.min(rows).alias("m")).select("artifact_id", "m.*").drop("d")
+
+
+def _close_terms(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(artifact_id, uuid) that may have similar terms: pairs that share one of the rarer terms of either, as many as
+    sets of that similarity cannot all lack."""
+    one = left.select("artifact_id", F.explode("term_set").alias("term"), F.size("term_set").alias("n"))
+    two = right.select("uuid", F.explode("c_terms").alias("term"), F.size("c_terms").alias("n"))
+    common = two.groupBy("term").agg(F.count(F.lit(1)).alias("f"))
+
+    def rarest(rows: DataFrame, key: str) -> DataFrame:
+        placed = rows.join(common, "term", "left").withColumn("k", F.row_number().over(W.partitionBy(key).orderBy(F.coalesce("f", F.lit(0)), "term")))
+        return placed.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * CLOSE_TERMS) + 1)
+
+    x, y = rarest(one, "artifact_id").select("artifact_id", "term", "n"), rarest(two, "uuid").select("uuid", "term", F.col("n").alias("m"))
+    return x.join(y, "term").where((F.col("n") * CLOSE_TERMS <= F.col("m")) & (F.col("m") * CLOSE_TERMS <= F.col("n"))).select("artifact_id", "uuid")
+
+
+def link(artifacts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The best candidate of each artifact: artifact_id, uuid (null if rejected), confidence, action, features.
+
+    `artifacts`: artifact_id, names, ror_id, parent_ror_id, coauthors, terms, year; `candidates`: uuid, names,
+    rors, terms, first_year, last_year. The links are those of a comparison of all with all, without making it. A pair
+    can only reach the review threshold if it shares an organisation or the name of a co-author, or has similar terms,
+    or if its names are close: the former meet by key, the latter by pieces of names (`closeness`), in rounds of
+    falling ratios. An artifact whose best link is better than any pair of the next round can be goes no further.
+    An artifact without a link is rejected with confidence 0 and features 0.
+    """
+    texts = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    lower = lambda c: F.array_distinct(F.array_compact(F.transform(texts(c), F.lower)))
+    left = settled(
+        artifacts.select(
+            "artifact_id", _with_masks(lower(F.col("names"))).alias("names"), "ror_id", "parent_ror_id", lower(F.col("coauthors")).alias("people"),
+            lower(F.col("terms")).alias("term_set"), F.col("year").cast("double").alias("year"),
+        )
+    )
+    right = settled(
+        candidates.select(
+            "uuid", _with_masks(lower(F.col("names"))).alias("c_names"), F.array_distinct(F.array_compact(texts(F.col("rors")))).alias("rors"),
+            lower(F.col("names")).alias("name_set"), lower(F.col("terms")).alias("c_terms"),
+            F.col("first_year").cast("double").alias("first_year"), F.col("last_year").cast("double").alias("last_year"),
+        )
+    )
+    kind = lambda k, c: F.transform(c, lambda v: F.concat(F.lit(k), v))
+    places = F.when(F.col("ror_id").isNotNull(), F.array_compact(F.array("ror_id", "parent_ror_id"))).otherwise(F.array().cast("array<string>"))
+    own = left.select("artifact_id", F.explode(F.array_distinct(F.concat(kind("o", places), kind("p", F.col("people"))))).alias("key"))
+    other = right.select("uuid", F.explode(F.concat(kind("o", F.col("rors")), kind("p", F.col("name_set")))).alias("key"))
+    shared = own.join(other, "key").select("artifact_id", "uuid").unionByName(_close_terms(left, right)).distinct()
+    best = settled(_links(shared, left, right))
+
+    asked, offered = (side.select(key, F.explode(F.transform(names, lambda n: n["name"])).alias(k)) for side, key, names, k in ((left, "artifact_id", "names", "x"), (right, "uuid", "c_names", "y")))
+    known = settled(prepared(offered.select("y"), "y"))
+    w = LINK_WEIGHTS
+    for i, ratio in enumerate(LINK_ROUNDS):
+        ahead = (w["name"] * ((LINK_ROUNDS[i - 1] - 0.01) if i else 1.0) + w["time"]) / (w["name"] + w["affiliation"] + w["time"])
+        # co-authors without a common one weigh against a link, unless terms speak for it
+        low = F.lit(ratio < LINK_ROUNDS[0]) & (F.size("people") > 0) & (F.size("term_set") == 0)
+        done = best.where(F.col("confidence") > ahead + 1e-9).select("artifact_id")
+        open_ = left.where(~low).select("artifact_id").join(done, "artifact_id", "left_anti")
+        names = settled(asked.join(open_, "artifact_id"))
+        if names.isEmpty():
+            break
+        near = settled(close_pairs(prepared(names.select("x"), "x"), known, ratio).select("x", "y"))
+        pairs = names.join(near, "x").join(offered, "y").select("artifact_id", "uuid").distinct()
+        both = best.unionByName(_links(pairs, left, right))
+        rows = F.struct((-F.col("confidence")).alias("d"), "uuid", *(c for c in best.columns if c not in ("artifact_id", "uuid")))
+        best = settled(both.groupBy("artifact_id").agg(F.min(rows).alias("m")).select("artifact_id", "m.*").drop("d").select(*best.columns))
+    out = artifacts.select("artifact_id").join(best, "artifact_id", "left")
+    out = out.select(
+        "artifact_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), *(F.coalesce(f"f_{k}", F.lit(0.0)).alias(f"f_{k}") for k in w), "uuid"
     )
-    action = link_action(F.col("confidence"))
-    return out.withColumn("action", action).withColumn("uuid", F.when(F.col("action") != "reject", F.col("_u"))).drop("_u")
+    return out.withColumn("action", link_action(F.col("confidence")))
 
 
 def npi_match(pairs: DataFrame) -> DataFrame:
@@ -429,44 +341,18 @@ def expanded_organisation(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, " "), word), " ")
 
 
-def _closest_of_block(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-    """For each text of a block the closest name of a block, the first of equals."""
-    rows = []
-    if len(a) and len(c):
-        known = c["canonical_name"].sort_values(ignore_index=True)
-        names = _Names([[n.lower()] for n in known])
-        for text in a["x"]:
-            ratio = names.ratios(text)
-            best = int(ratio.argmax())
-            rows.append((text, known[best], float(ratio[best])))
-    return pd.DataFrame(rows, columns=["x", "name", "ratio"])
-
-
-def in_blocks(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-    """`df` dealt by a hash of `key` into `n_own` blocks, each sent to every block of the other side."""
-    rows = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
-    return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-
-
-def _blocks(df: DataFrame, most: int) -> int:
-    return max(1, -(-df.count() // most))
-
-
 def resolve_organisations(raw: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
     """`raw` (affiliation) resolved against a dictionary `names` (canonical_name, ror_id, ...) of any size: alias, then
-    exact name, then the closest name by `name_ratio`, the first of equals. Only distinct strings that neither alias
-    nor name resolves are compared, in blocks; the best of a block is all that leaves a task."""
+    exact name, then the closest name by `name_ratio`, the first of equals in lower case. Only distinct strings that neither alias nor name resolves
+    are looked for, in rounds of falling ratios (`closeness`)."""
     text = raw.select("affiliation").distinct().withColumn("_t", normal_organisation(F.col("affiliation")))
     alias = aliases.groupBy(F.lower("alias").alias("_t")).agg(F.min("canonical_name").alias("_a"))
     exact = names.groupBy(F.lower("canonical_name").alias("_t")).agg(F.min("canonical_name").alias("_e"))
     known = text.join(alias, "_t", "left").join(exact, "_t", "left")
     open_ = known.where("_a is null and _e is null and _t <> ''").select("affiliation", expanded_organisation(F.col("_t")).alias("x"))
-    asked, offered = open_.select("x").distinct(), names.where("canonical_name is not null").select("canonical_name").distinct()
-    across, down = _blocks(asked, LINK_BLOCK), _blocks(offered, CANDIDATE_BLOCK)
-    left = in_blocks(asked, "x", "_i", across, "_j", down).groupBy("_i", "_j")
-    right = in_blocks(offered, "canonical_name", "_j", down, "_i", across).groupBy("_i", "_j")
-    near = left.cogroup(right).applyInPandas(_closest_of_block, "x string, name string, ratio double")
-    best = near.groupBy("x").agg(F.min(F.struct((-F.col("ratio")).alias("d"), "name", "ratio")).alias("m"))
+    best = closest_names(open_.select("x"), names.select(F.lower("canonical_name")))
+    spelled = names.where("canonical_name is not null").groupBy(F.lower("canonical_name").alias("name")).agg(F.min("canonical_name").alias("spelled"))
+    best = best.join(spelled, "name").select("x", F.struct(F.col("spelled").alias("name"), "ratio").alias("m"))
     matched = open_.join(best, "x").select("affiliation", "m")
     found = known.join(matched, "affiliation", "left").select(
         "affiliation",

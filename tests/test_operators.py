@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meritgrid.functions import positions
-from meritgrid.operators import features, identity, integrity, learning, monitoring, privacy, ranking, store
+from meritgrid.operators import closeness, features, identity, integrity, learning, monitoring, privacy, ranking, store
 from meritgrid.streaming import events
 
 
@@ -205,7 +205,7 @@ def test_phi_and_fields(spark):
 
 def test_name_ratio(spark):
     pairs = [("john smith", "john smith", 1.0), ("abc", "xyz", 0.0), ("john smith", "jon smith", round(200 * 9 / 19) / 100), ("", "", 1.0)]
-    got = spark.createDataFrame(pairs, "a string, b string, want double").select(identity.name_ratio("a", "b").alias("r"), "want").collect()
+    got = spark.createDataFrame(pairs, "a string, b string, want double").select(closeness.name_ratio("a", "b").alias("r"), "want").collect()
     assert all(r["r"] == r["want"] for r in got)
 
 
