@@ -21,12 +21,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """`df` worked out once and kept in the shared folder, for what is read several times."""
+def settled(df: DataFrame, name: str | None = None) -> DataFrame:
+    """`df` worked out once and kept in the shared folder, for what is read several times; `name` says what it is in the
+    job's list."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    if name is None:
+        return df.checkpoint(eager=True)
+    context.setJobDescription(name)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        context.setJobDescription(None)
 
 
 def _tree(bounds: list, low: int, high: int, below) -> Column:
