@@ -136,8 +136,8 @@ def same_query_counts(requests: DataFrame) -> DataFrame:
     """The running number of a customer's requests with one query hash, which never expires, and its flag: positions in
     one order of all requests, less what stands before the customer's first of that hash."""
     placed = settled(numbered(requests, ["customer", "query_hash", "ts", "id"], "_at", "_all"))
-    first = placed.groupBy("customer", "query_hash").agg(F.min("_at").alias("_first"))
-    rows = placed.join(first, ["customer", "query_hash"])
+    first = placed.groupBy(F.col("customer").alias("_c"), F.col("query_hash").alias("_q")).agg(F.min("_at").alias("_first"))
+    rows = placed.join(first, F.col("customer").eqNullSafe(F.col("_c")) & F.col("query_hash").eqNullSafe(F.col("_q"))).drop("_c", "_q")
     rows = rows.withColumn("same", F.col("_at") - F.col("_first") + 1).drop("_at", "_all", "_first")
     return rows.withColumn("suspicious", F.col("same") > SAME_QUERY_LIMIT)
 
