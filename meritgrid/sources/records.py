@@ -156,10 +156,19 @@ def _struct(ddl: str) -> str:
     return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(ddl)) if not ddl.startswith("STRUCT") else ddl
 
 
+def trial_page() -> str:
+    """The schema of a page of trials."""
+    return f"studies ARRAY<STRUCT<{_struct(TRIAL_JSON)}>>"
+
+
 def trials(spark: SparkSession, path: str) -> DataFrame:
-    """Trials out of landed pages {studies: [...]}, each trial once. Investigators are officials, of unknown role as
-    principal, and site contacts of known roles."""
-    pages = spark.read.schema(f"studies ARRAY<STRUCT<{_struct(TRIAL_JSON)}>>").json(path, multiLine=True)
+    """`trials_of` landed pages {studies: [...]}."""
+    return trials_of(spark.read.schema(trial_page()).json(path, multiLine=True))
+
+
+def trials_of(pages: DataFrame) -> DataFrame:
+    """Trials out of pages with `studies`, each trial once. Investigators are officials, of unknown role as principal,
+    and site contacts of known roles."""
     s = pages.select(F.explode("studies").alias("s")).select("s.protocolSection.*")
     roles = F.create_map(*(F.lit(x) for kv in OFFICIAL_ROLES.items() for x in kv))
     person = "array<struct<full_name:string,role:string,affiliation:string,site:string>>"
