@@ -11,7 +11,7 @@ source, and slices outside them are never opened. A page that is missing or brok
 
 A recorded feed is a folder of polls, files that are one JSON list of entries each, in order of their names. As a
 stream its offset is the number of polls taken; a query that is started again from its checkpoint reads on from there.
-Polls are read on the driver, at most `polls_per_batch` at a time, as suits feeds; bulk data is landed in files.
+The driver only counts polls; tasks read them, `polls_per_task` each.
 """
 
 from __future__ import annotations
@@ -153,33 +153,40 @@ def pages(spark: SparkSession, path: str, *, records: str, next_token: str = "ne
 ENTRY_SCHEMA = "poll int, id string, title string, link string, summary string, published timestamp"
 
 
-class FeedReader(ds.SimpleDataSourceStreamReader):
+@dataclass
+class PollsOf(ds.InputPartition):
+    """Polls by their numbers."""
+
+    start: int
+    end: int
+
+
+class FeedReader(ds.DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
-        self.store, self.most = PageStore(options["path"]), int(options.get("polls_per_batch", "100"))
+        self.store, self.most = PageStore(options["path"]), int(options.get("polls_per_task", "100"))
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"polls": 0}
 
-    def _rows(self, start: int, end: int) -> Iterator[tuple]:
-        for i, name in enumerate(self.store.names()[start:end], start):
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"polls": len(self.store.names())}
+
+    def partitions(self, start: dict, end: dict) -> list[PollsOf]:
+        return [PollsOf(i, min(i + self.most, end["polls"])) for i in range(start["polls"], end["polls"], self.most)]
+
+    def read(self, partition: PollsOf) -> Iterator[tuple]:
+        for i, name in enumerate(self.store.names()[partition.start : partition.end], partition.start):
             for e in json.loads(self.store.get(name)):
                 when = e.get("published")
                 text = (None if e.get(k) is None else str(e[k]) for k in ("id", "title", "link", "summary"))
                 yield i, *text, dt.datetime.fromisoformat(when) if when else None
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = min(len(self.store.names()), start["polls"] + self.most)
-        return self._rows(start["polls"], end), {"polls": end}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return self._rows(start["polls"], end["polls"])
-
     def commit(self, end: dict) -> None:
         """Polls stay where they are, so there is nothing to let go."""
 
 
 class FeedSource(ds.DataSource):
-    """Entries of polls as a stream. Options: path, polls_per_batch."""
+    """Entries of polls as a stream. Options: path, polls_per_task."""
 
     @classmethod
     def name(cls) -> str:
@@ -188,11 +195,11 @@ class FeedSource(ds.DataSource):
     def schema(self) -> str:
         return ENTRY_SCHEMA
 
-    def simpleStreamReader(self, schema) -> FeedReader:  # noqa: N802
+    def streamReader(self, schema) -> FeedReader:  # noqa: N802
         return FeedReader(dict(self.options))
 
 
-def polled(spark: SparkSession, path: str, polls_per_batch: int = 100) -> DataFrame:
+def polled(spark: SparkSession, path: str, polls_per_task: int = 100) -> DataFrame:
     """A recorded feed as a stream of entries; `events.new_entries` drops those seen before."""
     spark.dataSource.register(FeedSource)
-    return spark.readStream.format("polled_feed").options(path=path, polls_per_batch=str(polls_per_batch)).load()
+    return spark.readStream.format("polled_feed").options(path=path, polls_per_task=str(polls_per_task)).load()
