@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,10 +98,10 @@ def test_a_feed_started_again_repeats_nothing(spark, tmp_path):
     assert run() == [f"e{k}" for k in range(1, 9)]
 
 
-def test_polls_are_read_between_offsets(tmp_path):
+def test_polls_are_dealt_to_tasks(tmp_path):
     for k in range(5):
         put(tmp_path, f"{k}.json", [entry(k), {"id": None}])
-    reader = paged.FeedReader({"path": str(tmp_path), "polls_per_batch": "2"})
-    rows, end = reader.read({"polls": 1})
-    assert end == {"polls": 3} and [r[:2] for r in rows] == [(1, "e1"), (1, None), (2, "e2"), (2, None)]
-    assert [r[0] for r in reader.readBetweenOffsets({"polls": 3}, {"polls": 5})] == [3, 3, 4, 4]
+    reader = paged.FeedReader({"path": str(tmp_path), "polls_per_task": "2"})
+    parts = reader.partitions({"polls": 1}, reader.latestOffset())
+    assert [(p.start, p.end) for p in parts] == [(1, 3), (3, 5)]
+    assert [r[:2] for r in reader.read(parts[0])] == [(1, "e1"), (1, None), (2, "e2"), (2, None)]
