@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meritgrid.functions.positions import numbered, running_sums, settled
 from meritgrid.operators.ranking import EXPONENT_BOUNDS
 
 # Where the fit starts and when its result may be used.
@@ -17,8 +19,8 @@ TINY = 1e-12
 LEAST_PAIRS, WIDEST_HALF_CI = 20, 0.2
 LARGE_CHANGE = 0.05
 DOWNSTREAM_PAIRS, DOWNSTREAM_FACTOR = 50, 2
-#: So many pairs are listed rather than drawn; and how many draws are tried first.
-ALL_PAIRS, FIRST_DRAWS = 200_000, 200_000
+#: Pairs of a stratum that are listed rather than drawn.
+LISTED = 200_000
 
 
 def judged_pairs(judgments: DataFrame) -> DataFrame:
@@ -28,43 +30,79 @@ def judged_pairs(judgments: DataFrame) -> DataFrame:
     return good.join(bad, "query")
 
 
+def _strata(placed: DataFrame, n: int, widest: float) -> DataFrame:
+    """(p, score, k, low, high): of the row at position p of (p, score), the positions of those behind it whose score is
+    higher by 2^k - 1 or more, but not by 2^(k + 1) - 1. What stands below so many scores is counted in one order of
+    scores and bounds."""
+    steps = [k for k in range(1, 1024) if 2.0**k - 1 <= widest]
+    bounds = placed.select("p", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col("score") + (2.0**k - 1)).alias("v")) for k in steps))).alias("b")) if steps else None
+    first = placed.select("p", "score", F.lit(0).alias("k"), (F.col("p") + 1).alias("low"))
+    if bounds is None:
+        return first.withColumn("high", F.lit(n + 1).cast("long")).where("low < high")
+    asked = bounds.select(F.col("b.v").alias("v"), F.lit(0).alias("kind"), "p", F.col("b.k").alias("k"))
+    both = asked.unionByName(placed.select(F.col("score").alias("v"), F.lit(1).alias("kind"), "p", F.lit(0).alias("k")))
+    below = running_sums(both, ["v", "kind"], {"n_below": F.col("kind").cast("long")}).where("kind = 0")
+    lows = below.select("p", "k", (F.col("n_below") + 1).alias("low")).join(placed, "p").select("p", "score", "k", "low").unionByName(first)
+    high = F.coalesce(F.lead("low").over(W.partitionBy("p").orderBy("k")), F.lit(n + 1)).cast("long")
+    return lows.withColumn("low", F.greatest("low", F.col("p") + 1)).withColumn("high", high).where("low < high")
+
+
 def sampled_pairs(candidates: DataFrame, judged: DataFrame, n_pairs: int, seed: int = 42) -> DataFrame:
     """(a, b, weight) of `n_pairs` pairs not judged so far, or of all if there are fewer, for judging next: a sample
     without replacement of all pairs of (uuid, score), where a pair weighs 1 / (1 + difference of score).
 
-    Many pairs are not listed: both members are drawn from all positions alike, a draw is accepted with its weight,
-    judged and repeated pairs are dropped, and the first so many draws are the sample, which is the same law. Only
-    pairs that are few, or fewer than the draws that would be needed, are listed and taken by weighted keys."""
-    from meritgrid.functions.positions import numbered
-
-    done = judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    gap = F.abs(F.col("sx") - F.col("sy"))
-    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (1.0 / (1.0 + gap)).alias("w")]
+    Every pair rings after an exponential time at the rate of its weight, and the first to ring are the sample. Pairs
+    are counted by strata in which 1 + difference is between two powers of two, from positions alone. Strata of few
+    pairs (or few beside the pairs asked for and judged) are listed with their times. The others ring as a whole, at the
+    rate that all their pairs would have with the stratum's largest weight, each time for a pair that is drawn alike
+    and is given the ring with odds of one half or more; time goes on until enough pairs have rung. Rows without a
+    score are in no pair."""
+    scored = candidates.select("uuid", F.col("score").cast("double").alias("score")).where("uuid is not null and score is not null and not isnan(score)")
+    placed = settled(numbered(scored, ["score", "uuid"], "p", "_n").select("p", "uuid", "score"))
+    n, least, most = placed.agg(F.count(F.lit(1)), F.min("score"), F.max("score")).first()
+    done = settled(judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rows = settled(_strata(placed, n, (most - least) if n else 0.0).withColumn("c", F.col("high") - F.col("low")))
+    sizes = {r["k"]: r["n"] for r in rows.groupBy("k").agg(F.sum("c").alias("n")).collect()}
+    few = max(LISTED, 4 * (n_pairs + done.count()))
     uniform = lambda *key: (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(2**53)) + 0.5) / float(2**53)
-    scored = candidates.select("uuid", "score")
-    n = scored.count()
-    draws = max(FIRST_DRAWS, 4 * n_pairs)
-    x, y = scored.toDF("x", "sx"), scored.toDF("y", "sy")
-    if n * (n - 1) // 2 > ALL_PAIRS:
-        placed = numbered(scored, ["score", "uuid"], "p", "_n").drop("_n")
-        x, y = placed.select(
-            F.col("uuid").alias("x"),
-            F.col("score").alias("sx"),
-            F.col("p").alias("px"),
-        ), placed.select(F.col("uuid").alias("y"), F.col("score").alias("sy"), F.col("p").alias("py"))
-        while draws < n * (n - 1) // 2:
-            drawn = candidates.sparkSession.range(draws).select(
-                "id",
-                *((F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(k)), F.lit(n)) + 1).alias(k) for k in ("px", "py")),
-            )
-            accepted = drawn.where("px <> py").join(x, "px").join(y, "py").select("id", *pair).where(uniform("id", F.lit("accept")) < F.col("w"))
-            open_ = accepted.groupBy("a", "b").agg(F.min("id").alias("id"), F.first("w").alias("w")).join(done, ["a", "b"], "left_anti")
-            found = open_.count()
-            if found >= n_pairs:
-                return open_.orderBy("id").limit(n_pairs).select("a", "b", F.round("w", 6).alias("weight"))
-            draws = max(4 * draws, int(1.5 * draws * n_pairs / max(found, 1)))
-    open_ = x.crossJoin(y).where("x < y").select(*pair).join(done, ["a", "b"], "left_anti")
-    return open_.orderBy(-F.log(uniform("a", "b")) / F.col("w"), "a", "b").limit(n_pairs).select("a", "b", F.round("w", 6).alias("weight"))
+
+    def rung(pairs: DataFrame, *more: str) -> DataFrame:
+        """Pairs (p, q) as (a, b, w)."""
+        x, y = placed.select("p", F.col("uuid").alias("x"), F.col("score").alias("sx")), placed.select(F.col("p").alias("q"), F.col("uuid").alias("y"), F.col("score").alias("sy"))
+        weight = 1.0 / (1.0 + F.abs(F.col("sy") - F.col("sx")))
+        return pairs.join(x, "p").join(y, "q").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), weight.alias("w"), *more)
+
+    short = [k for k, size in sizes.items() if size <= few]
+    listed = rung(rows.where(F.col("k").isin(short)).select("p", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("q")))
+    found = settled(listed.join(done, ["a", "b"], "left_anti").select("a", "b", "w", (-F.log(uniform("a", "b")) / F.col("w")).alias("time")))
+    long = sorted(k for k, size in sizes.items() if size > few)
+    if long:
+        wide = settled(running_sums(rows.where(F.col("k").isin(long)), ["k", "p"], {"start": F.col("c")}))
+        width = max(1, sum(sizes[k] for k in long) // max(1, wide.count()))
+        bases = dict(zip(long, np.cumsum([0, *(sizes[k] for k in long)])[:-1].tolist(), strict=True))
+        spans = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("c") - 1) / width))
+        spread = settled(wide.select("p", "low", "start", "c", F.explode(spans).alias("span")))
+        rates = {k: sizes[k] * 2.0**-k for k in long}
+        step = 2.0 * n_pairs / sum(size * 2.0**-k for k, size in sizes.items())
+        rng, began = np.random.default_rng(seed), 0.0
+        while found.where(F.col("time") <= began).count() < n_pairs:
+            parts = []
+            for k in long:
+                drawn = candidates.sparkSession.range(int(rng.poisson(rates[k] * step))).select(
+                    (F.lit(began) + uniform("id", F.lit(k), F.lit(began), F.lit("time")) * step).alias("time"),
+                    (F.floor(uniform("id", F.lit(k), F.lit(began), F.lit("pair")) * sizes[k]) + bases[k]).alias("t"),
+                    uniform("id", F.lit(k), F.lit(began), F.lit("odds")).alias("odds"),
+                    F.lit(2.0**k).alias("scale"),
+                )
+                parts.append(drawn)
+            draws = reduce(DataFrame.unionByName, parts).withColumn("span", F.floor(F.col("t") / width))
+            hit = draws.join(spread, "span").where(F.col("t").between(F.col("start"), F.col("start") + F.col("c") - 1))
+            pairs = rung(hit.select("p", (F.col("low") + F.col("t") - F.col("start")).alias("q"), "time", "odds", "scale"), "time", "odds", "scale")
+            given = pairs.where(F.col("odds") < F.col("w") * F.col("scale")).join(done, ["a", "b"], "left_anti").select("a", "b", "w", "time")
+            found = settled(found.unionByName(given).groupBy("a", "b").agg(F.first("w").alias("w"), F.min("time").alias("time")))
+            began, step = began + step, 2 * step
+        found = found.where(F.col("time") <= began)
+    return found.orderBy("time", "a", "b").limit(n_pairs).select("a", "b", F.round("w", 6).alias("weight"))
 
 
 def triangular_pairs(rows: DataFrame, group: str, key: str) -> DataFrame:
