@@ -68,3 +68,16 @@ def settled_specialty(distribution: Column) -> tuple[Column, Column]:
     """The likeliest specialty of a map of probabilities and whether it is settled (at least 0.6)."""
     top = F.array_max(F.transform(F.map_entries(distribution), lambda e: F.struct(e["value"].alias("p"), e["key"].alias("s"))))
     return F.coalesce(top["s"], F.lit("translational")), F.coalesce(top["p"] >= 0.6, F.lit(False))
+
+
+#: What papers, trials and grants in the specialty weigh, and from where on a specialty is clear.
+MIX_WEIGHTS, CLEAR_MIX = (0.5, 0.3, 0.2), 0.7
+
+
+def mix_flags(candidates: DataFrame, threshold: float = CLEAR_MIX) -> DataFrame:
+    """`candidates` (n_papers, n_trials, n_grants, each also as `<name>_in`: those in the specialty) with the shares, the
+    weighted confidence and whether the specialty is ambiguous."""
+    shares = {k: F.col(f"n_{k}_in") / F.greatest(F.col(f"n_{k}"), F.lit(1)) for k in ("papers", "trials", "grants")}
+    confidence = sum((F.lit(w) * s for w, s in zip(MIX_WEIGHTS, shares.values(), strict=True)), F.lit(0.0))
+    named = {f"{k[:-1]}_ratio": s for k, s in shares.items()}
+    return candidates.withColumns({**named, "confidence": confidence, "ambiguous": confidence < threshold})

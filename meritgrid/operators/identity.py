@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meritgrid.functions.joins import pairs_by_key
 from meritgrid.functions.positions import settled
 from meritgrid.operators.closeness import HALF, best_ratio, close_pairs, closest_names, masks, most_common, prepared
 from meritgrid.operators.integrity import jaccard
@@ -290,10 +291,9 @@ def merge_candidates(candidates: DataFrame) -> DataFrame:
         F.lit(False).alias("strong"),
     )
     both = keys.unionByName(names)
-    x, y = both.toDF("a", "k", "strong"), both.toDF("b", "k", "_s")
-    shared = x.join(y, "k").where("a < b").groupBy("a", "b").agg(
-        F.count_if(F.col("strong")).alias("n_keys"),
-        F.count_if(~F.col("strong")).alias("n_names"),
+    shared = pairs_by_key(both.distinct(), "k", "uuid").groupBy("a", "b").agg(
+        F.count_if(F.col("strong_a")).alias("n_keys"),
+        F.count_if(~F.col("strong_a")).alias("n_names"),
     )
     strong = F.col("n_keys") > 0
     confidence = F.when(strong, F.least(0.95 + 0.02 * F.col("n_keys"), F.lit(1.0))).otherwise(F.least(0.5 + 0.15 * F.col("n_names"), F.lit(0.9)))
@@ -398,8 +398,9 @@ def similar_sets(members: DataFrame, least: float) -> DataFrame:
         F.count(F.lit(1)).over(own).alias("n"),
     )
     prefixes = placed.withColumn("rest", F.ceil(F.col("n") * t) - 1).where(F.col("_p") <= F.col("n") - F.col("rest"))
-    x, y = (prefixes.select(F.col("uuid").alias(k), "work", F.col("n").alias(f"n{k}"), F.col("rest").alias(f"r{k}")) for k in "ab")
-    met = x.join(y, "work").where("a < b").where((F.col("na") >= F.col("nb") * t) & (F.col("nb") >= F.col("na") * t))
+    near = (F.col("n_a") >= F.col("n_b") * t) & (F.col("n_b") >= F.col("n_a") * t)
+    met = pairs_by_key(prefixes.select("work", "uuid", "n", "rest"), "work", "uuid", where=near)
+    met = met.select("work", "a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb"), F.col("rest_a").alias("ra"), F.col("rest_b").alias("rb"))
     need = (F.col("na") + F.col("nb")) * (t / (1 + t))
     able = met.groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") + F.greatest("ra", "rb") >= need)
     works = sets.groupBy("uuid").agg(F.collect_list("work").alias("works"))

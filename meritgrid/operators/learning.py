@@ -215,3 +215,17 @@ def trained_thresholds(pairs: DataFrame, ratio: str) -> dict[str, float]:
     row = placed.agg(at(0.05).alias("review"), at(0.9).alias("auto")).first()
     auto = row["auto"] if row["auto"] > row["review"] else row["review"] + 0.1
     return {"review": row["review"], "auto_link": auto}
+
+
+def refit(pairs: DataFrame, folder: str, specialty: str, day: str) -> dict[str, object]:
+    """One cycle for a specialty: fits merged judgments, decides, and writes the next version of its latest vector on file:
+    at once where the exponents hardly change, into `staging` where someone has to look first, not at all where the fit
+    is not ready. What was decided, and the path written."""
+    from meritgrid.operators.routing import EXPONENTS, newest_file, read_vector, write_vector
+
+    current = read_vector(newest_file(folder, specialty))
+    old = tuple(float(current["exponents"].get(k, v)) for k, v in zip(EXPONENTS, START, strict=True))
+    fit = fit_exponents(pairs)
+    action = deployment(old, fit)
+    path = None if action == "blocked" else write_vector(current, fit.exponents, folder, day, staging=action == "manual")
+    return {"action": action, "path": path, "version_before": int(current["version"]), "old": old, "fit": fit}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -217,7 +219,9 @@ def service_levels(requests: DataFrame, *keys: str) -> DataFrame:
             4,
         ).alias("budget_used_pct")
     )
-    return rates.join(points, list(keys)).select(*keys, "requests", "p95", "p99", "success_rate", "budget_used_pct")
+    own = points.toDF(*(f"_{k}" for k in keys), *points.columns[len(keys) :])
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return rates.join(own, same).select(*keys, "requests", "p95", "p99", "success_rate", "budget_used_pct")
 
 
 def health(requests: DataFrame, sources: list[str] | None = None) -> DataFrame:
@@ -361,3 +365,19 @@ def clinician_coverage(clinicians: DataFrame) -> DataFrame:
         )
     )
     return row.withColumn("caveats", caveats)
+
+
+def source_shares(candidates: DataFrame) -> DataFrame:
+    """(metric, value): for each source of candidates (uuid, sources) the share of candidates that it covers, in per cent,
+    as `per_source_<name>`."""
+    n = candidates.count()
+    own = candidates.select("uuid", F.explode(F.array_distinct("sources")).alias("source")).where("source is not null")
+    return own.groupBy("source").agg(F.round(100.0 * F.count_distinct("uuid") / F.lit(float(max(n, 1))), 2).alias("value")).select(
+        F.concat(F.lit("per_source_"), "source").alias("metric"), "value"
+    )
+
+
+def metric_changes(current: DataFrame, previous: DataFrame, digits: int = 2) -> DataFrame:
+    """(metric, delta) over the metrics of either of two tables (metric, value); one that a table lacks is zero there."""
+    both = current.withColumnRenamed("value", "_now").join(previous.withColumnRenamed("value", "_then"), "metric", "full_outer")
+    return both.select("metric", F.round(F.coalesce("_now", F.lit(0.0)) - F.coalesce("_then", F.lit(0.0)), digits).alias("delta"))

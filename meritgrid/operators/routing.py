@@ -16,6 +16,7 @@ DEFAULT_SPECIALTY = "translational"
 COLLAPSE_FLOOR = 0.05
 MAJOR_SHIFT, CHURN_RATE, STABLE_RUNS = 0.3, 0.05, 7
 EXPONENTS = ["alpha", "beta", "gamma"]
+SHIFT_PERCENT = 20.0
 
 
 def read_vector(path: str) -> dict[str, Any]:
@@ -141,3 +142,62 @@ def reassignment_rates(runs: DataFrame, threshold: float = CHURN_RATE) -> DataFr
     recent = W.orderBy("run_date").rowsBetween(1 - STABLE_RUNS, 0)  # a row a run: some hundred a year
     rows = runs.withColumn("rate", F.round(rate, 4)).withColumn("alert", rate > threshold)
     return rows.withColumn("stable", F.max("rate").over(recent) <= threshold)
+
+
+def collapsed_again(first: DataFrame, scores: DataFrame, floor: float = COLLAPSE_FLOOR) -> DataFrame:
+    """(query, collapsed, terms, flag, retries): what becomes of the queries that `collapsed` asked again, by the scores of
+    their wider terms. One that collapses again falls back to its cohort, without terms; others are as they were."""
+    best = scores.groupBy("query").agg(F.max("score").alias("_best"))
+    joined = first.join(best, "query", "left")
+    again = F.col("collapsed") & ~F.coalesce(F.col("_best") >= floor, F.lit(False))
+    return joined.select(
+        "query",
+        again.alias("collapsed"),
+        F.when(again, F.array().cast("array<string>")).otherwise(F.col("terms")).alias("terms"),
+        F.when(again, "cohort_fallback").when(F.col("collapsed"), "expanded").otherwise(F.col("flag")).alias("flag"),
+        F.when(again, 2).when(F.col("collapsed"), 1).otherwise(0).alias("retries"),
+    )
+
+
+def vector_shifts(old: DataFrame, new: DataFrame, threshold: float = SHIFT_PERCENT) -> DataFrame:
+    """(specialty, parameter, old_value, new_value, change, change_pct, exceeds) of two vectors (specialty, parameter,
+    value), a parameter that one lacks as zero. From zero, a change of over 0.01 counts as one of 100 %."""
+    both = old.withColumnRenamed("value", "_old").join(new.withColumnRenamed("value", "_new"), ["specialty", "parameter"], "full_outer")
+    a, b = F.coalesce("_old", F.lit(0.0)), F.coalesce("_new", F.lit(0.0))
+    change = F.abs(b - a)
+    percent = F.when(F.abs(a) < 1e-10, F.when(change > 0.01, 100.0).otherwise(0.0)).otherwise(100.0 * change / F.abs(a))
+    return both.select(
+        "specialty", "parameter", a.alias("old_value"), b.alias("new_value"), F.round(change, 6).alias("change"), F.round(percent, 2).alias("change_pct"), (percent > threshold).alias("exceeds")
+    )
+
+
+def _version(path: Path) -> int:
+    tail = path.stem.rpartition("_v")[2].removesuffix("_pending")
+    return int(tail) if tail.isdigit() else -1
+
+
+def newest_file(folder: str, specialty: str) -> str:
+    """The file of a specialty's highest version."""
+    known = [p for p in Path(folder).glob(f"{specialty}_v*.yaml") if _version(p) >= 0]
+    if not known:
+        raise FileNotFoundError(f"no vector of {specialty} in {folder}")
+    return str(max(known, key=_version))
+
+
+def approve(staged: str) -> str:
+    """Makes a vector that waits in `staging` a version of its own, the next one there is by then; its path."""
+    vector = read_vector(staged)
+    folder = Path(staged).parent.parent
+    exponents = tuple(float(vector["exponents"][k]) for k in EXPONENTS)
+    path = write_vector(vector, exponents, str(folder), str(vector["created"]))
+    Path(staged).unlink()
+    return path
+
+
+def roll_back(folder: str, specialty: str, day: str) -> str:
+    """Writes the version before the highest anew as the next one, so what was used when stays on file; its path."""
+    known = sorted((p for p in Path(folder).glob(f"{specialty}_v*.yaml") if _version(p) >= 0), key=_version)
+    if len(known) < 2:
+        raise ValueError(f"{specialty} has no version to go back to")
+    before = read_vector(str(known[-2]))
+    return write_vector(before, tuple(float(before["exponents"][k]) for k in EXPONENTS), folder, day)
