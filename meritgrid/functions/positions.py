@@ -89,11 +89,11 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column]) -> Da
     return out.select(*(c for c in df.columns if c not in sums), *sums)
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "position", total: str = "n_rows") -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str = "position", total: str = "n_rows", kept: bool = False) -> DataFrame:
     """`df` with each row's 1-based position by the ascending columns `order`, nulls first, and the number of rows.
 
-    As `running_sums`, with rows counted."""
-    rows = settled(df)
+    As `running_sums`, with rows counted; `kept` says that `df` is settled already."""
+    rows = df if kept else settled(df)
     n = rows.count()
     bounds = _bounds(rows, order, n)
     bucketed = rows.withColumn("_bucket", _tree(bounds, 0, len(bounds), lambda b: _below(order, b)))
@@ -123,6 +123,16 @@ def midpoint_percentile(df: DataFrame, score: str, key: str, name: str = "percen
     return out.withColumn(name, (F.col("_p") - 0.5) / F.col("_of")).drop("_p", "_of")
 
 
+def midpoint_percentiles(scores: DataFrame, key: str) -> DataFrame:
+    """(which, key, percentile) of several scores at once, (which, key, score): `midpoint_percentile` of each, in one order
+    with `which` in front, so a cohort is worked out, kept and numbered once."""
+    rows = settled(scores.select("which", key, "score"))
+    sizes = rows.groupBy("which").agg(F.count(F.lit(1)).alias("_of"))
+    spans = sizes.withColumn("_before", F.sum("_of").over(W.orderBy("which")) - F.col("_of"))  # a row a score
+    placed = numbered(rows, ["which", "score", key], "_p", "_all", kept=True).join(F.broadcast(spans), "which")
+    return placed.select("which", key, ((F.col("_p") - F.col("_before") - 0.5) / F.col("_of")).alias("percentile"))
+
+
 def span_percentile(df: DataFrame, score: str, key: str, name: str = "percentile") -> DataFrame:
     """i / (n - 1) by ascending score, ties by key; a single row gets 0."""
     out = numbered(df, [score, key], "_p", "_of")

@@ -57,8 +57,12 @@ def citation_impact(papers: DataFrame) -> DataFrame:
     )
 
 
+def citation_score() -> Column:
+    return 0.6 * F.col("mean_rcr_log") + 0.4 * F.col("top_rcr_log")
+
+
 def citation_percentile(raw: DataFrame) -> DataFrame:
-    scored = raw.withColumn("_c", 0.6 * F.col("mean_rcr_log") + 0.4 * F.col("top_rcr_log"))
+    scored = raw.withColumn("_c", citation_score())
     out = midpoint_percentile(scored, "_c", "uuid").drop("_c")
     return out.withColumns({c: F.round(c, 6) for c in ("mean_rcr_log", "top_rcr_log", "percentile")})
 
@@ -82,8 +86,12 @@ def funding(grants: DataFrame) -> DataFrame:
     )
 
 
+def funding_score() -> Column:
+    return 0.7 * F.col("total_cost_log") + 0.3 * F.col("active_r01_equivalent")
+
+
 def funding_percentile(raw: DataFrame) -> DataFrame:
-    scored = raw.withColumn("_c", 0.7 * F.col("total_cost_log") + 0.3 * F.col("active_r01_equivalent"))
+    scored = raw.withColumn("_c", funding_score())
     out = midpoint_percentile(scored, "_c", "uuid").drop("_c")
     return out.withColumns({c: F.round(c, 6) for c in ("total_cost_log", "active_r01_equivalent", "percentile")})
 

@@ -79,9 +79,10 @@ def _nine_digits_in_context(value: Column) -> Column:
 def phi_scan(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, pattern, matches): what each text field of each row holds, for those that hold anything.
     Dates count in fields with sensitive names only, nine digits need a telling field name or context."""
-    parts = []
+    parts, likely = [], F.lit(False)
     for field in fields:
         value, lower = F.coalesce(F.col(field).cast("string"), F.lit("")), field.lower()
+        likely = likely | (value.rlike("[0-9@]") & value.rlike("(?i)(" + "|".join(PHI_PATTERNS.values()) + ")"))
         for name in PHI_PATTERNS:
             if name in DATE_PATTERNS and not any(s in lower for s in SENSITIVE_FIELDS):
                 continue
@@ -89,7 +90,8 @@ def phi_scan(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
             if name == "ssn_nodash" and not any(s in lower for s in SSN_FIELDS):
                 found = F.when(_nine_digits_in_context(value), found).otherwise(F.array().cast("array<string>"))
             parts.append(F.struct(F.lit(field).alias("field"), F.lit(name).alias("pattern"), found.alias("matches")))
-    long = rows.select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.*")
+    # one look at all patterns together; only what one of them fits is taken apart
+    long = rows.where(likely).select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.*")
     return long.where(F.size("matches") > 0)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meritgrid.functions.positions import midpoint_percentiles
 from meritgrid.operators import features, ranking
 from meritgrid.plans import standins
 
@@ -15,9 +16,11 @@ WEIGHTS = {"f1_rcr": 0.5, "f2_funding": 0.5}
 
 def rank_experts(papers: DataFrame, grants: DataFrame, cohort: DataFrame, terms: dict[str, float], reference: str, k: int = 50) -> DataFrame:
     """Features of the cohort, quality prior, topical fit and recency for the terms, final score, the top k."""
-    impact = features.citation_percentile(features.citation_impact(papers)).select("uuid", F.col("percentile").alias("f1_rcr"))
-    money = features.funding_percentile(features.funding(grants)).select("uuid", F.col("percentile").alias("f2_funding"))
-    quality = ranking.quality_prior(cohort.select("uuid").join(impact, "uuid", "left").join(money, "uuid", "left"), WEIGHTS)
+    impact = features.citation_impact(papers).select(F.lit("f1_rcr").alias("which"), "uuid", features.citation_score().alias("score"))
+    money = features.funding(grants).select(F.lit("f2_funding").alias("which"), "uuid", features.funding_score().alias("score"))
+    shares = midpoint_percentiles(impact.unionByName(money), "uuid")
+    families = shares.groupBy("uuid").agg(*(F.max(F.when(F.col("which") == k, F.round("percentile", 6))).alias(k) for k in WEIGHTS))
+    quality = ranking.quality_prior(cohort.select("uuid").join(families, "uuid", "left"), WEIGHTS)
     vectors = ranking.topic_vectors(papers.select("uuid", "author_weight", F.array("term").alias("terms")), F.col("author_weight"))
     fit = ranking.topical_fit(vectors, ranking.query_vector(terms))
     fresh = ranking.recency(
