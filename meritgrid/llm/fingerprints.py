@@ -13,7 +13,7 @@ of a text that they share. It is 1 for equal texts only.
 
 Defined results: null text counts as empty; empty texts have one fingerprint, like each other and nothing
 else; a text shorter than a span is one span; rows with equal ids follow each other in the order of their
-texts; a null id comes after all others; a task holds two texts at a time, with some 100 bytes for each code
+texts; a null id comes after all others; a task holds two texts at a time, with some 50 bytes for each code
 point of them; other columns are not read; an empty table gives an empty result,
 and a single document is its own next one.
 """
@@ -41,6 +41,8 @@ SLOTS = 128
 BUCKET_DOCS = 2048
 MOST_BUCKETS = 20_000
 FIRST_KEY = -(2**63)
+#: Code points that are worked on at once, so temporary arrays are small beside the prefix arrays.
+AT_ONCE = 1 << 18
 
 
 class _Powers:
@@ -72,11 +74,14 @@ class PrefixHash:
         self.n = kept + len(codes)
         self.sums = []
         for k, prime in enumerate(PRIMES):
-            terms = (codes.astype(np.uint64) + np.uint64(1)) * POWERS[k].upto(self.n + 1)[kept : self.n] % np.uint64(prime)
+            powers = POWERS[k].upto(self.n + 1)
             sums = np.zeros(self.n + 1, np.uint64)
             if start is not None:
                 sums[: kept + 1] = start.sums[k][: kept + 1]
-            sums[kept + 1 :] = (np.cumsum(terms) + sums[kept]) % np.uint64(prime)
+            for low in range(kept, self.n, AT_ONCE):
+                high = min(low + AT_ONCE, self.n)
+                terms = (codes[low - kept : high - kept].astype(np.uint64) + np.uint64(1)) * powers[low:high] % np.uint64(prime)
+                sums[low + 1 : high + 1] = (np.cumsum(terms) + sums[low]) % np.uint64(prime)
             self.sums.append(sums)
 
     def spans(self, starts: np.ndarray, size: int, k: int) -> np.ndarray:
@@ -114,20 +119,32 @@ class PrefixHash:
         return low
 
     def _mixed(self, size: int) -> np.ndarray:
-        starts = np.arange(self.n - size + 1)
-        return mix64(self.spans(starts, size, 0) << np.uint64(31) | self.spans(starts, size, 1))
+        out = np.zeros(self.n - size + 1, np.uint64)
+        for low in range(0, len(out), AT_ONCE):
+            starts = np.arange(low, min(low + AT_ONCE, len(out)))
+            out[low : low + len(starts)] = mix64(self.spans(starts, size, 0) << np.uint64(31) | self.spans(starts, size, 1))
+        return out
 
     def fingerprint(self) -> str:
         sketch = ["--"] * SLOTS
         sizes = [SPAN, *([SHORT_SPAN] if self.n < SHORT_TEXT else [])]
-        values = np.sort(np.concatenate([self._mixed(min(s, self.n)) for s in sizes])) if self.n else np.zeros(0, np.uint64)
-        if len(values):
-            first = np.maximum.accumulate(np.where(np.diff(values, prepend=~values[0]) != 0, np.arange(len(values)), 0))
-            values = np.sort(mix64(values + (np.arange(len(values)) - first).astype(np.uint64)))
-            slots = (values >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-            first = np.flatnonzero(np.diff(slots, prepend=-1))
-            for slot, value in zip(slots[first].tolist(), (values[first] & np.uint64(255)).tolist(), strict=True):
-                sketch[slot] = f"{value:02x}"
+        values = np.concatenate([self._mixed(min(s, self.n)) for s in sizes]) if self.n else np.zeros(0, np.uint64)
+        values.sort()
+        least = np.full(SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF))
+        before, copies = None, 0
+        for low in range(0, len(values), AT_ONCE):
+            part = values[low : low + AT_ONCE]
+            new = np.ones(len(part), bool)
+            new[1:] = part[1:] != part[:-1]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(part)), 0))
+            nth = np.arange(len(part)) - first
+            if part[0] == before:  # copies of a span go on from the part before
+                nth[first == 0] += copies
+            before, copies = part[-1], int(nth[-1]) + 1
+            mixed = mix64(part + nth.astype(np.uint64))
+            np.minimum.at(least, (mixed >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64), mixed)
+        for slot in np.flatnonzero(least != np.uint64(0xFFFFFFFFFFFFFFFF)).tolist():
+            sketch[slot] = f"{int(least[slot]) & 255:02x}"
         return f"{self.n:x}.{self.span(0, self.n):016x}.{''.join(sketch)}"
 
 

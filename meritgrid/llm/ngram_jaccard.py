@@ -50,6 +50,8 @@ RARE = 16
 COUNTERS = 1 << 18
 #: Shingles gathered before they are counted.
 COUNTED_AT_ONCE = 1 << 20
+#: Words of a long text that are hashed at once.
+HASHED_AT_ONCE = 1 << 18
 #: Keys of up to so many documents are joined; larger ones are compared in tiles of so many.
 CROWD = 64
 TILE = 1024
@@ -67,16 +69,22 @@ def shingles(batch: pa.RecordBatch, text: str, n: int) -> tuple[np.ndarray, np.n
 
     def hashed(own: np.ndarray, size: int) -> np.ndarray:
         value = np.full(max(len(own) - size + 1, 0), n, np.uint64)
-        for k in range(size):
-            value += mix64(own[k : k + len(value)] * _FACTORS[k % len(_FACTORS)] + np.uint64(k + 1))
-        return mix64(value)
+        for start in range(0, len(value), HASHED_AT_ONCE):
+            part = value[start : start + HASHED_AT_ONCE]
+            for k in range(size):
+                part += mix64(own[start + k : start + k + len(part)] * _FACTORS[k % len(_FACTORS)] + np.uint64(k + 1))
+            part[:] = mix64(part)
+        return value
 
     value = hashed(hashes, n)
     parts = []
     for low, high in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         short = low < high < low + n
-        parts.append(np.unique(hashed(hashes[low:high], high - low) if short else value[low : max(high - n + 1, low)]))
-    return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.cumsum([0, *map(len, parts)])
+        own = np.sort(hashed(hashes[low:high], high - low) if short else value[low : max(high - n + 1, low)])
+        new = np.ones(len(own), bool)
+        new[1:] = own[1:] != own[:-1]
+        parts.append(own if new.all() else own[new])
+    return parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, np.uint64)]), np.cumsum([0, *map(len, parts)])
 
 
 def missing(n: np.ndarray | int, threshold: Fraction):
@@ -129,8 +137,13 @@ def unsketched(data: bytes) -> np.ndarray:
 
 def _sums(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     """Two hashes of each set."""
-    totals = [np.concatenate([[np.uint64(0)], np.cumsum(mix64(values + np.uint64(k)))]) for k in (1, 2)]
-    return [(t[first[1:]] - t[first[:-1]]).view(np.int64) for t in totals]
+    out = np.zeros((2, len(first) - 1), np.uint64)
+    for i, (low, high) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        for start in range(low, high, HASHED_AT_ONCE):
+            part = values[start : min(start + HASHED_AT_ONCE, high)]
+            for k in (1, 2):
+                out[k - 1, i] += mix64(part + np.uint64(k)).sum()
+    return [row.view(np.int64) for row in out]
 
 
 def _counters(values: np.ndarray) -> np.ndarray:

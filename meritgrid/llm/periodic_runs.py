@@ -7,7 +7,8 @@ Masking comes first. Words q apart agree over length - q >= max(min_length - q,
 less than k = min_length // 2 (at q = k), so each word of a run lies in a k-gram that occurs again q words earlier or
 later, inside the same run. Words outside repeated k-grams of their document can join no run, and a run lies whole in
 a segment, a stretch of words that are left. Words are masked by counters first (one that is shared by chance only
-leaves a word in), then exactly, by k-grams that recur inside their segment, until no segment gets smaller.
+leaves a word in), then by the k-grams themselves, which have to recur in the document, and at last inside their
+segment, until no segment gets smaller.
 
 Segments are searched by Main and Lorentz: cut in the middle, find the repetitions that cross the cut, go on with the
 halves. For a cut and a period the words that agree q apart, forwards and backwards from the cut, tell the repetition.
@@ -52,21 +53,60 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 Reading = Callable[[object, int], np.ndarray | None]
 
 
-def kgrams(words_: np.ndarray, k: int) -> np.ndarray:
-    """A hash of the k words from each place on that has so many behind it."""
-    n = max(len(words_) - k + 1, 0)
+def kgrams(words_: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A hash of the k words from each place on that has so many behind it, or from the places `at`."""
+    n = max(len(words_) - k + 1, 0) if at is None else len(at)
     out = np.zeros(n, np.uint64)
     for i in range(k):
-        out = mix64(out * _FACTOR + words_[i : i + n] + np.uint64(i + 1))
+        out = mix64(out * _FACTOR + (words_[i : i + n] if at is None else words_[at + i]) + np.uint64(i + 1))
     return out
 
 
+def _twice(keys: np.ndarray) -> np.ndarray:
+    """Which of the keys occur more than once."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    again = sorted_[1:] == sorted_[:-1]
+    out = np.zeros(len(keys), bool)
+    out[order[1:]] |= again
+    out[order[:-1]] |= again
+    return out
+
+
+def _repeated(words_: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k-grams that occur again in their document. Counters, a chunk of words at a time, leave few for
+    which keys are sorted."""
+    n = len(words_) - k + 1
+    bits = min(max(12, (COUNTERS_A_WORD * n).bit_length()), MOST_BITS)
+    shift = np.uint64(64 - bits)
+
+    def chunks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for start in range(0, n, AT_ONCE):
+            stop = min(start + AT_ONCE, n)
+            own = doc[start:stop]
+            places = start + np.flatnonzero(own == doc[start + k - 1 : stop + k - 1])
+            grams = kgrams(words_[start : stop + k - 1], k)[places - start]
+            yield places, (mix64(grams + own[places - start].astype(np.uint64) * _FACTOR) >> shift).astype(np.int64)
+
+    if n <= AT_ONCE:
+        places, counters = next(chunks(), (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        at = places[np.bincount(counters, minlength=1 << bits)[counters] > 1]
+    else:
+        seen, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+        for _, counters in chunks():
+            own, times = np.unique(counters, return_counts=True)
+            twice[own[seen[own] | (times > 1)]] = True
+            seen[own] = True
+        at = np.concatenate([places[twice[counters]] for places, counters in chunks()])
+    return at[_twice(mix64(kgrams(words_, k, at) + doc[at].astype(np.uint64) * _FACTOR))]
+
+
 def _spread(at: np.ndarray, n: int, k: int) -> np.ndarray:
     """Which of n words lie in the k-grams that begin at `at`."""
     edges = np.zeros(n + 1, np.int32)
     np.add.at(edges, at, 1)
     np.add.at(edges, at + k, -1)
-    return np.cumsum(edges[:-1]) > 0
+    return np.cumsum(edges[:-1], dtype=np.int32) > 0
 
 
 def _stretches(inside: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,25 +130,13 @@ def segments(words_: np.ndarray, first: np.ndarray, min_length: int) -> tuple[np
     if n < min_length:
         return none
     doc = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
-    grams = kgrams(words_, k)
-    whole = doc[: len(grams)] == doc[k - 1 :]
-    bits = min(max(12, (COUNTERS_A_WORD * n).bit_length()), MOST_BITS)
-    counter = (mix64(grams + doc[: len(grams)].astype(np.uint64) * _FACTOR) >> np.uint64(64 - bits)).astype(np.int64)
-    counter = counter[whole]
-    loads = np.bincount(counter, minlength=1 << bits)
-    at = np.flatnonzero(whole)[loads[counter] > 1]
-    starts, ends = _stretches(_spread(at, n, k), doc, min_length)
+    starts, ends = _stretches(_spread(_repeated(words_, doc, k), n, k), doc, min_length)
     while len(starts):
         sizes = ends - starts
         part = np.repeat(np.arange(len(starts)), sizes)
         place = np.arange(len(part)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
         own = place + k <= np.repeat(ends, sizes)
-        key = mix64(grams[place[own]] + part[own].astype(np.uint64) * _FACTOR)
-        order = np.argsort(key)
-        again = key[order][1:] == key[order][:-1]
-        twice = np.zeros(len(key), bool)
-        twice[order[1:]] |= again
-        twice[order[:-1]] |= again
+        twice = _twice(mix64(kgrams(words_, k, place[own]) + part[own].astype(np.uint64) * _FACTOR))
         left = _spread(np.flatnonzero(own)[twice], len(part), k)
         low, high = _stretches(left, part, min_length)
         before, (starts, ends) = (starts, ends), (place[low] if len(low) else low, place[high - 1] + 1 if len(high) else high)
@@ -291,10 +319,10 @@ def find_runs(
                     first = np.concatenate([[0], np.cumsum([len(o) for o in orders])])
                     hashes = hashes[np.concatenate([*orders, np.zeros(0, np.int64)])]
             s, e, q = runs(hashes, first, min_length)
-            edges = np.zeros(len(hashes) + 1, np.int64)
+            edges = np.zeros(len(hashes) + 1, np.int32)
             np.add.at(edges, s + q, 1)
             np.add.at(edges, e, -1)
-            keep = np.cumsum(edges[:-1]) == 0
+            keep = np.cumsum(edges[:-1], dtype=np.int32) == 0
             of = np.searchsorted(first, s, side="right") - 1
             made = pa.StructArray.from_arrays([pa.array(x) for x in (s - first[of], e - s, q)], ["start", "length", "period"])
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)), made)
