@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+import re
 from typing import Any
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,11 +20,35 @@ EXPONENTS = ["alpha", "beta", "gamma"]
 SHIFT_PERCENT = 20.0
 
 
+def _place(path: str) -> tuple[pafs.FileSystem, str]:
+    """Where a path or address of a shared folder is."""
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "/", str(path)))
+
+
+def _text(path: str) -> str:
+    fs, at = _place(path)
+    with fs.open_input_stream(at) as f:
+        return f.read().decode()
+
+
+def _files(folder: str, specialty: str = "") -> list[str]:
+    """The files of vectors (of one specialty) in a folder, by name."""
+    fs, at = _place(folder)
+    found = fs.get_file_info(pafs.FileSelector(at, allow_not_found=True))
+    pattern = re.compile(rf"{re.escape(specialty) if specialty else '.*'}_v.*[.]yaml")
+    return sorted(f"{folder}/{f.base_name}" for f in found if f.type == pafs.FileType.File and pattern.fullmatch(f.base_name))
+
+
+def _version(path: str) -> int:
+    tail = path.rpartition("_v")[2].removesuffix(".yaml").removesuffix("_pending")
+    return int(tail) if tail.isdigit() else -1
+
+
 def read_vector(path: str) -> dict[str, Any]:
     """A weight vector out of a YAML file, a small file on the driver's side; weights must add up to one."""
     import yaml
 
-    vector = yaml.safe_load(Path(path).read_text())
+    vector = yaml.safe_load(_text(path))
     total = sum(vector["weights"].values())
     if abs(total - 1.0) >= 0.001:
         raise ValueError(f"the weights of {vector['specialty']} add up to {total}")
@@ -37,8 +62,8 @@ def weight_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """(specialty, version, created, parameter, value) of all `*_v*.yaml` of a folder: one row a weight or exponent.
     The latest versions are `latest_vectors`, all of them the history that `monitoring.jumps` looks at."""
     rows = []
-    for path in sorted(Path(folder).glob("*_v*.yaml")):
-        v = read_vector(str(path))
+    for path in _files(folder):
+        v = read_vector(path)
         own = [(k, float(x)) for k, x in v["weights"].items()] + [(f"exponent.{k}", float(x)) for k, x in v["exponents"].items()]
         rows += [(v["specialty"], int(v["version"]), str(v.get("created") or ""), k, x) for k, x in own]
     table = spark.createDataFrame(rows, "specialty string, version int, created string, parameter string, value double")
@@ -56,9 +81,8 @@ def write_vector(vector: dict[str, Any], exponents: tuple[float, float, float],
     approval; its path."""
     import yaml
 
-    target = Path(folder) / "staging" if staging else Path(folder)
-    known = [int(p.stem.rpartition("_v")[2]) for p in Path(folder).glob(f"{vector['specialty']}_v*.yaml") if p.stem.rpartition("_v")[2].isdigit()]
-    version = max(known, default=0) + 1
+    target = f"{folder}/staging" if staging else folder
+    version = max((_version(p) for p in _files(folder, vector["specialty"])), default=0) + 1
     content = {
         "version": version,
         "specialty": vector["specialty"],
@@ -67,10 +91,12 @@ def write_vector(vector: dict[str, Any], exponents: tuple[float, float, float],
         "exponents": {k: round(v, 4) for k, v in zip(EXPONENTS, exponents, strict=True)},
         "exponent_bounds": {k: list(v) for k, v in vector["exponent_bounds"].items()},
     }
-    target.mkdir(parents=True, exist_ok=True)
-    path = target / f"{vector['specialty']}_v{version}{'_pending' if staging else ''}.yaml"
-    path.write_text(yaml.safe_dump(content))
-    return str(path)
+    path = f"{target}/{vector['specialty']}_v{version}{'_pending' if staging else ''}.yaml"
+    fs, at = _place(target)
+    fs.create_dir(at, recursive=True)
+    with fs.open_output_stream(_place(path)[1]) as f:
+        f.write(yaml.safe_dump(content).encode())
+    return path
 
 
 def selected_specialty(distribution: Column, asked: Column, available: list[str]) -> Column:
@@ -171,33 +197,29 @@ def vector_shifts(old: DataFrame, new: DataFrame, threshold: float = SHIFT_PERCE
     )
 
 
-def _version(path: Path) -> int:
-    tail = path.stem.rpartition("_v")[2].removesuffix("_pending")
-    return int(tail) if tail.isdigit() else -1
-
-
 def newest_file(folder: str, specialty: str) -> str:
     """The file of a specialty's highest version."""
-    known = [p for p in Path(folder).glob(f"{specialty}_v*.yaml") if _version(p) >= 0]
+    known = [p for p in _files(folder, specialty) if _version(p) >= 0]
     if not known:
         raise FileNotFoundError(f"no vector of {specialty} in {folder}")
-    return str(max(known, key=_version))
+    return max(known, key=_version)
 
 
 def approve(staged: str) -> str:
     """Makes a vector that waits in `staging` a version of its own, the next one there is by then; its path."""
     vector = read_vector(staged)
-    folder = Path(staged).parent.parent
+    folder = staged.rpartition("/")[0].rpartition("/")[0]
     exponents = tuple(float(vector["exponents"][k]) for k in EXPONENTS)
-    path = write_vector(vector, exponents, str(folder), str(vector["created"]))
-    Path(staged).unlink()
+    path = write_vector(vector, exponents, folder, str(vector["created"]))
+    fs, at = _place(staged)
+    fs.delete_file(at)
     return path
 
 
 def roll_back(folder: str, specialty: str, day: str) -> str:
     """Writes the version before the highest anew as the next one, so what was used when stays on file; its path."""
-    known = sorted((p for p in Path(folder).glob(f"{specialty}_v*.yaml") if _version(p) >= 0), key=_version)
+    known = sorted((p for p in _files(folder, specialty) if _version(p) >= 0), key=_version)
     if len(known) < 2:
         raise ValueError(f"{specialty} has no version to go back to")
-    before = read_vector(str(known[-2]))
+    before = read_vector(known[-2])
     return write_vector(before, tuple(float(before["exponents"][k]) for k in EXPONENTS), folder, day)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meritgrid.functions.positions import shared_folder
-from meritgrid.operators import logs, privacy
+from meritgrid.operators import learning, logs, privacy, routing
 from meritgrid.plans.standins import candidates, table
+from meritgrid.plans.store_queries import fit_pairs
 
 
 def logged_events(spark: SparkSession, d: str) -> DataFrame:
@@ -91,9 +92,22 @@ def specialty_counts(spark: SparkSession, d: str) -> DataFrame:
     return candidates(spark, d).rollup("segment", "country").agg(F.count(F.lit(1)).alias("n"))
 
 
+def refit_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """From judged pairs of order lines to a written version, approved where it has to be, and read back: the first
+    version and what the cycle made of it."""
+    folder = f"{shared_folder(spark)}/vectors-{uuids.uuid4().hex}"
+    first = {"specialty": "lines", "weights": {"f1_rcr": 0.6, "f3_leadership": 0.4}, "exponent_bounds": {}}
+    routing.write_vector(first, learning.START, folder, "2024-01-01")
+    done = learning.refit(fit_pairs(spark, d), folder, "lines", "2024-02-01")
+    if done["action"] == "manual":
+        routing.approve(str(done["path"]))
+    vectors = routing.weight_vectors(spark, folder)
+    return vectors.select("version", "created", "parameter", F.round("value", 4).alias("value"), F.lit(str(done["action"])).alias("action"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (logged_events, snapshot_rows, recall_trend, recall_passes, archetypes, gate_totals, stripped_fields, full_trails, specialty_counts)
+    for f in (logged_events, snapshot_rows, recall_trend, recall_passes, archetypes, gate_totals, stripped_fields, full_trails, specialty_counts, refit_cycle)
 }
 
 _RECALLS = """r AS (SELECT n_name AS query, date_trunc('month', o_orderdate)::DATE AS run_date, count(*) FILTER (o_orderstatus = 'F') / count(*) AS recall

@@ -186,7 +186,7 @@ def pair_sampling(spark: SparkSession, d: str) -> DataFrame:
     return learning.sampled_pairs(c, judged, 200)
 
 
-def _fit_pairs(spark: SparkSession, d: str) -> DataFrame:
+def fit_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of neighbouring order lines, preferred by value: wq, wt, wr of the one, lq, lt, lr of the other."""
     li = table(spark, d, "lineitem")
     x = li.select(
@@ -207,14 +207,14 @@ def _fit_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def exponent_fit(spark: SparkSession, d: str) -> DataFrame:
     """The fit on pairs of order lines: three exponents, half-widths, decision."""
-    fit = learning.fit_exponents(_fit_pairs(spark, d))
+    fit = learning.fit_exponents(fit_pairs(spark, d))
     schema = "alpha double, beta double, gamma double, ci_alpha double, ci_beta double, ci_gamma double, decision string, n_pairs long"
     row = (*(round(v, 4) for v in (*fit.exponents, *fit.half_widths)), learning.deployment(learning.START, fit), fit.n_pairs)
     return spark.createDataFrame([row], schema)
 
 
 def pair_likelihood(spark: SparkSession, d: str) -> DataFrame:
-    return learning.negative_log_likelihood(_fit_pairs(spark, d), learning.START).withColumn("nll", F.round("nll", 3))
+    return learning.negative_log_likelihood(fit_pairs(spark, d), learning.START).withColumn("nll", F.round("nll", 3))
 
 
 def code_terms(spark: SparkSession, d: str) -> DataFrame:
