@@ -41,7 +41,8 @@ def pairs_by_key(rows: DataFrame, key: str, member: str, tile: int = TILE, where
     y = side("y", F.sequence(F.lit(0), F.col("_t")), F.col("_o"), F.col("_t"))
     met = x.join(y, ["_key", "_i", "_j"]).where(((F.col("_i") < F.col("_j")) & (F.col("_x") != F.col("_y"))) | (F.col("_x") < F.col("_y")))
     first = F.col("_x") < F.col("_y")
-    pick = lambda c, a, b: [F.when(first, F.col(f"_{c}x")).otherwise(F.col(f"_{c}y")).alias(a), F.when(first, F.col(f"_{c}y")).otherwise(F.col(f"_{c}x")).alias(b)]
+    pick = lambda c, a, b: [F.when(first, F.col(f"_{c}x")).otherwise(F.col(f"_{c}y")).alias(a), F.when(first,
+        F.col(f"_{c}y")).otherwise(F.col(f"_{c}x")).alias(b)]
     out = met.select(F.col("_key").alias(key), *pick("", "a", "b"), *(p for c in more for p in pick(f"{c}_", f"{c}_a", f"{c}_b")))
     return out if where is None else out.where(where)
 
@@ -71,12 +72,16 @@ def blocks_of_span(first: Column, last: Column) -> Column:
 
 def blocks_of_day(day: Column) -> Column:
     """An array of (level, block): the block of each level that holds the day."""
-    return F.transform(F.sequence(F.lit(0), F.lit(DAY_BITS)), lambda k: F.struct(k.alias("level"), F.floor(_day(day) / F.pow(F.lit(2), k)).cast("int").alias("block")))
+    return F.transform(F.sequence(F.lit(0), F.lit(DAY_BITS)), lambda k: F.struct(k.alias("level"), F.floor(_day(day) / F.pow(F.lit(2),
+        k)).cast("int").alias("block")))
 
 
-def days_in_spans(days: DataFrame, spans: DataFrame, keys: list[str], day: str = "day", first: str = "first_day", last: str = "last_day") -> DataFrame:
+def days_in_spans(days: DataFrame, spans: DataFrame, keys: list[str], day: str = "day", first: str = "first_day",
+    last: str = "last_day") -> DataFrame:
     """Rows of `days` (keys, day, ...) with those of `spans` (keys, first_day, last_day, ...) that hold the day, both ends
     included; a missing end is open. An equi-join by keys and blocks of days, in which a day and a span meet once."""
-    span = spans.withColumn("_b", F.explode(blocks_of_span(F.coalesce(first, F.lit("1900-01-01").cast("date")), F.coalesce(last, F.lit("2120-01-01").cast("date")))))
+    span = spans.withColumn("_b", F.explode(blocks_of_span(F.coalesce(first, F.lit("1900-01-01").cast("date")), F.coalesce(last,
+        F.lit("2120-01-01").cast("date")))))
     asked = days.withColumn("_b", F.explode(blocks_of_day(F.col(day))))
-    return asked.select("*", "_b.level", "_b.block").drop("_b").join(span.select("*", "_b.level", "_b.block").drop("_b"), [*keys, "level", "block"]).drop("level", "block")
+    return asked.select("*", "_b.level", "_b.block").drop("_b").join(span.select("*", "_b.level", "_b.block").drop("_b"), [*keys, "level",
+        "block"]).drop("level", "block")

@@ -27,7 +27,8 @@ def members_on(spans: DataFrame, days: DataFrame) -> DataFrame:
     return days_in_spans(days, whole, ["cohort"]).select("cohort", "day", "uuid").distinct()
 
 
-def log_of(log: DataFrame, *, cohort: str | None = None, uuid: str | None = None, reason: str | None = None, since: Column | None = None) -> DataFrame:
+def log_of(log: DataFrame, *, cohort: str | None = None, uuid: str | None = None, reason: str | None = None,
+    since: Column | None = None) -> DataFrame:
     """Entries of a cohort, a candidate or for a reason, from a time on; the filters reach the scan. In order of time,
     ties by entry."""
     out = log
@@ -40,7 +41,8 @@ def log_of(log: DataFrame, *, cohort: str | None = None, uuid: str | None = None
 def daily_summary(log: DataFrame) -> DataFrame:
     """(cohort, day, added, removed, net, reasons): a day's entries; `reasons` counts each."""
     day = F.to_date("ts").alias("day")
-    counts = log.groupBy("cohort", day).agg(F.count_if(F.col("action") == "add").alias("added"), F.count_if(F.col("action") == "remove").alias("removed"))
+    counts = log.groupBy("cohort", day).agg(F.count_if(F.col("action") == "add").alias("added"),
+        F.count_if(F.col("action") == "remove").alias("removed"))
     reasons = log.groupBy("cohort", day, "reason").agg(F.count(F.lit(1)).alias("n")).where("reason is not null")
     listed = reasons.groupBy("cohort", "day").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("reasons"))
     return counts.withColumn("net", F.col("added") - F.col("removed")).join(listed, ["cohort", "day"], "left")

@@ -234,7 +234,8 @@ def link(artifacts: DataFrame, candidates: DataFrame) -> DataFrame:
     shared = own.join(other, "key").select("artifact_id", "uuid").unionByName(_close_terms(left, right)).distinct()
     best = settled(_links(shared, left, right))
 
-    asked, offered = (side.select(key, F.explode(F.transform(names, lambda n: n["name"])).alias(k)) for side, key, names, k in ((left, "artifact_id", "names", "x"), (right, "uuid", "c_names", "y")))
+    asked, offered = (side.select(key, F.explode(F.transform(names, lambda n: n["name"])).alias(k)) for side, key, names, k in ((left, "artifact_id",
+        "names", "x"), (right, "uuid", "c_names", "y")))
     known = settled(prepared(offered.select("y"), "y"))
     w = LINK_WEIGHTS
     for i, ratio in enumerate(LINK_ROUNDS):
@@ -253,7 +254,8 @@ def link(artifacts: DataFrame, candidates: DataFrame) -> DataFrame:
         best = settled(both.groupBy("artifact_id").agg(F.min(rows).alias("m")).select("artifact_id", "m.*").drop("d").select(*best.columns))
     out = artifacts.select("artifact_id").join(best, "artifact_id", "left")
     out = out.select(
-        "artifact_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), *(F.coalesce(f"f_{k}", F.lit(0.0)).alias(f"f_{k}") for k in w), "uuid"
+        "artifact_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), *(F.coalesce(f"f_{k}", F.lit(0.0)).alias(f"f_{k}") for k in w),
+            "uuid"
     )
     return out.withColumn("action", link_action(F.col("confidence")))
 

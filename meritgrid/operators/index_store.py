@@ -39,7 +39,8 @@ class StoredIndex:
 
     def lookup(self, terms: Sequence[str]) -> DataFrame:
         """(term, uuid) of some terms; only their buckets are read."""
-        wanted = self.spark.range(1).select(F.array_distinct(F.array(*(bucket(F.lit(t), self.buckets) for t in terms))).alias("b")).first()["b"] if terms else []
+        wanted = self.spark.range(1).select(F.array_distinct(F.array(*(bucket(F.lit(t),
+            self.buckets) for t in terms))).alias("b")).first()["b"] if terms else []
         return self.entries().where(F.col("bucket").isin(wanted) & F.col("term").isin(list(terms))).select("term", "uuid")
 
     def join(self, queries: DataFrame, term: str = "term") -> DataFrame:
@@ -51,7 +52,8 @@ class StoredIndex:
         """Replaces the entries (term, uuid) of the people in `before` by those in `after`; people in neither stay."""
         old, new = before.select("term", "uuid"), after.select("term", "uuid")
         gone, come = old.join(new, ["term", "uuid"], "left_anti"), new.join(old, ["term", "uuid"], "left_anti")
-        touched = [r["bucket"] for r in gone.unionByName(come).where("term is not null").select(bucket(F.col("term"), self.buckets).alias("bucket")).distinct().collect()]
+        touched = [r["bucket"] for r in gone.unionByName(come).where("term is not null").select(bucket(F.col("term"),
+            self.buckets).alias("bucket")).distinct().collect()]
         if not touched:
             return
         kept = self.entries().where(F.col("bucket").isin(touched)).select("term", "uuid").join(gone, ["term", "uuid"], "left_anti")

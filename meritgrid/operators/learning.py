@@ -35,7 +35,8 @@ def _strata(placed: DataFrame, n: int, widest: float) -> DataFrame:
     higher by 2^k - 1 or more, but not by 2^(k + 1) - 1. What stands below so many scores is counted in one order of
     scores and bounds."""
     steps = [k for k in range(1, 1024) if 2.0**k - 1 <= widest]
-    bounds = placed.select("p", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col("score") + (2.0**k - 1)).alias("v")) for k in steps))).alias("b")) if steps else None
+    bounds = placed.select("p", F.explode(F.array(*(F.struct(F.lit(k).alias("k"),
+        (F.col("score") + (2.0**k - 1)).alias("v")) for k in steps))).alias("b")) if steps else None
     first = placed.select("p", "score", F.lit(0).alias("k"), (F.col("p") + 1).alias("low"))
     if bounds is None:
         return first.withColumn("high", F.lit(n + 1).cast("long")).where("low < high")
@@ -68,7 +69,8 @@ def sampled_pairs(candidates: DataFrame, judged: DataFrame, n_pairs: int, seed:
 
     def rung(pairs: DataFrame, *more: str) -> DataFrame:
         """Pairs (p, q) as (a, b, w)."""
-        x, y = placed.select("p", F.col("uuid").alias("x"), F.col("score").alias("sx")), placed.select(F.col("p").alias("q"), F.col("uuid").alias("y"), F.col("score").alias("sy"))
+        x, y = placed.select("p", F.col("uuid").alias("x"), F.col("score").alias("sx")), placed.select(F.col("p").alias("q"),
+            F.col("uuid").alias("y"), F.col("score").alias("sy"))
         weight = 1.0 / (1.0 + F.abs(F.col("sy") - F.col("sx")))
         return pairs.join(x, "p").join(y, "q").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), weight.alias("w"), *more)
 

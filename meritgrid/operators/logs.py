@@ -96,7 +96,8 @@ def archetype_coverage(archetypes: DataFrame, artifacts: DataFrame, share: float
     coverage = F.when(expected == 0, 1.0).otherwise(found / expected)
     return joined.select(
         "archetype_id", expected.alias("expected"), found.alias("found"), F.round(coverage, 6).alias("coverage"),
-        F.coalesce("missing", F.array().cast("array<string>")).alias("missing"), (~F.coalesce("in_scope", F.lit(True)) | (coverage >= share)).alias("passes"),
+        F.coalesce("missing", F.array().cast("array<string>")).alias("missing"), (~F.coalesce("in_scope",
+            F.lit(True)) | (coverage >= share)).alias("passes"),
     )
 
 

@@ -38,7 +38,8 @@ def containing(questions: DataFrame, texts: DataFrame, asked: str, text: str) ->
     size = F.least(F.lit(PIECE), F.length("_asked"))
     pieces = wanted.select("_asked", F.explode(F.array_distinct(_pieces(F.col("_asked"), size))).alias("_piece"))
     counts = index.join(pieces.select("_piece").distinct(), "_piece", "left_semi").groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = pieces.join(counts, "_piece", "left").groupBy("_asked").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), "_piece")).alias("r")).select("_asked", "r._piece")
+    rarest = pieces.join(counts, "_piece", "left").groupBy("_asked").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)),
+        "_piece")).alias("r")).select("_asked", "r._piece")
     held = rarest.join(index, "_piece").where(F.contains("_text", "_asked")).select("_asked", "_text")
     left, right = questions.withColumn("_asked", F.lower(asked)), texts.withColumn("_text", F.lower(text))
     return left.join(held, "_asked").join(right, "_text").drop("_asked", "_text")

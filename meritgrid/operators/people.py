@@ -72,11 +72,13 @@ def merged_people(rows: DataFrame, people: DataFrame) -> DataFrame:
 
     pairs = joined.select("uuid", F.explode("strong_keys").alias("t", "v")).where("v is not null")
     kinds = pairs.groupBy("uuid", "t").agg(F.min("v").alias("v"), (F.count_distinct("v") - 1).alias("more"))
-    keys = kinds.groupBy("uuid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("t", "v")))).alias("strong_keys"), F.sum("more").alias("conflicts"))
+    keys = kinds.groupBy("uuid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("t", "v")))).alias("strong_keys"),
+        F.sum("more").alias("conflicts"))
     shares = joined.select("uuid", F.explode("specialties").alias("t", "p")).groupBy("uuid", "t").agg(F.max("p").alias("p"))
     specialties = shares.groupBy("uuid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("t", "p")))).alias("specialties"))
     out = joined.groupBy("uuid").agg(
-        F.count_if(F.col("kind") == "record").alias("n_records"), F.count_if(F.col("kind") == "stored").alias("n_stored"), F.max("confidence").alias("confidence")
+        F.count_if(F.col("kind") == "record").alias("n_records"), F.count_if(F.col("kind") == "stored").alias("n_stored"),
+            F.max("confidence").alias("confidence")
     )
     for part in (united("names"), united("refs"), united("populations"), keys, specialties):
         out = out.join(part, "uuid", "left")

@@ -126,7 +126,8 @@ def opted_out(log: DataFrame) -> DataFrame:
 
 def opt_out_stats(log: DataFrame) -> DataFrame:
     return latest_action(log).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("action") == "opt_out").alias("opted_out"), F.count_if(F.col("action") == "opt_in").alias("opted_in")
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("action") == "opt_out").alias("opted_out"),
+            F.count_if(F.col("action") == "opt_in").alias("opted_in")
     )
 
 

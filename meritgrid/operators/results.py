@@ -18,7 +18,8 @@ LINKS = {
 OTHER_LINK = "https://search.crossref.org/?q="
 BAND = (0.88, 1.12)
 FEATURES = [
-    "total_papers", "last_author_rate", "mean_rcr", "rcr_above_2", "total_patents", "lead_inventor_count", "total_grants", "r01_equivalent_count", "total_trials",
+    "total_papers", "last_author_rate", "mean_rcr", "rcr_above_2", "total_patents", "lead_inventor_count", "total_grants", "r01_equivalent_count",
+        "total_trials",
     "phase3_trials", "has_npi", "has_abms_certification", "has_hospital_affiliation", "procedure_volume",
 ]
 AMBIGUOUS_BELOW = 0.6

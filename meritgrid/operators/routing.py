@@ -193,7 +193,8 @@ def vector_shifts(old: DataFrame, new: DataFrame, threshold: float = SHIFT_PERCE
     change = F.abs(b - a)
     percent = F.when(F.abs(a) < 1e-10, F.when(change > 0.01, 100.0).otherwise(0.0)).otherwise(100.0 * change / F.abs(a))
     return both.select(
-        "specialty", "parameter", a.alias("old_value"), b.alias("new_value"), F.round(change, 6).alias("change"), F.round(percent, 2).alias("change_pct"), (percent > threshold).alias("exceeds")
+        "specialty", "parameter", a.alias("old_value"), b.alias("new_value"), F.round(change, 6).alias("change"), F.round(percent,
+            2).alias("change_pct"), (percent > threshold).alias("exceeds")
     )
 
 

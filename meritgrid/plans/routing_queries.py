@@ -309,7 +309,8 @@ def get_or_create(spark: SparkSession, d: str) -> DataFrame:
     )
     rows = o.select(k.alias("id"), keys.alias("strong_keys"))
     c = candidates(spark, d)
-    registry = c.where("uuid % 2 = 0").select(F.lit("npi").alias("key_type"), F.concat(F.lit("n"), "uuid").alias("key_value"), F.concat(F.lit("u"), "uuid").alias("uuid")).unionByName(
+    registry = c.where("uuid % 2 = 0").select(F.lit("npi").alias("key_type"), F.concat(F.lit("n"), "uuid").alias("key_value"), F.concat(F.lit("u"),
+        "uuid").alias("uuid")).unionByName(
         c.where("uuid % 5 = 0").select(
             F.lit("orcid").alias("key_type"),
             F.concat(F.lit("o"), "uuid").alias("key_value"),
@@ -322,7 +323,8 @@ def get_or_create(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        expand_terms, resolve_organisations, routed_quality, score_collapse, specialty_reassigned, reassignment_rates, coverage_delta, clinician_coverage,
+        expand_terms, resolve_organisations, routed_quality, score_collapse, specialty_reassigned, reassignment_rates, coverage_delta,
+            clinician_coverage,
         dispute_feedback, review_training, patents_without_conflicts, session_rule, term_cohort, merged_people, merged_terms, median_ratio,
         landed_citations, landed_works_people, landed_retractions, evidence_facets, get_or_create,
     )
@@ -331,7 +333,8 @@ QUERIES = {
 _STOP = ", ".join(f"'{w}'" for w in expansion.STOP_WORDS)
 _SHARES = "round(100.0 * count(*) FILTER ({t}) / count(*), 2)::DOUBLE"
 _METRICS = {
-    "strong_key_pct": "uuid % 3 = 0 OR uuid % 5 = 0", "probabilistic_linkage_pct": "conf >= 0.7", "pubmed_pct": "p > 0", "reporter_pct": "g > 0", "ctgov_pct": "t > 0", "thin_record_pct": "p + g + t < 3",
+    "strong_key_pct": "uuid % 3 = 0 OR uuid % 5 = 0", "probabilistic_linkage_pct": "conf >= 0.7", "pubmed_pct": "p > 0", "reporter_pct": "g > 0",
+        "ctgov_pct": "t > 0", "thin_record_pct": "p + g + t < 3",
 }
 
 
@@ -350,50 +353,88 @@ ORACLE_SQL = {
     "expand_terms": f"""WITH c AS (SELECT c_custkey AS id, c_mktsegment AS s, n_name AS n FROM customer JOIN nation ON n_nationkey = c_nationkey),
       v AS (SELECT DISTINCT unnest([upper(left(s, 1)) || lower(substr(s, 2)), n, n || ', ' || s]) AS label FROM c),
       t AS (SELECT id, s || ' ' || n AS q, list_filter(string_split(s || ' ' || n, ' '), lambda x: length(x) > 2) AS w FROM c),
-      a AS (SELECT id, unnest(l) AS term, generate_subscripts(l, 1) AS p FROM (SELECT id, list_concat([q], list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_filter(w, lambda x: lower(x) NOT IN ({_STOP}))) AS l FROM t)),
+      a AS (SELECT id, unnest(l) AS term, generate_subscripts(l, 1) AS p FROM (SELECT id, list_concat([q], list_transform(range(1, len(w)),
+        lambda i: w[i] || ' ' || w[i + 1]), list_filter(w, lambda x: lower(x) NOT IN ({_STOP}))) AS l FROM t)),
       d AS (SELECT id, lower(term) AS t, min(p) AS p FROM a GROUP BY ALL), u AS (SELECT DISTINCT t FROM d),
       k AS (SELECT t, label, row_number() OVER (PARTITION BY t ORDER BY label) AS k FROM u JOIN v ON contains(lower(label), t) QUALIFY k <= 5),
       f AS (SELECT id, arg_min(label, (p, k)) AS label, min((p, k)) AS o FROM d JOIN k USING (t) GROUP BY id, lower(label))
       SELECT id, string_agg(label, '|' ORDER BY o) AS terms, 0.8::DOUBLE AS confidence FROM f GROUP BY id""",
-    "routed_quality": f"""WITH c AS (SELECT c_custkey AS u, CASE c_custkey % 10 WHEN 0 THEN 'basic_research' WHEN 1 THEN 'unknown' END AS asked, (c_custkey % 7) / 7.0::DOUBLE AS a, (c_custkey % 5) / 5.0::DOUBLE AS b FROM customer),
-      s AS (SELECT u, CASE WHEN asked = 'basic_research' THEN asked WHEN a >= greatest(b, 0.3) THEN 'clinician' WHEN b >= 0.3 THEN 'basic_research' ELSE 'translational' END AS specialty FROM c)
-      SELECT u AS uuid, specialty, round(exp(CASE specialty WHEN 'clinician' THEN {_weighted("clinician")} WHEN 'basic_research' THEN {_weighted("basic_research")} END), 8) AS raw_score FROM s""",
-    "score_collapse": """WITH b AS (SELECT l_orderkey AS q, max(l_discount) AS m FROM lineitem WHERE l_linenumber <> 1 GROUP BY 1), s AS (SELECT o_orderkey AS query, coalesce(m < 0.05, true) AS collapsed, [o_orderpriority, o_orderstatus] AS t FROM orders LEFT JOIN b ON q = o_orderkey)
-      SELECT query, collapsed, array_to_string(CASE WHEN collapsed THEN list_sort(list_distinct(list_concat(t, CASE WHEN t[1] IN ('1-URGENT', '2-HIGH') THEN ['HIGH'] ELSE [] END, CASE WHEN t[2] = 'O' THEN ['STATUS'] ELSE [] END))) ELSE t END, '|') AS terms,
+    "routed_quality": f"""WITH c AS (SELECT c_custkey AS u, CASE c_custkey % 10 WHEN 0 THEN 'basic_research' WHEN 1 THEN 'unknown' END AS asked,
+          (c_custkey % 7) / 7.0::DOUBLE AS a, (c_custkey % 5) / 5.0::DOUBLE AS b FROM customer),
+      s AS (SELECT u, CASE WHEN asked = 'basic_research' THEN asked WHEN a >= greatest(b, 0.3) THEN 'clinician' WHEN b >= 0.3 THEN 'basic_research'
+        ELSE 'translational' END AS specialty FROM c)
+      SELECT u AS uuid, specialty, round(exp(CASE specialty WHEN 'clinician' THEN {_weighted("clinician")}
+        WHEN 'basic_research' THEN {_weighted("basic_research")} END), 8) AS raw_score FROM s""",
+    "score_collapse": """WITH b AS (SELECT l_orderkey AS q, max(l_discount) AS m FROM lineitem WHERE l_linenumber <> 1 GROUP BY 1),
+          s AS (SELECT o_orderkey AS query, coalesce(m < 0.05, true) AS collapsed, [o_orderpriority, o_orderstatus] AS t FROM orders LEFT
+            JOIN b ON q = o_orderkey)
+      SELECT query, collapsed, array_to_string(CASE WHEN collapsed THEN list_sort(list_distinct(list_concat(t, CASE WHEN t[1] IN ('1-URGENT',
+        '2-HIGH') THEN ['HIGH'] ELSE [] END, CASE WHEN t[2] = 'O' THEN ['STATUS'] ELSE [] END))) ELSE t END, '|') AS terms,
         CASE WHEN collapsed THEN 'low_confidence_ranking' ELSE 'normal' END AS flag FROM s""",
-    "specialty_reassigned": """WITH s AS (SELECT c_custkey AS u, (c_custkey * 3 % 11) / 10.0::DOUBLE AS a, (c_custkey * 3 % 7) / 10.0::DOUBLE AS b, (c_custkey * 5 % 11) / 10.0::DOUBLE AS x, (c_custkey * 5 % 7) / 10.0::DOUBLE AS y FROM customer),
+    "specialty_reassigned": """WITH s AS (SELECT c_custkey AS u, (c_custkey * 3 % 11) / 10.0::DOUBLE AS a, (c_custkey * 3 % 7) / 10.0::DOUBLE AS b,
+          (c_custkey * 5 % 11) / 10.0::DOUBLE AS x, (c_custkey * 5 % 7) / 10.0::DOUBLE AS y FROM customer),
       k AS (SELECT *, greatest(abs(greatest(x, y) - greatest(a, b)), abs(x - a), b, y) AS shift FROM s WHERE (a >= b) <> (x >= y))
-      SELECT u AS uuid, CASE WHEN a >= b THEN 'clinician' ELSE 'other' END AS previous, CASE WHEN x >= y THEN 'clinician' ELSE 'other' END AS new, round(greatest(a, b), 4) AS previous_confidence, round(greatest(x, y), 4) AS new_confidence, round(shift, 4) AS shift, shift >= 0.3 AS major FROM k""",
-    "reassignment_rates": """WITH r AS (SELECT ts::DATE AS run_date, count(*) AS total, count(*) FILTER (event_type = 'error') AS reassigned, count(*) FILTER (event_type = 'error' AND value > 50) AS major FROM events GROUP BY 1), k AS (SELECT *, reassigned / total::DOUBLE AS x FROM r)
-      SELECT run_date, total, reassigned, major, round(x, 4) AS rate, x > 0.2 AS alert, max(round(x, 4)) OVER (ORDER BY run_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) <= 0.2 AS stable FROM k""",
-    "clinician_coverage": """WITH c AS (SELECT c_custkey AS u, left(n_name, 2) AS s FROM customer JOIN nation ON n_nationkey = c_nationkey), k AS (SELECT *, s IN ('CA', 'NY', 'TX', 'FL', 'IL', 'PA', 'OH', 'NC', 'GA', 'MI') AS c FROM c),
-      r AS (SELECT count(*) AS total_clinicians, round(100.0 * count(*) FILTER (u % 3 <> 0) / count(*), 2)::DOUBLE AS npi_crosslinked_pct, round(100.0 * count(*) FILTER (u % 5 = 0) / count(*), 2)::DOUBLE AS abms_coverage_pct, round(100.0 * count(*) FILTER (u % 2 = 0) / count(*), 2)::DOUBLE AS state_board_coverage_pct,
-        round(100.0 * count(*) FILTER (u % 7 = 0) / count(*), 2)::DOUBLE AS hospital_tier_pct, round(100.0 * count(*) FILTER (u % 4 = 0) / count(*), 2)::DOUBLE AS publication_pct, coalesce(string_agg(DISTINCT s, ',' ORDER BY s) FILTER (c), '') AS covered_states, coalesce(string_agg(DISTINCT s, ',' ORDER BY s) FILTER (NOT c), '') AS gap_states FROM k)
-      SELECT *, array_to_string(list_filter([CASE WHEN publication_pct < 30 THEN 'few publications' END, CASE WHEN abms_coverage_pct < 50 THEN 'few certifications' END], lambda x: x IS NOT NULL), ',') AS caveats FROM r""",
-    "dispute_feedback": """WITH l AS (SELECT l_orderkey AS d, arg_max(l_quantity > 25, l_linenumber * 100 + l_quantity) AS c FROM lineitem GROUP BY 1), k AS (SELECT o_orderkey AS dispute, o_custkey AS uuid, ['low_quality_output', 'incorrect_ranking', 'missing_expertise', 'integrity_concern', 'other'][o_orderkey % 5 + 1] AS category FROM orders JOIN l ON d = o_orderkey WHERE c)
-      SELECT dispute, uuid, category, CASE category WHEN 'integrity_concern' THEN 'flag' WHEN 'other' THEN 'review' ELSE 'downweight' END AS direction, 1.0::DOUBLE AS weight FROM k""",
-    "review_training": "SELECT o_orderkey AS item, o_custkey AS uuid, o_totalprice AS features, l_linestatus AS decision, l_linenumber AS decided_at FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'",
-    "patents_without_conflicts": "SELECT p_partkey AS patent FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag IN ('R', 'A'))",
+      SELECT u AS uuid, CASE WHEN a >= b THEN 'clinician' ELSE 'other' END AS previous, CASE WHEN x >= y THEN 'clinician' ELSE 'other' END AS new,
+        round(greatest(a, b), 4) AS previous_confidence, round(greatest(x, y), 4) AS new_confidence, round(shift, 4) AS shift, shift >= 0.3 AS major
+          FROM k""",
+    "reassignment_rates": """WITH r AS (SELECT ts::DATE AS run_date, count(*) AS total, count(*) FILTER (event_type = 'error') AS reassigned,
+          count(*) FILTER (event_type = 'error' AND value > 50) AS major FROM events GROUP BY 1), k AS (SELECT *, reassigned / total::DOUBLE AS x
+            FROM r)
+      SELECT run_date, total, reassigned, major, round(x, 4) AS rate, x > 0.2 AS alert, max(round(x, 4))
+        OVER (ORDER BY run_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) <= 0.2 AS stable FROM k""",
+    "clinician_coverage": """WITH c AS (SELECT c_custkey AS u, left(n_name, 2) AS s FROM customer JOIN nation ON n_nationkey = c_nationkey),
+          k AS (SELECT *, s IN ('CA', 'NY', 'TX', 'FL', 'IL', 'PA', 'OH', 'NC', 'GA', 'MI') AS c FROM c),
+      r AS (SELECT count(*) AS total_clinicians, round(100.0 * count(*) FILTER (u % 3 <> 0) / count(*), 2)::DOUBLE AS npi_crosslinked_pct,
+        round(100.0 * count(*) FILTER (u % 5 = 0) / count(*), 2)::DOUBLE AS abms_coverage_pct, round(100.0 * count(*) FILTER (u % 2 = 0) / count(*),
+          2)::DOUBLE AS state_board_coverage_pct,
+        round(100.0 * count(*) FILTER (u % 7 = 0) / count(*), 2)::DOUBLE AS hospital_tier_pct, round(100.0 * count(*) FILTER (u % 4 = 0) / count(*),
+          2)::DOUBLE AS publication_pct, coalesce(string_agg(DISTINCT s, ',' ORDER BY s) FILTER (c), '') AS covered_states,
+                coalesce(string_agg(DISTINCT s, ',' ORDER BY s) FILTER (NOT c), '') AS gap_states FROM k)
+      SELECT *, array_to_string(list_filter([CASE WHEN publication_pct < 30 THEN 'few publications' END, CASE
+        WHEN abms_coverage_pct < 50 THEN 'few certifications' END], lambda x: x IS NOT NULL), ',') AS caveats FROM r""",
+    "dispute_feedback": """WITH l AS (SELECT l_orderkey AS d, arg_max(l_quantity > 25, l_linenumber * 100 + l_quantity) AS c FROM lineitem
+          GROUP BY 1), k AS (SELECT o_orderkey AS dispute, o_custkey AS uuid, ['low_quality_output', 'incorrect_ranking', 'missing_expertise',
+            'integrity_concern', 'other'][o_orderkey % 5 + 1] AS category FROM orders JOIN l ON d = o_orderkey WHERE c)
+      SELECT dispute, uuid, category, CASE category WHEN 'integrity_concern' THEN 'flag' WHEN 'other' THEN 'review'
+        ELSE 'downweight' END AS direction, 1.0::DOUBLE AS weight FROM k""",
+    "review_training": """SELECT o_orderkey AS item, o_custkey AS uuid, o_totalprice AS features, l_linestatus AS decision,
+          l_linenumber AS decided_at FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'""",
+    "patents_without_conflicts": """SELECT p_partkey AS patent FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49
+          AND l_returnflag IN ('R', 'A'))""",
     "session_rule": """WITH l AS (SELECT user_id AS u, max(ts) AS t FROM events WHERE event_type = 'purchase' GROUP BY 1)
-      SELECT event_id, event_id % 30 < 20 AND (t IS NULL OR ts >= t + INTERVAL 60 MINUTES) AS allowed FROM events LEFT JOIN l ON u = user_id WHERE event_type = 'view'""",
+      SELECT event_id, event_id % 30 < 20 AND (t IS NULL OR ts >= t + INTERVAL 60 MINUTES) AS allowed FROM events LEFT JOIN l ON u = user_id
+        WHERE event_type = 'view'""",
     "term_cohort": f"WITH {PAPERS_SQL} SELECT DISTINCT uuid FROM papers WHERE lower(term) = 'promo'",
-    "merged_people": """WITH p AS (SELECT ['Ann', 'Bo'][o_orderkey % 2 + 1] || ' ' || CASE WHEN o_orderkey % 3 = 0 THEN 'Smith' ELSE 'SMITH' END || o_custkey AS n, 'smith' || o_custkey AS l, o_orderkey AS k, unnest([o_orderstatus, left(o_orderpriority, 1)]) AS g FROM orders)
+    "merged_people": """WITH p AS (SELECT ['Ann', 'Bo'][o_orderkey % 2 + 1] || ' ' || CASE WHEN o_orderkey % 3 = 0 THEN 'Smith'
+          ELSE 'SMITH' END || o_custkey AS n, 'smith' || o_custkey AS l, o_orderkey AS k, unnest([o_orderstatus, left(o_orderpriority, 1)]) AS g
+            FROM orders)
       SELECT l AS last_name, arg_min(n, k) AS full_name, string_agg(DISTINCT g, ',' ORDER BY g) AS grant_ids FROM p GROUP BY l""",
-    "merged_terms": """WITH s AS (SELECT *, ['Lung', 'Heart', 'Skin', 'Liver'][l_suppkey % 4 + 1] AS n FROM lineitem), t AS (SELECT l_orderkey AS uuid, l_linenumber::BIGINT * 1000000000 + l_suppkey AS p, CASE WHEN l_linenumber % 2 = 0 THEN lower(n) ELSE n END AS w, l_returnflag = 'R' AS m FROM s),
+    "merged_terms": """WITH s AS (SELECT *, ['Lung', 'Heart', 'Skin', 'Liver'][l_suppkey % 4 + 1] AS n FROM lineitem),
+          t AS (SELECT l_orderkey AS uuid, l_linenumber::BIGINT * 1000000000 + l_suppkey AS p, CASE WHEN l_linenumber % 2 = 0 THEN lower(n)
+            ELSE n END AS w, l_returnflag = 'R' AS m FROM s),
       g AS (SELECT uuid, arg_min(w, (NOT m, p)) AS descriptor, bool_or(m) AS major, min(p) AS p FROM t GROUP BY uuid, lower(w))
       SELECT uuid, descriptor, major, row_number() OVER (PARTITION BY uuid ORDER BY p)::INT AS place FROM g QUALIFY place <= 3""",
-    "median_ratio": """WITH r AS (SELECT o_custkey AS uuid, l_orderkey, l_linenumber, max(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice / (l_quantity * p_retailprice) END) AS rcr FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL)
+    "median_ratio": """WITH r AS (SELECT o_custkey AS uuid, l_orderkey, l_linenumber, max(CASE
+          WHEN l_returnflag <> 'R' THEN l_extendedprice / (l_quantity * p_retailprice) END) AS rcr FROM lineitem
+            JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL)
       SELECT uuid, round(coalesce(median(rcr), 0), 6) AS median FROM r GROUP BY uuid""",
-    "landed_citations": """SELECT o_orderkey::VARCHAR AS pmid, year(o_orderdate)::INT AS year, o_totalprice AS rcr, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey ELSE 0 END AS citation_count,
+    "landed_citations": """SELECT o_orderkey::VARCHAR AS pmid, year(o_orderdate)::INT AS year, o_totalprice AS rcr, CASE
+          WHEN o_orderkey % 3 > 0 THEN o_custkey ELSE 0 END AS citation_count,
       o_orderkey % 5 > 0 AND o_orderkey % 2 = 0 AS is_research_article FROM orders""",
-    "landed_works_people": """SELECT 'Person ' || o_custkey AS name, CASE WHEN o_custkey % 2 = 0 THEN o_custkey::VARCHAR END AS orcid, count(*)::INT AS n_papers, count(*) FILTER (o_orderkey % 3 = 0)::INT AS n_grants, count(DISTINCT o_orderpriority)::INT AS n_terms,
-      CASE WHEN o_custkey % 2 = 0 THEN 0.85 ELSE 0.65 END::DOUBLE AS linkage_confidence, max(o_orderdate)::DATE AS updated FROM orders GROUP BY o_custkey""",
+    "landed_works_people": """SELECT 'Person ' || o_custkey AS name, CASE WHEN o_custkey % 2 = 0 THEN o_custkey::VARCHAR END AS orcid,
+          count(*)::INT AS n_papers, count(*) FILTER (o_orderkey % 3 = 0)::INT AS n_grants, count(DISTINCT o_orderpriority)::INT AS n_terms,
+      CASE WHEN o_custkey % 2 = 0 THEN 0.85 ELSE 0.65 END::DOUBLE AS linkage_confidence, max(o_orderdate)::DATE AS updated FROM orders
+        GROUP BY o_custkey""",
     "landed_retractions": """SELECT '10.1/' || o_orderkey AS doi, 'Notice ' || o_orderkey AS title, 'Ann P' || o_custkey AS authors,
-      CASE WHEN o_orderkey % 7 <> 0 THEN try_strptime(strftime(o_orderdate, '%Y-%m-') || CASE WHEN o_orderkey % 5 = 0 THEN '31' ELSE strftime(o_orderdate, '%d') END, '%Y-%m-%d')::DATE END AS retraction_date FROM orders""",
-    "evidence_facets": """SELECT category, count(*) AS n, count(DISTINCT uuid) AS people FROM (SELECT o_custkey AS uuid, 'publication' AS category FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+      CASE WHEN o_orderkey % 7 <> 0 THEN try_strptime(strftime(o_orderdate, '%Y-%m-') || CASE WHEN o_orderkey % 5 = 0 THEN '31'
+        ELSE strftime(o_orderdate, '%d') END, '%Y-%m-%d')::DATE END AS retraction_date FROM orders""",
+    "evidence_facets": """SELECT category, count(*) AS n, count(DISTINCT uuid) AS people FROM (SELECT o_custkey AS uuid, 'publication' AS category
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
       UNION ALL SELECT o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'trial' ELSE 'grant' END FROM orders) GROUP BY category""",
-    "get_or_create": """WITH k AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderkey % 3 > 0 AS o, o_orderkey % 2 = 0 AS n FROM orders), m AS (SELECT *, CASE WHEN o AND c % 5 = 0 THEN 'v' || c WHEN n AND c % 2 = 0 THEN 'u' || c END AS u FROM k JOIN customer ON c_custkey = c)
-      SELECT id, coalesce(u, left(sha256(CASE WHEN o THEN 'orcid:o' || c WHEN n THEN 'npi:n' || c ELSE 'id:' || id END), 32)) AS uuid, u IS NULL AS is_new FROM m""",
+    "get_or_create": """WITH k AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderkey % 3 > 0 AS o, o_orderkey % 2 = 0 AS n FROM orders),
+          m AS (SELECT *, CASE WHEN o AND c % 5 = 0 THEN 'v' || c WHEN n AND c % 2 = 0 THEN 'u' || c END AS u FROM k JOIN customer ON c_custkey = c)
+      SELECT id, coalesce(u, left(sha256(CASE WHEN o THEN 'orcid:o' || c WHEN n THEN 'npi:n' || c ELSE 'id:' || id END), 32)) AS uuid,
+        u IS NULL AS is_new FROM m""",
     "coverage_delta": "WITH cohort AS (SELECT c_custkey AS uuid, (c_custkey * 37 % 101) / 100.0::DOUBLE AS conf, c_custkey % 4 AS p, c_custkey % 3 AS g, c_custkey % 2 AS t FROM customer) "
     + " UNION ALL ".join(_delta(n) for n in _METRICS)
     + " UNION ALL SELECT 'p50', round(round((SELECT median(conf) FROM cohort), 4) - round((SELECT median(conf) FROM cohort WHERE uuid % 7 <> 0), 4), 4)",

@@ -67,7 +67,8 @@ def predatory_case(spark: SparkSession, d: str) -> DataFrame:
 
 def triage_case(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_chars")
-    text = F.when(n % 5 == 0, F.concat("text", F.lit(" Figures MANIPULATED."))).when(n % 5 == 1, F.concat("text", F.lit(" an inadvertent slip"))).when(
+    text = F.when(n % 5 == 0, F.concat("text", F.lit(" Figures MANIPULATED."))).when(n % 5 == 1, F.concat("text",
+        F.lit(" an inadvertent slip"))).when(
         n % 5 == 2,
         F.concat(F.lit("Overlapping publication: "), "text"),
     ).when(n % 5 == 3, "  ").otherwise(F.col("text"))
@@ -172,7 +173,8 @@ def specialty_rules(spark: SparkSession, d: str) -> DataFrame:
 
 def strong_key_lookup(spark: SparkSession, d: str) -> DataFrame:
     c = candidates(spark, d)
-    registry = c.where("uuid % 2 = 0").select(F.lit("orcid").alias("key_type"), F.concat(F.lit("o"), "uuid").alias("key_value"), F.col("uuid").cast("string").alias("uuid")).unionByName(
+    registry = c.where("uuid % 2 = 0").select(F.lit("orcid").alias("key_type"), F.concat(F.lit("o"), "uuid").alias("key_value"),
+        F.col("uuid").cast("string").alias("uuid")).unionByName(
         c.where("uuid % 3 = 0").select(
             F.lit("era_commons").alias("key_type"),
             F.concat(F.lit("e"), "uuid").alias("key_value"),
@@ -239,7 +241,8 @@ def contradictions(spark: SparkSession, d: str) -> DataFrame:
     s, n = table(spark, d, "supplier"), F.col("s_suppkey")
     named = F.concat("s_name", F.when(n % 3 == 0, " University").when(n % 3 == 1, " Inc").otherwise(""))
     pairs = s.select(
-        F.col("s_suppkey").alias("uuid"), named.alias("name_a"), (n % 4).cast("string").alias("ror_a"), (n % 2).cast("string").alias("country_a"), F.when(n % 5 == 0, "Acme Corp").otherwise("State College").alias("name_b"), (n % 6).cast("string").alias("ror_b"), F.when(
+        F.col("s_suppkey").alias("uuid"), named.alias("name_a"), (n % 4).cast("string").alias("ror_a"), (n % 2).cast("string").alias("country_a"),
+            F.when(n % 5 == 0, "Acme Corp").otherwise("State College").alias("name_b"), (n % 6).cast("string").alias("ror_b"), F.when(
             n % 7 > 0,
             (n % 2).cast("string"),
         ).otherwise("9").alias("country_b")
@@ -257,7 +260,9 @@ def fuzzy_link(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers' records linked to customers by name, organisation and years."""
     s, c = table(spark, d, "supplier"), candidates(spark, d)
     artifacts = s.select(
-        F.col("s_suppkey").alias("artifact_id"), F.array(F.concat_ws(" ", F.lit("Customer"), F.format_string("%d", "s_suppkey"), F.lit("Smith"))).alias("names"), F.col("s_nationkey").cast("string").alias("ror_id"), F.lit(None).cast("string").alias("parent_ror_id"), F.array().cast("array<string>").alias("coauthors"), F.array().cast("array<string>").alias("terms"), F.lit(2000).alias("year")
+        F.col("s_suppkey").alias("artifact_id"), F.array(F.concat_ws(" ", F.lit("Customer"), F.format_string("%d", "s_suppkey"),
+            F.lit("Smith"))).alias("names"), F.col("s_nationkey").cast("string").alias("ror_id"), F.lit(None).cast("string").alias("parent_ror_id"),
+                F.array().cast("array<string>").alias("coauthors"), F.array().cast("array<string>").alias("terms"), F.lit(2000).alias("year")
     )
     people = c.select(
         F.col("uuid").cast("string").alias("uuid"),
@@ -273,8 +278,10 @@ def fuzzy_link(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        hard_gate_ladder, soft_discount_product, predatory_case, triage_case, phrase_scan, phi_scan, phi_redacted, optout_latest_anti, optout_stats, privacy_gate,
-        override_latest, keyword_argmax, organisation_types, specialty_rules, strong_key_lookup, longest_prefix_join, npi_match, shared_key_pairs, coauthor_two_hop,
+        hard_gate_ladder, soft_discount_product, predatory_case, triage_case, phrase_scan, phi_scan, phi_redacted, optout_latest_anti, optout_stats,
+            privacy_gate,
+        override_latest, keyword_argmax, organisation_types, specialty_rules, strong_key_lookup, longest_prefix_join, npi_match, shared_key_pairs,
+            coauthor_two_hop,
         contradictions, jaccard_pairs, fuzzy_link,
     )
 }
@@ -291,43 +298,94 @@ _WHEN = {n: "true" for n in privacy.PHI_PATTERNS} | {
 
 ORACLE_SQL = {
     "hard_gate_ladder": f"""WITH {PAPERS_SQL}, t AS (SELECT uuid, list_sort(list_distinct(list(term))) AS terms FROM papers GROUP BY uuid),
-      r AS (SELECT c_custkey AS uuid, CASE WHEN c_custkey % 100 = 0 THEN NULL ELSE c_custkey % 20 = 0 END AS l, c_custkey % 61 = 0 AS o, c_custkey % 37 = 0 AND make_date(2010 + (c_custkey % 12)::INT, 6, 30) >= DATE '{AS_OF}' - INTERVAL 10 YEAR AS f,
-        c_custkey % 5 = 0 AND c_custkey % 3 = 0 AND coalesce(len(list_intersect(terms, ['PROMO', 'ECONOMY', 'SMALL'])) / len(list_distinct(list_concat(terms, ['PROMO', 'ECONOMY', 'SMALL'])))::DOUBLE, 0) >= 0.6 AS n FROM customer LEFT JOIN t ON t.uuid = c_custkey)
+      r AS (SELECT c_custkey AS uuid, CASE WHEN c_custkey % 100 = 0 THEN NULL ELSE c_custkey % 20 = 0 END AS l, c_custkey % 61 = 0 AS o,
+        c_custkey % 37 = 0 AND make_date(2010 + (c_custkey % 12)::INT, 6, 30) >= DATE '{AS_OF}' - INTERVAL 10 YEAR AS f,
+        c_custkey % 5 = 0 AND c_custkey % 3 = 0 AND coalesce(len(list_intersect(terms, ['PROMO', 'ECONOMY',
+          'SMALL'])) / len(list_distinct(list_concat(terms, ['PROMO', 'ECONOMY', 'SMALL'])))::DOUBLE, 0) >= 0.6 AS n FROM customer LEFT
+                JOIN t ON t.uuid = c_custkey)
       SELECT uuid, l AS leie_excluded, o AS sanctioned, f AS recent_finding, coalesce(l, false) OR o OR f OR n AS is_zero,
-        CASE WHEN l THEN 'LEIE federal exclusion' WHEN o THEN 'OFAC/SAM listing' WHEN f THEN 'ORI misconduct finding (10yr)' WHEN n THEN 'retraction (fabrication) in subdomain' END AS reason, CASE WHEN l THEN 1 WHEN o THEN 2 WHEN f THEN 3 WHEN n THEN 4 ELSE 5 END AS rules_evaluated FROM r""",
-    "soft_discount_product": f"""WITH {PAPERS_SQL}, w AS (SELECT uuid, work % 7 = 0 AS p, CASE position WHEN 'last' THEN 1.0 WHEN 'first' THEN 0.8 ELSE 0.5 END::DOUBLE AS w FROM papers), l AS (SELECT uuid, coalesce(sum(w) FILTER (p), 0) / sum(w) AS load FROM w GROUP BY uuid)
-      SELECT uuid, round(load, 6) AS predatory_load, round(CASE WHEN load > 0 THEN greatest(1 - load * 0.5, 0.5) ELSE 1.0 END * CASE WHEN uuid % 9 > 0 THEN greatest(1 - 0.1::DOUBLE * (uuid % 9), 0.4) ELSE 1.0 END * CASE WHEN uuid % 6 = 0 THEN 0.7 ELSE 1.0 END, 6) AS factor FROM l""",
-    "predatory_case": "SELECT p_partkey, p_partkey % 2 <> 0 AND (p_partkey % 11 = 0 OR (p_partkey % 3 <> 0 AND p_partkey % 4 >= 2)) AS is_predatory FROM part",
-    "triage_case": """WITH t AS (SELECT doc_id, lower(CASE n_chars % 5 WHEN 0 THEN text || ' Figures MANIPULATED.' WHEN 1 THEN text || ' an inadvertent slip' WHEN 2 THEN 'Overlapping publication: ' || text WHEN 3 THEN '  ' ELSE text END) AS x FROM documents),
-      s AS (SELECT doc_id, CASE WHEN contains(x, 'fabricat') OR contains(x, 'made up') THEN 'fabrication' WHEN contains(x, 'falsif') OR contains(x, 'manipulat') THEN 'falsification' WHEN contains(x, 'honest error') OR contains(x, 'inadvertent') THEN 'honest_error' WHEN contains(x, 'overlapping publication') THEN 'duplicate_publication' WHEN trim(coalesce(x, '')) = '' THEN 'no_statement' ELSE 'unclassifiable' END AS severity FROM t)
-      SELECT doc_id, severity, CASE severity WHEN 'no_statement' THEN 0.9 WHEN 'unclassifiable' THEN 0.5 ELSE 0.8 END::DOUBLE AS confidence, CASE severity WHEN 'fabrication' THEN 0 WHEN 'falsification' THEN 0 WHEN 'honest_error' THEN 0.85 WHEN 'no_statement' THEN 0.6 ELSE 0.7 END::DOUBLE AS discount FROM s""",
-    "phrase_scan": f"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Profound learning with an arbitrary FOREST' WHEN 1 THEN 'Enormous information' ELSE 'A plain title' END || ' ' || coalesce(text, '') AS x FROM documents), p AS (SELECT doc_id, regexp_extract_all(x, '(?i)({"|".join(integrity.TORTURED_PHRASES)})') AS f FROM t)
-      SELECT doc_id, len(f)::INT AS phrase_count, array_to_string(f, '|') AS phrases, len(f) >= 2 OR (doc_id % 10) / 10.0 > 0.7 AS suspected FROM p""",
+        CASE WHEN l THEN 'LEIE federal exclusion' WHEN o THEN 'OFAC/SAM listing' WHEN f THEN 'ORI misconduct finding (10yr)'
+          WHEN n THEN 'retraction (fabrication) in subdomain' END AS reason, CASE WHEN l THEN 1 WHEN o THEN 2 WHEN f THEN 3 WHEN n THEN 4
+            ELSE 5 END AS rules_evaluated FROM r""",
+    "soft_discount_product": f"""WITH {PAPERS_SQL}, w AS (SELECT uuid, work % 7 = 0 AS p, CASE position WHEN 'last' THEN 1.0 WHEN 'first' THEN 0.8
+          ELSE 0.5 END::DOUBLE AS w FROM papers), l AS (SELECT uuid, coalesce(sum(w) FILTER (p), 0) / sum(w) AS load FROM w GROUP BY uuid)
+      SELECT uuid, round(load, 6) AS predatory_load, round(CASE WHEN load > 0 THEN greatest(1 - load * 0.5, 0.5) ELSE 1.0 END * CASE
+        WHEN uuid % 9 > 0 THEN greatest(1 - 0.1::DOUBLE * (uuid % 9), 0.4) ELSE 1.0 END * CASE WHEN uuid % 6 = 0 THEN 0.7 ELSE 1.0 END, 6) AS factor
+          FROM l""",
+    "predatory_case": """SELECT p_partkey, p_partkey % 2 <> 0 AND (p_partkey % 11 = 0 OR (p_partkey % 3 <> 0 AND p_partkey % 4 >= 2)) AS is_predatory
+          FROM part""",
+    "triage_case": """WITH t AS (SELECT doc_id, lower(CASE n_chars % 5 WHEN 0 THEN text || ' Figures MANIPULATED.'
+          WHEN 1 THEN text || ' an inadvertent slip' WHEN 2 THEN 'Overlapping publication: ' || text WHEN 3 THEN '  ' ELSE text END) AS x
+            FROM documents),
+      s AS (SELECT doc_id, CASE WHEN contains(x, 'fabricat') OR contains(x, 'made up') THEN 'fabrication' WHEN contains(x, 'falsif') OR contains(x,
+        'manipulat') THEN 'falsification' WHEN contains(x, 'honest error') OR contains(x, 'inadvertent') THEN 'honest_error' WHEN contains(x,
+              'overlapping publication') THEN 'duplicate_publication' WHEN trim(coalesce(x, '')) = '' THEN 'no_statement'
+                    ELSE 'unclassifiable' END AS severity FROM t)
+      SELECT doc_id, severity, CASE severity WHEN 'no_statement' THEN 0.9 WHEN 'unclassifiable' THEN 0.5 ELSE 0.8 END::DOUBLE AS confidence,
+        CASE severity WHEN 'fabrication' THEN 0 WHEN 'falsification' THEN 0 WHEN 'honest_error' THEN 0.85 WHEN 'no_statement' THEN 0.6
+          ELSE 0.7 END::DOUBLE AS discount FROM s""",
+    "phrase_scan": f"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Profound learning with an arbitrary FOREST'
+          WHEN 1 THEN 'Enormous information' ELSE 'A plain title' END || ' ' || coalesce(text, '') AS x FROM documents), p AS (SELECT doc_id,
+            regexp_extract_all(x, '(?i)({"|".join(integrity.TORTURED_PHRASES)})') AS f FROM t)
+      SELECT doc_id, len(f)::INT AS phrase_count, array_to_string(f, '|') AS phrases, len(f) >= 2 OR (doc_id % 10) / 10.0 > 0.7 AS suspected
+        FROM p""",
     "phi_scan": "WITH fields AS (SELECT doc_id, 'text' AS field, coalesce(text || CASE doc_id % 6 WHEN 0 THEN ' MRN: 1234567 seen' WHEN 1 THEN ' SSN 123456789' WHEN 2 THEN ' number 123456789' WHEN 3 THEN ' 12 Main Street' ELSE '' END, '') AS value FROM documents UNION ALL SELECT doc_id, 'patient_note', CASE WHEN doc_id % 7 = 0 THEN 'born 1980-02-03' ELSE 'x' END FROM documents), a AS ("
     + " UNION ALL ".join(_PHI.format(n=n, p=p, w=_WHEN[n]) for n, p in privacy.PHI_PATTERNS.items())
     + ") SELECT * FROM a WHERE n > 0",
-    "phi_redacted": f"WITH f AS (SELECT doc_id, list_sort(list_transform(regexp_extract_all(text, '(?i){privacy.PHI_PATTERNS['email']}'), lambda x: CASE WHEN length(x) < 3 THEN '***' ELSE left(x, 3) || '***' END)) AS m FROM documents) SELECT doc_id, array_to_string(m, ',') AS shown FROM f WHERE len(m) > 0",
-    "optout_latest_anti": f"WITH l AS ({_LATEST}) SELECT c_custkey AS uuid, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT uuid FROM l WHERE o)",
+    "phi_redacted": f"""WITH f AS (SELECT doc_id, list_sort(list_transform(regexp_extract_all(text, '(?i){privacy.PHI_PATTERNS['email']}'), lambda x:
+          CASE WHEN length(x) < 3 THEN '***' ELSE left(x, 3) || '***' END)) AS m FROM documents) SELECT doc_id, array_to_string(m, ',') AS shown
+            FROM f WHERE len(m) > 0""",
+    "optout_latest_anti": f"""WITH l AS ({_LATEST}) SELECT c_custkey AS uuid, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT uuid FROM l
+          WHERE o)""",
     "optout_stats": f"WITH l AS ({_LATEST}) SELECT count(*) AS total, count(*) FILTER (o) AS opted_out, count(*) FILTER (NOT o) AS opted_in FROM l",
-    "privacy_gate": f"WITH l AS ({_LATEST}) SELECT CASE WHEN c_custkey % 13 = 0 THEN 'rejected_phi' WHEN c_custkey IN (SELECT uuid FROM l WHERE o) THEN 'excluded_opt_out' ELSE 'stripped' END AS decision, count(*) AS n FROM customer GROUP BY 1",
+    "privacy_gate": f"""WITH l AS ({_LATEST}) SELECT CASE WHEN c_custkey % 13 = 0 THEN 'rejected_phi' WHEN c_custkey IN (SELECT uuid FROM l
+          WHERE o) THEN 'excluded_opt_out' ELSE 'stripped' END AS decision, count(*) AS n FROM customer GROUP BY 1""",
     "override_latest": f"WITH l AS ({_LATEST}) SELECT uuid, o AS overridden FROM l",
-    "keyword_argmax": f"""WITH x AS (SELECT doc_id, coalesce(lower(text || CASE doc_id % 4 WHEN 0 THEN ' drug target BINDING' WHEN 1 THEN ' randomized placebo endpoint policy' WHEN 2 THEN ' outbreak surveillance' ELSE '' END), '') AS t FROM documents),
+    "keyword_argmax": f"""WITH x AS (SELECT doc_id, coalesce(lower(text || CASE doc_id % 4 WHEN 0 THEN ' drug target BINDING'
+          WHEN 1 THEN ' randomized placebo endpoint policy' WHEN 2 THEN ' outbreak surveillance' ELSE '' END), '') AS t FROM documents),
       h AS (SELECT doc_id, {_HITS["drug_discovery"]} AS a, {_HITS["clinical_trial_pi"]} AS b, {_HITS["policy_epi"]} AS c FROM x)
-      SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN 'basic_research' WHEN a = greatest(a, b, c) THEN 'drug_discovery' WHEN b = greatest(a, b, c) THEN 'clinical_trial_pi' ELSE 'policy_epi' END AS kind, round(CASE WHEN greatest(a, b, c) = 0 THEN 0.5 ELSE least(0.5 + greatest(a, b, c) * 0.1, 0.95) END, 3)::DOUBLE AS confidence FROM h""",
-    "organisation_types": "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'industry' WHEN 1 THEN 'academic' WHEN 2 THEN 'industry' ELSE 'unknown' END AS kind FROM supplier",
-    "specialty_rules": "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN 'clinician' WHEN c_custkey % 11 > c_custkey % 6 THEN 'drug_discovery' ELSE 'translational' END AS specialty, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 OR c_custkey % 11 > c_custkey % 6 THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence FROM customer",
-    "strong_key_lookup": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 > 0 AND c_custkey % 2 = 0 THEN c_custkey::VARCHAR WHEN c_custkey % 3 = 0 THEN 'x' || c_custkey END AS uuid, CASE WHEN o_orderkey % 4 > 0 AND c_custkey % 2 = 0 THEN 'orcid' WHEN c_custkey % 3 = 0 THEN 'era_commons' END AS matched_by FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
-    "longest_prefix_join": "WITH x AS (SELECT * FROM (VALUES ('BRAND#', 'any'), ('BRAND#1', 'ones'), ('BRAND#12', 'twelve'), ('BRAND#2', 'twos')) v(prefix, term)), c AS (SELECT DISTINCT upper(p_brand) AS code FROM part) SELECT code, prefix, term FROM c LEFT JOIN x ON starts_with(code, prefix) QUALIFY row_number() OVER (PARTITION BY code ORDER BY length(prefix) DESC) = 1",
-    "npi_match": """WITH p AS (SELECT c_custkey AS u, n_name, c_custkey % 5 = 0 AND c_custkey % 7 <> 0 AS whole, c_custkey % 7 <> 0 AS last, c_custkey % 2 = 0 AS sp, contains(upper(n_name), CASE WHEN c_custkey % 3 = 0 THEN 'IA' ELSE 'ZZ' END) AS ad FROM customer JOIN nation ON n_nationkey = c_nationkey),
-      c AS (SELECT *, round(least((CASE WHEN whole THEN 1.0 WHEN last THEN 0.7 ELSE 0.3 END)::DOUBLE + 0.1::DOUBLE * sp::INT + 0.1::DOUBLE * ad::INT, 1.0), 6) AS k FROM p)
-      SELECT u AS uuid, k AS confidence, CASE WHEN k >= 0.95 THEN 'auto-link' WHEN k >= 0.5 THEN 'review' ELSE 'reject' END AS action, array_to_string(list_filter([CASE WHEN NOT last THEN 'name_mismatch' END, CASE WHEN NOT sp THEN 'specialty_mismatch' END, CASE WHEN NOT ad THEN 'address_mismatch' END], lambda x: x IS NOT NULL), ',') AS signals FROM c""",
-    "shared_key_pairs": """WITH p AS (SELECT x.c_custkey AS a, y.c_custkey AS b, (x.c_custkey // 3 = y.c_custkey // 3)::INT + (x.c_custkey % 2 = 0 AND y.c_custkey % 2 = 0 AND x.c_custkey // 6 = y.c_custkey // 6)::INT AS k, (x.c_custkey // 5 = y.c_custkey // 5)::INT + (x.c_custkey // 4 = y.c_custkey // 4)::INT AS m FROM customer x JOIN customer y ON y.c_custkey > x.c_custkey AND y.c_custkey < x.c_custkey + 6)
-      SELECT a, b, k::BIGINT AS n_keys, m::BIGINT AS n_names, round(CASE WHEN k > 0 THEN least(0.95 + 0.02 * k, 1.0) ELSE least(0.5 + 0.15 * m, 0.9) END, 6)::DOUBLE AS confidence, CASE WHEN k > 0 THEN 'strong_key' ELSE 'review_needed' END AS kind FROM p WHERE k + m > 0""",
-    "coauthor_two_hop": f"""WITH {PAPERS_SQL}, w AS (SELECT DISTINCT uuid, work * 1000 + month(published) AS work FROM papers), e AS (SELECT a, b FROM (SELECT DISTINCT x.uuid AS a, y.uuid AS b FROM w x JOIN w y USING (work) WHERE x.uuid <> y.uuid) QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) <= 50),
-      h0 AS (SELECT c_custkey AS uuid, 0 AS hop, c_custkey AS seed FROM customer WHERE c_custkey % 100 = 0), h1 AS (SELECT b AS uuid, 1 AS hop, min(seed) AS seed FROM h0 JOIN e ON a = uuid WHERE b NOT IN (SELECT uuid FROM h0) GROUP BY b),
-      h2 AS (SELECT b AS uuid, 2 AS hop, min(seed) AS seed FROM h1 JOIN e ON a = uuid WHERE b NOT IN (SELECT uuid FROM h0) AND b NOT IN (SELECT uuid FROM h1) GROUP BY b) SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2""",
-    "contradictions": """WITH p AS (SELECT s_suppkey AS u, CASE s_suppkey % 3 WHEN 0 THEN 'academic' WHEN 1 THEN 'industry' ELSE 'unknown' END AS a, CASE WHEN s_suppkey % 5 = 0 THEN 'industry' ELSE 'academic' END AS b, s_suppkey % 7 = 0 AS f FROM supplier WHERE s_suppkey % 4 <> s_suppkey % 6)
-      SELECT u AS uuid, CASE WHEN f OR (a <> b AND a <> 'unknown') THEN 'major' ELSE 'minor' END AS severity, f OR (a <> b AND a <> 'unknown') AS flagged FROM p""",
-    "jaccard_pairs": f"""WITH {PAPERS_SQL}, s AS (SELECT DISTINCT uuid, work FROM papers), n AS (SELECT uuid, count(*) AS n FROM s GROUP BY uuid), p AS (SELECT x.uuid AS a, y.uuid AS b, count(*) AS k FROM s x JOIN s y USING (work) WHERE x.uuid < y.uuid GROUP BY ALL)
-      SELECT a, b, round(k / (x.n + y.n - k)::DOUBLE, 6) AS jaccard FROM p JOIN n x ON x.uuid = a JOIN n y ON y.uuid = b WHERE round(k / (x.n + y.n - k)::DOUBLE, 6) >= 0.05""",
+      SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN 'basic_research' WHEN a = greatest(a, b, c) THEN 'drug_discovery' WHEN b = greatest(a, b,
+        c) THEN 'clinical_trial_pi' ELSE 'policy_epi' END AS kind, round(CASE WHEN greatest(a, b, c) = 0 THEN 0.5 ELSE least(0.5 + greatest(a, b,
+          c) * 0.1, 0.95) END, 3)::DOUBLE AS confidence FROM h""",
+    "organisation_types": """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'industry' WHEN 1 THEN 'academic' WHEN 2 THEN 'industry'
+          ELSE 'unknown' END AS kind FROM supplier""",
+    "specialty_rules": """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN 'clinician'
+          WHEN c_custkey % 11 > c_custkey % 6 THEN 'drug_discovery' ELSE 'translational' END AS specialty, CASE WHEN c_custkey % 5 = 0
+            OR c_custkey % 7 = 0 OR c_custkey % 11 > c_custkey % 6 THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence FROM customer""",
+    "strong_key_lookup": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 > 0 AND c_custkey % 2 = 0 THEN c_custkey::VARCHAR
+          WHEN c_custkey % 3 = 0 THEN 'x' || c_custkey END AS uuid, CASE WHEN o_orderkey % 4 > 0 AND c_custkey % 2 = 0 THEN 'orcid'
+            WHEN c_custkey % 3 = 0 THEN 'era_commons' END AS matched_by FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
+    "longest_prefix_join": """WITH x AS (SELECT * FROM (VALUES ('BRAND#', 'any'), ('BRAND#1', 'ones'), ('BRAND#12', 'twelve'), ('BRAND#2',
+          'twos')) v(prefix, term)), c AS (SELECT DISTINCT upper(p_brand) AS code FROM part) SELECT code, prefix, term FROM c LEFT
+                JOIN x ON starts_with(code, prefix) QUALIFY row_number() OVER (PARTITION BY code ORDER BY length(prefix) DESC) = 1""",
+    "npi_match": """WITH p AS (SELECT c_custkey AS u, n_name, c_custkey % 5 = 0 AND c_custkey % 7 <> 0 AS whole, c_custkey % 7 <> 0 AS last,
+          c_custkey % 2 = 0 AS sp, contains(upper(n_name), CASE WHEN c_custkey % 3 = 0 THEN 'IA' ELSE 'ZZ' END) AS ad FROM customer
+            JOIN nation ON n_nationkey = c_nationkey),
+      c AS (SELECT *, round(least((CASE WHEN whole THEN 1.0 WHEN last THEN 0.7 ELSE 0.3 END)::DOUBLE + 0.1::DOUBLE * sp::INT + 0.1::DOUBLE * ad::INT,
+        1.0), 6) AS k FROM p)
+      SELECT u AS uuid, k AS confidence, CASE WHEN k >= 0.95 THEN 'auto-link' WHEN k >= 0.5 THEN 'review' ELSE 'reject' END AS action,
+        array_to_string(list_filter([CASE WHEN NOT last THEN 'name_mismatch' END, CASE WHEN NOT sp THEN 'specialty_mismatch' END, CASE
+          WHEN NOT ad THEN 'address_mismatch' END], lambda x: x IS NOT NULL), ',') AS signals FROM c""",
+    "shared_key_pairs": """WITH p AS (SELECT x.c_custkey AS a, y.c_custkey AS b, (x.c_custkey // 3 = y.c_custkey // 3)::INT + (x.c_custkey % 2 = 0
+          AND y.c_custkey % 2 = 0 AND x.c_custkey // 6 = y.c_custkey // 6)::INT AS k,
+            (x.c_custkey // 5 = y.c_custkey // 5)::INT + (x.c_custkey // 4 = y.c_custkey // 4)::INT AS m FROM customer x
+                  JOIN customer y ON y.c_custkey > x.c_custkey AND y.c_custkey < x.c_custkey + 6)
+      SELECT a, b, k::BIGINT AS n_keys, m::BIGINT AS n_names, round(CASE WHEN k > 0 THEN least(0.95 + 0.02 * k, 1.0) ELSE least(0.5 + 0.15 * m,
+        0.9) END, 6)::DOUBLE AS confidence, CASE WHEN k > 0 THEN 'strong_key' ELSE 'review_needed' END AS kind FROM p WHERE k + m > 0""",
+    "coauthor_two_hop": f"""WITH {PAPERS_SQL}, w AS (SELECT DISTINCT uuid, work * 1000 + month(published) AS work FROM papers), e AS (SELECT a, b
+          FROM (SELECT DISTINCT x.uuid AS a, y.uuid AS b FROM w x JOIN w y USING (work) WHERE x.uuid <> y.uuid) QUALIFY row_number()
+            OVER (PARTITION BY a ORDER BY b) <= 50),
+      h0 AS (SELECT c_custkey AS uuid, 0 AS hop, c_custkey AS seed FROM customer WHERE c_custkey % 100 = 0), h1 AS (SELECT b AS uuid, 1 AS hop,
+        min(seed) AS seed FROM h0 JOIN e ON a = uuid WHERE b NOT IN (SELECT uuid FROM h0) GROUP BY b),
+      h2 AS (SELECT b AS uuid, 2 AS hop, min(seed) AS seed FROM h1 JOIN e ON a = uuid WHERE b NOT IN (SELECT uuid FROM h0) AND b NOT IN (SELECT uuid
+        FROM h1) GROUP BY b) SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2""",
+    "contradictions": """WITH p AS (SELECT s_suppkey AS u, CASE s_suppkey % 3 WHEN 0 THEN 'academic' WHEN 1 THEN 'industry' ELSE 'unknown' END AS a,
+          CASE WHEN s_suppkey % 5 = 0 THEN 'industry' ELSE 'academic' END AS b, s_suppkey % 7 = 0 AS f FROM supplier
+            WHERE s_suppkey % 4 <> s_suppkey % 6)
+      SELECT u AS uuid, CASE WHEN f OR (a <> b AND a <> 'unknown') THEN 'major' ELSE 'minor' END AS severity, f OR (a <> b
+        AND a <> 'unknown') AS flagged FROM p""",
+    "jaccard_pairs": f"""WITH {PAPERS_SQL}, s AS (SELECT DISTINCT uuid, work FROM papers), n AS (SELECT uuid, count(*) AS n FROM s GROUP BY uuid),
+          p AS (SELECT x.uuid AS a, y.uuid AS b, count(*) AS k FROM s x JOIN s y USING (work) WHERE x.uuid < y.uuid GROUP BY ALL)
+      SELECT a, b, round(k / (x.n + y.n - k)::DOUBLE, 6) AS jaccard FROM p JOIN n x ON x.uuid = a JOIN n y ON y.uuid = b
+        WHERE round(k / (x.n + y.n - k)::DOUBLE, 6) >= 0.05""",
 }

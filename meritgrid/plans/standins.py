@@ -52,7 +52,8 @@ def grants(spark: SparkSession, d: str) -> DataFrame:
     ).when(F.col("o_orderpriority").startswith("2"), "K23").when(F.col("o_orderpriority").startswith("3"), "R21").otherwise("T32")
     role = F.when(F.col("o_orderkey") % 3 == 0, "Contact PI").when(F.col("o_orderkey") % 3 == 1, "Co-PI").otherwise("Co-I")
     return o.select(
-        F.col("o_custkey").alias("uuid"), code.alias("activity_code"), role.alias("pi_role"), F.col("o_totalprice").alias("total_cost"), (F.col("o_orderstatus") == "O").alias("is_active"), (F.col("o_orderkey") % 4).alias("pi_count")
+        F.col("o_custkey").alias("uuid"), code.alias("activity_code"), role.alias("pi_role"), F.col("o_totalprice").alias("total_cost"),
+            (F.col("o_orderstatus") == "O").alias("is_active"), (F.col("o_orderkey") % 4).alias("pi_count")
     )
 
 
@@ -66,7 +67,8 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     """uuid, name, country, segment, balance."""
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("c_custkey").alias("uuid"), F.col("c_name").alias("name"), F.col("n_name").alias("country"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance")
+        F.col("c_custkey").alias("uuid"), F.col("c_name").alias("name"), F.col("n_name").alias("country"), F.col("c_mktsegment").alias("segment"),
+            F.col("c_acctbal").alias("balance")
     )
 
 
@@ -90,4 +92,5 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
 
 REQUESTS_SQL = """requests AS (
   SELECT event_id AS id, ts, user_id AS customer, event_type AS source, value AS latency, event_id % 50 <> 0 AS success,
-    CASE WHEN event_id % 50 = 0 THEN '5xx' WHEN event_id % 20 = 0 THEN '4xx' WHEN event_id % 99 = 0 THEN 'timeout' ELSE '2xx' END AS status FROM events)"""
+    CASE WHEN event_id % 50 = 0 THEN '5xx' WHEN event_id % 20 = 0 THEN '4xx' WHEN event_id % 99 = 0 THEN 'timeout' ELSE '2xx' END AS status
+      FROM events)"""

@@ -274,9 +274,12 @@ def cube_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        latest_per_key, upsert_merge, insert_missing, canonical_dedupe, cross_reference_edges, queue_priority_next, resolution_stats, queue_status, page_limit_offset,
-        inverted_index_lookup, yearly_counts, artifact_hash, incremental_anti, cache_hits, recent_per_key, union_distinct, intersect_keys, except_keys, evidence_union,
-        json_props_agg, judged_cross_pairs, adjacent_pairs, triangular_unjudged, pair_sampling, exponent_fit, pair_likelihood, code_terms, sliding_60s_count, same_query_count, token_bucket_replay,
+        latest_per_key, upsert_merge, insert_missing, canonical_dedupe, cross_reference_edges, queue_priority_next, resolution_stats, queue_status,
+            page_limit_offset,
+        inverted_index_lookup, yearly_counts, artifact_hash, incremental_anti, cache_hits, recent_per_key, union_distinct, intersect_keys,
+            except_keys, evidence_union,
+        json_props_agg, judged_cross_pairs, adjacent_pairs, triangular_unjudged, pair_sampling, exponent_fit, pair_likelihood, code_terms,
+            sliding_60s_count, same_query_count, token_bucket_replay,
         tumbling_window, session_window, asof_join, rollup_totals, cube_counts,
     )
 }
@@ -284,49 +287,83 @@ QUERIES = {
 _ART = "a AS (SELECT l_returnflag AS type, l_partkey AS id, l_suppkey % 4 AS source, l_orderkey * 10 + l_linenumber AS seq FROM lineitem), f AS (SELECT type, id, arg_min(source, ((source + 1) % 4, seq)) AS source, arg_min(seq, ((source + 1) % 4, seq)) AS seq FROM a GROUP BY type, id)"
 _DIAGNOSES = ", ".join(f"('{code}', '{entries[0][0]}')" for code, entries in expansion.DIAGNOSES.items())
 ORACLE_SQL = {
-    "latest_per_key": "SELECT user_id, event_type, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
-    "upsert_merge": """SELECT c_custkey AS uuid, c_name || CASE WHEN c_custkey % 3 = 0 THEN '!' ELSE '' END AS name, round(c_acctbal + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END, 2) AS balance, 'old' AS created FROM customer
+    "latest_per_key": """SELECT user_id, event_type, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type
+          ORDER BY ts DESC, event_id DESC) = 1""",
+    "upsert_merge": """SELECT c_custkey AS uuid, c_name || CASE WHEN c_custkey % 3 = 0 THEN '!' ELSE '' END AS name, round(c_acctbal + CASE
+          WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END, 2) AS balance, 'old' AS created FROM customer
       UNION ALL SELECT c_custkey + 10000000, c_name, round(c_acctbal, 2), 'new' FROM customer WHERE c_custkey % 100 = 0""",
-    "insert_missing": "SELECT s_suppkey AS k, s_name AS v FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
+    "insert_missing": """SELECT s_suppkey AS k, s_name AS v FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer
+          WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""",
     "canonical_dedupe": f"WITH {_ART} SELECT * FROM f",
-    "cross_reference_edges": f"WITH {_ART} SELECT DISTINCT a.type, a.id, a.source, f.source AS canonical_source FROM a JOIN f USING (type, id) WHERE a.source <> f.source",
-    "queue_priority_next": """SELECT o_orderkey AS item, CASE left(o_orderpriority, 1) WHEN '1' THEN 'integrity' WHEN '2' THEN 'identity' WHEN '3' THEN 'affiliation' ELSE 'other' END AS category, o_orderdate AS submitted_at FROM orders WHERE o_orderstatus = 'P'
+    "cross_reference_edges": f"""WITH {_ART} SELECT DISTINCT a.type, a.id, a.source, f.source AS canonical_source FROM a JOIN f USING (type, id)
+          WHERE a.source <> f.source""",
+    "queue_priority_next": """SELECT o_orderkey AS item, CASE left(o_orderpriority, 1) WHEN '1' THEN 'integrity' WHEN '2' THEN 'identity'
+          WHEN '3' THEN 'affiliation' ELSE 'other' END AS category, o_orderdate AS submitted_at FROM orders WHERE o_orderstatus = 'P'
       ORDER BY least(left(o_orderpriority, 1)::INT, 4), o_orderdate, o_orderkey LIMIT 25""",
-    "resolution_stats": """WITH l AS (SELECT l_orderkey AS i, max(l_shipdate) AS t FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1), s AS (SELECT o_orderkey AS i, (epoch_us(t) - epoch_us(o_orderdate)) / 86400e6 AS d FROM orders JOIN l ON i = o_orderkey), p AS (SELECT *, row_number() OVER (ORDER BY d, i) AS k, count(*) OVER () AS n FROM s)
-      SELECT (SELECT count(*) FROM orders) AS total, count(*) AS resolved, (SELECT count(*) FROM orders) - count(*) AS open, round(median(d), 6) AS median_days, round(max(d) FILTER (k = least(floor(n * 0.95::DOUBLE), n - 1) + 1), 6) AS p95_days FROM p""",
-    "queue_status": """WITH o AS (SELECT l_orderkey AS i, l_shipdate AS t, min(CASE WHEN l_linenumber % 2 = 0 THEN 'accepted' ELSE 'rejected' END) AS x FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL), l AS (SELECT i, arg_max(x, t) AS x FROM o GROUP BY i)
+    "resolution_stats": """WITH l AS (SELECT l_orderkey AS i, max(l_shipdate) AS t FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1),
+          s AS (SELECT o_orderkey AS i, (epoch_us(t) - epoch_us(o_orderdate)) / 86400e6 AS d FROM orders JOIN l ON i = o_orderkey), p AS (SELECT *,
+            row_number() OVER (ORDER BY d, i) AS k, count(*) OVER () AS n FROM s)
+      SELECT (SELECT count(*) FROM orders) AS total, count(*) AS resolved, (SELECT count(*) FROM orders) - count(*) AS open, round(median(d),
+        6) AS median_days, round(max(d) FILTER (k = least(floor(n * 0.95::DOUBLE), n - 1) + 1), 6) AS p95_days FROM p""",
+    "queue_status": """WITH o AS (SELECT l_orderkey AS i, l_shipdate AS t, min(CASE WHEN l_linenumber % 2 = 0 THEN 'accepted'
+          ELSE 'rejected' END) AS x FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL), l AS (SELECT i, arg_max(x, t) AS x FROM o GROUP BY i)
       SELECT coalesce(x, 'pending') AS status, count(*) AS n FROM orders LEFT JOIN l ON i = o_orderkey GROUP BY 1""",
     "page_limit_offset": "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40",
     "inverted_index_lookup": f"WITH {PAPERS_SQL} SELECT DISTINCT term AS descriptor, uuid FROM papers WHERE term = 'PROMO' ORDER BY uuid LIMIT 100",
     "yearly_counts": "SELECT o_custkey AS uuid, year(o_orderdate)::INT AS year, o_orderpriority AS type, count(*) AS n FROM orders GROUP BY ALL",
-    "artifact_hash": "SELECT o_custkey AS uuid, sha256(string_agg(o_orderkey::VARCHAR, '|' ORDER BY o_orderkey::VARCHAR)) AS hash FROM orders GROUP BY 1",
+    "artifact_hash": """SELECT o_custkey AS uuid, sha256(string_agg(o_orderkey::VARCHAR, '|' ORDER BY o_orderkey::VARCHAR)) AS hash FROM orders
+          GROUP BY 1""",
     "incremental_anti": "SELECT DISTINCT o_custkey AS uuid FROM orders WHERE NOT (o_custkey % 3 <> 0 AND 1 + o_custkey % 2 = 2)",
-    "cache_hits": "SELECT count(*) AS requests, count(*) FILTER (source IN ('src1', 'src2', 'src7')) AS hits, round(count(*) FILTER (source IN ('src1', 'src2', 'src7')) / count(*)::DOUBLE, 6) AS hit_rate FROM documents",
+    "cache_hits": """SELECT count(*) AS requests, count(*) FILTER (source IN ('src1', 'src2', 'src7')) AS hits, round(count(*)
+          FILTER (source IN ('src1', 'src2', 'src7')) / count(*)::DOUBLE, 6) AS hit_rate FROM documents""",
     "recent_per_key": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5",
     "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
-    "intersect_keys": "SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'",
+    "intersect_keys": """SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT l_orderkey FROM lineitem
+          WHERE l_returnflag = 'R'""",
     "except_keys": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
-    "evidence_union": "SELECT uuid, category, count(*) AS n FROM (SELECT o_custkey AS uuid, 'publication' AS category FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT o_custkey, 'grant' FROM orders UNION ALL SELECT c_custkey, 'profile' FROM customer) GROUP BY ALL",
-    "json_props_agg": "SELECT event_type, sum((props->>'k')::INT)::BIGINT AS total, max((props->>'k')::INT) AS top, count(props->>'k') AS n FROM events GROUP BY 1",
-    "judged_cross_pairs": "SELECT x.l_orderkey AS query, x.l_linenumber AS winner, y.l_linenumber AS loser FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey WHERE x.l_quantity > 25 AND NOT y.l_quantity > 25",
-    "adjacent_pairs": "SELECT l_orderkey, l_linenumber AS winner, n AS loser FROM (SELECT *, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS n FROM lineitem) WHERE n IS NOT NULL",
-    "triangular_unjudged": "SELECT x.l_orderkey, x.l_linenumber AS a, y.l_linenumber AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber WHERE (x.l_linenumber + y.l_linenumber) % 3 <> 0",
-    "sliding_60s_count": "SELECT event_id AS id, event_type AS source, count(*) OVER w AS in_window, count(*) OVER w > 100 AS burst FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)",
-    "same_query_count": "SELECT event_id AS id, row_number() OVER w AS same, row_number() OVER w > 10 AS suspicious FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)",
-    "token_bucket_replay": """WITH RECURSIVE e AS (SELECT user_id AS c, event_id AS id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    "evidence_union": """SELECT uuid, category, count(*) AS n FROM (SELECT o_custkey AS uuid, 'publication' AS category FROM lineitem
+          JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT o_custkey, 'grant' FROM orders UNION ALL SELECT c_custkey, 'profile' FROM customer)
+            GROUP BY ALL""",
+    "json_props_agg": """SELECT event_type, sum((props->>'k')::INT)::BIGINT AS total, max((props->>'k')::INT) AS top, count(props->>'k') AS n
+          FROM events GROUP BY 1""",
+    "judged_cross_pairs": """SELECT x.l_orderkey AS query, x.l_linenumber AS winner, y.l_linenumber AS loser FROM lineitem x
+          JOIN lineitem y ON x.l_orderkey = y.l_orderkey WHERE x.l_quantity > 25 AND NOT y.l_quantity > 25""",
+    "adjacent_pairs": """SELECT l_orderkey, l_linenumber AS winner, n AS loser FROM (SELECT *, lead(l_linenumber) OVER (PARTITION BY l_orderkey
+          ORDER BY l_quantity DESC, l_linenumber) AS n FROM lineitem) WHERE n IS NOT NULL""",
+    "triangular_unjudged": """SELECT x.l_orderkey, x.l_linenumber AS a, y.l_linenumber AS b FROM lineitem x
+          JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber WHERE (x.l_linenumber + y.l_linenumber) % 3 <> 0""",
+    "sliding_60s_count": """SELECT event_id AS id, event_type AS source, count(*) OVER w AS in_window, count(*) OVER w > 100 AS burst
+          FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)""",
+    "same_query_count": """SELECT event_id AS id, row_number() OVER w AS same, row_number() OVER w > 10 AS suspicious
+          FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""",
+    "token_bucket_replay": """WITH RECURSIVE e AS (SELECT user_id AS c, event_id AS id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id
+          ORDER BY ts, event_id) AS k FROM events),
       b AS (SELECT c, id, us, k, true AS allowed, 1.0::DOUBLE AS t FROM e WHERE k = 1
-        UNION ALL SELECT c, id, us, k, f >= 1, f - CASE WHEN f >= 1 THEN 1 ELSE 0 END FROM (SELECT e.*, least(2.0::DOUBLE, b.t + (e.us - b.us) / 1e6::DOUBLE * 0.0002::DOUBLE) AS f FROM b JOIN e ON e.c = b.c AND e.k = b.k + 1))
+        UNION ALL SELECT c, id, us, k, f >= 1, f - CASE WHEN f >= 1 THEN 1 ELSE 0 END FROM (SELECT e.*, least(2.0::DOUBLE,
+          b.t + (e.us - b.us) / 1e6::DOUBLE * 0.0002::DOUBLE) AS f FROM b JOIN e ON e.c = b.c AND e.k = b.k + 1))
       SELECT c AS customer, id, allowed, round(t, 4) AS tokens FROM b""",
-    "pair_likelihood": """WITH x AS (SELECT l_orderkey AS o, l_linenumber AS k, l_extendedprice AS v, pow((l_quantity + 1) / 52, 0.7) * ((l_discount + 0.01::DOUBLE) / 0.12::DOUBLE) * pow((l_tax + 0.01::DOUBLE) / 0.1::DOUBLE, 0.4) AS s FROM lineitem),
-      p AS (SELECT CASE WHEN a.v >= b.v THEN a.s ELSE b.s END AS w, CASE WHEN a.v >= b.v THEN b.s ELSE a.s END AS l FROM x a JOIN x b ON a.o = b.o AND b.k = a.k + 1)
+    "pair_likelihood": """WITH x AS (SELECT l_orderkey AS o, l_linenumber AS k, l_extendedprice AS v, pow((l_quantity + 1) / 52,
+          0.7) * ((l_discount + 0.01::DOUBLE) / 0.12::DOUBLE) * pow((l_tax + 0.01::DOUBLE) / 0.1::DOUBLE, 0.4) AS s FROM lineitem),
+      p AS (SELECT CASE WHEN a.v >= b.v THEN a.s ELSE b.s END AS w, CASE WHEN a.v >= b.v THEN b.s ELSE a.s END AS l FROM x a JOIN x b ON a.o = b.o
+        AND b.k = a.k + 1)
       SELECT round(sum(-ln(w / (w + l + 1e-12) + 1e-12)), 3) AS nll, count(*) AS n_pairs FROM p""",
-    "code_terms": f"""WITH c AS (SELECT DISTINCT ['C34.', 'c91', 'I50', 'X0'][o_orderkey % 4 + 1] || (o_orderkey % 10) AS code FROM orders), t(prefix, term) AS (VALUES {_DIAGNOSES}),
-      m AS (SELECT code, term, CASE WHEN upper(code) = prefix THEN 'exact' WHEN replace(upper(code), '.', '') = replace(prefix, '.', '') THEN 'undotted' ELSE 'prefix' END AS via, length(prefix) AS n FROM c JOIN t ON starts_with(upper(code), prefix) OR replace(upper(code), '.', '') = replace(prefix, '.', ''))
-      SELECT code, term, via FROM m QUALIFY row_number() OVER (PARTITION BY code ORDER BY CASE via WHEN 'exact' THEN 0 WHEN 'undotted' THEN 1 ELSE 2 END, n DESC) = 1""",
-    "tumbling_window": "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "session_window": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
+    "code_terms": f"""WITH c AS (SELECT DISTINCT ['C34.', 'c91', 'I50', 'X0'][o_orderkey % 4 + 1] || (o_orderkey % 10) AS code FROM orders),
+          t(prefix, term) AS (VALUES {_DIAGNOSES}),
+      m AS (SELECT code, term, CASE WHEN upper(code) = prefix THEN 'exact' WHEN replace(upper(code), '.', '') = replace(prefix, '.',
+        '') THEN 'undotted' ELSE 'prefix' END AS via, length(prefix) AS n FROM c JOIN t ON starts_with(upper(code), prefix) OR replace(upper(code),
+              '.', '') = replace(prefix, '.', ''))
+      SELECT code, term, via FROM m QUALIFY row_number() OVER (PARTITION BY code ORDER BY CASE via WHEN 'exact' THEN 0 WHEN 'undotted' THEN 1
+        ELSE 2 END, n DESC) = 1""",
+    "tumbling_window": """SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events
+          GROUP BY ALL""",
+    "session_window": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOURS OR lag(ts) OVER w IS NULL THEN 1
+          ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id
+            ORDER BY ts) AS s FROM g)
       SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOURS AS "end", count(*) AS n FROM s GROUP BY user_id, s""",
-    "asof_join": "WITH c AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'click') SELECT p.event_id, p.user_id, c.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts",
-    "rollup_totals": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    "asof_join": """WITH c AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'click') SELECT p.event_id, p.user_id,
+          c.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN c ON p.user_id = c.user_id
+            AND p.ts >= c.ts""",
+    "rollup_totals": """SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders
+          GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""",
     "cube_counts": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
 }

@@ -13,28 +13,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ARTICLE_XML = """MedlineCitation STRUCT<_Status STRING, PMID STRING, Article STRUCT<ArticleTitle STRING, Abstract STRUCT<AbstractText ARRAY<STRING>>,
-  Journal STRUCT<JournalIssue STRUCT<PubDate STRUCT<Year STRING, Month STRING, Day STRING>>>, ArticleDate ARRAY<STRUCT<Year STRING, Month STRING, Day STRING>>,
-  AuthorList STRUCT<Author ARRAY<STRUCT<LastName STRING, ForeName STRING, Initials STRING, Identifier ARRAY<STRING>, AffiliationInfo ARRAY<STRUCT<Affiliation STRING>>>>>,
+  Journal STRUCT<JournalIssue STRUCT<PubDate STRUCT<Year STRING, Month STRING, Day STRING>>>, ArticleDate ARRAY<STRUCT<Year STRING, Month STRING,
+    Day STRING>>,
+  AuthorList STRUCT<Author ARRAY<STRUCT<LastName STRING, ForeName STRING, Initials STRING, Identifier ARRAY<STRING>,
+    AffiliationInfo ARRAY<STRUCT<Affiliation STRING>>>>>,
   PublicationTypeList STRUCT<PublicationType ARRAY<STRING>>>,
   MedlineJournalInfo STRUCT<NlmUniqueID STRING>,
-  MeshHeadingList STRUCT<MeshHeading ARRAY<STRUCT<DescriptorName STRUCT<_VALUE STRING, _MajorTopicYN STRING>, QualifierName ARRAY<STRUCT<_VALUE STRING, _MajorTopicYN STRING>>>>>>"""
+  MeshHeadingList STRUCT<MeshHeading ARRAY<STRUCT<DescriptorName STRUCT<_VALUE STRING, _MajorTopicYN STRING>,
+    QualifierName ARRAY<STRUCT<_VALUE STRING, _MajorTopicYN STRING>>>>>>"""
 
-GRANT_JSON = """project_num STRING, activity_code STRING, project_title STRING, abstract_text STRING, fiscal_year INT, award_amount BIGINT, award_notice_date STRING,
-  is_active BOOLEAN, terms STRING, organization STRUCT<org_name STRING>, principal_investigators ARRAY<STRUCT<full_name STRING, profile_id STRING, is_contact_pi BOOLEAN>>"""
+GRANT_JSON = """project_num STRING, activity_code STRING, project_title STRING, abstract_text STRING, fiscal_year INT, award_amount BIGINT,
+  award_notice_date STRING,
+  is_active BOOLEAN, terms STRING, organization STRUCT<org_name STRING>, principal_investigators ARRAY<STRUCT<full_name STRING, profile_id STRING,
+    is_contact_pi BOOLEAN>>"""
 
-TRIAL_JSON = """protocolSection STRUCT<identificationModule STRUCT<nctId STRING, briefTitle STRING>, statusModule STRUCT<overallStatus STRING, lastUpdatePostDateStruct STRUCT<date STRING>>,
+TRIAL_JSON = """protocolSection STRUCT<identificationModule STRUCT<nctId STRING, briefTitle STRING>, statusModule STRUCT<overallStatus STRING,
+  lastUpdatePostDateStruct STRUCT<date STRING>>,
   conditionsModule STRUCT<conditions ARRAY<STRING>>, designModule STRUCT<phases ARRAY<STRING>, studyType STRING>,
-  contactsLocationsModule STRUCT<overallOfficials ARRAY<STRUCT<name STRING, role STRING, affiliation STRING>>, locations ARRAY<STRUCT<facility STRING, contacts ARRAY<STRUCT<name STRING, role STRING>>>>>>"""
+  contactsLocationsModule STRUCT<overallOfficials ARRAY<STRUCT<name STRING, role STRING, affiliation STRING>>,
+    locations ARRAY<STRUCT<facility STRING, contacts ARRAY<STRUCT<name STRING, role STRING>>>>>>"""
 
 WORK_JSON = """id STRING, doi STRING, title STRING, publication_date STRING, type STRING, cited_by_count BIGINT, ids STRUCT<pmid STRING>,
-  concepts ARRAY<STRUCT<id STRING, display_name STRING, score DOUBLE>>, authorships ARRAY<STRUCT<author STRUCT<id STRING, display_name STRING, orcid STRING>, author_position STRING, raw_affiliation_strings ARRAY<STRING>>>,
+  concepts ARRAY<STRUCT<id STRING, display_name STRING, score DOUBLE>>, authorships ARRAY<STRUCT<author STRUCT<id STRING, display_name STRING,
+    orcid STRING>, author_position STRING, raw_affiliation_strings ARRAY<STRING>>>,
   grants ARRAY<STRUCT<award_id STRING, funder_display_name STRING>>"""
 
-RATIO_JSON = """pmid BIGINT, year INT, relative_citation_ratio DOUBLE, citation_count BIGINT, expected_citations_per_year DOUBLE, field_citation_rate DOUBLE,
+RATIO_JSON = """pmid BIGINT, year INT, relative_citation_ratio DOUBLE, citation_count BIGINT, expected_citations_per_year DOUBLE,
+  field_citation_rate DOUBLE,
   is_research_article BOOLEAN, doi STRING"""
 
 AUTHOR_JSON = """id STRING, display_name STRING, orcid STRING, works_count BIGINT, cited_by_count BIGINT,
-  last_known_institutions ARRAY<STRUCT<id STRING, display_name STRING, country_code STRING>>, affiliations ARRAY<STRUCT<id STRING, display_name STRING, country_code STRING>>,
+  last_known_institutions ARRAY<STRUCT<id STRING, display_name STRING, country_code STRING>>, affiliations ARRAY<STRUCT<id STRING,
+    display_name STRING, country_code STRING>>,
   x_concepts ARRAY<STRUCT<id STRING, display_name STRING, score DOUBLE>>, concepts ARRAY<STRUCT<id STRING, display_name STRING, score DOUBLE>>"""
 
 FUNDER_JSON = "id STRING, display_name STRING, country_code STRING, grants_count BIGINT, works_count BIGINT"
@@ -140,7 +150,8 @@ def grants(spark: SparkSession, path: str) -> DataFrame:
         F.transform(
             F.split("terms", ";"),
             F.trim,
-        ).alias("project_terms"), F.col("organization.org_name").alias("organization_name"), F.to_date(F.substring("award_notice_date", 1, 10)).alias("award_notice_date"), "is_active",
+        ).alias("project_terms"), F.col("organization.org_name").alias("organization_name"), F.to_date(F.substring("award_notice_date", 1,
+            10)).alias("award_notice_date"), "is_active",
         F.transform(
             "principal_investigators",
             lambda p: F.struct(
@@ -197,11 +208,13 @@ def trials_of(pages: DataFrame) -> DataFrame:
         )
     )
     rows = s.select(
-        F.col("identificationModule.nctId").alias("nct_id"), F.col("identificationModule.briefTitle").alias("title"), F.col("conditionsModule.conditions").alias("conditions"), F.array_join(
+        F.col("identificationModule.nctId").alias("nct_id"), F.col("identificationModule.briefTitle").alias("title"),
+            F.col("conditionsModule.conditions").alias("conditions"), F.array_join(
             "designModule.phases",
             "/",
         ).alias("phase"),
-        F.col("designModule.studyType").alias("study_type"), F.col("statusModule.overallStatus").alias("status"), F.to_date("statusModule.lastUpdatePostDateStruct.date").alias("last_update"), F.concat(
+        F.col("designModule.studyType").alias("study_type"), F.col("statusModule.overallStatus").alias("status"),
+            F.to_date("statusModule.lastUpdatePostDateStruct.date").alias("last_update"), F.concat(
             F.coalesce(officials, none),
             F.coalesce(sites, none),
         ).alias("investigators"),
@@ -214,7 +227,8 @@ def works(spark: SparkSession, path: str) -> DataFrame:
     w = spark.read.schema(f"results ARRAY<STRUCT<{_struct(WORK_JSON)}>>").json(path, multiLine=True).select(F.inline("results"))
     last = lambda c: F.substring_index(F.rtrim(c, F.lit("/")), "/", -1)
     return w.select(
-        last(F.col("id")).alias("openalex_id"), "doi", last(F.col("ids.pmid")).alias("pmid"), "title", F.to_date("publication_date").alias("publication_date"), "type", "cited_by_count", "concepts", "grants",
+        last(F.col("id")).alias("openalex_id"), "doi", last(F.col("ids.pmid")).alias("pmid"), "title",
+            F.to_date("publication_date").alias("publication_date"), "type", "cited_by_count", "concepts", "grants",
         F.transform(
             "authorships",
             lambda a: F.struct(
@@ -241,7 +255,8 @@ def exclusions(spark: SparkSession, path: str) -> DataFrame:
         text("LASTNAME").alias("last_name"), text("FIRSTNAME").alias("first_name"), F.nullif(
             text("NPI"),
             F.lit("0000000000"),
-        ).alias("npi"), text("EXCLTYPE").alias("exclusion_type"), date("EXCLDATE").alias("exclusion_date"), date("REINDATE").alias("reinstate_date"), text("STATE").alias("state"), text("SPECIALTY").alias("specialty"),
+        ).alias("npi"), text("EXCLTYPE").alias("exclusion_type"), date("EXCLDATE").alias("exclusion_date"), date("REINDATE").alias("reinstate_date"),
+            text("STATE").alias("state"), text("SPECIALTY").alias("specialty"),
     )
 
 
@@ -291,7 +306,8 @@ def publication_people(articles: DataFrame) -> DataFrame:
             F.get("p.affiliations", F.lit(0)),
             1,
             200,
-        ).alias("affiliation"), F.array("pmid").alias("pmids"), F.array().cast("array<string>").alias("grant_ids"), F.array().cast("array<string>").alias("nct_ids"),
+        ).alias("affiliation"), F.array("pmid").alias("pmids"), F.array().cast("array<string>").alias("grant_ids"),
+            F.array().cast("array<string>").alias("nct_ids"),
         F.slice(
             F.transform("mesh_descriptors", lambda m: m["descriptor"]),
             1,
@@ -308,8 +324,11 @@ def grant_people(rows: DataFrame) -> DataFrame:
     known, unknown = CONFIDENCE["reporter"]
     g = rows.withColumn("p", F.explode("pis"))
     return g.select(
-        F.col("p.full_name").alias("name"), F.lit(None).cast("string").alias("orcid"), F.col("p.era_id").alias("era"), F.col("organization_name").alias("affiliation"), F.array().cast("array<string>").alias("pmids"), F.array("project_number").alias("grant_ids"), F.array().cast("array<string>").alias("nct_ids"),
-        F.slice("project_terms", 1, MOST_CATEGORIES).alias("terms"), F.when(F.col("p.era_id").isNotNull(), known).otherwise(unknown).alias("confidence"), F.coalesce(
+        F.col("p.full_name").alias("name"), F.lit(None).cast("string").alias("orcid"), F.col("p.era_id").alias("era"),
+            F.col("organization_name").alias("affiliation"), F.array().cast("array<string>").alias("pmids"),
+                F.array("project_number").alias("grant_ids"), F.array().cast("array<string>").alias("nct_ids"),
+        F.slice("project_terms", 1, MOST_CATEGORIES).alias("terms"), F.when(F.col("p.era_id").isNotNull(),
+            known).otherwise(unknown).alias("confidence"), F.coalesce(
             "award_notice_date",
             F.make_date("fiscal_year", F.lit(7), F.lit(1)),
         ).alias("updated"), F.lit("reporter").alias("source"),
@@ -320,7 +339,9 @@ def trial_people(rows: DataFrame) -> DataFrame:
     """One person for each principal investigator of a trial."""
     t = rows.withColumn("p", F.explode(F.filter("investigators", lambda i: i["role"] == "PI")))
     return t.select(
-        F.col("p.full_name").alias("name"), F.lit(None).cast("string").alias("orcid"), F.lit(None).cast("string").alias("era"), F.col("p.affiliation").alias("affiliation"), F.array().cast("array<string>").alias("pmids"), F.array().cast("array<string>").alias("grant_ids"), F.array("nct_id").alias("nct_ids"),
+        F.col("p.full_name").alias("name"), F.lit(None).cast("string").alias("orcid"), F.lit(None).cast("string").alias("era"),
+            F.col("p.affiliation").alias("affiliation"), F.array().cast("array<string>").alias("pmids"),
+                F.array().cast("array<string>").alias("grant_ids"), F.array("nct_id").alias("nct_ids"),
         F.slice(
             "conditions",
             1,

@@ -48,7 +48,8 @@ def retraction_events(entries: DataFrame) -> DataFrame:
     ).when(F.lower(text).rlike("plagiar|duplicat"), "high").otherwise("medium")
     names = F.regexp_extract_all(text, F.lit(r"by ([A-Z][a-z]+ [A-Z][a-z]+)"), F.lit(1))
     return entries.select(
-        "id", F.lit("retraction").alias("event_type"), F.get(names, F.lit(0)).alias("subject"), F.slice(names, F.lit(2), F.greatest(F.size(names) - 1, F.lit(0))).alias("others"), F.nullif(
+        "id", F.lit("retraction").alias("event_type"), F.get(names, F.lit(0)).alias("subject"), F.slice(names, F.lit(2), F.greatest(F.size(names) - 1,
+            F.lit(0))).alias("others"), F.nullif(
             F.regexp_extract(text, r"(?i)pmid:?\s*(\d+)", 1),
             F.lit(""),
         ).alias("pmid"), severity.alias("severity"), "published"
