@@ -282,8 +282,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), "text")
 
 
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document, or line, has; n_chars follows the text."""
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, *, drop_emptied: bool = True) -> DataFrame:
+    """Documents without the lines that an earlier document, or line, has; n_chars follows the text. A document that loses
+    lines and has no other left goes, unless `drop_emptied` is false: all that it said is in earlier documents."""
     modest_batches(spark)
     count = F.length(F.col("text")).cast(docs.schema["n_chars"].dataType)
-    return dedup_lines(docs).select(*(count.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    found = dedup_lines(docs)
+    if drop_emptied:
+        removed = found.columns[-1]
+        found = found.where((F.col(removed) == 0) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
+    return found.select(*(count.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))

@@ -52,7 +52,7 @@ def test_against_brute_force(spark):
 
 def test_awkward_rows(spark):
     df = table(spark)
-    out = line_stage(spark, df, "")
+    out = line_stage(spark, df, "", drop_emptied=False)
     assert out.columns == df.columns
     rows = out.collect()
     assert len(rows) == len(awkward())
@@ -101,3 +101,11 @@ def test_white_space_rule(spark):
     rows = [(1, "\u00a0\n \t\na\u00a0b"), (2, "\u00a0\n \t\n a\u00a0b\x0c")]
     got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: " \t"}
+
+
+def test_stage_drops_documents_that_lost_all_they_said(spark):
+    rows = [(1, "one line of some length\nand another one here"), (2, "and another one here\n \none line of some length"), (3, None), (4, ""), (5, " \n"), (6, "one line of some length\nnew words stay here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in line_stage(spark, docs, "").collect()} == {1, 3, 4, 5, 6}
+    every = {r["doc_id"]: r["text"] for r in line_stage(spark, docs, "", drop_emptied=False).collect()}
+    assert every == {1: rows[0][1], 2: " ", 3: None, 4: "", 5: " \n", 6: "new words stay here"}

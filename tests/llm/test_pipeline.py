@@ -19,7 +19,7 @@ def test_components(spark):
 @pytest.mark.parametrize("most", [0, 1_000_000])
 def test_components_of_random_graphs(spark, monkeypatch, most):
     """Against a plain search; few edges at once and, with `most` 0, salted moves."""
-    from meritgrid.llm import components as module
+    from meritgrid.functions import graph as module
 
     monkeypatch.setattr(module, "BROADCAST_ROWS", most)
     monkeypatch.setattr(module, "EDGES_AT_ONCE", 8)
