@@ -2,8 +2,7 @@
 
 Each stage is written as Parquet into the session's shared folder and read again before the next, so a lost
 executor repeats a stage's tasks, not the pipeline; a stage's table goes once the next one is written. All stages
-but the last return the columns of `documents`. A document that loses all its lines to earlier ones stays as an
-empty text, is like no other, and is packed as a piece of size 0.
+but the last return the columns of `documents`. A document that loses all its lines to earlier ones goes with them.
 """
 
 from __future__ import annotations
