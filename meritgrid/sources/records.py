@@ -294,6 +294,24 @@ def yaml_members(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "roster_type string, name string, institution string, year int")
 
 
+def archetypes(spark: SparkSession, folder: str, in_scope_only: bool = False) -> DataFrame:
+    """(archetype_id, name, pmids, nct_ids, grant_ids, in_scope) out of YAML files of known people whose artifacts have to
+    be found, one a file; without `in_scope` one is in scope. These are small hand-kept files on the driver's side;
+    `logs.archetype_coverage` compares them with what is stored."""
+    import yaml
+
+    rows = []
+    for path in sorted(Path(folder).glob("*.yaml")):
+        own = yaml.safe_load(path.read_text()) or {}
+        if own.get("archetype_id") is not None:
+            expected = own.get("expected") or {}
+            ids = ([str(v) for v in expected.get(k) or []] for k in ("pmids", "nct_ids", "grant_ids"))
+            rows.append((str(own["archetype_id"]), own.get("name"), *ids, bool(own.get("in_scope", True))))
+    schema = "archetype_id string, name string, pmids array<string>, nct_ids array<string>, grant_ids array<string>, in_scope boolean"
+    found = spark.createDataFrame(rows, schema)
+    return found.where("in_scope") if in_scope_only else found
+
+
 def publication_people(articles: DataFrame) -> DataFrame:
     """One person an article: the last author, or the first author where none is marked last."""
     last = F.get(F.filter("authors", lambda a: a["is_last_author"]), F.lit(0))

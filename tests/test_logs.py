@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meritgrid.operators import logs
+from meritgrid.sources.records import archetypes
 
 SCHEMA = "id bigint, ts timestamp, v string"
 
@@ -71,3 +72,14 @@ def test_gates(spark):
     fields = spark.createDataFrame([("m", None), (None, None)], "gender string, race string")
     assert {r["field"]: r["n"] for r in logs.stripped_fields(fields, ["gender", "race"]).collect()} == {"gender": 1, "race": 0}
     assert logs.stripped_fields(fields, []).count() == 0
+
+
+def test_archetypes_on_file(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("archetype_id: a\nname: A\nexpected: {pmids: [1, '2'], nct_ids: [N1]}\n")
+    (tmp_path / "b.yaml").write_text("archetype_id: b\nin_scope: false\nexpected: {grant_ids: [g]}\n")
+    (tmp_path / "c.yaml").write_text("")
+    known = archetypes(spark, str(tmp_path))
+    stored = spark.createDataFrame([("pmid", "1"), ("pmid", "2"), ("nct_id", "N1")], "type string, id string")
+    got = {r["archetype_id"]: (r["coverage"], r["passes"]) for r in logs.archetype_coverage(known, stored).collect()}
+    assert got == {"a": (1.0, True), "b": (0.0, True)}
+    assert [r["archetype_id"] for r in archetypes(spark, str(tmp_path), in_scope_only=True).collect()] == ["a"]
