@@ -40,7 +40,7 @@ def _landed(rows: DataFrame, *path: str) -> str:
     for name in reversed(path):
         content = F.struct(content.alias(name))
     pages = rows.groupBy(page).agg(F.collect_list(F.struct(*rows.columns)).alias("r"))
-    pages.select("page", F.to_json(content).alias("value")).write.partitionBy("page").text(folder)
+    pages.select(F.to_json(content).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)  # a page a file
     return folder
 
 
