@@ -99,7 +99,8 @@ def latest_drop(snapshots: DataFrame, key: str, day: str, value: str, threshold:
 
 def histogram(scores: DataFrame, value: str, key: str, bins: int = BINS) -> DataFrame:
     """(key, bin, n) with bins of equal width from the smallest to the largest value, which is in the last bin;
-    one value only gets bins half a unit to either side."""
+    one value only gets bins half a unit to either side. A value is placed by widths of a bin, as `width_bucket`, which
+    multiplies before it divides, puts some values at a bin's edge elsewhere."""
     ends = scores.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     same = F.col("_lo") == F.col("_hi")
     ends = ends.select(
@@ -107,7 +108,8 @@ def histogram(scores: DataFrame, value: str, key: str, bins: int = BINS) -> Data
         F.when(same, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"),
         F.when(same, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("hi"),
     )
-    placed = scores.join(ends, key).select(key, "lo", "hi", F.least(F.width_bucket(value, "lo", "hi", F.lit(bins)), F.lit(bins)).alias("bin"))
+    at = F.floor((F.col(value) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)) + 1
+    placed = scores.join(ends, key).select(key, "lo", "hi", F.least(at, F.lit(bins)).alias("bin"))
     return placed.groupBy(key, "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
 
 

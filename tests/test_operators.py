@@ -253,6 +253,18 @@ def test_drift(spark):
     assert got[dt.date(2024, 1, 16)]["severity"] == "critical" and got[dt.date(2024, 1, 2)]["mean"] == 0
 
 
+def test_histogram_at_the_edges_of_bins(spark):
+    """Values that a product before the quotient puts into the next bin."""
+    values = [k / 5 for k in range(51)]
+    got = {r["bin"]: r["n"] for r in monitoring.histogram(spark.createDataFrame([("a", v) for v in values], "k string, v double"), "v", "k").collect()}
+    want: dict[int, int] = {}
+    for v in values:
+        at = min(math.floor((v - 0.0) / ((10.0 - 0.0) / 50)) + 1, 50)
+        want[at] = want.get(at, 0) + 1
+    product = {min(int(50 * v / 10.0) + 1, 50) for v in values}
+    assert got == want and set(got) != product
+
+
 def test_jumps(spark):
     rows = [("p", 1, 1.0), ("p", 2, 1.3), ("p", 3, 3.0), ("q", 1, 0.0), ("q", 2, 0.5), ("r", 2, 1.0), ("r", 10, 1.1)]
     got = {(r["parameter"], r["version"]): r["severity"] for r in monitoring.jumps(spark.createDataFrame(rows, "parameter string, version int, value double"), "parameter").collect()}
