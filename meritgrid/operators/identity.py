@@ -346,7 +346,7 @@ def expanded_organisation(text: Column) -> Column:
 def resolve_organisations(raw: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
     """`raw` (affiliation) resolved against a dictionary `names` (canonical_name, ror_id, ...) of any size: alias, then
     exact name, then the closest name by `name_ratio`, the first of equals in lower case. Only distinct strings that neither alias nor name resolves
-    are looked for, in rounds of falling ratios (`closeness`)."""
+    are looked for (`closeness`)."""
     text = raw.select("affiliation").distinct().withColumn("_t", normal_organisation(F.col("affiliation")))
     alias = aliases.groupBy(F.lower("alias").alias("_t")).agg(F.min("canonical_name").alias("_a"))
     exact = names.groupBy(F.lower("canonical_name").alias("_t")).agg(F.min("canonical_name").alias("_e"))
