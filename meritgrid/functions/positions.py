@@ -68,6 +68,12 @@ def _bounds(rows: DataFrame, order: list[str], n: int) -> list[tuple]:
     return keys[step::step]
 
 
+def in_buckets(rows: DataFrame, order: list[str], name: str = "bucket") -> DataFrame:
+    """Settled rows with the number of their bucket in the order: rows of equal place share one."""
+    bounds = _bounds(rows, order, rows.count())
+    return rows.withColumn(name, _tree(bounds, 0, len(bounds), lambda b: _below(order, b)))
+
+
 def running_sums(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
     """`df` with, for each of `sums`, its total over all rows that stand before a row by the ascending columns `order`,
     nulls first. The order must be strict, or rows of equal place see each other in any order.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meritgrid.functions.positions import numbered, order_statistics, running_sums
+from meritgrid.functions.positions import in_buckets, numbered, order_statistics, running_sums, settled
 
 # Windows and thresholds of the alerts.
 DRIFT_ROWS, DRIFT_DROP, DRIFT_Z = 14, 0.30, 2.0
@@ -226,6 +226,43 @@ def service_levels(requests: DataFrame, *keys: str) -> DataFrame:
     return rates.join(own, same).select(*keys, "requests", "p95", "p99", "success_rate", "budget_used_pct")
 
 
+def rolling_levels(requests: DataFrame, key: str, days: int, points: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:
+    """`service_levels` of each key over the `days` up to each day that has requests, as (as_of, key, ...); requests (day,
+    key, latency, success) without a latency are the slowest.
+
+    A request is not copied into each window that it is in. Windows are counted by buckets of latencies, out of counts of
+    days, which tells the bucket that holds an order statistic; only requests of that bucket go into the window, and
+    equal ones as one row with their number."""
+    rows = settled(requests.select("day", key, "latency", "success"))
+    kept = in_buckets(rows, [key, "latency"], "b").withColumn("b", F.when(F.col("latency").isNull(), 2**30).otherwise(F.col("b")))
+    daily = settled(
+        kept.groupBy("day", F.col(key).alias("k"), "b").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("success")).alias("fails"))
+    )
+    back = F.explode(F.sequence(F.col("as_of"), F.date_sub("as_of", days - 1), F.expr("interval -1 day"))).alias("day")
+    windows = daily.select(F.col("day").alias("as_of")).where("as_of is not null").distinct().select("as_of", back)
+    counts = windows.join(daily, "day").groupBy("as_of", "k", "b").agg(F.sum("n").alias("n"), F.sum("fails").alias("fails"))
+    own = W.partitionBy("as_of", "k")
+    before = F.sum("n").over(own.orderBy("b")) - F.col("n")
+    counts = settled(counts.select("*", F.sum("n").over(own).alias("all"), before.alias("before")))
+    place = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.floor((F.col("all") - 1) * F.lit(p)).alias("i")) for p in points))).alias("w")
+    asked = counts.select("as_of", "k", "b", "n", "before", place).select("*", "w.p", "w.i").where("i >= before and i < before + n")
+    wanted = asked.select("as_of", "k", "b", "p", (F.col("i") - F.col("before")).alias("i"))
+    near = kept.where("latency is not null").groupBy("day", F.col(key).alias("k"), "b", "latency").agg(F.count(F.lit(1)).alias("m"))
+    met = near.alias("r").join(wanted.join(windows, "as_of").alias("w"), (F.col("r.day") == F.col("w.day")) & (F.col("r.b") == F.col("w.b"))
+        & F.col("r.k").eqNullSafe(F.col("w.k")))
+    values = met.groupBy("as_of", "w.k", "p", "i", "latency").agg(F.sum("m").alias("m"))
+    upto = F.sum("m").over(W.partitionBy("as_of", "k", "p").orderBy("latency"))
+    found = values.withColumn("upto", upto).where("upto > i and upto - m <= i")
+    best = found.groupBy("as_of", "k").agg(*(F.max(F.when(F.col("p") == p, F.col("latency"))).alias(f"p{round(100 * p)}") for p in points))
+    n, fails = F.col("requests"), F.col("fails")
+    rates = counts.groupBy("as_of", "k").agg(F.sum("n").alias("requests"), F.sum("fails").alias("fails")).select(
+        "as_of", "k", "requests", F.round(1 - fails / n, 6).alias("success_rate"), F.round(fails / ((1 - SLO_SUCCESS) * n) * 100, 4).alias("budget_used_pct")
+    )
+    both = rates.alias("a").join(best.alias("b"), (F.col("a.as_of") == F.col("b.as_of")) & F.col("a.k").eqNullSafe(F.col("b.k")), "left")
+    names = [f"p{round(100 * p)}" for p in points]
+    return both.select("a.as_of", F.col("a.k").alias(key), "requests", *names, "success_rate", "budget_used_pct")
+
+
 def health(requests: DataFrame, sources: list[str] | None = None) -> DataFrame:
     """Per source the number of calls by status and the error rate."""
     status = ["2xx", "4xx", "5xx", "timeout"]

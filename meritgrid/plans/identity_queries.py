@@ -50,12 +50,8 @@ def cohort_daily(spark: SparkSession, d: str) -> DataFrame:
 
 def rolling_levels(spark: SparkSession, d: str) -> DataFrame:
     """Exact service levels of each source over the 30 days up to each day that has requests."""
-    r = requests(spark, d)
-    day = F.to_date("ts")
-    asked = r.select(day.alias("as_of")).distinct()
-    served = F.explode(F.sequence(F.col("as_of"), F.date_sub("as_of", sketches.DAYS - 1), F.expr("interval -1 day"))).alias("_day")
-    rows = r.withColumn("_day", day).join(asked.select("as_of", served), "_day").drop("_day")
-    return monitoring.service_levels(rows, "as_of", "source")
+    r = requests(spark, d).withColumn("day", F.to_date("ts"))
+    return monitoring.rolling_levels(r, "source", sketches.DAYS)
 
 
 def sketched_levels(spark: SparkSession, d: str) -> DataFrame:

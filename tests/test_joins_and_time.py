@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from meritgrid.functions import joins
+from meritgrid.functions import joins, positions
 from meritgrid.operators import cohort_log, monitoring, sketches
 from meritgrid.operators.index_store import StoredIndex, bucket
 
@@ -120,6 +121,21 @@ def test_sketches_of_days_are_close_to_the_exact_levels(spark):
             assert abs(rank - p / 100) < 0.015
 
 
+def test_rolling_levels_copy_few_requests(spark, monkeypatch):
+    """Exact levels of windows of days, of null keys and latencies too, out of many buckets."""
+    monkeypatch.setattr(positions, "BUCKET_ROWS", 50)
+    rows = [(*r[:3], None if r[0] % 97 == 0 else round(r[3]), r[4]) for r in requests(3, 0, 9, 3000)]
+    made = spark.createDataFrame([(r[0], r[1].date(), r[2], None if r[3] is None else float(r[3]), r[4]) for r in rows], "id long, day date, source string, latency double, success boolean")
+    got = {(r["as_of"], r["source"]): r for r in monitoring.rolling_levels(made, "source", 3).collect()}
+    for (day, source), r in got.items():
+        inside = [x for x in rows if day - dt.timedelta(days=3) < x[1].date() <= day and x[2] == source]
+        values, n = sorted((x[3] is None, x[3] or 0) for x in inside), len(inside)
+        want = [None if values[i][0] else values[i][1] for i in (math.floor((n - 1) * 0.95), math.floor((n - 1) * 0.99))]
+        fails = sum(not x[4] for x in inside)
+        assert (r["requests"], r["p95"], r["p99"], r["success_rate"]) == (n, *want, round(1 - fails / n, 6))
+    assert len(got) == 27
+
+
 def test_sketches_without_values(spark):
     rows = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "a", None, True)], REQUESTS)
     daily = sketches.daily_sketches(rows, "source")
