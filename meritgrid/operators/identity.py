@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from meritgrid.functions.joins import pairs_by_key
 from meritgrid.functions.positions import settled
-from meritgrid.operators.closeness import HALF, best_ratio, close_pairs, closest_names, masks, most_common, prepared
+from meritgrid.operators.closeness import HALF, HELD, NameTree, best_ratio, close_pairs, closest_names, masks, most_common, prepared
 from meritgrid.operators.integrity import jaccard
 
 # Weights and thresholds of the links, word lists and abbreviations.
@@ -141,6 +142,9 @@ def link_action(confidence: Column, auto: float = AUTO_LINK, review: float = REV
 LINK_ROUNDS = (0.93, 0.85, 0.78, 0.72)
 #: Similarity of terms from which a pair can be a link with a ratio of names below all rounds.
 CLOSE_TERMS = 0.5
+#: Candidates of one organisation and the same years up to which all are compared; of more the closest names are searched
+#: for, by so many tasks a group, each with so many artifacts.
+CROWD, SHARES, SHARE = 512, 4, 50_000
 
 
 def _with_masks(names: Column) -> Column:
@@ -202,6 +206,60 @@ def _close_terms(left: DataFrame, right: DataFrame) -> DataFrame:
     return x.join(y, "term").where((F.col("n") * CLOSE_TERMS <= F.col("m")) & (F.col("m") * CLOSE_TERMS <= F.col("n"))).select("artifact_id", "uuid")
 
 
+def _closest_of_group(asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
+    """(artifact_id, uuid): for each name asked the candidate with the closest one, of equals the one of the first uuid."""
+    if not len(asked) or not len(offered):
+        return pd.DataFrame({"artifact_id": asked["artifact_id"].head(0), "uuid": offered["uuid"].head(0)})
+    first = offered.groupby("name")["uuid"].min().sort_index()
+    uuids = first.tolist()
+    place = {u: i for i, u in enumerate(sorted(set(uuids)))}
+    names = first.index.tolist()
+    tree, at = NameTree(names, np.array([place[u] for u in uuids])), dict(zip(names, uuids, strict=True))
+    known: dict[str, str] = {}
+    for x in asked["name"]:
+        if x not in known:
+            known[x] = at[tree.closest(x)[0]]
+    return pd.DataFrame({"artifact_id": asked["artifact_id"], "uuid": asked["name"].map(known)})
+
+
+def _sharing(own: DataFrame, other: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(artifact_id, uuid) that share a key of `own` (artifact_id, key) and `other` (uuid, key), as far as they may be the
+    best link of the artifact.
+
+    Without co-authors and terms a link of an organisation is told by name and years. So where many candidates have an
+    organisation and years in common, only those with the closest names are taken, the first uuid of equals; candidates
+    without names, and all for artifacts without, are as close as each other, so the first uuid stands for them."""
+    years = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("first_year", "last_year")]
+    grouped = other.join(right.select("uuid", "first_year", "last_year", "c_names"), "uuid").withColumn("g", F.concat_ws("\0", "key", *years))
+    counts = grouped.where(F.col("key").startswith("o")).groupBy("key", "g").agg(
+        F.count(F.lit(1)).alias("m"), F.min("uuid").alias("any"), F.min(F.when(F.size("c_names") == 0, F.col("uuid"))).alias("bare")
+    )
+    large = settled(counts.where(F.col("m") > CROWD).withColumn("tables", F.ceil(F.col("m") / F.lit(HELD)).cast("int")))
+    plain = own.join(other, "key").select("artifact_id", "uuid")
+    if large.isEmpty():
+        return plain
+    simple = left.where((F.size("people") == 0) & (F.size("term_set") == 0)).select("artifact_id", "names")
+    some = own.join(simple, "artifact_id")
+    hard = own.join(simple, "artifact_id", "left_anti").join(other, "key").select("artifact_id", "uuid")
+    small = grouped.join(large.select("g"), "g", "left_anti").select("key", "uuid")
+    few = some.select("artifact_id", "key").join(small, "key").select("artifact_id", "uuid")
+    asked = some.join(large.select("key", "g", "any", "bare", "tables"), "key")
+    first = asked.select("artifact_id", F.when(F.size("names") == 0, F.col("any")).otherwise(F.col("bare")).alias("uuid")).where("uuid is not null")
+    sizes = some.groupBy("key").agg(F.count(F.lit(1)).alias("a"))
+    shares = F.greatest(F.least(F.lit(SHARES), F.ceil(F.col("a") / F.lit(CROWD))), F.ceil(F.col("a") / F.lit(SHARE))).cast("int")
+    sizes = sizes.select("key", shares.alias("shares"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    x = asked.join(sizes, "key").withColumn("share", part("artifact_id", "shares")).withColumn("t", each("tables"))
+    x = x.select("g", "share", "t", "artifact_id", F.explode(F.transform("names", lambda n: n["name"])).alias("name"))
+    y = grouped.join(large.select("g", "tables"), "g").join(sizes, "key").withColumn("t", part("uuid", "tables")).withColumn("share", each("shares"))
+    y = y.select("g", "share", "t", "uuid", F.explode(F.transform("c_names", lambda n: n["name"])).alias("name"))
+    schema = T.StructType([T.StructField(c, d.schema[c].dataType) for c, d in (("artifact_id", left), ("uuid", right))])
+    by = ["g", "share", "t"]
+    near = x.groupBy(*by).cogroup(y.groupBy(*by)).applyInPandas(lambda a, b: _closest_of_group(a, b), schema)
+    return hard.unionByName(few).unionByName(first).unionByName(near)
+
+
 def link(artifacts: DataFrame, candidates: DataFrame) -> DataFrame:
     """The best candidate of each artifact: artifact_id, uuid (null if rejected), confidence, action, features.
 
@@ -231,7 +289,7 @@ def link(artifacts: DataFrame, candidates: DataFrame) -> DataFrame:
     places = F.when(F.col("ror_id").isNotNull(), F.array_compact(F.array("ror_id", "parent_ror_id"))).otherwise(F.array().cast("array<string>"))
     own = left.select("artifact_id", F.explode(F.array_distinct(F.concat(kind("o", places), kind("p", F.col("people"))))).alias("key"))
     other = right.select("uuid", F.explode(F.concat(kind("o", F.col("rors")), kind("p", F.col("name_set")))).alias("key"))
-    shared = own.join(other, "key").select("artifact_id", "uuid").unionByName(_close_terms(left, right)).distinct()
+    shared = _sharing(own, other, left, right).unionByName(_close_terms(left, right)).distinct()
     best = settled(_links(shared, left, right))
 
     asked, offered = (side.select(key, F.explode(F.transform(names, lambda n: n["name"])).alias(k)) for side, key, names, k in ((left, "artifact_id",

@@ -89,3 +89,22 @@ def test_links_need_no_product_of_both_sides(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert identity.link(art, cand.limit(0)).first()["action"] == "reject"
     assert identity.link(art.limit(0), cand).count() == 0
+
+
+def test_crowded_organisations_give_the_same_links(spark, monkeypatch):
+    """Where many candidates share an organisation and years, the closest names are searched for: far fewer pairs, the
+    same links, of those without names, co-authors or terms too."""
+    rng = random.Random(8)
+    made = lambda: [f"customer {rng.randrange(300)} {rng.choice(['smith', 'smythe'])}" for _ in range(rng.randrange(3))]
+    pick = lambda values: [rng.choice(values) for _ in range(rng.randrange(3))]
+    arts = [(f"a{i}", made(), rng.choice([None, "r1", "r2"]), rng.choice([None, "r3"]), made() if i % 5 == 0 else [], pick(["t1", "t2"]) if i % 4 == 0 else [], rng.choice([None, 1980, 2010])) for i in range(60)]
+    cands = [(f"u{i}", made(), pick(["r1", "r2", "r3"]), pick(["t1", "t3"]), rng.choice([None, 2000]), rng.choice([None, 2012])) for i in range(120)]
+    found, pairs = [], []
+    shared = identity._sharing
+    monkeypatch.setattr(identity, "_sharing", lambda *a: pairs.append(shared(*a).distinct().cache()) or pairs[-1])
+    for crowd in (10**9, 3):
+        monkeypatch.setattr(identity, "CROWD", crowd)
+        links = identity.link(spark.createDataFrame(arts, ART), spark.createDataFrame(cands, CAND))
+        found.append(sorted((r["artifact_id"], r["uuid"] or "", r["confidence"], r["action"]) for r in links.collect()))
+    assert found[0] == found[1]
+    assert pairs[1].count() < 0.7 * pairs[0].count()
