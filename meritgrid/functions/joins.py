@@ -9,16 +9,25 @@ from pyspark.sql import functions as F
 TILE = 1024
 #: So many keys of more rows are broadcast; where there are more, each is sent to so many places.
 BROADCAST_KEYS, SALTS = 100_000, 16
+#: Rows of one place, where rows are counted before they are dealt.
+PLACE_ROWS = 1 << 19
 #: Days from the first that can be told apart to the last: 2 to the power of so many, half of them before 1970.
 DAY_BITS = 17
 
 
-def pairs_by_key(rows: DataFrame, key: str, member: str, tile: int = TILE, where: Column | None = None) -> DataFrame:
+def in_places(rows: DataFrame, n: int | float | None, *keys: str) -> DataFrame:
+    """`rows`, of which there are at most about `n`, dealt by `keys` into as many places as hold `PLACE_ROWS` each, so what
+    a task groups does not grow with the table."""
+    return rows.repartition(max(1, -int(-(n or 0) // PLACE_ROWS)), *keys)
+
+
+def pairs_by_key(rows: DataFrame, key: str, member: str, tile: int = TILE, where: Column | None = None, rows_n: int | None = None) -> DataFrame:
     """(key, a, b and of each further column c the two sides' c_a and c_b) for every two rows of (key, member, ...) with
     the same key and a < b, and `where` of these columns, if given. Members are distinct within a key.
 
     Keys are counted first. One of more than `tile` rows is dealt into tiles, and each two tiles meet in a place of
-    their own, so no place gets more than two tiles whatever share of all rows a key has."""
+    their own, so no place gets more than two tiles whatever share of all rows a key has. `rows_n`, where the number of
+    rows is known, says how many places the tiles are dealt into."""
     more = [c for c in rows.columns if c not in (key, member)]
     named = rows.where(F.col(key).isNotNull() & F.col(member).isNotNull())
     counts = named.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > tile)
@@ -35,7 +44,8 @@ def pairs_by_key(rows: DataFrame, key: str, member: str, tile: int = TILE, where
     def side(name: str, others: Column, i: Column, j: Column) -> DataFrame:
         out = own.withColumn("_o", F.explode(others))
         columns = [F.col(member).alias(f"_{name}"), *(F.col(c).alias(f"_{c}_{name}") for c in more)]
-        return out.select(F.col(key).alias("_key"), i.alias("_i"), j.alias("_j"), *columns)
+        sides = out.select(F.col(key).alias("_key"), i.alias("_i"), j.alias("_j"), *columns)
+        return sides if rows_n is None else in_places(sides, rows_n, "_key", "_i", "_j")
 
     x = side("x", F.sequence(F.col("_t"), F.col("_n") - 1), F.col("_t"), F.col("_o"))
     y = side("y", F.sequence(F.lit(0), F.col("_t")), F.col("_o"), F.col("_t"))

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meritgrid.functions.joins import pairs_by_key
+from meritgrid.functions.joins import in_places, pairs_by_key
 from meritgrid.functions.positions import settled
 from meritgrid.operators.closeness import HALF, HELD, NameTree, best_ratio, close_pairs, closest_names, masks, most_common, prepared
 from meritgrid.operators.integrity import jaccard
@@ -350,8 +350,10 @@ def merge_candidates(candidates: DataFrame) -> DataFrame:
         F.concat_ws(":", F.lit("n"), "n").alias("k"),
         F.lit(False).alias("strong"),
     )
-    both = keys.unionByName(names)
-    shared = pairs_by_key(both.distinct(), "k", "uuid").groupBy("a", "b").agg(
+    both = settled(keys.unionByName(names).distinct(), "keys and names")
+    sizes = both.groupBy("k").agg(F.count(F.lit(1)).alias("m"))
+    meetings = sizes.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0]
+    shared = in_places(pairs_by_key(both, "k", "uuid", rows_n=both.count()), meetings, "a", "b").groupBy("a", "b").agg(
         F.count_if(F.col("strong_a")).alias("n_keys"),
         F.count_if(~F.col("strong_a")).alias("n_names"),
     )
@@ -446,27 +448,34 @@ def similar_sets(members: DataFrame, least: float) -> DataFrame:
 
     Pairs meet by their prefixes only: in the order of how common works are, sets of such a similarity share one of
     the first n - ceil(least * n) + 1, so a common work brings few pairs together. What two prefixes share, and as
-    much as the longer rest could add, must reach the overlap that the sizes ask for; the rest is counted whole."""
+    much as the longer rest could add, must reach the overlap that the sizes ask for; the rest is counted whole.
+    Meetings are counted first, and then dealt into as many places as they need."""
     t = least - 1e-6
-    sets = members.select("uuid", "work").distinct()
+    sets = settled(members.select("uuid", "work").distinct(), "members")
+    n = sets.count()
+    sets = in_places(sets, n, "work")
     common = sets.groupBy("work").agg(F.count(F.lit(1)).alias("_f"))
     own = W.partitionBy("uuid")
-    placed = sets.join(common, "work").select(
+    placed = settled(in_places(sets.join(common, "work"), n, "uuid").select(
         "uuid",
         "work",
         F.row_number().over(own.orderBy("_f", "work")).alias("_p"),
         F.count(F.lit(1)).over(own).alias("n"),
-    )
+    ), "sets")
     prefixes = placed.withColumn("rest", F.ceil(F.col("n") * t) - 1).where(F.col("_p") <= F.col("n") - F.col("rest"))
+    sizes = in_places(prefixes, n, "work").where("work is not null").groupBy("work").agg(F.count(F.lit(1)).alias("m"))
+    meetings = sizes.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0]
+    need = lambda n, m: (n + m) * (t / (1 + t))
     near = (F.col("n_a") >= F.col("n_b") * t) & (F.col("n_b") >= F.col("n_a") * t)
-    met = pairs_by_key(prefixes.select("work", "uuid", "n", "rest"), "work", "uuid", where=near)
-    met = met.select("work", "a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb"), F.col("rest_a").alias("ra"), F.col("rest_b").alias("rb"))
-    need = (F.col("na") + F.col("nb")) * (t / (1 + t))
-    able = met.groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") + F.greatest("ra", "rb") >= need)
-    works = sets.groupBy("uuid").agg(F.collect_list("work").alias("works"))
-    both = able.select("a", "b", "na", "nb").join(works.toDF("a", "wa"), "a").join(works.toDF("b", "wb"), "b")
-    shared = both.withColumn("k", F.size(F.array_intersect("wa", "wb")))
-    return shared.where(F.col("k") >= need).select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard"))
+    met = pairs_by_key(prefixes.select("work", "uuid", "n", "rest"), "work", "uuid", where=near, rows_n=n)
+    enough = F.ceil(need(F.col("n_a"), F.col("n_b")) - F.greatest("rest_a", "rest_b")).cast("int").alias("enough")
+    counted = in_places(met.select("a", "b", enough), meetings, "a", "b").groupBy("a", "b", "enough").agg(F.count(F.lit(1)).alias("k"))
+    able = counted.where(F.col("k") >= F.col("enough")).select("a", "b")
+    works = in_places(placed, n, "uuid").groupBy("uuid").agg(F.collect_list("work").alias("works"))
+    both = able.join(works.toDF("a", "wa"), "a").join(works.toDF("b", "wb"), "b")
+    na, nb, k = F.size("wa"), F.size("wb"), F.col("k")
+    shared = both.select("a", "b", na.alias("na"), nb.alias("nb"), F.size(F.array_intersect("wa", "wb")).alias("k"))
+    return shared.where(k >= need(F.col("na"), F.col("nb"))).select("a", "b", (k / (F.col("na") + F.col("nb") - k)).alias("jaccard"))
 
 
 def coauthors(authorship: DataFrame, fanout: int) -> DataFrame:
