@@ -478,24 +478,32 @@ def similar_sets(members: DataFrame, least: float) -> DataFrame:
     return shared.where(k >= need(F.col("na"), F.col("nb"))).select("a", "b", (k / (F.col("na") + F.col("nb") - k)).alias("jaccard"))
 
 
-def coauthors(authorship: DataFrame, fanout: int) -> DataFrame:
-    """(a, b): for each author the first `fanout` others, by id, that share a work of (uuid, work). They are among
-    the first `fanout` + 1 authors of a work, so only those are offered, not all pairs of it."""
-    links = authorship.select("uuid", "work").distinct()
+def coauthors(authorship: DataFrame, fanout: int, of: DataFrame | None = None) -> DataFrame:
+    """(a, b): for each author, or for those `of` (uuid), the first `fanout` others, by id, that share a work of (uuid,
+    work). They are among the first `fanout` + 1 authors of a work, so only those are offered, not all pairs of it.
+    Offers are counted first, and then dealt into as many places as they need."""
+    links = authorship.select("uuid", "work").where("work is not null").distinct()
+    n = links.count()
+    asked = links if of is None else in_places(links, n, "uuid").join(of.select("uuid").distinct(), "uuid", "left_semi")
+    links, asked = in_places(links, n, "work"), in_places(asked, n, "work")
+    most = F.least(F.count(F.lit(1)), F.lit(fanout + 1)).alias("n")
+    offers = asked.join(links.groupBy("work").agg(most), "work").agg(F.sum("n")).first()[0]
     first = links.withColumn("_k", F.row_number().over(W.partitionBy("work").orderBy("uuid"))).where(F.col("_k") <= fanout + 1).drop("_k")
-    pairs = links.toDF("a", "work").join(first.select(F.col("uuid").alias("b"), "work"), "work").where("a <> b").select("a", "b").distinct()
+    met = asked.toDF("a", "work").join(first.select(F.col("uuid").alias("b"), "work"), "work").where("a <> b").select("a", "b")
+    pairs = in_places(met, offers, "a", "b").distinct()
     return pairs.withColumn("_k", F.row_number().over(W.partitionBy("a").orderBy("b"))).where(F.col("_k") <= fanout).drop("_k")
 
 
 def cohort(seeds: DataFrame, authorship: DataFrame, hops: int = 2, fanout: int = 50) -> DataFrame:
     """(uuid, hop, seed): seeds and whom they reach over co-authors within so many hops; each is reached once, in
     the first hop that does, and credited to the smallest seed that does."""
-    edges = coauthors(authorship, fanout)
+    links = settled(authorship.select("uuid", "work").distinct(), "authorship")
     reached = seeds.select("uuid", F.lit(0).alias("hop"), F.col("uuid").alias("seed"))
     frontier = reached
     for hop in range(1, hops + 1):
+        edges = coauthors(links, fanout, frontier)
         new = frontier.join(edges, frontier["uuid"] == edges["a"]).groupBy(F.col("b").alias("uuid")).agg(F.min("seed").alias("seed"))
-        frontier = new.join(reached, "uuid", "left_anti").select("uuid", F.lit(hop).alias("hop"), "seed")
+        frontier = settled(new.join(reached, "uuid", "left_anti").select("uuid", F.lit(hop).alias("hop"), "seed"), "reached")
         reached = reached.unionByName(frontier)
     return reached
 
