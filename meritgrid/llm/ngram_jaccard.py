@@ -22,8 +22,8 @@ Equal sets are one class with one representative. Only components are asked for,
 key links its representatives to the smallest, not to each other; in the second round only pairs in different
 components are left to compare, and all of them are. No link between components is lost, and a group of near
 copies is compared with its centre, not pair by pair. Keys of many documents that the first round left in different
-components are not joined: of those with the same documents one is kept, tiles of its documents are compared on whole
-sets inside tasks, and a forest of the links comes out, no more rows than documents.
+components are not joined: those with the same two smallest hashes of documents are one crowd, tiles of its documents
+are compared on whole sets inside tasks, and a forest of the links comes out, no more rows than documents.
 
 Defined results: null and empty texts and those without words have an empty set and link with nothing; fewer
 words than `words` make one shingle; equal sets link; rows with one id and set are one, rows with one id and
@@ -450,17 +450,21 @@ def jaccard_groups(docs: DataFrame, *, words: int, threshold: str | Fraction, id
     centre = links.groupBy(F.col("y").alias("rep")).agg(F.min("x").alias("c"))
     joined = cut(centre.join(centre.toDF("c", "cc"), "c", "left").select("rep", F.coalesce("cc", "c").alias("c")), "labels")
     placed = keys.select("key", "rep", "n").join(joined.toDF("rep", "c"), "rep", "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
-    apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
-    open_ = cut(placed.join(apart.select("key", "m"), "key"), "open keys")
+    members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    least = [F.min(F.xxhash64("rep", F.lit(i))).alias(f"g{i}") for i in range(2, 4)]
+    apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m"), *members, *least)
+    # Keys with the same documents are one. Crowded keys of the same two smallest hashes are compared as one crowd of
+    # all their documents: a passage has thousands of keys whose documents are nearly the same.
+    different = apart.where("low <> high").groupBy("m", "x0", "x1").agg(F.min("key").alias("key"), F.first("g2").alias("g2"), F.first("g3").alias("g3"))
+    open_ = cut(placed.join(different.select("key", "m", "g2", "g3"), "key"), "open keys")
     few = open_.where(F.col("m") <= CROWD)
     a, b = few.select("key", "rep", "n", "c").toDF("key", "x", "nx", "cx"), few.select("key", "rep", "n", "c").toDF("key", "y", "ny", "cy")
     on = (a["key"] == b["key"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near_size(F.col("nx"), F.col("ny"))
     rest = a.join(b, on).select("x", "y")
-    tiles = F.ceil(F.col("m") / F.lit(TILE)).cast("int")
-    crowded = open_.where(F.col("m") > CROWD)
-    members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    different = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("k"), *members).groupBy("k", "x0", "x1").agg(F.min("key").alias("key"))
-    many = crowded.join(different.select("key"), "key", "left_semi").withColumn("own", F.pmod(F.xxhash64("rep"), tiles).cast("int"))
+    crowd = F.xxhash64("g2", "g3").alias("key")
+    crowded = cut(open_.where(F.col("m") > CROWD).select(crowd, "rep", "n", "c").distinct(), "crowded")
+    tiles = F.ceil(F.col("k") / F.lit(TILE)).cast("int")
+    many = crowded.join(crowded.groupBy("key").agg(F.count(F.lit(1)).alias("k")), "key").withColumn("own", F.pmod(F.xxhash64("rep"), tiles).cast("int"))
     many = many.select("key", "rep", "n", "c", "own", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
     work = many.select(
         "key",

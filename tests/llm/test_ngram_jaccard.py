@@ -122,3 +122,19 @@ def test_shingles_are_those_of_each_text(spark):
             seen.setdefault(v, 0)
     every = {tuple(w[i : i + 3]) for t in texts if (w := (t or "").lower().split()) for i in range(max(len(w) - 2, 1))}
     assert len(seen) == len(every)
+
+
+def test_keys_of_one_passage_are_one_crowd(spark, monkeypatch):
+    """A passage has many keys, of nearly the same documents; their sets travel a few times, not once a key."""
+    monkeypatch.setattr(ngram_jaccard, "CROWD", 4)
+    sent = []
+    fetched = ngram_jaccard._fetched
+    monkeypatch.setattr(ngram_jaccard, "_fetched", lambda ids, *more: (sent.append(ids.count()), fetched(ids, *more))[1])
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(400)]
+    docs = [(i, " ".join(passage + [f"own{i}x{k}" for k in range(rng.randrange(56, 84))])) for i in range(60)]
+    docs += [(100 + i, docs[i][1] + " end") for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(df, words=3, threshold="0.8").collect()}
+    assert got == brute_force(docs, 3, 80)
+    assert 0 < max(sent) <= 4 * len(docs)
