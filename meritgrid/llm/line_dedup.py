@@ -16,7 +16,9 @@ earliest neighbours are then verified by edit distance.
 One edit leaves the first or the second half of the shorter line as it is. So the halves of all distinct lines
 are counted first, with the length of the shorter line; a line emits variants only where a half of it is shared
 with a line that it can be one edit from, and only at the places outside that half. This filter is exact and
-keeps the variants, as many as a line has characters, from all but a few lines.
+keeps the variants, as many as a line has characters, from all but a few lines. What is left of these is counted
+once more, by pieces of the other half: one edit leaves all but one piece as they are, so a line emits variants only
+at the places of a piece without which it is like another line.
 
 Defined results: null text stays null and has no lines; empty texts have one empty line, which stays; a null id
 comes after all others; rows with one id are ordered by a hash of their texts, and rows that repeat id and
@@ -51,11 +53,15 @@ BLOCK_CHARS = 1 << 19
 _BATCH_LINES = 1 << 14
 _WHITE = " \t\x0b\x0c\r"
 _LAST = -(2**63)
+#: Pieces that a half of a line is cut into.
+PIECES = 8
 PLACE = ["void", "doc", "th", "line"]
 HALVES = ["own_head", "own_tail", "less_head", "less_tail"]
 #: What a shared half lets a line emit: variants at places after or before a half, as one of two equally long lines
 #: or as the longer one, and itself as the shorter one.
 SAME_AFTER, SAME_BEFORE, LONGER_AFTER, LONGER_BEFORE, SHORTER = 1, 2, 4, 8, 16
+#: What a shared piece lets a line emit: one character replaced in it, the longer line with one more in it, itself.
+SAME, LONGER, ITSELF = 0, 1, 2
 
 
 def considered(line: str) -> str | None:
@@ -128,6 +134,33 @@ def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _batch(rows, names, types)
 
 
+def _cuts(low: int, high: int) -> list[tuple[int, int]]:
+    """The pieces (a, b) of the places from low to high, next to each other."""
+    at = sorted({low + (high - low) * k // PIECES for k in range(PIECES + 1)})
+    return list(zip(at, at[1:], strict=False)) or [(low, high)]
+
+
+def pieces(line: str, emits: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(key, a, b, longer) for each piece in which this line may differ from another: a hash of what is before and after it,
+    for the line as it is and, as the longer one, for the shorter line's pieces."""
+    for longer, n, after, before in (
+        (False, len(line), SAME_AFTER | SHORTER, SAME_BEFORE | SHORTER),
+        (True, len(line) - 1, LONGER_AFTER, LONGER_BEFORE),
+    ):
+        for flags, low, high in ((before, 0, n // 2), (after, n // 2, n)):
+            for a, b in _cuts(low, high) if emits & flags else ():
+                h = xxhash.xxh3_64(line[:a].encode(), seed=2 * n + 1)
+                h.update(a.to_bytes(8, "little") + b"\n" + line[b + longer :].encode())
+                yield _signed(h.intdigest()), a, b, longer
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, types = [*PLACE, "key", "a", "b", "longer"], [*_PLACE_ARROW, pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    for batch in (part for b in batches for part in slices(b, "x")):
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        yield _batch([(*row[:4], *piece) for row in rows for piece in pieces(row[4], row[5])], names, types)
+
+
 def _prefix_sums(codes: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """The prefix sums modulo prime k of a line, a block of characters at a time, with each block's start."""
     prime, carry, scale = PRIMES[k], np.uint64(0), np.uint64(1)
@@ -140,9 +173,20 @@ def _prefix_sums(codes: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
         carry, scale = sums[-1], scale * powers[len(block)] % np.uint64(prime)
 
 
-def neighbourhood(line: str, emits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _inside(at: np.ndarray, ranges: list[tuple[int, int]], end: int) -> np.ndarray:
+    """Which places lie in one of the ranges (a, b), the last `end` of a range included."""
+    found = np.zeros(len(at), bool)
+    for a, b in ranges:
+        found[max(a - int(at[0]), 0) : max(b + end - int(at[0]), 0)] = True
+    return found
+
+
+def neighbourhood(line: str, emits: int, wanted: list[tuple[int, int, int]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Keys of a line's variants and their roles, a block at a time: 0 one character replaced, 1 the longer line, 2 the
-    shorter."""
+    shorter. With `wanted` (what, a, b) only at the places of these pieces."""
+    if wanted is not None:
+        kinds = {what for what, _, _ in wanted}
+        emits &= (SAME_AFTER | SAME_BEFORE) * (SAME in kinds) | (LONGER_AFTER | LONGER_BEFORE) * (LONGER in kinds) | SHORTER * (ITSELF in kinds)
     codes = code_points(line)
     n, m = len(codes), len(codes) - 1
     total = [0, 0]
@@ -165,6 +209,9 @@ def neighbourhood(line: str, emits: int) -> Iterator[tuple[np.ndarray, np.ndarra
         same |= (at < n // 2) & bool(emits & SAME_BEFORE)
         longer = (at >= m // 2) if emits & LONGER_AFTER else np.zeros(len(at), bool)
         longer |= (at <= m // 2) & bool(emits & LONGER_BEFORE)
+        if wanted is not None and len(at):
+            same &= _inside(at, [(a, b) for what, a, b in wanted if what == SAME], 0)
+            longer &= _inside(at, [(a, b) for what, a, b in wanted if what == LONGER], 1)
         holes = mix64(values[same] + (at[same] + 1).astype(np.uint64))
         keys = np.concatenate([holes, values[longer]]).view(np.int64)
         yield keys, np.repeat(np.array([0, 1], np.int8), [int(same.sum()), int(longer.sum())])
@@ -185,8 +232,8 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )  # noqa: B023
 
         held = 0
-        for i, (x, emits) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-            for part in neighbourhood(x, emits):
+        for i, (x, emits, wanted) in enumerate(zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)), strict=True)):
+            for part in neighbourhood(x, emits, [(w["what"], w["a"], w["b"]) for w in wanted]):
                 row.append(i)
                 found.append(part)
                 held += len(part[0])
@@ -220,7 +267,18 @@ def near_copies(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     keyed_docs = docs.where("t <> ''").select(F.col("doc").isNull().alias("void"), F.coalesce("doc", F.lit(_LAST)).alias("doc"), "th", "t")
     found = keyed_docs.join(wanted, PLACE[:3]).dropDuplicates(PLACE[:3])
     texts = cut(found.select(*PLACE[:3], "wanted", "t").mapInArrow(_wanted_lines, f"{_PLACE_TYPES}, x string, emits int"), "texts")
-    variants = texts.mapInArrow(_variants, f"{_PLACE_TYPES}, key long, role byte")
+    pieced = cut(texts.mapInArrow(_pieces, f"{_PLACE_TYPES}, key long, a int, b int, longer boolean"), "pieces")
+    alike = pieced.groupBy("key").agg(F.count_if(~F.col("longer")).alias("shorts"), F.count_if("longer").alias("longs"))
+    alike = alike.where((shorts > 1) | ((shorts > 0) & (longs > 0)))
+    may = F.array_compact(F.array(
+        F.when(~F.col("longer") & (shorts > 1), F.lit(SAME)),
+        F.when(F.col("longer") & (shorts > 0), F.lit(LONGER)),
+        F.when(~F.col("longer") & (longs > 0), F.lit(ITSELF)),
+    ))
+    piece = F.struct("what", "a", "b")
+    left = pieced.join(alike, "key").select(*PLACE, "a", "b", F.explode(may).alias("what")).groupBy(*PLACE).agg(F.collect_set(piece).alias("pieces"))
+    emitters = texts.join(left, PLACE).select(*PLACE, "x", "emits", "pieces")
+    variants = emitters.mapInArrow(_variants, f"{_PLACE_TYPES}, key long, role byte")
     role, here = F.col("role"), W.partitionBy("key")
     earliest = [F.min(F.when(role == r, _place())).over(here) for r in range(3)]
     witness = F.when(role == 0, earliest[0]).when(role == 1, earliest[2]).otherwise(earliest[1])

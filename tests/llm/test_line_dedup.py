@@ -109,3 +109,29 @@ def test_stage_drops_documents_that_lost_all_they_said(spark):
     assert {r["doc_id"] for r in line_stage(spark, docs, "").collect()} == {1, 3, 4, 5, 6}
     every = {r["doc_id"]: r["text"] for r in line_stage(spark, docs, "", drop_emptied=False).collect()}
     assert every == {1: rows[0][1], 2: " ", 3: None, 4: "", 5: " \n", 6: "new words stay here"}
+
+
+def test_lines_emit_at_shared_pieces_only(monkeypatch):
+    """Lines an edit apart share a piece's key and a variant of that piece; many lines with a half in common emit few."""
+    rng = random.Random(8)
+    every = line_dedup.SAME_AFTER | line_dedup.SAME_BEFORE | line_dedup.LONGER_AFTER | line_dedup.LONGER_BEFORE | line_dedup.SHORTER
+
+    def emitted(x, wanted):
+        return {int(k) for ks, _ in line_dedup.neighbourhood(x, every, wanted) for k in ks}
+
+    for block in (1 << 19, 7):
+        monkeypatch.setattr(line_dedup, "BLOCK_CHARS", block)
+        for _ in range(150):
+            x = "".join(rng.choice("abc é") for _ in range(rng.randrange(9, 60)))
+            i = rng.randrange(len(x) + 1)
+            longer = x[:i] + rng.choice("abé") + x[i:]
+            j = rng.randrange(len(x))
+            other = x[:j] + "z" + x[j + 1 :]
+            shorts = {k: (a, b) for k, a, b, up in line_dedup.pieces(x, every) if not up}
+            met = [(k, a, b) for k, a, b, up in line_dedup.pieces(longer, every) if up and k in shorts]
+            assert met and all(shorts[k] == (a, b) for k, a, b in met)
+            assert emitted(longer, [(line_dedup.LONGER, a, b) for _, a, b in met]) & emitted(x, [(line_dedup.ITSELF, a, b) for _, a, b in met])
+            met = [(a, b) for k, a, b, up in line_dedup.pieces(other, every) if not up and k in shorts]
+            same = [(line_dedup.SAME, a, b) for a, b in met]
+            assert met and emitted(other, same) & emitted(x, same)
+            assert len(emitted(x, same)) <= sum(b - a for a, b in met) < len(x)
