@@ -61,7 +61,8 @@ FILE_BYTES = 64 << 20
 RANGE_BYTES, LEAST_RANGES, RANGE_ROWS = 64 << 20, 64, 16
 #: The tokenizer's file is broadcast, so it has a bound.
 MOST_TOKENIZER_BYTES = 64 << 20
-MOST_MEMOS = 500_000
+#: Words of one generation of a memo, of which there are two, and its pieces that are not of letters only.
+MOST_MEMOS, MOST_MARKS = 500_000, 10_000
 #: A longer word is cut where no piece can go on, and is not memoised.
 LONG_WORD = 1 << 12
 #: Below this byte in UTF-8 there are no characters that combine with others, so A-Z may be lowered first.
@@ -91,7 +92,8 @@ class WordEncoder(dict):
 
     A word that is not known goes through the library whole. Where the file has the usual steps (compose, fold white
     space, lower, split by a pattern, bytes as characters), words of printing ASCII and letters below U+0300, which
-    composing leaves as they are, are lowered and split here, and the library's model gets the pieces."""
+    composing leaves as they are, are lowered and split here, and the library's model gets the pieces. A full memo is kept
+    as the older of two, from which words that come again are taken, so frequent words are not worked out anew."""
 
     def __init__(self, content: bytes, by_word: bool):
         super().__init__()
@@ -104,6 +106,8 @@ class WordEncoder(dict):
         self.pieces = self._pattern(json.loads(content))
         self.model = self.tokenizer.model
         self.table = dict(enumerate(_byte_characters()))
+        self.older: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     @staticmethod
     def _pattern(steps: dict) -> regex.Pattern | None:
@@ -131,15 +135,31 @@ class WordEncoder(dict):
                 cuts.append(last)
         return b"".join(self._whole(text[a:b]) for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True))
 
+    def _model_ids(self, piece: str) -> bytes:
+        return _packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))])
+
+    def _piece(self, piece: str) -> bytes:
+        """A lowered piece's ids; one of letters only is a word of its own."""
+        if piece.isalpha():
+            return self[piece.encode()]
+        ids = self.marks.get(piece)
+        if ids is None:
+            if len(self.marks) >= MOST_MARKS:
+                self.marks.clear()
+            ids = self.marks[piece] = self._model_ids(piece)
+        return ids
+
     def __missing__(self, word: bytes) -> bytes:
         if len(word) > LONG_WORD:
             return self._long(word)
+        if (ids := self.older.get(word)) is not None:
+            self[word] = ids
+            return ids
         if self.pieces is None or not _PLAIN.fullmatch(word):
             ids = self._whole(word.decode())
         else:
             text = word.decode().lower()
-            found = [text] if text.isalpha() else self.pieces.findall(text)
-            ids = b"".join([_packed([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.table))]) for p in found])
+            ids = self._model_ids(text) if text.isalpha() else b"".join(map(self._piece, self.pieces.findall(text)))
         self[word] = ids
         return ids
 
@@ -155,6 +175,7 @@ class WordEncoder(dict):
                 text = text.lower()
             parts.append(b"".join(map(find, text.split())))
             if len(self) >= MOST_MEMOS:
+                self.older = dict(self)
                 self.clear()
         return b"".join(parts)
 

@@ -116,3 +116,18 @@ def test_query(spark, tmp_path, library):
         ids = [*library(t), 2]
         assert tuple(got[i]) == (i, start, len(ids), zlib.crc32(np.array(ids, np.uint32).tobytes()))
         start += len(ids)
+
+
+def test_frequent_words_outlast_a_full_memo(monkeypatch):
+    """A word that comes again and again is worked out once, however many others fill the memo."""
+    monkeypatch.setattr(tf, "MOST_MEMOS", 50)
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        encoder = tf.WordEncoder(f.read(), True)
+    asked = []
+    made = encoder._model_ids
+    encoder._model_ids = lambda piece: (asked.append(piece), made(piece))[1]
+    text = [f"Frequent, {chr(97 + i % 26)}x{chr(97 + i // 26)}q other. don't café" for i in range(200)]
+    for t in text:
+        assert encoder.encode(np.frombuffer(t.encode(), np.uint8)) == encoder._whole(t)
+    assert asked.count("frequent") == 1 and asked.count(",") == 1
+    assert len(encoder) <= 60 and len(encoder.older) <= 60
