@@ -494,15 +494,21 @@ def coauthors(authorship: DataFrame, fanout: int, of: DataFrame | None = None) -
     return pairs.withColumn("_k", F.row_number().over(W.partitionBy("a").orderBy("b"))).where(F.col("_k") <= fanout).drop("_k")
 
 
-def cohort(seeds: DataFrame, authorship: DataFrame, hops: int = 2, fanout: int = 50) -> DataFrame:
+def cohort(seeds: DataFrame, authorship: DataFrame, hops: int = 2) -> DataFrame:
     """(uuid, hop, seed): seeds and whom they reach over co-authors within so many hops; each is reached once, in
-    the first hop that does, and credited to the smallest seed that does."""
-    links = settled(authorship.select("uuid", "work").distinct(), "authorship")
+    the first hop that does, and credited to the smallest seed that does.
+
+    A hop takes all co-authors: works get the smallest seed of their authors of the last hop, and authors the smallest
+    of their works. So rows grow with authorship, not with pairs of authors, and no co-author is left out."""
+    named = authorship.select("uuid", "work").where("uuid is not null and work is not null").distinct()
+    links = settled(named, "authorship")
+    n = links.count()
+    by_author, by_work = in_places(links, n, "uuid"), in_places(links, n, "work")
     reached = seeds.select("uuid", F.lit(0).alias("hop"), F.col("uuid").alias("seed"))
     frontier = reached
     for hop in range(1, hops + 1):
-        edges = coauthors(links, fanout, frontier)
-        new = frontier.join(edges, frontier["uuid"] == edges["a"]).groupBy(F.col("b").alias("uuid")).agg(F.min("seed").alias("seed"))
+        works = in_places(by_author.join(frontier.select("uuid", "seed"), "uuid"), n, "work").groupBy("work").agg(F.min("seed").alias("seed"))
+        new = in_places(by_work.join(works, "work"), n, "uuid").groupBy("uuid").agg(F.min("seed").alias("seed"))
         frontier = settled(new.join(reached, "uuid", "left_anti").select("uuid", F.lit(hop).alias("hop"), "seed"), "reached")
         reached = reached.unionByName(frontier)
     return reached

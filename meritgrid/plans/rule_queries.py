@@ -233,7 +233,7 @@ def shared_key_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def coauthor_two_hop(spark: SparkSession, d: str) -> DataFrame:
     works = papers(spark, d).select("uuid", (F.col("work") * 1000 + F.month("published")).alias("work"))
-    seeds = candidates(spark, d).where("uuid % 100 = 0").select("uuid")
+    seeds = table(spark, d, "customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("uuid"))
     return identity.cohort(seeds, works, 2)
 
 
@@ -372,9 +372,8 @@ ORACLE_SQL = {
                   JOIN customer y ON y.c_custkey > x.c_custkey AND y.c_custkey < x.c_custkey + 6)
       SELECT a, b, k::BIGINT AS n_keys, m::BIGINT AS n_names, round(CASE WHEN k > 0 THEN least(0.95 + 0.02 * k, 1.0) ELSE least(0.5 + 0.15 * m,
         0.9) END, 6)::DOUBLE AS confidence, CASE WHEN k > 0 THEN 'strong_key' ELSE 'review_needed' END AS kind FROM p WHERE k + m > 0""",
-    "coauthor_two_hop": f"""WITH {PAPERS_SQL}, w AS (SELECT DISTINCT uuid, work * 1000 + month(published) AS work FROM papers), e AS (SELECT a, b
-          FROM (SELECT DISTINCT x.uuid AS a, y.uuid AS b FROM w x JOIN w y USING (work) WHERE x.uuid <> y.uuid) QUALIFY row_number()
-            OVER (PARTITION BY a ORDER BY b) <= 50),
+    "coauthor_two_hop": f"""WITH {PAPERS_SQL}, w AS (SELECT DISTINCT uuid, work * 1000 + month(published) AS work FROM papers), e AS (SELECT DISTINCT
+          x.uuid AS a, y.uuid AS b FROM w x JOIN w y USING (work) WHERE x.uuid <> y.uuid),
       h0 AS (SELECT c_custkey AS uuid, 0 AS hop, c_custkey AS seed FROM customer WHERE c_custkey % 100 = 0), h1 AS (SELECT b AS uuid, 1 AS hop,
         min(seed) AS seed FROM h0 JOIN e ON a = uuid WHERE b NOT IN (SELECT uuid FROM h0) GROUP BY b),
       h2 AS (SELECT b AS uuid, 2 AS hop, min(seed) AS seed FROM h1 JOIN e ON a = uuid WHERE b NOT IN (SELECT uuid FROM h0) AND b NOT IN (SELECT uuid
