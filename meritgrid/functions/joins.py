@@ -15,10 +15,15 @@ PLACE_ROWS = 1 << 19
 DAY_BITS = 17
 
 
+def places(n: int | float | None) -> int:
+    """How many places of `PLACE_ROWS` about `n` rows need."""
+    return max(1, -int(-(n or 0) // PLACE_ROWS))
+
+
 def in_places(rows: DataFrame, n: int | float | None, *keys: str) -> DataFrame:
     """`rows`, of which there are at most about `n`, dealt by `keys` into as many places as hold `PLACE_ROWS` each, so what
     a task groups does not grow with the table."""
-    return rows.repartition(max(1, -int(-(n or 0) // PLACE_ROWS)), *keys)
+    return rows.repartition(places(n), *keys)
 
 
 def pairs_by_key(rows: DataFrame, key: str, member: str, tile: int = TILE, where: Column | None = None, rows_n: int | None = None) -> DataFrame:

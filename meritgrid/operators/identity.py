@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meritgrid.functions.joins import in_places, pairs_by_key
+from meritgrid.functions import joins
+from meritgrid.functions.joins import in_places, pairs_by_key, places
 from meritgrid.functions.positions import settled
 from meritgrid.operators.closeness import HALF, HELD, NameTree, best_ratio, close_pairs, closest_names, masks, most_common, prepared
 from meritgrid.operators.integrity import jaccard
@@ -443,39 +444,115 @@ def contradictions(pairs: DataFrame) -> DataFrame:
     return differ.withColumn("severity", F.when(major, "major").otherwise("minor")).withColumn("flagged", major)
 
 
-def similar_sets(members: DataFrame, least: float) -> DataFrame:
-    """(a, b, jaccard), a < b, of the sets of (uuid, work) whose Jaccard similarity is about `least` or more.
+#: A member in one number: where it stands, whether works of its set are left out, and the size of the set, which is cut
+#: off at the most that so many bits hold.
+SIZE_BITS = 16
+LEFT_OUT, LARGE = 1 << SIZE_BITS, (1 << SIZE_BITS) - 1
+#: Pairs that a block of members has about, and the most, in places of `PLACE_ROWS`.
+BLOCK, BLOCK_MOST = 8, 16
 
-    Pairs meet by their prefixes only: in the order of how common works are, sets of such a similarity share one of
-    the first n - ceil(least * n) + 1, so a common work brings few pairs together. What two prefixes share, and as
-    much as the longer rest could add, must reach the overlap that the sizes ask for; the rest is counted whole.
-    Meetings are counted first, and then dealt into as many places as they need."""
+
+def similar_sets(members: DataFrame, least: float, rows_n: int | None = None) -> DataFrame:
+    """(a, b, jaccard), a < b, of the sets of (uuid, work) whose Jaccard similarity is about `least` or more. `rows_n`,
+    where the number of rows is about known, saves counting them.
+
+    Members are dealt by ranges into blocks. A work goes once to each block that has some of its members, as the list of
+    them and those after them, and pairs are made and counted only there: what is shuffled are lists, not pairs.
+    Works of very many members are cut into tiles, and a set leaves out its commonest ones of these: all but its first
+    n - ceil(least * n) + 1 works, in an order in which they stand last. What two sets share of the others, and as much
+    as was left out, must reach the overlap that the sizes ask for; such pairs are counted whole."""
     t = least - 1e-6
-    sets = settled(members.select("uuid", "work").distinct(), "members")
-    n = sets.count()
-    sets = in_places(sets, n, "work")
-    common = sets.groupBy("work").agg(F.count(F.lit(1)).alias("_f"))
-    own = W.partitionBy("uuid")
-    placed = settled(in_places(sets.join(common, "work"), n, "uuid").select(
-        "uuid",
-        "work",
-        F.row_number().over(own.orderBy("_f", "work")).alias("_p"),
-        F.count(F.lit(1)).over(own).alias("n"),
-    ), "sets")
-    prefixes = placed.withColumn("rest", F.ceil(F.col("n") * t) - 1).where(F.col("_p") <= F.col("n") - F.col("rest"))
-    sizes = in_places(prefixes, n, "work").where("work is not null").groupBy("work").agg(F.count(F.lit(1)).alias("m"))
-    meetings = sizes.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()[0]
+    named = members.select("uuid", "work").where(F.col("uuid").isNotNull())
+    ranges = named.repartitionByRange(places(2 * (members.count() if rows_n is None else rows_n)), "uuid").distinct()
+    own = ranges.groupBy("uuid").agg(F.count(F.lit(1)).alias("n"), F.collect_list("work").alias("works"))
+    sets = settled(own.withColumn("_id", F.monotonically_increasing_id()), "sets")
+    inside = (1 << 33) - 1  # bits of such an id below the partition's number
+    last, n_sets, links = sets.agg(F.max(F.col("_id").bitwiseAND(inside)), F.count(F.lit(1)), F.sum("n")).first()
+    width = 1 + (last or 0)
+    sets = sets.withColumn("at", F.shiftright("_id", 33) * width + F.col("_id").bitwiseAND(inside)).drop("_id")
+
+    bound = max(joins.TILE, (links or 0) // joins.BROADCAST_KEYS)  # so works of more members are no more than can be broadcast
+    rows = sets.select("uuid", "at", "n", F.explode("works").alias("work"))
+    common = settled(rows.groupBy("work").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > bound), "common works")
+    hot = common.count()
+    v = F.shiftleft("at", SIZE_BITS + 1).bitwiseOR(F.col("left_out") * LEFT_OUT).bitwiseOR(F.least("n", F.lit(LARGE))).alias("v")
+    if hot:
+        kept = settled(_without_commonest(rows, common, t).select("work", v), "works that are not left out")
+        common = settled(kept.groupBy("work").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > bound), "common works")
+        rows = kept.join(F.broadcast(common), "work", "left_anti")
+    else:
+        rows = rows.withColumn("left_out", F.lit(0).cast("long")).select("work", v)
+    lists = in_places(rows, links, "work").groupBy("work").agg(F.sort_array(F.collect_list("v")).alias("tail"))
+    lists = settled(lists.where(F.size("tail") > 1).select("tail"), "members of works")
+    pairs = lambda m: F.sum(m.cast("double") * (m - 1) / 2)
+    meetings = sum(f.agg(pairs(m)).first()[0] or 0 for f, m in ((lists, F.size("tail")), (common, F.col("m"))))
+
+    wide = max(1, int((n_sets or 0) * BLOCK * joins.PLACE_ROWS / (meetings or 1)))
+    at = lambda v: F.shiftright(v, SIZE_BITS + 1)
+    block = lambda v: F.floor(at(v) / F.lit(wide))
+    first = F.filter(F.sequence(F.lit(1), F.size("tail") - 1), lambda i: (i == 1) | (block(F.get("tail", i - 1)) != block(F.get("tail", i - 2))))
+    met = lists.select("tail", F.explode(first).alias("_s")).select(
+        block(F.get("tail", F.col("_s") - 1)).alias("a"),
+        F.lit(None).cast("array<bigint>").alias("own"),
+        F.slice("tail", F.col("_s"), F.size("tail") - F.col("_s") + 1).alias("tail"),
+    )
+    if hot:
+        met = met.unionByName(_met_in_tiles(kept.join(F.broadcast(common), "work"), bound, block))
+    # Those of the list in the block, where they are not given.
+    own = F.coalesce("own", F.filter("tail", lambda y: block(y) == F.col("a")))
+    sizes = settled(met.groupBy("a").agg(F.sum(F.size(own).cast("double") * F.size("tail")).alias("n")), "blocks")
+    parts = sizes.select("a", F.ceil(F.col("n") / F.lit(BLOCK_MOST * joins.PLACE_ROWS)).cast("int").alias("parts")).where(F.col("parts") > 1)
+    # A block of more pairs, which is rare, is cut by the second member.
+    cut = met.join(F.broadcast(parts), "a", "left").withColumn("b", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    mine = F.filter("tail", lambda y: F.pmod(at(y), F.col("parts")) == F.col("b"))
+    dealt = cut.select("a", "b", F.when(F.col("parts").isNotNull(), own).otherwise(F.col("own")).alias("own"),
+        F.when(F.col("parts").isNotNull(), mine).otherwise(F.col("tail")).alias("tail")).where(F.size("tail") > 0)
     need = lambda n, m: (n + m) * (t / (1 + t))
-    near = (F.col("n_a") >= F.col("n_b") * t) & (F.col("n_b") >= F.col("n_a") * t)
-    met = pairs_by_key(prefixes.select("work", "uuid", "n", "rest"), "work", "uuid", where=near, rows_n=n)
-    enough = F.ceil(need(F.col("n_a"), F.col("n_b")) - F.greatest("rest_a", "rest_b")).cast("int").alias("enough")
-    counted = in_places(met.select("a", "b", enough), meetings, "a", "b").groupBy("a", "b", "enough").agg(F.count(F.lit(1)).alias("k"))
-    able = counted.where(F.col("k") >= F.col("enough")).select("a", "b")
-    works = in_places(placed, n, "uuid").groupBy("uuid").agg(F.collect_list("work").alias("works"))
-    both = able.join(works.toDF("a", "wa"), "a").join(works.toDF("b", "wb"), "b")
-    na, nb, k = F.size("wa"), F.size("wb"), F.col("k")
-    shared = both.select("a", "b", na.alias("na"), nb.alias("nb"), F.size(F.array_intersect("wa", "wb")).alias("k"))
-    return shared.where(k >= need(F.col("na"), F.col("nb"))).select("a", "b", (k / (F.col("na") + F.col("nb") - k)).alias("jaccard"))
+    size = lambda v: v.bitwiseAND(LARGE)
+    out = lambda v: v.bitwiseAND(LEFT_OUT) > 0
+    rest = lambda v: F.when(out(v), F.when(size(v) == LARGE, float("inf")).otherwise(F.ceil(size(v) * t) - 1)).otherwise(0)
+    enough = lambda x, y: need(size(x), size(y)) - F.greatest(rest(x), rest(y))
+    some = lambda n: F.greatest(F.ceil(n), F.lit(1)).cast("int")
+    x, y = F.col("x"), F.col("y")
+    made = in_places(dealt, meetings, "a", "b").select("a", "b", "own", "tail", F.posexplode(own).alias("_p", "x"))
+    # A list of no tile begins with those in the block.
+    later = F.when(F.col("own").isNull(), F.slice("tail", F.col("_p") + 2, F.size("tail"))).otherwise(F.filter("tail", lambda y: y > x))
+    others = made.select("a", "b", "x", later.alias("later")).groupBy("a", "b", "x").agg(
+        F.sort_array(F.flatten(F.collect_list("later"))).alias("others"), F.max(some(size(x) * t)).alias("of_x"))
+    # How often a second one stands there at least: where works are left out as both ask for, else as the first does.
+    fewest = lambda y: some(enough(x, y)) if hot else F.col("of_x")
+    often = F.filter("others", lambda y, i: F.get("others", i + fewest(y) - 1) == y)
+    counted = others.select("a", "b", "x", "of_x", F.explode(often).alias("y")).groupBy("a", "b", "x", "of_x", "y").agg(F.count(F.lit(1)).alias("_more"))
+    counted = counted.withColumn("k", F.col("_more") + fewest(y) - 1)
+    able = counted.where(F.col("k") >= enough(x, y)).select(at(x).alias("x"), at(y).alias("y"), "k", (out(x) | out(y)).alias("unsure"))
+    known = in_places(sets.select("at", "uuid", "n", *(["works"] if hot else [])), links if hot else n_sets, "at")
+    side = lambda s: known.select(*(F.col(c).alias(s if c == "at" else f"{c}_{s}") for c in known.columns))
+    both = able.join(side("x"), "x").join(side("y"), "y")
+    k = F.when(F.col("unsure"), F.size(F.array_intersect("works_x", "works_y"))).otherwise(F.col("k")) if hot else F.col("k")
+    shared = both.select(F.least("uuid_x", "uuid_y").alias("a"), F.greatest("uuid_x", "uuid_y").alias("b"), "n_x", "n_y", k.alias("k"))
+    n, m, k = F.col("n_x"), F.col("n_y"), F.col("k")
+    return shared.where((k > 0) & (k >= need(n, m))).select("a", "b", (k / (n + m - k)).alias("jaccard"))
+
+
+def _without_commonest(rows: DataFrame, common: DataFrame, t: float) -> DataFrame:
+    """`rows` (uuid, at, n, work) without those works of `common` (work, m) that stand behind the first n - ceil(t * n) + 1
+    of a set in the order of how common they are, and whether (1, else 0) the set has such."""
+    own = W.partitionBy("uuid")
+    placed = rows.join(F.broadcast(common), "work", "left").withColumn("_p", F.row_number().over(own.orderBy(F.coalesce("m", F.lit(0)), "work")))
+    late = F.col("m").isNotNull() & (F.col("_p") > F.col("n") - F.ceil(F.col("n") * t) + 1)
+    marked = placed.withColumn("_late", late).withColumn("left_out", F.max(F.col("_late").cast("long")).over(own))
+    return marked.where(~F.col("_late")).select("at", "n", "work", "left_out")
+
+
+def _met_in_tiles(rows: DataFrame, tile: int, block) -> DataFrame:
+    """(a, own, tail) of the works of `rows` (work, v, m), which have too many members for one list: members are dealt into
+    tiles of about `tile`, and those of each block meet each tile, in which they look for those after them."""
+    tiles = F.ceil(F.col("m") / F.lit(tile)).cast("int")
+    tails = rows.groupBy("work", F.pmod(F.xxhash64("v"), tiles).cast("int").alias("t")).agg(F.sort_array(F.collect_list("v")).alias("tail"))
+    asked = rows.select("work", "v", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("t"))
+    owns = asked.groupBy("work", "t", block(F.col("v")).alias("a")).agg(F.collect_list("v").alias("own"))
+    after = F.filter("tail", lambda y: y > F.array_min("own"))
+    return owns.join(tails, ["work", "t"]).select("a", "own", after.alias("tail")).where(F.size("tail") > 0)
 
 
 def coauthors(authorship: DataFrame, fanout: int, of: DataFrame | None = None) -> DataFrame:

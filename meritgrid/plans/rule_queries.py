@@ -253,7 +253,7 @@ def contradictions(spark: SparkSession, d: str) -> DataFrame:
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of the parts that two customers bought, for pairs of at least 0.05."""
     sets = papers(spark, d).select("uuid", "work")
-    return identity.similar_sets(sets, 0.05).select("a", "b", F.round("jaccard", 6).alias("jaccard")).where("jaccard >= 0.05")
+    return identity.similar_sets(sets, 0.05, table(spark, d, "lineitem").count()).select("a", "b", F.round("jaccard", 6).alias("jaccard")).where("jaccard >= 0.05")
 
 
 def fuzzy_link(spark: SparkSession, d: str) -> DataFrame:
