@@ -571,14 +571,15 @@ def coauthors(authorship: DataFrame, fanout: int, of: DataFrame | None = None) -
     return pairs.withColumn("_k", F.row_number().over(W.partitionBy("a").orderBy("b"))).where(F.col("_k") <= fanout).drop("_k")
 
 
-def cohort(seeds: DataFrame, authorship: DataFrame, hops: int = 2) -> DataFrame:
+def cohort(seeds: DataFrame, authorship: DataFrame, hops: int = 2, rows_n: int | None = None) -> DataFrame:
     """(uuid, hop, seed): seeds and whom they reach over co-authors within so many hops; each is reached once, in
     the first hop that does, and credited to the smallest seed that does.
 
     A hop takes all co-authors: works get the smallest seed of their authors of the last hop, and authors the smallest
-    of their works. So rows grow with authorship, not with pairs of authors, and no co-author is left out."""
-    named = authorship.select("uuid", "work").where("uuid is not null and work is not null").distinct()
-    links = settled(named, "authorship")
+    of their works. So rows grow with authorship, not with pairs of authors, and no co-author is left out. `rows_n`, where
+    the number of rows of authorship is about known, says how many places they are dealt into before each is taken once."""
+    named = authorship.select("uuid", "work").where("uuid is not null and work is not null")
+    links = settled((named if rows_n is None else in_places(named, rows_n, "uuid")).distinct(), "authorship")
     n = links.count()
     by_author, by_work = in_places(links, n, "uuid"), in_places(links, n, "work")
     reached = seeds.select("uuid", F.lit(0).alias("hop"), F.col("uuid").alias("seed"))

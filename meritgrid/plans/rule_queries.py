@@ -234,7 +234,7 @@ def shared_key_pairs(spark: SparkSession, d: str) -> DataFrame:
 def coauthor_two_hop(spark: SparkSession, d: str) -> DataFrame:
     works = papers(spark, d).select("uuid", (F.col("work") * 1000 + F.month("published")).alias("work"))
     seeds = table(spark, d, "customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("uuid"))
-    return identity.cohort(seeds, works, 2)
+    return identity.cohort(seeds, works, 2, table(spark, d, "lineitem").count())
 
 
 def contradictions(spark: SparkSession, d: str) -> DataFrame:
